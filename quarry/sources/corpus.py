@@ -111,9 +111,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     ``old`` covers events before the median timestamp, ``new`` all events.
     """
-    e = table(spark, sf_dir, "events").select("user_id", "ts")
+    # ts is TIMESTAMP_NTZ; read as UTC instants
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     # scalar subquery: one value, no join
-    median = e.agg(F.percentile_disc(F.lit(0.5), F.unix_micros("ts"))).scalar()
+    median = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(ts))")).scalar()
 
     def listing(df: DataFrame) -> DataFrame:
         return (df.groupBy("user_id")

@@ -253,13 +253,13 @@ def q_run_filter(spark, sf):
 # ---------------------------------------------------------------- sinks
 def q_manifest_jsonl(spark, sf):
     r = _docs_dict(spark, sf)
-    rec = K.manifest_records(r.files, r.facts)
+    rec = K.manifest_records(r.facts)
     return M.maps_as_text(rec)
 
 
 def q_manifest_csv(spark, sf):
     r = _docs_dict(spark, sf)
-    return K.manifest_csv_rows(r.files, r.facts)
+    return K.manifest_csv_rows(r.facts)
 
 
 def q_files_upsert(spark, sf):

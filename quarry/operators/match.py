@@ -178,6 +178,25 @@ def _windows(df: DataFrame, text_col: str, keys: Sequence[str], size: int,
     )
 
 
+def spread_target(df: DataFrame) -> int:
+    """Partitions to spread a CPU-heavy map over when the input is too coarse.
+
+    Returns 0 (leave as is) when the input already comes from at least as
+    many files as there are cores — always the case at cluster scale, so
+    the bulk text is never shuffled there.  A handful of files (each maybe
+    one row group, one task) is spread by a hash of the row keys.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        files = len(df.inputFiles())
+    except Exception:  # pragma: no cover - non-file relations
+        files = 0
+    if files == 0:
+        files = df.rdd.getNumPartitions()
+    return cores if files < cores else 0
+
+
 def _reduce_facts(facts: DataFrame, keys: Sequence[str], mode: str) -> DataFrame:
     agg = F.max("count") if mode == "boundary" else F.sum("count")
     return facts.groupBy(*keys, "keyword_group", "keyword").agg(agg.cast("bigint").alias("count"))
@@ -186,14 +205,19 @@ def _reduce_facts(facts: DataFrame, keys: Sequence[str], mode: str) -> DataFrame
 def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequence[str],
                 text_col: str = "text", mode: str = "dictionary", case_sensitive: bool = False,
                 method: str = "automaton", split_chars: int | None = DEFAULT_SPLIT_CHARS,
-                split_partitions: int | None = None) -> DataFrame:
+                split_partitions: int | None = None, spread: bool | int = True) -> DataFrame:
     """Facts ``(keys..., keyword_group, keyword, count)`` for every row of ``units``.
 
     ``keys`` must identify a row when texts may be split (they are summed
     back per key).  ``count`` is the overlapping hit count (dictionary mode)
-    or 1 (boundary mode); rows without hits produce no facts.
+    or 1 (boundary mode); rows without hits produce no facts.  ``spread``
+    (default: automatic, see :func:`spread_target`) hash-distributes the
+    rows first when the input has fewer files than cores.
     """
     keys = list(keys)
+    n_spread = spread_target(units) if spread is True else int(spread or 0)
+    if n_spread:
+        units = units.select(*keys, text_col).repartition(n_spread, *keys)
     newline_fix = mode == "boundary" and any(
         ("\r" in low) for _, _, low in dictionary.boundary_entries())
     if newline_fix:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,8 @@ def scan(units: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictio
         files = units.select(*META, "mtime",
                              F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes_read"),
                              "error")
+    # facts feed both the file flags and every report: compute the match once
+    facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
     flagged = files_with_flag(files, facts, FILE_KEYS)
     files_out = flagged.select(
         F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime", "bytes_read",

@@ -22,19 +22,25 @@ FILE_KEYS = ["source_path", "internal_path"]
 
 
 # ---------------------------------------------------------------- manifests
-def manifest_records(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """K1: one nested record per matched file (groups and keyword counts as maps)."""
-    maps = file_match_maps(facts, FILE_KEYS)
-    return (files.where("matched")
-            .select(*FILE_KEYS, "display_path", "file_type", "size", "copied_to")
-            .join(maps, FILE_KEYS, "inner")
-            .select("display_path", "source_path", "internal_path", "file_type", "size",
-                    "groups", "keyword_counts", "copied_to"))
+def manifest_records(facts: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """K1: one nested record per matched file (groups and keyword counts as maps).
+
+    Built from the facts alone (they carry the file columns): one
+    aggregation, no join with the file table.  ``copies`` (display_path,
+    copied_to) fills ``copied_to`` when evidence was copied.
+    """
+    maps = file_match_maps(facts, ["display_path", "source_path", "internal_path", "file_type", "size"])
+    if copies is None:
+        rec = maps.withColumn("copied_to", F.lit(""))
+    else:
+        rec = maps.join(copies, "display_path", "left").withColumn("copied_to", F.coalesce("copied_to", F.lit("")))
+    return rec.select("display_path", "source_path", "internal_path", "file_type", "size",
+                      "groups", "keyword_counts", "copied_to")
 
 
-def manifest_csv_rows(files: DataFrame, facts: DataFrame) -> DataFrame:
+def manifest_csv_rows(facts: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """K2: the flat manifest — sorted groups and keywords joined with ';'."""
-    rec = manifest_records(files, facts)
+    rec = manifest_records(facts, copies)
     return rec.select(
         "display_path", "source_path", "internal_path", "file_type", "size",
         F.array_join(F.array_sort(F.map_keys("groups")), ";").alias("groups"),
@@ -42,10 +48,10 @@ def manifest_csv_rows(files: DataFrame, facts: DataFrame) -> DataFrame:
         "copied_to")
 
 
-def write_manifests(files: DataFrame, facts: DataFrame, out_dir: str) -> None:
-    rec = manifest_records(files, facts)
-    rec.write.mode("overwrite").json(f"{out_dir}/manifest.jsonl")
-    manifest_csv_rows(files, facts).write.mode("overwrite").option("header", True).csv(f"{out_dir}/manifest.csv")
+def write_manifests(facts: DataFrame, out_dir: str, copies: DataFrame | None = None) -> None:
+    manifest_records(facts, copies).write.mode("overwrite").json(f"{out_dir}/manifest.jsonl")
+    (manifest_csv_rows(facts, copies).write.mode("overwrite").option("header", True)
+     .csv(f"{out_dir}/manifest.csv"))
 
 
 # ---------------------------------------------------------------- tables

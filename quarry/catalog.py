@@ -17,7 +17,9 @@ from quarry.operators import facts as M
 from quarry.operators import reports as A
 from quarry.operators.match import match_boundary, match_dictionary, match_file_scope, roll_up
 from quarry.plans import sinks as K
-from quarry.plans.scan import META, boundary_scan, dictionary_scan
+from quarry.plans.scan import META, boundary_scan, dictionary_scan, scan_tree
+from quarry.sources import containers as X
+from quarry.sources import packing as P
 from quarry.sources import corpus
 from quarry.sources import files as S
 from quarry.sources.dictionary import KeywordDictionary, TEST_DICTIONARY
@@ -174,6 +176,66 @@ def q_container_rollup(spark, sf):
     return M.container_rollup(f)
 
 
+# ---------------------------------------------------------------- containers
+def _documents(spark, sf):
+    return corpus.table(spark, sf, "documents")
+
+
+def q_archive_members(spark, sf):
+    exp = X.expand(P.pack_archives(_documents(spark, sf)))
+    return exp.members
+
+
+def q_archive_facts(spark, sf):
+    r = scan_tree(P.pack_archives(_documents(spark, sf)), DICT)
+    return _fact_cols(r.facts)
+
+
+def q_archive_files(spark, sf):
+    r = scan_tree(P.pack_archives(_documents(spark, sf)), DICT)
+    return r.files.select("display_path", "file_type", "size", "bytes_read", "matched", "error")
+
+
+def q_scan_errors(spark, sf):
+    r = scan_tree(P.pack_archives(_documents(spark, sf)), DICT)
+    return M.scan_errors(r.files).select("source_path", "internal_path", "error")
+
+
+def q_archive_rollup(spark, sf):
+    r = scan_tree(P.pack_archives(_documents(spark, sf)), DICT)
+    return M.container_rollup(r.facts)
+
+
+def _unit_cols(exp):
+    return exp.units.select("source_path", "internal_path", "unit_idx", "unit_kind", "part_name",
+                            F.length("text").alias("chars"))
+
+
+def q_ooxml_units(spark, sf):
+    return _unit_cols(X.expand(P.pack_office(_documents(spark, sf), "docx")))
+
+
+def q_odf_units(spark, sf):
+    return _unit_cols(X.expand(P.pack_office(_documents(spark, sf), "odt")))
+
+
+def q_eml_units(spark, sf):
+    return _unit_cols(X.expand(P.pack_office(_documents(spark, sf), "eml")))
+
+
+def q_xml_units(spark, sf):
+    return X.xml_units(P.pack_xml(_documents(spark, sf))).select(
+        "source_path", F.length("text").alias("chars"))
+
+
+def q_container_facts(spark, sf):
+    """Facts of every container kind at once: docx, odt, eml, gz."""
+    d = _documents(spark, sf)
+    blobs = (P.pack_office(d, "docx").unionByName(P.pack_office(d, "odt"))
+             .unionByName(P.pack_office(d, "eml")).unionByName(P.pack_gz(d)))
+    return _fact_cols(scan_tree(blobs, DICT).facts)
+
+
 # ---------------------------------------------------------------- reports
 def q_files_per_group(spark, sf):
     return A.files_per_group(_docs_bnd(spark, sf).facts)
@@ -330,6 +392,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "files_unmatched": q_files_unmatched,
     "bytes_read": q_bytes_read,
     "container_rollup": q_container_rollup,
+    # containers
+    "archive_members": q_archive_members,
+    "archive_facts": q_archive_facts,
+    "archive_files": q_archive_files,
+    "archive_rollup": q_archive_rollup,
+    "scan_errors": q_scan_errors,
+    "ooxml_units": q_ooxml_units,
+    "odf_units": q_odf_units,
+    "eml_units": q_eml_units,
+    "xml_units": q_xml_units,
+    "container_facts": q_container_facts,
     # reports
     "files_per_group": q_files_per_group,
     "files_per_keyword": q_files_per_keyword,

@@ -245,6 +245,24 @@ def _sql() -> dict[str, str]:
         "false AS is_rollup FROM f UNION ALL "
         "SELECT source_path, '' AS internal_path, keyword_group, keyword, CAST(sum(count) AS BIGINT) AS count, "
         "CAST(count(DISTINCT internal_path) AS BIGINT) AS members_hit, true AS is_rollup FROM f GROUP BY 1, 3, 4")
+    # ---------------------------------------------------------- containers
+    arch = """members AS (
+  SELECT CASE WHEN bucket % 2 = 0 THEN 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.zip'
+              ELSE 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.tar.gz' END AS source_path,
+         CASE WHEN bucket % 2 = 0 AND pos >= n // 2 THEN 'inner/nested.zip/' ELSE '' END
+           || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS internal_path, text
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id) - 1 AS pos,
+               count(*) OVER (PARTITION BY source, bucket) AS n
+        FROM (SELECT *, CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents))
+  WHERE NOT (bucket % 2 = 0 AND bucket % 9 = 5)),
+mu AS (SELECT source_path, internal_path, source_path || '::' || internal_path AS display_path, text FROM members)"""
+    q["archive_facts"] = with_(arch, _norm_values(DICT), dict_facts("mu", "display_path")) + \
+        "SELECT display_path, keyword_group, keyword, count FROM f"
+    q["archive_rollup"] = with_(arch, _norm_values(DICT), dict_facts("mu", "source_path, internal_path")) + (
+        "SELECT source_path, internal_path, keyword_group, keyword, count, CAST(1 AS BIGINT) AS members_hit, "
+        "false AS is_rollup FROM f UNION ALL "
+        "SELECT source_path, '' AS internal_path, keyword_group, keyword, CAST(sum(count) AS BIGINT) AS count, "
+        "CAST(count(DISTINCT internal_path) AS BIGINT) AS members_hit, true AS is_rollup FROM f GROUP BY 1, 3, 4")
     # ---------------------------------------------------------- reports
     q["files_per_group"] = DOCS_BND + "SELECT keyword_group, count(DISTINCT display_path) AS files FROM f GROUP BY 1"
     q["files_per_keyword"] = DOCS_BND + \

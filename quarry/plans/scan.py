@@ -83,3 +83,34 @@ def dictionary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> Sc
 
 def boundary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> ScanResult:
     return scan(units, dictionary, mode="boundary", **kw)
+
+
+def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictionary",
+              run_id: int = 1, case_sensitive: bool = False, method: str = "automaton",
+              max_depth: int = 3, max_member_bytes: int | None = None) -> ScanResult:
+    """A scan of files that may be containers: expand (S13/S8/S11/S12), match units, roll up per file.
+
+    ``files`` is ``(source_path, content[, mtime])`` — a decoded listing or
+    any table of blobs.  Every file and member gets a ``files`` row (with
+    ``error`` when it could not be read); facts are per member, unit scope.
+    """
+    from quarry.sources.containers import DEFAULT_MAX_MEMBER_BYTES, container_units, expand
+    exp = expand(files, max_depth=max_depth,
+                 max_member_bytes=max_member_bytes or DEFAULT_MAX_MEMBER_BYTES)
+    units = container_units(exp)
+    unit_facts = match_units(units, dictionary, keys=META + ["unit_idx"], mode=mode,
+                             case_sensitive=case_sensitive, method=method)
+    facts = roll_up(unit_facts, META, mode).persist(StorageLevel.MEMORY_AND_DISK)
+    read = units.groupBy(*FILE_KEYS).agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes_read"))
+    base = exp.files
+    if "mtime" not in base.columns:
+        base = base.withColumn("mtime", F.lit(None).cast("timestamp"))
+    base = (base.join(read, FILE_KEYS, "left")
+            .select(*META, "mtime", F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes_read"), "error"))
+    flagged = files_with_flag(base, facts, FILE_KEYS)
+    files_out = flagged.select(
+        F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime", "bytes_read",
+        F.col("matched"), F.lit("").alias("copied_to"), "error")
+    facts_out = facts.select(F.lit(run_id).cast("bigint").alias("run_id"), *META,
+                             "keyword_group", "keyword", "count")
+    return ScanResult(files_out, facts_out)

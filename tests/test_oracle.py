@@ -20,7 +20,7 @@ def test_every_query_registered_with_oracle_or_marked():
     assert not (set(ORACLE) - set(QUERIES))
     assert rows_only <= {"global_statistics", "run_summary", "ooxml_units", "xml_units", "odf_units",
                          "eml_units", "archive_members", "scan_errors", "stream_scan", "stream_group_totals",
-                         "container_units"}
+                         "container_units", "archive_members", "archive_files", "container_facts"}
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))

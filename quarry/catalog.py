@@ -364,6 +364,41 @@ def q_next_scan_state(spark, sf):
     return nxt.select("path", F.unix_micros("mtime").alias("mtime_us"), "size")
 
 
+# ---------------------------------------------------------------- streaming
+def _scratch(spark, name):
+    import uuid
+    from quarry.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _docs_from_stream(batch):
+    """The ``docs`` view over a micro-batch of ``documents`` rows."""
+    ext = corpus.doc_extension(F.col("doc_id"))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), ext))
+    return batch.select(path.alias("display_path"), "text")
+
+
+def q_stream_scan(spark, sf):
+    base = _scratch(spark, "stream-scan")
+    q = I.stream_facts(I.table_stream(spark, sf, "documents"),
+                       lambda b: match_dictionary(_docs_from_stream(b), DICT, keys=["display_path"]),
+                       f"{base}/facts", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/facts").drop("epoch")
+
+
+def q_stream_group_totals(spark, sf):
+    base = _scratch(spark, "stream-totals")
+    facts = match_dictionary(_docs_from_stream(I.table_stream(spark, sf, "documents")), DICT,
+                             keys=["display_path"], spread=False, split_chars=None)
+    name = "quarry_group_totals_" + base.rsplit("-", 1)[-1]
+    q = (I.stream_group_totals(facts).writeStream.outputMode("complete").format("memory")
+         .queryName(name).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources
     "file_inventory": q_file_inventory,
@@ -427,7 +462,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_keys": q_file_keys,
     "group_copy_plan": q_group_copy_plan,
     "evidence_plan": q_evidence_plan,
-    # incremental
+    # incremental and streaming
+    "stream_scan": q_stream_scan,
+    "stream_group_totals": q_stream_group_totals,
     "changed_files": q_changed_files,
     "next_scan_state": q_next_scan_state,
 }

@@ -72,11 +72,67 @@ def stream_scan(spark: SparkSession, source_dir: str, handle_batch: Callable[[Da
     return w.start()
 
 
-def stream_group_totals(facts_stream: DataFrame) -> DataFrame:
-    """Running files per group over a stream of facts.
+def group_presence(facts: DataFrame, file_col: str = "display_path") -> DataFrame:
+    """One row per (file, group) from match facts, without a shuffle or state.
 
-    Exact distinct counting is not supported in streaming aggregation, so
-    (group, file) pairs are de-duplicated statefully first, then counted.
+    The match job writes all facts of one text contiguously, so equal
+    (file, group) rows are adjacent in a partition; a per-partition pass
+    with carry-over across Arrow batches drops the repeats exactly.
     """
-    pairs = facts_stream.select("keyword_group", "display_path").dropDuplicates(["keyword_group", "display_path"])
-    return pairs.groupBy("keyword_group").agg(F.count(F.lit(1)).alias("files"))
+    import pandas as pd
+
+    def run(batches):
+        last_file, seen = None, set()
+        for pdf in batches:
+            keep = []
+            for f, g in zip(pdf[file_col], pdf["keyword_group"]):
+                if f != last_file:
+                    last_file, seen = f, set()
+                keep.append(g not in seen)
+                seen.add(g)
+            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+
+    slim = facts.select(file_col, "keyword_group")
+    return slim.mapInPandas(run, slim.schema)
+
+
+def stream_group_totals(facts_stream: DataFrame, file_col: str = "display_path") -> DataFrame:
+    """Running count of files per group over a stream of match facts.
+
+    Each arriving file counts once per group it matches (as the first
+    program's counters do).  The only state is one row per group.
+    """
+    return (group_presence(facts_stream, file_col)
+            .groupBy("keyword_group").agg(F.count(F.lit(1)).alias("files")))
+
+
+def write_epoch(df: DataFrame, out_dir: str, epoch_id: int) -> None:
+    """Idempotent micro-batch sink: a retried epoch overwrites its own partition only."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    (df.withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
+     .write.mode("overwrite").partitionBy("epoch").parquet(out_dir))
+
+
+def stream_facts(stream: DataFrame, match: Callable[[DataFrame], DataFrame], out_dir: str,
+                 checkpoint: str, *, available_now: bool = True):
+    """Every micro-batch of ``stream`` matched by ``match`` and written to ``out_dir``.
+
+    Returns the started query; with ``available_now`` it processes what is
+    there and stops, so a second run over the same input adds nothing.
+    """
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        write_epoch(match(batch), out_dir, epoch_id)
+
+    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def table_stream(spark: SparkSession, folder: str, table: str, max_files_per_trigger: int = 1):
+    """A file stream over ``{folder}/{table}.parquet`` (schema taken from the table)."""
+    schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
+    return (spark.readStream.schema(schema).format("parquet")
+            .option("pathGlobFilter", f"{table}.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger)
+            .load(folder))

@@ -42,23 +42,34 @@ ODF_EXTENSIONS = [".odt", ".ods", ".odp"]
 MAX_FILE_BYTES = 1 << 30
 
 
+def _binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    r = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+         .option("ignoreMissingFiles", "true"))   # a file removed after listing is skipped
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.load(root)
+
+
+def _scan_filter(root: str, exclude: str | None):
+    """Predicate on the ``binaryFile`` columns; pushed into the scan, so failing files are never opened."""
+    cond = F.lit(True)
+    if exclude:
+        cond = cond & ~F.col("path").startswith(_root_prefix(root) + "/" + exclude.strip("/") + "/")
+    return cond
+
+
 def list_files(spark: SparkSession, root: str, *, exclude: str | None = None,
                glob: str | None = None) -> DataFrame:
     """Recursive listing ``(path, rel_path, file_type, size, mtime)`` — no content read.
 
-    ``exclude`` is a sub-folder (the output folder) left out before any
-    content is fetched.  Spark skips names starting with '_' or '.', unlike
-    a plain directory walk; pass such files explicitly if they matter.
+    ``exclude`` is a sub-folder (the output folder) left out of the scan.
+    Spark skips names starting with '_' or '.', unlike a plain directory
+    walk; pass such files explicitly if they matter.
     """
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.load(root).select("path", F.col("length").alias("size"),
-                             F.col("modificationTime").alias("mtime"))
+    df = (_binary(spark, root, glob).where(_scan_filter(root, exclude))
+          .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
     root_uri = _root_prefix(root)
-    df = df.withColumn("rel_path", F.regexp_replace("path", "^" + _re_escape(root_uri) + "/?", ""))
-    if exclude:
-        df = exclude_subtree(df, exclude.strip("/"), path_col="rel_path")
+    df = df.withColumn("rel_path", F.expr(f"substring(path, {len(root_uri) + 2})"))
     return df.withColumn("file_type", file_suffix(F.col("rel_path")))
 
 
@@ -69,21 +80,22 @@ def _root_prefix(root: str) -> str:
     return "file:" + os.path.abspath(root).rstrip("/")
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
-def read_contents(spark: SparkSession, root: str, listing: DataFrame,
-                  max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Content of the listed files only: a second scan restricted by a semi join.
+def read_contents(spark: SparkSession, root: str, listing: DataFrame, *, exclude: str | None = None,
+                  max_bytes: int = MAX_FILE_BYTES, glob: str | None = None) -> DataFrame:
+    """Content of the listed files only.
 
-    Files over ``max_bytes`` keep an ``error`` instead of content (one row
-    must fit in a task's memory).
+    The content scan carries pushed predicates — size cap, output folder,
+    and ``modificationTime >=`` the oldest listed file (one scalar) — so
+    files that cannot be in ``listing`` (e.g. unchanged ones in an
+    incremental run) are not opened; a semi join on ``path`` keeps exactly
+    the listed ones.  Files over ``max_bytes`` keep an ``error`` instead of
+    content (one row must fit in a task's memory).
     """
-    full = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .where(F.col("length") <= max_bytes)
-            .select("path", "content"))
+    oldest = listing.agg(F.min("mtime")).first()[0]
+    cond = _scan_filter(root, exclude) & (F.col("length") <= max_bytes)
+    if oldest is not None:
+        cond = cond & (F.col("modificationTime") >= F.lit(oldest))
+    full = _binary(spark, root, glob).where(cond).select("path", "content")
     wanted = listing.select("path", "rel_path", "file_type", "size", "mtime")
     ok = wanted.join(full, "path", "inner").withColumn("error", F.lit(""))
     big = (wanted.where(F.col("size") > max_bytes)

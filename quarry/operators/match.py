@@ -67,7 +67,7 @@ def _fact_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType(fields + FACT_FIELDS)
 
 
-def _plan_spec(dictionary: KeywordDictionary, mode: str, case_sensitive: bool):
+def plan_spec(dictionary: KeywordDictionary, mode: str, case_sensitive: bool):
     """Driver-side, config-sized match spec shipped to tasks in the closure."""
     if mode == "dictionary":
         entries = dictionary.normalised(case_sensitive)
@@ -96,6 +96,53 @@ def _normalise_text(mode: str, case_sensitive: bool, newline_fix: bool):
     return (lambda s: s) if case_sensitive else str.casefold
 
 
+def hit_counter(spec, mode: str, case_sensitive: bool, newline_fix: bool = False):
+    """``count(body, pre='', post='', cross=False) -> {word index: hits}`` for use inside tasks.
+
+    Dictionary mode counts every overlapping occurrence; boundary mode
+    gives 1 for a word with at least one occurrence bordered like Python's
+    ``\\b``.  Only hits starting in ``body`` count (``pre``/``post`` are
+    context); with ``cross`` only those reaching into ``post``.
+    """
+    key, words, _ = spec
+    norm = _normalise_text(mode, case_sensitive, newline_fix)
+    boundary = mode == "boundary"
+    first_word = [is_word_char(w[0]) for w in words]
+    last_word = [is_word_char(w[-1]) for w in words]
+    state = {}
+
+    def count(body: str, pre: str = "", post: str = "", cross: bool = False) -> dict:
+        auto = state.get("a")
+        if auto is None:
+            auto = state["a"] = _automaton(key, words)
+        if pre or post:
+            p = norm(pre)
+            nb = norm(body)
+            t = p + nb + norm(post)
+            lo, hi = len(p), len(p) + len(nb)
+        else:
+            t = norm(body)
+            lo, hi = 0, len(t)
+        edge = hi if cross else 0
+        n = len(t)
+        found: dict = {}
+        for end, (w, ln) in auto.iter(t):
+            start = end - ln + 1
+            if start < lo or start >= hi or end + 1 <= edge:
+                continue
+            if boundary:
+                before = t[start - 1] if start > 0 else " "
+                after = t[end + 1] if end + 1 < n else " "
+                if is_word_char(before) == first_word[w] or is_word_char(after) == last_word[w]:
+                    continue
+                found[w] = 1
+            else:
+                found[w] = found.get(w, 0) + 1
+        return found
+
+    return count
+
+
 def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bool,
                spec, newline_fix: bool, windowed: bool):
     """The per-partition function of the automaton form.
@@ -104,15 +151,11 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
     hits that start inside the body count, and with ``_cross`` only those
     that also reach into ``_post`` (hits spanning a unit seam).
     """
-    key, words, emit = spec
-    norm = _normalise_text(mode, case_sensitive, newline_fix)
-    boundary = mode == "boundary"
-    first_word = [is_word_char(w[0]) for w in words]
-    last_word = [is_word_char(w[-1]) for w in words]
+    emit = spec[2]
+    count = hit_counter(spec, mode, case_sensitive, newline_fix)
     keys = list(keys)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        auto = _automaton(key, words)
         for pdf in batches:
             rows, groups, kws, counts = [], [], [], []
             texts = pdf[text_col].tolist()
@@ -124,28 +167,9 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
                 if not body:
                     continue
                 if windowed:
-                    pre = norm(pres[i] or "")
-                    nb = norm(body)
-                    t = pre + nb + norm(posts[i] or "")
-                    lo, hi = len(pre), len(pre) + len(nb)
-                    cross = hi if crosses[i] else 0
+                    found = count(body, pres[i] or "", posts[i] or "", bool(crosses[i]))
                 else:
-                    t = norm(body)
-                    lo, hi, cross = 0, len(t), 0
-                n = len(t)
-                found: dict = {}
-                for end, (w, ln) in auto.iter(t):
-                    start = end - ln + 1
-                    if start < lo or start >= hi or end + 1 <= cross:
-                        continue
-                    if boundary:
-                        before = t[start - 1] if start > 0 else " "
-                        after = t[end + 1] if end + 1 < n else " "
-                        if is_word_char(before) == first_word[w] or is_word_char(after) == last_word[w]:
-                            continue
-                        found[w] = 1
-                    else:
-                        found[w] = found.get(w, 0) + 1
+                    found = count(body)
                 for w, c in found.items():
                     for g, kw in emit[w]:
                         rows.append(i)
@@ -227,7 +251,7 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
     if method != "automaton":
         raise ValueError(f"unknown method {method!r}")
 
-    spec = _plan_spec(dictionary, mode, case_sensitive)
+    spec = plan_spec(dictionary, mode, case_sensitive)
     schema = _fact_schema(units, keys)
     slim = units.select(*keys, text_col)
     if not split_chars:
@@ -311,7 +335,7 @@ def match_file_scope(units: DataFrame, dictionary: KeywordDictionary, *, file_ke
     row_keys = file_keys + [idx_col]
     inside = match_units(units, dictionary, keys=row_keys, text_col=text_col,
                          mode="dictionary", case_sensitive=case_sensitive, **kw)
-    spec = _plan_spec(dictionary, "dictionary", case_sensitive)
+    spec = plan_spec(dictionary, "dictionary", case_sensitive)
     need = max(len(w) for w in spec[1]) - 1
     if need <= 0:
         return roll_up(inside, file_keys)

@@ -86,31 +86,41 @@ def boundary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> Scan
 
 
 def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictionary",
-              run_id: int = 1, case_sensitive: bool = False, method: str = "automaton",
-              max_depth: int = 3, max_member_bytes: int | None = None) -> ScanResult:
-    """A scan of files that may be containers: expand (S13/S8/S11/S12), match units, roll up per file.
-
-    ``files`` is ``(source_path, content[, mtime])`` — a decoded listing or
-    any table of blobs.  Every file and member gets a ``files`` row (with
-    ``error`` when it could not be read); facts are per member, unit scope.
+              run_id: int = 1, case_sensitive: bool = False, max_depth: int = 3,
+              max_member_bytes: int | None = None) -> ScanResult:
+    """A scan of files that may be containers (S13/S8/S11/S12 + M1/M2 fused).
+
+    ``files`` is ``(source_path, content[, mtime])`` — contents of a listing
+    or any table of blobs.  Each round opens, decodes and matches in one
+    Python pass per file, so contents are read once and text is never
+    materialised; rounds follow nested members up to ``max_depth``.  Every
+    file and member gets a ``files`` row (``error`` when unreadable); facts
+    are per file or member, unit scope.
     """
-    from quarry.sources.containers import DEFAULT_MAX_MEMBER_BYTES, container_units, expand
-    exp = expand(files, max_depth=max_depth,
-                 max_member_bytes=max_member_bytes or DEFAULT_MAX_MEMBER_BYTES)
-    units = container_units(exp)
-    unit_facts = match_units(units, dictionary, keys=META + ["unit_idx"], mode=mode,
-                             case_sensitive=case_sensitive, method=method)
-    facts = roll_up(unit_facts, META, mode).persist(StorageLevel.MEMORY_AND_DISK)
-    read = units.groupBy(*FILE_KEYS).agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes_read"))
-    base = exp.files
-    if "mtime" not in base.columns:
-        base = base.withColumn("mtime", F.lit(None).cast("timestamp"))
-    base = (base.join(read, FILE_KEYS, "left")
-            .select(*META, "mtime", F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes_read"), "error"))
-    flagged = files_with_flag(base, facts, FILE_KEYS)
-    files_out = flagged.select(
-        F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime", "bytes_read",
-        F.col("matched"), F.lit("").alias("copied_to"), "error")
-    facts_out = facts.select(F.lit(run_id).cast("bigint").alias("run_id"), *META,
-                             "keyword_group", "keyword", "count")
-    return ScanResult(files_out, facts_out)
+    from quarry.functions.text import file_suffix
+    from quarry.operators.match import plan_spec
+    from quarry.sources.containers import DEFAULT_MAX_MEMBER_BYTES, scan_rounds
+    spec = plan_spec(dictionary, mode, case_sensitive)
+    rows = scan_rounds(files, spec, mode=mode, case_sensitive=case_sensitive, max_depth=max_depth,
+                       max_member_bytes=max_member_bytes or DEFAULT_MAX_MEMBER_BYTES)
+    name = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(F.col("internal_path"))
+    disp = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(
+        F.concat_ws("::", "source_path", "internal_path"))
+    rows = rows.withColumn("display_path", disp).withColumn("file_type", file_suffix(name))
+    file_rows = rows.where(F.col("row_kind") == "file")
+    sizes = file_rows.select(*FILE_KEYS, "size")
+    facts = (rows.where(F.col("row_kind") == "fact")
+             .select(*FILE_KEYS, "display_path", "file_type", "keyword_group", "keyword", "count")
+             .join(sizes, FILE_KEYS, "inner")
+             .select(F.lit(run_id).cast("bigint").alias("run_id"), *META, "keyword_group", "keyword", "count"))
+    matched = facts.select(*FILE_KEYS).distinct().withColumn("matched", F.lit(True))
+    files_out = file_rows.join(matched, FILE_KEYS, "left")
+    if "mtime" in files.columns:  # members carry the mtime of their outermost container
+        files_out = files_out.join(files.select("source_path", "mtime"), "source_path", "left")
+    else:
+        files_out = files_out.withColumn("mtime", F.lit(None).cast("timestamp"))
+    files_out = files_out.select(
+        F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime",
+        F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes_read"),
+        F.coalesce("matched", F.lit(False)).alias("matched"), F.lit("").alias("copied_to"), "error")
+    return ScanResult(files_out, facts)

@@ -72,6 +72,9 @@ def main() -> None:
         "match_file_scope": lambda: C.q_match_file_scope(spark, sf),
         "container_rollup": lambda: C.q_container_rollup(spark, sf),
         "changed_files": lambda: C.q_changed_files(spark, sf),
+        "archive_facts": lambda: C.q_archive_facts(spark, sf),
+        "container_facts": lambda: C.q_container_facts(spark, sf),
+        "global_statistics": lambda: C.q_global_statistics(spark, sf),
     }
     times = {}
     for name, build in plans.items():

@@ -13,7 +13,6 @@ import gzip
 import io
 import tarfile
 import zipfile
-from email.message import EmailMessage
 from typing import Iterable
 from xml.sax.saxutils import escape
 
@@ -67,9 +66,27 @@ def _pack_group(kind: str):
     return pack
 
 
+def _parts(df: DataFrame) -> int:
+    s = df.sparkSession
+    return max(int(s.conf.get("spark.sql.shuffle.partitions")), s.sparkContext.defaultParallelism)
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table stored as too few files for the cores, spread by key before Python work."""
+    from quarry.operators.match import spread_target
+    n = spread_target(df)
+    return df.repartition(max(n, _parts(df)), *keys) if n else df
+
+
 def pack_archives(documents: DataFrame, per_archive: int = 8) -> DataFrame:
-    """Documents packed ``per_archive`` at a time: even buckets as zip (half in a nested zip), odd as tar.gz."""
+    """Documents packed ``per_archive`` at a time: even buckets as zip (half in a nested zip), odd as tar.gz.
+
+    Groups are bounded (``per_archive`` rows); the explicit repartition on
+    the group key is what ``groupBy`` reuses, and keeps AQE from folding
+    the small, CPU-heavy packing stage into one task.
+    """
     d = documents.withColumn("bucket", F.floor(F.col("doc_id") / per_archive).cast("long"))
+    d = d.repartition(_parts(d), "source", "bucket")
     zips = (d.where(F.pmod("bucket", F.lit(2)) == 0).groupBy("source", "bucket")
             .applyInPandas(_pack_group("zip"), PACKED))
     tars = (d.where(F.pmod("bucket", F.lit(2)) == 1).groupBy("source", "bucket")
@@ -121,29 +138,34 @@ def _odt(row):
 
 
 def _eml(row):
-    m = EmailMessage()
+    from email.mime.application import MIMEApplication
+    from email.mime.multipart import MIMEMultipart
+    from email.mime.text import MIMEText
+    m = MIMEMultipart("mixed")
     m["From"] = f"{row.source}@example.org"
     m["To"] = "archive@example.org"
-    first = row.text.split("\n", 1)[0][:60].replace("\r", " ")
-    m["Subject"] = first
-    m.set_content(row.text)
-    m.add_alternative(f"<html><body><p>{escape(row.text)}</p></body></html>", subtype="html")
-    m.add_attachment(row.text.encode("utf-8"), maintype="application", subtype="octet-stream",
-                     filename=f"{row.doc_id}.txt")
+    m["Subject"] = row.text.split("\n", 1)[0][:60].replace("\r", " ")
+    alt = MIMEMultipart("alternative")
+    alt.attach(MIMEText(row.text, "plain", "utf-8"))
+    alt.attach(MIMEText(f"<html><body><p>{escape(row.text)}</p></body></html>", "html", "utf-8"))
+    m.attach(alt)
+    att = MIMEApplication(row.text.encode("utf-8"), "octet-stream")
+    att.add_header("Content-Disposition", "attachment", filename=f"{row.doc_id}.txt")
+    m.attach(att)
     return f"mail/{row.source}/{row.doc_id}.eml", m.as_bytes()
 
 
 def pack_office(documents: DataFrame, kind: str) -> DataFrame:
     """One container per document row: ``docx``, ``odt`` or ``eml``."""
     fn = {"docx": _docx, "odt": _odt, "eml": _eml}[kind]
-    return documents.select("doc_id", "source", "text").mapInPandas(_map_rows(fn), PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(fn), PACKED)
 
 
 def pack_gz(documents: DataFrame) -> DataFrame:
     """One gzip file per document row."""
     def one(row):
         return f"gz/{row.source}/{row.doc_id}.txt.gz", gzip.compress(row.text.encode("utf-8"))
-    return documents.select("doc_id", "source", "text").mapInPandas(_map_rows(one), PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(one), PACKED)
 
 
 def pack_xml(documents: DataFrame) -> DataFrame:
@@ -152,4 +174,4 @@ def pack_xml(documents: DataFrame) -> DataFrame:
         body = "".join(f"<p>{escape(line)}</p>" for line in row.text.split("\n"))
         xml = f"<?xml version=\"1.0\" encoding=\"UTF-8\"?><doc title=\"{row.source}\">{body}</doc>"
         return f"xml/{row.source}/{row.doc_id}.xml", xml.encode("utf-8")
-    return documents.select("doc_id", "source", "text").mapInPandas(_map_rows(one), PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(one), PACKED)

@@ -258,6 +258,15 @@ def _sql() -> dict[str, str]:
 mu AS (SELECT source_path, internal_path, source_path || '::' || internal_path AS display_path, text FROM members)"""
     q["archive_facts"] = with_(arch, _norm_values(DICT), dict_facts("mu", "display_path")) + \
         "SELECT display_path, keyword_group, keyword, count FROM f"
+    bad = """grp AS (SELECT DISTINCT source, CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents),
+errs AS (
+  SELECT 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.zip' AS source_path, '' AS internal_path,
+         'ValueError: unsupported archive format: .zip' AS error
+  FROM grp WHERE bucket % 2 = 0 AND bucket % 9 = 5
+  UNION ALL
+  SELECT 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.zip', '../escape.txt', 'unsafe member path'
+  FROM grp WHERE bucket % 2 = 0 AND bucket % 4 = 0 AND bucket % 9 <> 5)"""
+    q["scan_errors"] = with_(bad) + "SELECT source_path, internal_path, error FROM errs"
     q["archive_rollup"] = with_(arch, _norm_values(DICT), dict_facts("mu", "source_path, internal_path")) + (
         "SELECT source_path, internal_path, keyword_group, keyword, count, CAST(1 AS BIGINT) AS members_hit, "
         "false AS is_rollup FROM f UNION ALL "
@@ -337,6 +346,10 @@ k AS (SELECT rk.*, off.o + rk.rr AS k, regexp_extract(rk.name, '[^/](\\.[^./]+)$
         f"SELECT display_path, 'evidence/' || {_sanitize_path('source_path')} || '/container_' || "
         f"left(sha256(display_path), 12) || {_suffix('internal_path')} AS dest FROM convs "
         "WHERE display_path IN (SELECT display_path FROM fc)")
+    # ---------------------------------------------------------- streaming
+    q["stream_scan"] = q["match_dictionary"]
+    q["stream_group_totals"] = DOCS_DICT + \
+        "SELECT keyword_group, count(DISTINCT display_path) AS files FROM f GROUP BY 1"
     # ---------------------------------------------------------- incremental
     q["changed_files"] = with_(SNAPS) + "SELECT path, mtime_us, size FROM changed"
     q["next_scan_state"] = with_(SNAPS) + (

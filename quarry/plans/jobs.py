@@ -43,6 +43,24 @@ class JobResult:
     run_id: int
     result: ScanResult
     output: str
+    metrics: dict | None = None
+
+
+def observed(files: DataFrame, name: str = "scan"):
+    """A14 in batch: the progress counters gathered while the files table is written.
+
+    ``DataFrame.observe`` computes them inside the same job — no extra pass.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    df = files.observe(
+        obs,
+        F.count(F.lit(1)).alias("seen"),
+        F.count_if(F.col("error") == "").alias("scanned"),
+        F.count_if(F.col("matched")).alias("matched"),
+        F.count_if(F.col("error") != "").alias("failed"),
+        F.coalesce(F.sum("bytes_read"), F.lit(0)).alias("bytes_read"))
+    return df, obs
 
 
 def _contents(spark: SparkSession, data_root: str, listing: DataFrame, exclude: str | None) -> DataFrame:
@@ -61,14 +79,23 @@ def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictio
     blobs = _contents(spark, data_root, listing, exclude)
     r = scan_tree(blobs, dictionary, mode="dictionary", run_id=run_id,
                   case_sensitive=case_sensitive, max_depth=max_depth)
+    import time
+    started = time.time()
     copies = None
     if copy_plan:
         copies = K.evidence_plan(r.files.where("matched")).withColumnRenamed("dest", "copied_to")
         copies.write.mode("overwrite").parquet(f"{output}/evidence_plan")
-    K.write_run(r.files, r.facts, output)
+    files_obs, obs = observed(r.files)
+    K.write_run(files_obs, r.facts, output)
+    metrics = dict(obs.get)
+    elapsed = max(time.time() - started, 1e-3)
+    metrics["read_mb"] = metrics["bytes_read"] / (1024 * 1024)
+    metrics["speed_mb_s"] = metrics["read_mb"] / elapsed
+    metrics["matches"] = int(r.facts.groupBy("source_path", "internal_path", "keyword")
+                             .agg(F.max("count").alias("c")).agg(F.sum("c")).first()[0] or 0)
     K.write_manifests(r.facts, output, copies)
     K.write_summary(run_id, r.files, r.facts, output)
-    return JobResult(run_id, r, output)
+    return JobResult(run_id, r, output, metrics)
 
 
 def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDictionary, output: str, *,

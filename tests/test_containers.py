@@ -102,3 +102,17 @@ def test_xml_text_pieces():
     # pre-order walk: an element's tail follows the element itself
     assert X.xml_text(data) == "x\nT1\ny\ntail\nN\n"
     assert X.xml_text(b"<broken>a<b>") == " a "
+
+
+def test_fused_scan_equals_expand_then_match(spark):
+    """The fused per-round job and the modular expand + match path give the same facts."""
+    from quarry.operators.match import match_units, roll_up
+    from quarry.plans.scan import META
+    d = _docs(spark).orderBy("doc_id").limit(60)
+    blobs = (P.pack_archives(d).unionByName(P.pack_office(d, "docx")).unionByName(P.pack_office(d, "eml"))
+             .unionByName(P.pack_office(d, "odt")))
+    fused = scan_tree(blobs, DICT).facts.select("display_path", "keyword_group", "keyword", "count")
+    units = X.container_units(X.expand(blobs))
+    modular = roll_up(match_units(units, DICT, keys=META + ["unit_idx"]), META) \
+        .select("display_path", "keyword_group", "keyword", "count")
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, modular.collect()))

@@ -36,6 +36,8 @@ def test_evidence_scan(spark):
     evidence_scan(spark, data, DICT, out, run_id=2)
     assert spark.read.parquet(f"{out}/files").where("run_id = 2").count() == len(rows)
     assert res.run_id == 1
+    assert res.metrics["seen"] == len(rows) and res.metrics["failed"] == 0
+    assert res.metrics["bytes_read"] == sum(len(r["text"].encode("utf-8")) for r in rows)
 
 
 def test_keyword_report_incremental(spark):

@@ -20,7 +20,10 @@ Two physical forms, same results:
 
 Scale: a text longer than ``split_chars`` is cut into windows that overlap
 by the longest keyword; a hit is counted only in the window where it
-starts, so the split is exact.  Only those long rows are redistributed.
+starts, so the split is exact.  Texts are read once: windows are cut in
+place and summed inside the map job (memory per task is bounded by the
+window); only a coarse input (fewer files than cores) is redistributed,
+by row key, which keeps a row's windows together.
 """
 
 from __future__ import annotations
@@ -149,55 +152,83 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
 
     Windowed rows carry ``_pre``/``_post`` context and a ``_cross`` flag: only
     hits that start inside the body count, and with ``_cross`` only those
-    that also reach into ``_post`` (hits spanning a unit seam).
+    that also reach into ``_post`` (hits spanning a unit seam).  Consecutive
+    windows of the same row (same keys) are summed before they are emitted,
+    also across Arrow batches, so a text cut in place gives one fact per
+    (row, group, keyword) without any re-aggregation.
     """
     emit = spec[2]
     count = hit_counter(spec, mode, case_sensitive, newline_fix)
     keys = list(keys)
+    boundary = mode == "boundary"
+
+    def frame(key_rows, groups, kws, counts):
+        out = pd.DataFrame(key_rows, columns=keys) if keys else pd.DataFrame(index=range(len(groups)))
+        out["keyword_group"] = pd.Series(groups, dtype=object)
+        out["keyword"] = pd.Series(kws, dtype=object)
+        out["count"] = pd.Series(counts, dtype="int64")
+        return out
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        cur_key, cur = None, {}
+        key_rows, groups, kws, counts = [], [], [], []
+
+        def flush():
+            for w, c in cur.items():
+                for g, kw in emit[w]:
+                    key_rows.append(cur_key)
+                    groups.append(g)
+                    kws.append(kw)
+                    counts.append(c)
+
         for pdf in batches:
-            rows, groups, kws, counts = [], [], [], []
             texts = pdf[text_col].tolist()
+            key_vals = list(zip(*[pdf[k].tolist() for k in keys])) if keys else [()] * len(texts)
             if windowed:
                 pres = pdf["_pre"].tolist()
                 posts = pdf["_post"].tolist()
                 crosses = pdf["_cross"].tolist()
             for i, body in enumerate(texts):
+                k = key_vals[i]
+                if k != cur_key:
+                    flush()
+                    cur_key, cur = k, {}
                 if not body:
                     continue
-                if windowed:
-                    found = count(body, pres[i] or "", posts[i] or "", bool(crosses[i]))
-                else:
-                    found = count(body)
+                found = count(body, pres[i] or "", posts[i] or "", bool(crosses[i])) if windowed else count(body)
                 for w, c in found.items():
-                    for g, kw in emit[w]:
-                        rows.append(i)
-                        groups.append(g)
-                        kws.append(kw)
-                        counts.append(c)
-            out = pdf.iloc[rows][keys].reset_index(drop=True) if keys else pd.DataFrame(index=range(len(rows)))
-            out["keyword_group"] = pd.Series(groups, dtype=object)
-            out["keyword"] = pd.Series(kws, dtype=object)
-            out["count"] = pd.Series(counts, dtype="int64")
-            yield out
+                    cur[w] = max(cur.get(w, 0), c) if boundary else cur.get(w, 0) + c
+            # emit what is complete; the current row may continue in the next batch
+            if groups:
+                yield frame(key_rows, groups, kws, counts)
+                key_rows, groups, kws, counts = [], [], [], []
+        flush()
+        if groups:
+            yield frame(key_rows, groups, kws, counts)
 
     return run
 
 
 def _windows(df: DataFrame, text_col: str, keys: Sequence[str], size: int,
              pre: int, post: int) -> DataFrame:
-    """Cut each text into ``size``-char bodies with ``pre``/``post`` context."""
+    """Cut each text into ``size``-char bodies with ``pre``/``post`` context, in place.
+
+    A text of at most ``size`` characters stays one window (no copy); the
+    windows of one text are consecutive rows of the same partition.
+    """
     n = F.length(text_col)
-    chunks = F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
-    w = df.select(*keys, text_col, F.explode(chunks).alias("_chunk"))
+    last = F.greatest(F.floor((n - 1) / size).cast("int"), F.lit(0))
+    w = df.select(*keys, text_col, F.explode(F.sequence(F.lit(0), last)).alias("_chunk"),
+                  (n > size).alias("_long"))
     s = F.col("_chunk") * size  # 0-based body start
     pre_start = F.greatest(s - pre, F.lit(0))
+    long = F.col("_long")
     return w.select(
         *keys, "_chunk",
-        F.substring(text_col, pre_start + 1, (s - pre_start).cast("int")).alias("_pre"),
-        F.substring(text_col, s + 1, size).alias(text_col),
-        F.substring(text_col, s + size + 1, post).alias("_post"),
+        F.when(long, F.substring(text_col, pre_start + 1, (s - pre_start).cast("int"))).otherwise(F.lit(""))
+        .alias("_pre"),
+        F.when(long, F.substring(text_col, s + 1, size)).otherwise(F.col(text_col)).alias(text_col),
+        F.when(long, F.substring(text_col, s + size + 1, post)).otherwise(F.lit("")).alias("_post"),
         F.lit(False).alias("_cross"),
     )
 
@@ -240,8 +271,6 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
     """
     keys = list(keys)
     n_spread = spread_target(units) if spread is True else int(spread or 0)
-    if n_spread:
-        units = units.select(*keys, text_col).repartition(n_spread, *keys)
     newline_fix = mode == "boundary" and any(
         ("\r" in low) for _, _, low in dictionary.boundary_entries())
     if newline_fix:
@@ -255,21 +284,23 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
     schema = _fact_schema(units, keys)
     slim = units.select(*keys, text_col)
     if not split_chars:
+        if n_spread:
+            slim = slim.repartition(n_spread, *keys)
         return slim.mapInPandas(
             _count_job(keys, text_col, mode, case_sensitive, spec, newline_fix, False), schema)
-
+    # one scan: every text flows through the same windows; only rows longer
+    # than split_chars are actually cut (exact: a hit counts in its start window)
     longest = max(len(w) for w in spec[1])
-    is_long = F.length(text_col) > split_chars
-    short = slim.where(~is_long | F.col(text_col).isNull()).mapInPandas(
-        _count_job(keys, text_col, mode, case_sensitive, spec, newline_fix, False), schema)
-    parts = split_partitions or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    win = _windows(slim.where(is_long), text_col, keys, split_chars,
+    win = _windows(slim, text_col, keys, split_chars,
                    pre=1 if mode == "boundary" else 0,
                    post=longest if mode == "boundary" else longest - 1)
-    win = win.repartition(parts, *keys, "_chunk")
-    split = win.mapInPandas(
+    if n_spread:
+        # coarse input: spread rows by key; the windows of one text come from
+        # one map task and stay consecutive in one reducer, so they are still
+        # summed inside the map job below
+        win = win.repartition(n_spread, *keys)
+    return win.mapInPandas(
         _count_job(keys, text_col, mode, case_sensitive, spec, newline_fix, True), schema)
-    return short.unionByName(_reduce_facts(split, keys, mode))
 
 
 # ---------------------------------------------------------------- native form

@@ -142,10 +142,24 @@ def test_split_windows_are_exact(spark):
     keys = ["display_path"]
     for mode in ["dictionary", "boundary"]:
         whole = match_units(docs, DICT, keys=keys, mode=mode, split_chars=None)
-        cut = match_units(docs, DICT, keys=keys, mode=mode, split_chars=257)
         a = sorted(tuple(r) for r in whole.collect())
-        b = sorted(tuple(r) for r in cut.collect())
-        assert a == b, mode
+        # windows spread over tasks and summed back, and windows summed inside the map job
+        for spread in [True, False]:
+            cut = match_units(docs, DICT, keys=keys, mode=mode, split_chars=257, spread=spread)
+            b = sorted(tuple(r) for r in cut.collect())
+            assert a == b, (mode, spread)
+
+
+def test_windows_accumulate_across_arrow_batches(spark):
+    """Windows of one text that straddle Arrow batch borders are still summed to one fact."""
+    d = KeywordDictionary({"G": ["ab"]})
+    df = _texts(spark, ["ab" * 500, "xab" * 300, ""]).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = _counts(match_dictionary(df, d, keys=["id"], split_chars=10, spread=False))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    assert got == {(0, "ab"): 500, (1, "ab"): 300}
 
 
 def test_random_against_python(spark):

@@ -276,6 +276,8 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
     if newline_fix:
         units = units.withColumn(text_col, F.regexp_replace(text_col, "\r\n?", "\n"))
     if method == "native":
+        if n_spread:
+            units = units.select(*keys, text_col).repartition(n_spread, *keys)
         return _native(units, dictionary, keys, text_col, mode, case_sensitive)
     if method != "automaton":
         raise ValueError(f"unknown method {method!r}")

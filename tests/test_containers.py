@@ -116,3 +116,22 @@ def test_fused_scan_equals_expand_then_match(spark):
     modular = roll_up(match_units(units, DICT, keys=META + ["unit_idx"]), META) \
         .select("display_path", "keyword_group", "keyword", "count")
     assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, modular.collect()))
+
+
+def test_first_program_flavor(spark):
+    """v1 extraction: XML and Word paragraphs give the document text; e-mail bodies contain it."""
+    from quarry.operators.match import match_boundary
+    d = _docs(spark).where(~F.col("text").rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\r]")).orderBy("doc_id").limit(40)
+    base = match_boundary(d.select(F.col("doc_id").cast("string").alias("id"), "text"), DICT, keys=["id"])
+    exp = sorted((r["id"], r["keyword_group"], r["keyword"]) for r in base.collect())
+    for kind, pack in [("xml", P.pack_xml(d)), ("docx", P.pack_office(d, "docx")), ("odt", P.pack_office(d, "odt"))]:
+        r = scan_tree(pack, DICT, mode="boundary", flavor="v1", max_depth=0)
+        ids = F.regexp_extract("source_path", r"(\d+)\.\w+$", 1)
+        got = sorted(tuple(x) for x in r.facts.select(ids.alias("id"), "keyword_group", "keyword").collect())
+        assert got == exp, kind
+        assert r.files.where("error <> ''").count() == 0
+    eml = scan_tree(P.pack_office(d, "eml"), DICT, mode="boundary", flavor="v1", max_depth=0)
+    ids = F.regexp_extract("source_path", r"(\d+)\.eml$", 1)
+    got = {tuple(x) for x in eml.facts.select(ids.alias("id"), "keyword_group", "keyword").collect()}
+    assert set(exp) <= got
+    assert X.xml_text_nested(b"<r>a<b>x</b>t<c/></r>") == "a\nx\nt\n"

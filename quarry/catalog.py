@@ -352,7 +352,7 @@ def q_evidence_plan(spark, sf):
 def q_changed_files(spark, sf):
     old, new = corpus.snapshots(spark, sf)
     ch = I.changed_files(new, I.state_from_listing(old, DICT.fingerprint()), DICT.fingerprint())
-    return ch.select("path", F.unix_micros("mtime").alias("mtime_us"), "size")
+    return ch.select("path", corpus.ntz_micros(F.col("mtime")).alias("mtime_us"), "size")
 
 
 def q_next_scan_state(spark, sf):
@@ -361,7 +361,7 @@ def q_next_scan_state(spark, sf):
     state = I.state_from_listing(old, fp)
     ch = I.changed_files(new, state, fp)
     nxt = I.next_state(state, ch, fp)
-    return nxt.select("path", F.unix_micros("mtime").alias("mtime_us"), "size")
+    return nxt.select("path", corpus.ntz_micros(F.col("mtime")).alias("mtime_us"), "size")
 
 
 # ---------------------------------------------------------------- streaming

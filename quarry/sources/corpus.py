@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import strip_html
 
-EPOCH = "2024-01-01 00:00:00"
-
 # Extension given to documents by doc_id % 5.
 DOC_EXTENSIONS = [".txt", ".csv", ".MD", "", ".bin"]
 
@@ -24,7 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _minutes_after_epoch(n: Column) -> Column:
-    return F.timestamp_add("MINUTE", n, F.to_timestamp(F.lit(EPOCH)))
+    # an absolute instant (UTC), whatever the session time zone
+    start = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
+    return F.timestamp_add("MINUTE", n, start)
+
+
+def ntz_micros(col: Column) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ value, independent of the session time zone."""
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", origin, col)
 
 
 def doc_extension(doc_id: Column) -> Column:
@@ -111,10 +117,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     ``old`` covers events before the median timestamp, ``new`` all events.
     """
-    # ts is TIMESTAMP_NTZ; read as UTC instants
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    # ts is TIMESTAMP_NTZ; compared as microseconds since 1970 (no time zone involved)
+    e = table(spark, sf_dir, "events").select("user_id", "ts", ntz_micros(F.col("ts")).alias("ts_us"))
     # scalar subquery: one value, no join
-    median = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(ts))")).scalar()
+    median = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ts_us)")).scalar()
 
     def listing(df: DataFrame) -> DataFrame:
         return (df.groupBy("user_id")
@@ -122,5 +128,5 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                 .select(F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit(".log")).alias("path"),
                         "mtime", F.col("size").cast("bigint").alias("size")))
 
-    old = e.where(F.unix_micros("ts") < median)
+    old = e.where(F.col("ts_us") < median)
     return listing(old), listing(e)

@@ -339,7 +339,7 @@ def q_file_keys(spark, sf):
 def q_group_copy_plan(spark, sf):
     c = corpus.convs(spark, sf)
     f = match_boundary(c, DICT, keys=["display_path", "internal_path"])
-    return K.group_copy_plan(f, path_col="display_path", name_col="internal_path")
+    return K.group_copy_plan(f, path_col="display_path", name_col="internal_path", buckets=16)
 
 
 def q_evidence_plan(spark, sf):

@@ -100,16 +100,19 @@ def _salt(col, buckets: int):
 
 
 def group_copy_plan(facts: DataFrame, path_col: str = "display_path", name_col: str | None = None,
-                    buckets: int = 16) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """K7: destination ``group/name`` per (group, file), colliding names get ``_1``, ``_2``...
 
     Ranking inside (group, name) is split by a salt bucket so that one hot
     name (say a third of all files) spreads over ``buckets`` tasks; the
-    bucket offsets come from a small per-bucket count table.  Suffixes are
+    bucket offsets come from a small per-bucket count table; ``buckets``
+    defaults to the shuffle width.  Suffixes are
     unique and deterministic: order is (bucket, path).  A suffixed name
     that equals a real name in the same group gets the next free suffix
     after the group's largest (pass two).
     """
+    if buckets is None:  # as wide as the shuffle: a hot name is split as finely as the data
+        buckets = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = F.col(name_col) if name_col else base_name(F.col(path_col))
     rows = facts.select("keyword_group", F.col(path_col).alias("path"), name.alias("name")).distinct()
     rows = rows.withColumn("_b", _salt(F.col("path"), buckets))

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     # Text rows are wide: keep Arrow batches small so a batch of long
     # documents stays well inside the Python worker's memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    # ... and bounded in bytes too (file contents travel to the container job)
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

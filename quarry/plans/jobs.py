@@ -78,7 +78,7 @@ def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictio
     listing = S.list_files(spark, data_root, exclude=exclude)
     blobs = _contents(spark, data_root, listing, exclude)
     r = scan_tree(blobs, dictionary, mode="dictionary", run_id=run_id,
-                  case_sensitive=case_sensitive, max_depth=max_depth)
+                  case_sensitive=case_sensitive, max_depth=max_depth, reliable=True)
     import time
     started = time.time()
     copies = None
@@ -120,7 +120,7 @@ def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDicti
         listing = (I.changed_files(keyed, state, fp)
                    .withColumnRenamed("path", "rel_path").withColumnRenamed("abs_path", "path"))
     blobs = _contents(spark, data_root, listing, exclude)
-    r = scan_tree(blobs, dictionary, mode="boundary", run_id=run_id, max_depth=0, flavor="v1")
+    r = scan_tree(blobs, dictionary, mode="boundary", run_id=run_id, max_depth=0, flavor="v1", reliable=True)
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     r.facts.write.mode("overwrite").partitionBy("run_id").parquet(facts_path)
     (r.files.select("run_id", "source_path", "internal_path", "display_path", "file_type", "size",

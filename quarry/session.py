@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -72,12 +71,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, n_rows: int, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only for a side whose row count is known and bounded.
-
-    ``n_rows`` must be a count the caller knows (e.g. the dictionary size);
-    beyond ``max_rows`` the planner keeps a shuffle join.
-    """
-    return F.broadcast(df) if n_rows <= max_rows else df

@@ -3,7 +3,6 @@
 import json
 import tempfile
 
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from quarry.catalog import DICT

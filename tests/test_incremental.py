@@ -50,3 +50,30 @@ def test_stream_twice_adds_nothing(spark):
     batch = match(spark.read.parquet(f"{SF001}/documents.parquet"))
     assert out.drop("epoch").count() == batch.count()
     assert out.select("epoch").distinct().count() == 1
+
+
+def test_binary_file_stream_scans_only_new_files(spark):
+    from quarry.plans.jobs import evidence_stream
+    rows = spark.read.parquet(f"{SF001}/documents.parquet").orderBy("doc_id").limit(12).collect()
+    src = tempfile.mkdtemp(prefix="quarry-bin-src-")
+    out = tempfile.mkdtemp(prefix="quarry-bin-out-")
+    ckpt = tempfile.mkdtemp(prefix="quarry-bin-ckpt-")
+
+    def put(rs):
+        for r in rs:
+            with open(os.path.join(src, f"{r['doc_id']}.txt"), "w", encoding="utf-8") as f:
+                f.write(r["text"])
+
+    put(rows[:6])
+    evidence_stream(spark, src, DICT, out, checkpoint=ckpt).awaitTermination()
+    first = spark.read.parquet(f"{out}/files").count()
+    put(rows[6:])
+    evidence_stream(spark, src, DICT, out, checkpoint=ckpt).awaitTermination()
+    files = spark.read.parquet(f"{out}/files")
+    assert first == 6 and files.count() == 12
+    assert files.select("source_path").distinct().count() == 12
+    facts = spark.read.parquet(f"{out}/matches")
+    exp = match_dictionary(spark.createDataFrame([(f"{r['doc_id']}.txt", r["text"]) for r in rows],
+                                                 "source_path string, text string"), DICT, keys=["source_path"])
+    assert sorted(map(tuple, facts.select("source_path", "keyword_group", "keyword", "count").collect())) == \
+        sorted(map(tuple, exp.collect()))

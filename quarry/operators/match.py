@@ -47,6 +47,8 @@ FACT_FIELDS = [
 
 # A text longer than this is matched in overlapping windows (1 MiB of characters).
 DEFAULT_SPLIT_CHARS = 1 << 20
+# The native form builds one expression per keyword; beyond this the automaton is used.
+NATIVE_MAX_ENTRIES = 256
 
 _AUTOMATA: dict = {}
 
@@ -260,7 +262,7 @@ def _reduce_facts(facts: DataFrame, keys: Sequence[str], mode: str) -> DataFrame
 def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequence[str],
                 text_col: str = "text", mode: str = "dictionary", case_sensitive: bool = False,
                 method: str = "automaton", split_chars: int | None = DEFAULT_SPLIT_CHARS,
-                split_partitions: int | None = None, spread: bool | int = True) -> DataFrame:
+                spread: bool | int = True) -> DataFrame:
     """Facts ``(keys..., keyword_group, keyword, count)`` for every row of ``units``.
 
     ``keys`` must identify a row when texts may be split (they are summed
@@ -275,6 +277,8 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
         ("\r" in low) for _, _, low in dictionary.boundary_entries())
     if newline_fix:
         units = units.withColumn(text_col, F.regexp_replace(text_col, "\r\n?", "\n"))
+    if method == "native" and len(dictionary.entries) > NATIVE_MAX_ENTRIES:
+        method = "automaton"   # one projection per keyword stops paying off; same results
     if method == "native":
         if n_spread:
             units = units.select(*keys, text_col).repartition(n_spread, *keys)

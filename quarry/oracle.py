@@ -267,6 +267,36 @@ errs AS (
   SELECT 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.zip', '../escape.txt', 'unsafe member path'
   FROM grp WHERE bucket % 2 = 0 AND bucket % 4 = 0 AND bucket % 9 <> 5)"""
     q["scan_errors"] = with_(bad) + "SELECT source_path, internal_path, error FROM errs"
+    invalid = "'[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{FFFE}\\x{FFFF}]'"
+    py_space = "'[^\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]'"
+    q["odf_units"] = (
+        "WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, "
+        "generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents "
+        f"WHERE NOT regexp_matches(text, {invalid})) "
+        "SELECT 'office/' || source || '/' || CAST(doc_id AS VARCHAR) || '.odt' AS source_path, '' AS internal_path, "
+        "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS unit_idx, "
+        "'paragraph' AS unit_kind, 'content.xml' AS part_name, CAST(length(line) + 1 AS INTEGER) AS chars "
+        "FROM l WHERE line <> ''")
+    q["ooxml_units"] = (
+        "WITH d AS (SELECT doc_id, source, text FROM documents "
+        f"WHERE NOT regexp_matches(text, {invalid})), "
+        "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), "
+        f"dx AS (SELECT doc_id, sum(length(line) + 1) AS chars FROM l WHERE regexp_matches(line, {py_space}) GROUP BY 1), "
+        "u AS (SELECT doc_id, 'word/document.xml' AS part_name, chars, 0 AS ord FROM dx UNION ALL "
+        "SELECT doc_id, 'word/_rels/document.xml.rels', length('https://example.org/' || CAST(doc_id AS VARCHAR)) + 1, 1 "
+        "FROM d) "
+        "SELECT 'office/' || source || '/' || CAST(doc_id AS VARCHAR) || '.docx' AS source_path, '' AS internal_path, "
+        "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS unit_idx, "
+        "'ooxml_part' AS unit_kind, part_name, CAST(chars AS INTEGER) AS chars FROM u JOIN d USING (doc_id) "
+        "UNION ALL SELECT 'office/' || source || '/' || CAST(doc_id AS VARCHAR) || '.docx', 'word/embeddings/note.txt', "
+        "0, 'text', '', CAST(length(text) AS INTEGER) FROM documents WHERE text <> ''")
+    q["xml_units"] = (
+        "WITH d AS (SELECT doc_id, source, text FROM documents "
+        f"WHERE NOT regexp_matches(text, {invalid})), "
+        "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) "
+        "SELECT 'xml/' || source || '/' || CAST(doc_id AS VARCHAR) || '.xml' AS source_path, "
+        "CAST(length(source) + 1 + coalesce((SELECT sum(length(line) + 1) FROM l "
+        f"WHERE l.doc_id = d.doc_id AND regexp_matches(line, {py_space})), 0) AS INTEGER) AS chars FROM d")
     q["archive_rollup"] = with_(arch, _norm_values(DICT), dict_facts("mu", "source_path, internal_path")) + (
         "SELECT source_path, internal_path, keyword_group, keyword, count, CAST(1 AS BIGINT) AS members_hit, "
         "false AS is_rollup FROM f UNION ALL "

@@ -297,6 +297,19 @@ errs AS (
         "SELECT 'xml/' || source || '/' || CAST(doc_id AS VARCHAR) || '.xml' AS source_path, "
         "CAST(length(source) + 1 + coalesce((SELECT sum(length(line) + 1) FROM l "
         f"WHERE l.doc_id = d.doc_id AND regexp_matches(line, {py_space})), 0) AS INTEGER) AS chars FROM d")
+    q["eml_units"] = (
+        "WITH d AS (SELECT doc_id, source, text, "
+        "ltrim(substring(split_part(text, chr(10), 1), 1, 60), ' ' || chr(9)) AS subj FROM documents), "
+        "u AS (SELECT doc_id, 'header' AS kind, 'from' AS part, length('from: ' || source || '@example.org') + 1 AS chars, "
+        "0 AS ord FROM d UNION ALL SELECT doc_id, 'header', 'to', length('to: archive@example.org') + 1, 1 FROM d "
+        "UNION ALL SELECT doc_id, 'header', 'subject', length('subject: ' || subj) + 1, 2 FROM d WHERE subj <> '' "
+        "UNION ALL SELECT doc_id, 'plain', 'text/plain', length(text) + 1, 3 FROM d "
+        "UNION ALL SELECT doc_id, 'html', 'text/html', length(text) + 7, 4 FROM d) "
+        "SELECT 'mail/' || source || '/' || CAST(doc_id AS VARCHAR) || '.eml' AS source_path, '' AS internal_path, "
+        "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS unit_idx, kind AS unit_kind, "
+        "part AS part_name, CAST(chars AS INTEGER) AS chars FROM u JOIN d USING (doc_id) "
+        "UNION ALL SELECT 'mail/' || source || '/' || CAST(doc_id AS VARCHAR) || '.eml', "
+        "CAST(doc_id AS VARCHAR) || '.txt', 0, 'text', '', CAST(length(text) AS INTEGER) FROM documents WHERE text <> ''")
     q["archive_rollup"] = with_(arch, _norm_values(DICT), dict_facts("mu", "source_path, internal_path")) + (
         "SELECT source_path, internal_path, keyword_group, keyword, count, CAST(1 AS BIGINT) AS members_hit, "
         "false AS is_rollup FROM f UNION ALL "

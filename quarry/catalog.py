@@ -279,7 +279,9 @@ def q_group_report(spark, sf):
 
 def q_global_statistics(spark, sf):
     r = _docs_bnd(spark, sf)
-    return A.global_statistics(corpus.docs(spark, sf), r.facts)
+    st = A.global_statistics(corpus.docs(spark, sf), r.facts)
+    return st.select(*[F.to_json(c).alias(c) if c in ("Keyword_Groups", "Keywords", "FileTypes") else F.col(c)
+                       for c in st.columns])
 
 
 def q_run_totals(spark, sf):

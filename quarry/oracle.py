@@ -340,6 +340,21 @@ errs AS (
         "FROM (SELECT keyword_group, keyword, count(DISTINCT display_path) AS keyword_files FROM f GROUP BY 1, 2) k "
         "JOIN gms g USING (keyword_group) "
         "JOIN (SELECT DISTINCT keyword, display_path AS path FROM f) i USING (keyword)")
+    def obj(key, val, src, extra=""):
+        return (f"(SELECT '{{' || string_agg('\"' || {key} || '\":' || {val}, ',' ORDER BY {key}) || '}}' "
+                f"FROM {src}{extra})")
+    q["global_statistics"] = DOCS_BND + (
+        "SELECT " + obj("keyword_group", "CAST(n AS VARCHAR)",
+                        "(SELECT keyword_group, count(DISTINCT display_path) AS n FROM f GROUP BY 1)") + " AS Keyword_Groups, "
+        + obj("keyword_group", "m", "(SELECT keyword_group, " + obj("keyword", "CAST(n AS VARCHAR)",
+              "(SELECT keyword, count(DISTINCT display_path) AS n FROM f f2 WHERE f2.keyword_group = g.keyword_group "
+              "GROUP BY 1)") + " AS m FROM (SELECT DISTINCT keyword_group FROM f) g)") + " AS Keywords, "
+        + obj("file_type", "CAST(n AS VARCHAR)",
+              "(SELECT file_type, count(*) AS n FROM docs WHERE length(text) > 0 GROUP BY 1)") + " AS FileTypes, "
+        "(SELECT count(*) FROM (SELECT display_path FROM f GROUP BY 1 HAVING count(DISTINCT keyword_group) > 1)) "
+        "AS Files_With_Multiple_Keywords, "
+        f"(SELECT round(coalesce(sum(size), 0) / {GIB}, 4) FROM (SELECT display_path, max(size) AS size FROM f GROUP BY 1)) "
+        "AS Global_Matched_Files_Size_GB")
     q["run_totals"] = DOCS_DICT + (
         "SELECT count(*) AS scanned, CAST(count(*) FILTER (WHERE display_path IN (SELECT display_path FROM f)) AS BIGINT) "
         "AS matched, CAST(0 AS BIGINT) AS failed, CAST(sum(strlen(text)) AS BIGINT) AS bytes_read, "
@@ -347,6 +362,16 @@ errs AS (
     q["matched_files"] = DOCS_DICT + (
         "SELECT display_path, '' AS copied_to, array_to_string(list_sort(list(DISTINCT keyword_group)), ';') AS groups, "
         "array_to_string(list_sort(list(DISTINCT keyword)), ';') AS keywords FROM f GROUP BY 1")
+    q["run_summary"] = DOCS_DICT + (
+        "SELECT CAST(1 AS BIGINT) AS run_id, "
+        "'{\"scanned\":' || CAST(count(*) AS VARCHAR) || ',\"matched\":' || "
+        "CAST(count(*) FILTER (WHERE display_path IN (SELECT display_path FROM f)) AS VARCHAR) || "
+        "',\"failed\":0,\"bytes_read\":' || CAST(sum(strlen(text)) AS VARCHAR) || "
+        f"',\"read_gb\":' || CAST(round(sum(strlen(text)) / {GIB}, 4) AS VARCHAR) || '}}' AS files, "
+        "(SELECT '{' || string_agg('\"' || keyword_group || '\":' || CAST(n AS VARCHAR), ',' ORDER BY keyword_group) "
+        "|| '}' FROM (SELECT keyword_group, count(DISTINCT display_path) AS n FROM f GROUP BY 1)) AS groups, "
+        "(SELECT '{' || string_agg('\"' || keyword || '\":' || CAST(n AS VARCHAR), ',' ORDER BY keyword) "
+        "|| '}' FROM (SELECT keyword, sum(count) AS n FROM f GROUP BY 1)) AS keywords FROM docs")
     q["scan_metrics"] = DOCS_DICT + (
         "SELECT count(*) AS seen, count(*) AS scanned, "
         "count(*) FILTER (WHERE display_path IN (SELECT display_path FROM f)) AS matched, CAST(0 AS BIGINT) AS failed, "

@@ -310,6 +310,27 @@ errs AS (
         "part AS part_name, CAST(chars AS INTEGER) AS chars FROM u JOIN d USING (doc_id) "
         "UNION ALL SELECT 'mail/' || source || '/' || CAST(doc_id AS VARCHAR) || '.eml', "
         "CAST(doc_id AS VARCHAR) || '.txt', 0, 'text', '', CAST(length(text) AS INTEGER) FROM documents WHERE text <> ''")
+    cunits = f"""cd AS (SELECT doc_id, source, text, CAST(doc_id AS VARCHAR) AS i,
+    NOT regexp_matches(text, {invalid}) AS xml_ok,
+    ltrim(substring(split_part(text, chr(10), 1), 1, 60), ' ' || chr(9)) AS subj FROM documents),
+cl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+       generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM cd WHERE xml_ok),
+cu AS (
+  SELECT 'office/' || source || '/' || i || '.docx' AS display_path,
+         (SELECT string_agg(line || chr(10), '' ORDER BY pos) FROM cl
+          WHERE cl.doc_id = cd.doc_id AND regexp_matches(line, {py_space})) AS text FROM cd WHERE xml_ok
+  UNION ALL SELECT 'office/' || source || '/' || i || '.docx', 'https://example.org/' || i || chr(10) FROM cd WHERE xml_ok
+  UNION ALL SELECT 'office/' || source || '/' || i || '.docx::word/embeddings/note.txt', text FROM cd
+  UNION ALL SELECT 'office/' || cd.source || '/' || cd.i || '.odt', line || chr(10) FROM cl JOIN cd USING (doc_id)
+  UNION ALL SELECT 'mail/' || source || '/' || i || '.eml', 'from: ' || source || '@example.org' || chr(10) FROM cd
+  UNION ALL SELECT 'mail/' || source || '/' || i || '.eml', 'to: archive@example.org' || chr(10) FROM cd
+  UNION ALL SELECT 'mail/' || source || '/' || i || '.eml', 'subject: ' || subj || chr(10) FROM cd WHERE subj <> ''
+  UNION ALL SELECT 'mail/' || source || '/' || i || '.eml', text || chr(10) FROM cd
+  UNION ALL SELECT 'mail/' || source || '/' || i || '.eml', '   ' || text || '   ' || chr(10) FROM cd
+  UNION ALL SELECT 'mail/' || source || '/' || i || '.eml::' || i || '.txt', text FROM cd
+  UNION ALL SELECT 'gz/' || source || '/' || i || '.txt.gz::' || i || '.txt', text FROM cd)"""
+    q["container_facts"] = with_(cunits, _norm_values(DICT), dict_facts("cu", "display_path")) + (
+        "SELECT display_path, keyword_group, keyword, CAST(sum(count) AS BIGINT) AS count FROM f GROUP BY ALL")
     q["archive_rollup"] = with_(arch, _norm_values(DICT), dict_facts("mu", "source_path, internal_path")) + (
         "SELECT source_path, internal_path, keyword_group, keyword, count, CAST(1 AS BIGINT) AS members_hit, "
         "false AS is_rollup FROM f UNION ALL "

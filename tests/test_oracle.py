@@ -20,7 +20,7 @@ def test_every_query_registered_with_oracle_or_marked():
     assert not (set(ORACLE) - set(QUERIES))
     assert rows_only <= {
                          "eml_units", "archive_members", "scan_errors", "stream_scan", "stream_group_totals",
-                         "container_units", "archive_members", "archive_files", "container_facts"}
+                         "container_units", "archive_members", "archive_files"}
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))

@@ -247,24 +247,24 @@ def _sql() -> dict[str, str]:
         "CAST(count(DISTINCT internal_path) AS BIGINT) AS members_hit, true AS is_rollup FROM f GROUP BY 1, 3, 4")
     # ---------------------------------------------------------- containers
     arch = """members AS (
-  SELECT CASE WHEN bucket % 2 = 0 THEN 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.zip'
-              ELSE 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.tar.gz' END AS source_path,
+  SELECT CASE WHEN bucket % 2 = 0 THEN 'archives/' || CAST(bucket AS VARCHAR) || '.zip'
+              ELSE 'archives/' || CAST(bucket AS VARCHAR) || '.tar.gz' END AS source_path,
          CASE WHEN bucket % 2 = 0 AND pos >= n // 2 THEN 'inner/nested.zip/' ELSE '' END
            || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS internal_path, text
-  FROM (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id) - 1 AS pos,
-               count(*) OVER (PARTITION BY source, bucket) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS pos,
+               count(*) OVER (PARTITION BY bucket) AS n
         FROM (SELECT *, CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents))
   WHERE NOT (bucket % 2 = 0 AND bucket % 9 = 5)),
 mu AS (SELECT source_path, internal_path, source_path || '::' || internal_path AS display_path, text FROM members)"""
     q["archive_facts"] = with_(arch, _norm_values(DICT), dict_facts("mu", "display_path")) + \
         "SELECT display_path, keyword_group, keyword, count FROM f"
-    bad = """grp AS (SELECT DISTINCT source, CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents),
+    bad = """grp AS (SELECT DISTINCT CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents),
 errs AS (
-  SELECT 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.zip' AS source_path, '' AS internal_path,
+  SELECT 'archives/' || CAST(bucket AS VARCHAR) || '.zip' AS source_path, '' AS internal_path,
          'ValueError: unsupported archive format: .zip' AS error
   FROM grp WHERE bucket % 2 = 0 AND bucket % 9 = 5
   UNION ALL
-  SELECT 'archives/' || source || '_' || CAST(bucket AS VARCHAR) || '.zip', '../escape.txt', 'unsafe member path'
+  SELECT 'archives/' || CAST(bucket AS VARCHAR) || '.zip', '../escape.txt', 'unsafe member path'
   FROM grp WHERE bucket % 2 = 0 AND bucket % 4 = 0 AND bucket % 9 <> 5)"""
     q["scan_errors"] = with_(bad) + "SELECT source_path, internal_path, error FROM errs"
     invalid = "'[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{FFFE}\\x{FFFF}]'"

@@ -34,7 +34,7 @@ def _member_name(lang: str, doc_id: int) -> str:
 def _pack_group(kind: str):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
-        src, bucket = pdf["source"].iloc[0], int(pdf["bucket"].iloc[0])
+        bucket = int(pdf["bucket"].iloc[0])
         names = [_member_name(l, int(i)) for l, i in zip(pdf["lang"], pdf["doc_id"])]
         texts = [t.encode("utf-8") for t in pdf["text"]]
         bio = io.BytesIO()
@@ -53,7 +53,7 @@ def _pack_group(kind: str):
             data = bio.getvalue()
             if bucket % 9 == 5:
                 data = data[: len(data) // 2]   # truncated: an error row
-            path = f"archives/{src}_{bucket}.zip"
+            path = f"archives/{bucket}.zip"
         else:
             with tarfile.open(fileobj=bio, mode="w:gz") as tf:
                 for n, t in zip(names, texts):
@@ -61,7 +61,7 @@ def _pack_group(kind: str):
                     info.size = len(t)
                     tf.addfile(info, io.BytesIO(t))
             data = bio.getvalue()
-            path = f"archives/{src}_{bucket}.tar.gz"
+            path = f"archives/{bucket}.tar.gz"
         return pd.DataFrame({"source_path": [path], "content": [data]})
     return pack
 
@@ -86,10 +86,10 @@ def pack_archives(documents: DataFrame, per_archive: int = 8) -> DataFrame:
     the small, CPU-heavy packing stage into one task.
     """
     d = documents.withColumn("bucket", F.floor(F.col("doc_id") / per_archive).cast("long"))
-    d = d.repartition(_parts(d), "source", "bucket")
-    zips = (d.where(F.pmod("bucket", F.lit(2)) == 0).groupBy("source", "bucket")
+    d = d.repartition(_parts(d), "bucket")
+    zips = (d.where(F.pmod("bucket", F.lit(2)) == 0).groupBy("bucket")
             .applyInPandas(_pack_group("zip"), PACKED))
-    tars = (d.where(F.pmod("bucket", F.lit(2)) == 1).groupBy("source", "bucket")
+    tars = (d.where(F.pmod("bucket", F.lit(2)) == 1).groupBy("bucket")
             .applyInPandas(_pack_group("tar"), PACKED))
     return zips.unionByName(tars)
 

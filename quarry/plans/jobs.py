@@ -115,7 +115,7 @@ def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDicti
     have_state = incremental and _exists(spark, state_path)
     run_id = next_run(spark, output, data_root, fp)
     if have_state:
-        state = spark.read.parquet(state_path)
+        state = latest_state(spark, state_path)
         keyed = listing.withColumnRenamed("path", "abs_path").withColumnRenamed("rel_path", "path")
         listing = (I.changed_files(keyed, state, fp)
                    .withColumnRenamed("path", "rel_path").withColumnRenamed("abs_path", "path"))
@@ -139,14 +139,20 @@ def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDicti
         K.group_copy_plan(facts).write.mode("overwrite").parquet(f"{output}/group_copy_plan")
     if incremental:
         done = r.files.select(F.col("source_path").alias("path"), "mtime", "size", "error")
-        base = spark.read.parquet(state_path) if have_state else I.state_from_listing(done.drop("error").limit(0), fp)
-        nxt = I.next_state(base, done, fp)
-        # write the new state beside the old one, then replace (the old one is an input)
-        nxt.write.mode("overwrite").parquet(state_path + ".next")
-        spark.read.parquet(state_path + ".next").write.mode("overwrite").parquet(state_path)
+        base = state if have_state else I.state_from_listing(done.drop("error").limit(0), fp)
+        nxt = I.next_state(base, done, fp).withColumn("version", F.lit(run_id).cast("bigint"))
+        # a new version beside the old ones: a failed run leaves the previous state intact
+        nxt.write.mode("append").partitionBy("version").parquet(state_path)
     return JobResult(run_id, ScanResult(files, facts), output)
 
 
+def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The newest complete version of the scan state (partition pruning on ``version``)."""
+    all_versions = spark.read.parquet(state_path)
+    newest = all_versions.agg(F.max("version")).first()[0]
+    return all_versions.where(F.col("version") == F.lit(newest)).drop("version")
+
+
 def _inside(root: str, out: str) -> str | None:
     import os
     r, o = os.path.abspath(root), os.path.abspath(out)

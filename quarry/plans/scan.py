@@ -113,20 +113,11 @@ def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "d
     disp = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(
         F.concat_ws("::", "source_path", "internal_path"))
     rows = rows.withColumn("display_path", disp).withColumn("file_type", file_suffix(name))
-    file_rows = rows.where(F.col("row_kind") == "file")
-    sizes = file_rows.select(*FILE_KEYS, "size")
+    # every column comes out of the scan job itself: no join of facts with files
     facts = (rows.where(F.col("row_kind") == "fact")
-             .select(*FILE_KEYS, "display_path", "file_type", "keyword_group", "keyword", "count")
-             .join(sizes, FILE_KEYS, "inner")
              .select(F.lit(run_id).cast("bigint").alias("run_id"), *META, "keyword_group", "keyword", "count"))
-    matched = facts.select(*FILE_KEYS).distinct().withColumn("matched", F.lit(True))
-    files_out = file_rows.join(matched, FILE_KEYS, "left")
-    if "mtime" in files.columns:  # members carry the mtime of their outermost container
-        files_out = files_out.join(files.select("source_path", "mtime"), "source_path", "left")
-    else:
-        files_out = files_out.withColumn("mtime", F.lit(None).cast("timestamp"))
-    files_out = files_out.select(
-        F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime",
+    files_out = rows.where(F.col("row_kind") == "file").select(
+        F.lit(run_id).cast("bigint").alias("run_id"), *META, F.timestamp_micros("mtime_us").alias("mtime"),
         F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes_read"),
-        F.coalesce("matched", F.lit(False)).alias("matched"), F.lit("").alias("copied_to"), "error")
+        (F.coalesce("count", F.lit(0)) > 0).alias("matched"), F.lit("").alias("copied_to"), "error")
     return ScanResult(files_out, facts)

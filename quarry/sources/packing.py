@@ -31,10 +31,11 @@ def _member_name(lang: str, doc_id: int) -> str:
     return f"{lang}/{doc_id}.txt"
 
 
-def _pack_group(kind: str):
+def _pack_group():
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         bucket = int(pdf["bucket"].iloc[0])
+        kind = "zip" if bucket % 2 == 0 else "tar"
         names = [_member_name(l, int(i)) for l, i in zip(pdf["lang"], pdf["doc_id"])]
         texts = [t.encode("utf-8") for t in pdf["text"]]
         bio = io.BytesIO()
@@ -87,11 +88,7 @@ def pack_archives(documents: DataFrame, per_archive: int = 8) -> DataFrame:
     """
     d = documents.withColumn("bucket", F.floor(F.col("doc_id") / per_archive).cast("long"))
     d = d.repartition(_parts(d), "bucket")
-    zips = (d.where(F.pmod("bucket", F.lit(2)) == 0).groupBy("bucket")
-            .applyInPandas(_pack_group("zip"), PACKED))
-    tars = (d.where(F.pmod("bucket", F.lit(2)) == 1).groupBy("bucket")
-            .applyInPandas(_pack_group("tar"), PACKED))
-    return zips.unionByName(tars)
+    return d.groupBy("bucket").applyInPandas(_pack_group(), PACKED)
 
 
 def _map_rows(fn):

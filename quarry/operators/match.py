@@ -235,23 +235,45 @@ def _windows(df: DataFrame, text_col: str, keys: Sequence[str], size: int,
     )
 
 
+SPREAD_MAX_BYTES_PER_CORE = 128 << 20
+
+
+def _input_bytes(spark, paths) -> int:
+    """Total size of the input files (file-system metadata only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        total += hp.getFileSystem(conf).getFileStatus(hp).getLen()
+    return total
+
+
 def spread_target(df: DataFrame) -> int:
     """Partitions to spread a CPU-heavy map over when the input is too coarse.
 
-    Returns 0 (leave as is) when the input already comes from at least as
-    many files as there are cores — always the case at cluster scale, so
-    the bulk text is never shuffled there.  A handful of files (each maybe
-    one row group, one task) is spread by a hash of the row keys.
+    Spreads (hash by row key) only when the input comes from fewer files
+    than cores *and* is small — under 128 MiB per core — so the shuffle it
+    adds is cheap.  At cluster scale (thousands of files, or files large
+    enough to hold several row groups) it returns 0 and the bulk text is
+    never shuffled.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     try:
-        files = len(df.inputFiles())
+        files = df.inputFiles()
     except Exception:  # pragma: no cover - non-file relations
-        files = 0
-    if files == 0:
-        files = df.rdd.getNumPartitions()
-    return cores if files < cores else 0
+        files = []
+    if files:
+        if len(files) >= cores:
+            return 0
+        try:
+            if _input_bytes(spark, files) > cores * SPREAD_MAX_BYTES_PER_CORE:
+                return 0
+        except Exception:  # pragma: no cover - unknown file system
+            pass
+        return cores
+    return cores if df.rdd.getNumPartitions() < cores else 0
 
 
 def _reduce_facts(facts: DataFrame, keys: Sequence[str], mode: str) -> DataFrame:

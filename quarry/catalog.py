@@ -150,6 +150,12 @@ def q_match_file_scope(spark, sf):
     return f.select("source_path", "keyword_group", "keyword", "count")
 
 
+def q_match_file_scope_boundary(spark, sf):
+    c = corpus.convs(spark, sf)
+    f = match_file_scope(c, DICT, file_keys=["source_path"], idx_col="unit_idx", mode="boundary")
+    return f.select("source_path", "keyword_group", "keyword", "count")
+
+
 def q_file_match_maps(spark, sf):
     r = _docs_dict(spark, sf)
     return M.maps_as_text(M.file_match_maps(r.facts, ["display_path"]))
@@ -424,6 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_pages": q_match_pages,
     "match_unit_scope": q_match_unit_scope,
     "match_file_scope": q_match_file_scope,
+    "match_file_scope_boundary": q_match_file_scope_boundary,
     "file_match_maps": q_file_match_maps,
     "files_with_flag": q_files_with_flag,
     "files_unmatched": q_files_unmatched,

@@ -107,7 +107,8 @@ def hit_counter(spec, mode: str, case_sensitive: bool, newline_fix: bool = False
     Dictionary mode counts every overlapping occurrence; boundary mode
     gives 1 for a word with at least one occurrence bordered like Python's
     ``\\b``.  Only hits starting in ``body`` count (``pre``/``post`` are
-    context); with ``cross`` only those reaching into ``post``.
+    context); with ``cross`` only those reaching into ``post``, with
+    ``within`` only those ending inside ``body``.
     """
     key, words, _ = spec
     norm = _normalise_text(mode, case_sensitive, newline_fix)
@@ -116,7 +117,7 @@ def hit_counter(spec, mode: str, case_sensitive: bool, newline_fix: bool = False
     last_word = [is_word_char(w[-1]) for w in words]
     state = {}
 
-    def count(body: str, pre: str = "", post: str = "", cross: bool = False) -> dict:
+    def count(body: str, pre: str = "", post: str = "", cross: bool = False, within: bool = False) -> dict:
         auto = state.get("a")
         if auto is None:
             auto = state["a"] = _automaton(key, words)
@@ -129,11 +130,12 @@ def hit_counter(spec, mode: str, case_sensitive: bool, newline_fix: bool = False
             t = norm(body)
             lo, hi = 0, len(t)
         edge = hi if cross else 0
+        last = hi - 1 if within else len(t)
         n = len(t)
         found: dict = {}
         for end, (w, ln) in auto.iter(t):
             start = end - ln + 1
-            if start < lo or start >= hi or end + 1 <= edge:
+            if start < lo or start >= hi or end + 1 <= edge or end > last:
                 continue
             if boundary:
                 before = t[start - 1] if start > 0 else " "
@@ -149,7 +151,7 @@ def hit_counter(spec, mode: str, case_sensitive: bool, newline_fix: bool = False
 
 
 def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bool,
-               spec, newline_fix: bool, windowed: bool):
+               spec, newline_fix: bool, windowed: bool, within: bool = False):
     """The per-partition function of the automaton form.
 
     Windowed rows carry ``_pre``/``_post`` context and a ``_cross`` flag: only
@@ -197,7 +199,8 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
                     cur_key, cur = k, {}
                 if not body:
                     continue
-                found = count(body, pres[i] or "", posts[i] or "", bool(crosses[i])) if windowed else count(body)
+                found = (count(body, pres[i] or "", posts[i] or "", bool(crosses[i]), within) if windowed
+                         else count(body))
                 for w, c in found.items():
                     cur[w] = max(cur.get(w, 0), c) if boundary else cur.get(w, 0) + c
             # emit what is complete; the current row may continue in the next batch
@@ -378,43 +381,72 @@ def roll_up(facts: DataFrame, keys: Sequence[str], mode: str = "dictionary") ->
     return _reduce_facts(facts, list(keys), mode)
 
 
+def _following(base: DataFrame, file_keys: list, need: int) -> DataFrame:
+    """Per unit i: the first ``need`` characters after it (of units i+1, i+2, ... joined).
+
+    Pointer jumping: head(k, 2m) = left(head(k, m) + head(k+m, m), need), so
+    log2(need) equi-joins on (file, idx) replace any per-file collection.
+    """
+    head = base.select(*file_keys, "_i", F.left("_t", F.lit(need)).alias("_h"))
+    m = 1
+    while m < need:
+        nxt = head.select(*file_keys, (F.col("_i") - m).alias("_i"), F.col("_h").alias("_h2"))
+        head = (head.join(nxt, file_keys + ["_i"], "left")
+                .select(*file_keys, "_i",
+                        F.left(F.concat(F.col("_h"), F.coalesce("_h2", F.lit(""))), F.lit(need)).alias("_h")))
+        m *= 2
+    return head.select(*file_keys, (F.col("_i") - 1).alias("_i"), F.col("_h").alias("_post"))
+
+
 def match_file_scope(units: DataFrame, dictionary: KeywordDictionary, *, file_keys: Sequence[str],
-                     idx_col: str = "unit_idx", text_col: str = "text",
+                     idx_col: str = "unit_idx", text_col: str = "text", mode: str = "dictionary",
                      case_sensitive: bool = False, **kw) -> DataFrame:
     """M5 file scope: units of a file matched as one text joined with ''.
 
     ``idx_col`` numbers the non-empty units of a file 0, 1, 2, ...  Hits
     inside a unit come from the unit match; hits across a seam come from one
     seam row per unit boundary: the last L-1 characters of unit i plus the
-    next L-1 characters after it.  Those following characters are gathered
-    by pointer jumping — log2(L) equi-joins on (file, idx) — so no file's
-    units are ever collected into one task.
+    characters after it, gathered by pointer jumping — log2(L) equi-joins
+    on (file, idx) — so no file's units are ever collected into one task.
+    In boundary mode every unit also gets the neighbouring characters as
+    context (a word border depends on them), and seams one more character.
     """
     file_keys = list(file_keys)
     row_keys = file_keys + [idx_col]
-    inside = match_units(units, dictionary, keys=row_keys, text_col=text_col,
-                         mode="dictionary", case_sensitive=case_sensitive, **kw)
-    spec = plan_spec(dictionary, "dictionary", case_sensitive)
-    need = max(len(w) for w in spec[1]) - 1
-    if need <= 0:
-        return roll_up(inside, file_keys)
+    boundary = mode == "boundary"
+    spec = plan_spec(dictionary, mode, case_sensitive)
+    longest = max(len(w) for w in spec[1])
     base = units.select(*file_keys, F.col(idx_col).cast("long").alias("_i"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    # head(k, m) = first `need` chars of units k .. k+m-1 joined
-    head = base.select(*file_keys, "_i", F.left("_t", F.lit(need)).alias("_h"))
-    m = 1
-    while m < need:
-        nxt = head.select(*file_keys, (F.col("_i") - m).alias("_i"), F.col("_h").alias("_h2"))
-        head = (head.join(nxt, file_keys + ["_i"], "left")
-                .select(*file_keys, "_i",
-                        F.left(F.concat(F.col("_h"), F.coalesce("_h2", F.lit(""))), F.lit(need)).alias("_h")))
-        m *= 2
-    follow = head.select(*file_keys, (F.col("_i") - 1).alias("_i"), F.col("_h").alias("_post"))
-    seams = (base.select(*file_keys, "_i", F.right("_t", F.lit(need)).alias(text_col))
-             .join(follow, file_keys + ["_i"], "inner")
-             .select(*file_keys, F.col("_i").alias(idx_col), F.lit("").alias("_pre"), text_col,
-                     "_post", F.lit(True).alias("_cross")))
-    schema = _fact_schema(seams, row_keys)
+    if boundary:
+        prev_last = base.select(*file_keys, (F.col("_i") + 1).alias("_i"), F.right("_t", F.lit(1)).alias("_prev"))
+        ctx = (base.join(prev_last, file_keys + ["_i"], "left")
+               .join(_following(base, file_keys, 1), file_keys + ["_i"], "left"))
+        rows = ctx.select(*file_keys, F.col("_i").alias(idx_col), F.coalesce("_prev", F.lit("")).alias("_pre"),
+                          F.col("_t").alias(text_col), F.coalesce("_post", F.lit("")).alias("_post"),
+                          F.lit(False).alias("_cross"))
+        # neighbours' characters are context only: hits that cross a seam come from the seam rows
+        inside = rows.mapInPandas(_count_job(row_keys, text_col, mode, case_sensitive, spec, False, True,
+                                             within=True), _fact_schema(rows, row_keys))
+    else:
+        inside = match_units(units, dictionary, keys=row_keys, text_col=text_col,
+                             mode=mode, case_sensitive=case_sensitive, **kw)
+    need = longest - 1
+    if need <= 0:
+        return roll_up(inside, file_keys, mode)
+    follow = _following(base, file_keys, need + 1 if boundary else need)
+    tail = F.right("_t", F.lit(need))
+    if boundary:
+        # the character before the seam body: inside unit i, or the previous unit's last one
+        before = F.when(F.length("_t") > need, F.substring("_t", F.length("_t") - need, 1)) \
+            .otherwise(F.coalesce("_prev", F.lit("")))
+        prev_last = base.select(*file_keys, (F.col("_i") + 1).alias("_i"), F.right("_t", F.lit(1)).alias("_prev"))
+        seam_base = base.join(prev_last, file_keys + ["_i"], "left").select(
+            *file_keys, "_i", before.alias("_pre"), tail.alias(text_col))
+    else:
+        seam_base = base.select(*file_keys, "_i", F.lit("").alias("_pre"), tail.alias(text_col))
+    seams = (seam_base.join(follow, file_keys + ["_i"], "inner")
+             .select(*file_keys, F.col("_i").alias(idx_col), "_pre", text_col, "_post", F.lit(True).alias("_cross")))
     seam_facts = seams.mapInPandas(
-        _count_job(row_keys, text_col, "dictionary", case_sensitive, spec, False, True), schema)
-    return roll_up(inside.unionByName(seam_facts), file_keys)
+        _count_job(row_keys, text_col, mode, case_sensitive, spec, False, True), _fact_schema(seams, row_keys))
+    return roll_up(inside.unionByName(seam_facts), file_keys, mode)

@@ -229,6 +229,10 @@ def _sql() -> dict[str, str]:
         CONVS, "whole AS (SELECT source_path, string_agg(text, '' ORDER BY unit_idx) AS text FROM convs GROUP BY 1)",
         _norm_values(DICT), dict_facts("whole", "source_path")) + \
         "SELECT source_path, keyword_group, keyword, count FROM f"
+    q["match_file_scope_boundary"] = with_(
+        CONVS, "whole AS (SELECT source_path, string_agg(text, '' ORDER BY unit_idx) AS text FROM convs GROUP BY 1)",
+        boundary_facts("whole", "source_path")) + \
+        "SELECT source_path, keyword_group, keyword, count FROM f"
     q["file_match_maps"] = with_(DOCS, _norm_values(DICT), dict_facts("docs", META),
                                  _file_maps("f", "display_path")) + \
         "SELECT display_path, hits, groups, keyword_counts FROM gm JOIN km USING (display_path)"

@@ -184,3 +184,25 @@ def test_random_against_python(spark):
     for method in ["automaton", "native"]:
         assert _counts(match_dictionary(df, d, keys=["id"], method=method)) == exp_dict, method
         assert set(_counts(match_boundary(df, d, keys=["id"], method=method))) == exp_bnd, method
+
+
+def test_file_scope_both_modes_equal_joined_text(spark):
+    """Random splits of random texts: file scope equals matching the joined text."""
+    import random
+    rnd = random.Random(11)
+    kws = ["ab", "b a", "a_b", "ab.", "ba", "aba"]
+    d = KeywordDictionary({"G": kws, "H": ["ab"]})
+    rows, whole = [], {}
+    for f in range(40):
+        text = "".join(rnd.choice("ab _.") for _ in range(rnd.randint(1, 40)))
+        cuts = sorted(rnd.sample(range(1, len(text)), k=min(len(text) - 1, rnd.randint(0, 6)))) if len(text) > 1 else []
+        parts = [text[i:j] for i, j in zip([0] + cuts, cuts + [len(text)])]
+        for i, p in enumerate(parts):
+            rows.append((f"f{f}", i, p))
+        whole[f"f{f}"] = text
+    units = spark.createDataFrame(rows, "file string, unit_idx int, text string")
+    joined = spark.createDataFrame(list(whole.items()), "file string, text string")
+    for mode in ["dictionary", "boundary"]:
+        got = sorted(map(tuple, match_file_scope(units, d, file_keys=["file"], mode=mode).collect()))
+        exp = sorted(map(tuple, match_units(joined, d, keys=["file"], mode=mode, split_chars=None).collect()))
+        assert got == exp, mode

@@ -188,3 +188,17 @@ def evidence_stream(spark: SparkSession, data_root: str, dictionary: KeywordDict
 
     return I.stream_scan(spark, data_root, handle, ckpt, available_now=available_now,
                          max_files_per_trigger=max_files_per_trigger)
+
+
+def register_views(spark: SparkSession, output: str, prefix: str = "") -> list[str]:
+    """Register the written ``runs``, ``files`` and ``matches`` tables as SQL views.
+
+    Queries over them (``WHERE run_id = ...``) prune to the run's partitions.
+    """
+    names = []
+    for t in ("runs", "files", "matches"):
+        path = f"{output}/{t}"
+        if _exists(spark, path):
+            spark.read.parquet(path).createOrReplaceTempView(prefix + t)
+            names.append(prefix + t)
+    return names

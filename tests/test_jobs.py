@@ -5,6 +5,8 @@ import os
 import tempfile
 import time
 
+from pyspark.sql import functions as F
+
 from conftest import SF001
 from quarry.catalog import DICT
 from quarry.plans.jobs import evidence_scan, keyword_report
@@ -36,6 +38,13 @@ def test_evidence_scan(spark):
     evidence_scan(spark, data, DICT, out, run_id=2)
     assert spark.read.parquet(f"{out}/files").where("run_id = 2").count() == len(rows)
     assert res.run_id == 1
+    from quarry.plans.jobs import register_views
+    assert set(register_views(spark, out)) == {"runs", "files", "matches"}
+    by_sql = {r[0]: r[1] for r in spark.sql(
+        "SELECT keyword_group, COUNT(DISTINCT file_key) FROM matches WHERE run_id = 1 GROUP BY keyword_group").collect()}
+    by_df = {r[0]: r[1] for r in res.result.facts.groupBy("keyword_group")
+             .agg(F.countDistinct("source_path", "internal_path")).collect()}
+    assert by_sql == by_df
     assert res.metrics["seen"] == len(rows) and res.metrics["failed"] == 0
     assert res.metrics["bytes_read"] == sum(len(r["text"].encode("utf-8")) for r in rows)
 

@@ -70,3 +70,27 @@ def test_keyword_report_incremental(spark):
     keys = {(x["source_path"], x["keyword"]) for x in r3.result.facts.collect()}
     rel = f"{rows[0]['source']}/{rows[0]['doc_id']}.txt"
     assert (rel, "password") in keys and (rel, "token") in keys
+
+
+def test_command_line(spark, capsys):
+    """``python -m quarry evidence|report`` on a folder (same session, same code path)."""
+    import quarry.__main__ as cli
+    from quarry import session as qs
+    data, out, rows = _folder(spark, 8)
+    cfg = os.path.join(os.path.dirname(data), "config.yaml")
+    with open(cfg, "w", encoding="utf-8") as f:
+        f.write("Keyword_Groups:\n  Common: [the, tion]\n  Contact: ['@']\n")
+    original = qs.build_session
+    try:
+        cli_stop = spark.stop
+        spark.stop = lambda: None          # keep the shared test session alive
+        import quarry.session
+        quarry.session.build_session = lambda *a, **k: spark
+        assert cli.main(["evidence", "--data", data, "--config", cfg, "--output", out]) == 0
+        printed = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+        assert printed["seen"] == len(rows) and printed["failed"] == 0
+        assert cli.main(["report", "--data", data, "--config", cfg, "--output", out + "-v1"]) == 0
+        assert os.path.isdir(out + "-v1/statistics.json")
+    finally:
+        quarry.session.build_session = original
+        spark.stop = cli_stop

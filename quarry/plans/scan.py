@@ -88,7 +88,7 @@ def boundary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> Scan
 def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictionary",
               run_id: int = 1, case_sensitive: bool = False, max_depth: int = 3,
               max_member_bytes: int | None = None, flavor: str = "v2",
-              reliable: bool = False) -> ScanResult:
+              reliable: bool = False, split_zip_bytes: int | None = None) -> ScanResult:
     """A scan of files that may be containers (S13/S8/S11/S12 + M1/M2 fused).
 
     ``files`` is ``(source_path, content[, mtime])`` — contents of a listing
@@ -104,11 +104,11 @@ def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "d
     """
     from quarry.functions.text import file_suffix
     from quarry.operators.match import plan_spec
-    from quarry.sources.containers import DEFAULT_MAX_MEMBER_BYTES, scan_rounds
+    from quarry.sources.containers import DEFAULT_MAX_MEMBER_BYTES, DEFAULT_SPLIT_ZIP_BYTES, scan_rounds
     spec = plan_spec(dictionary, mode, case_sensitive)
     rows = scan_rounds(files, spec, mode=mode, case_sensitive=case_sensitive, max_depth=max_depth,
                        max_member_bytes=max_member_bytes or DEFAULT_MAX_MEMBER_BYTES, flavor=flavor,
-                       reliable=reliable)
+                       reliable=reliable, split_zip_bytes=split_zip_bytes or DEFAULT_SPLIT_ZIP_BYTES)
     name = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(F.col("internal_path"))
     disp = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(
         F.concat_ws("::", "source_path", "internal_path"))

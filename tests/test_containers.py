@@ -134,3 +134,18 @@ def test_first_program_flavor(spark):
     got = {tuple(x) for x in eml.facts.select(ids.alias("id"), "keyword_group", "keyword").collect()}
     assert set(exp) <= got
     assert X.xml_text_nested(b"<r>a<b>x</b>t<c/></r>") == "a\nx\nt\n"
+
+
+def test_big_zip_split_by_member_ranges_gives_same_results(spark):
+    """A zip over the split size is extracted in member ranges by several tasks: same facts and files."""
+    d = _docs(spark).orderBy("doc_id").limit(80)
+    blobs = P.pack_archives(d, per_archive=40)
+    whole = scan_tree(blobs, DICT)
+    split = scan_tree(blobs, DICT, split_zip_bytes=1024)
+    assert sorted(map(tuple, split.facts.collect())) == sorted(map(tuple, whole.facts.collect()))
+    cols = ["display_path", "size", "bytes_read", "matched", "error"]
+    assert sorted(map(tuple, split.files.select(*cols).collect())) == \
+        sorted(map(tuple, whole.files.select(*cols).collect()))
+    from quarry.sources.containers import zip_ranges
+    zips = [r["content"] for r in blobs.collect() if bytes(r["content"][:2]) == b"PK"]
+    assert any(zip_ranges(bytes(z), 1024) for z in zips)

@@ -239,6 +239,7 @@ def _windows(df: DataFrame, text_col: str, keys: Sequence[str], size: int,
 
 
 SPREAD_MAX_BYTES_PER_CORE = 128 << 20
+SPREAD_MIN_BYTES = 4 << 20   # below this one task is quicker than an extra shuffle stage
 
 
 def _input_bytes(spark, paths) -> int:
@@ -257,7 +258,7 @@ def spread_target(df: DataFrame) -> int:
 
     Spreads (hash by row key) only when the input comes from fewer files
     than cores *and* is small — under 128 MiB per core — so the shuffle it
-    adds is cheap.  At cluster scale (thousands of files, or files large
+    adds is cheap; inputs under 4 MiB are left alone (a stage costs more).  At cluster scale (thousands of files, or files large
     enough to hold several row groups) it returns 0 and the bulk text is
     never shuffled.
     """
@@ -271,7 +272,8 @@ def spread_target(df: DataFrame) -> int:
         if len(files) >= cores:
             return 0
         try:
-            if _input_bytes(spark, files) > cores * SPREAD_MAX_BYTES_PER_CORE:
+            size = _input_bytes(spark, files)
+            if size > cores * SPREAD_MAX_BYTES_PER_CORE or size < SPREAD_MIN_BYTES:
                 return 0
         except Exception:  # pragma: no cover - unknown file system
             pass

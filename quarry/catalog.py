@@ -236,9 +236,7 @@ def q_xml_units(spark, sf):
 
 def q_container_facts(spark, sf):
     """Facts of every container kind at once: docx, odt, eml, gz."""
-    d = _documents(spark, sf)
-    blobs = (P.pack_office(d, "docx").unionByName(P.pack_office(d, "odt"))
-             .unionByName(P.pack_office(d, "eml")).unionByName(P.pack_gz(d)))
+    blobs = P.pack_mixed(_documents(spark, sf))
     return _fact_cols(scan_tree(blobs, DICT).facts)
 
 

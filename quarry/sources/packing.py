@@ -158,11 +158,30 @@ def pack_office(documents: DataFrame, kind: str) -> DataFrame:
     return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(fn), PACKED)
 
 
+def _gz(row):
+    return f"gz/{row.source}/{row.doc_id}.txt.gz", gzip.compress(row.text.encode("utf-8"))
+
+
+def pack_mixed(documents: DataFrame) -> DataFrame:
+    """Each document as a .docx, an .odt, an .eml and a .txt.gz — one pass over the table."""
+    makers = (_docx, _odt, _eml, _gz)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            paths, blobs = [], []
+            for row in pdf.itertuples(index=False):
+                for make in makers:
+                    p, b = make(row)
+                    paths.append(p)
+                    blobs.append(b)
+            yield pd.DataFrame({"source_path": paths, "content": blobs})
+
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(run, PACKED)
+
+
 def pack_gz(documents: DataFrame) -> DataFrame:
     """One gzip file per document row."""
-    def one(row):
-        return f"gz/{row.source}/{row.doc_id}.txt.gz", gzip.compress(row.text.encode("utf-8"))
-    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(one), PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(_gz), PACKED)
 
 
 def pack_xml(documents: DataFrame) -> DataFrame:

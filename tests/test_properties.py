@@ -66,3 +66,20 @@ def test_native_equals_automaton(spark, rows, kws):
         a = sorted(map(tuple, fn(df, d, keys=["id"], method="automaton").collect()))
         b = sorted(map(tuple, fn(df, d, keys=["id"], method="native").collect()))
         assert a == b, fn.__name__
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="ab _.", min_size=1, max_size=6), min_size=1, max_size=6),
+                min_size=1, max_size=12),
+       st.lists(st.text(alphabet="ab _.", min_size=1, max_size=4), min_size=1, max_size=4))
+def test_file_scope_equals_joined_text(spark, files, kws):
+    from quarry.operators.match import match_file_scope, match_units
+    d = KeywordDictionary({"G": kws})
+    units = spark.createDataFrame([(f"f{i}", j, u) for i, parts in enumerate(files) for j, u in enumerate(parts)],
+                                  "file string, unit_idx int, text string")
+    joined = spark.createDataFrame([(f"f{i}", "".join(parts)) for i, parts in enumerate(files)],
+                                   "file string, text string")
+    for mode in ("dictionary", "boundary"):
+        got = sorted(map(tuple, match_file_scope(units, d, file_keys=["file"], mode=mode).collect()))
+        exp = sorted(map(tuple, match_units(joined, d, keys=["file"], mode=mode, split_chars=None).collect()))
+        assert got == exp, mode

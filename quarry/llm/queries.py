@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, sharding
+from quarry.llm import licenses, line_dedup, linkgraph, mixing, sharding
 
 
 def _table(spark, sf, name):
@@ -16,6 +16,16 @@ def op1_mix_sources(spark, sf):
     return mixing.mix(d)
 
 
+def op2_license_scan(spark, sf):
+    out = licenses.scan(_table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op4_url_filter(spark, sf):
+    out = linkgraph.judge(_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_byte_shards(spark, sf):
     text = F.coalesce("text", F.lit(""))
     d = _table(spark, sf, "documents").select(
@@ -25,5 +35,10 @@ def op5_byte_shards(spark, sf):
                       F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_byte_shards)}
+def op10_line_dedup(spark, sf):
+    out = line_dedup.dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_url_filter, op5_byte_shards, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, line_dedup, linkgraph, mixing, sharding
+from quarry.llm import licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
 
 
 def _table(spark, sf, name):
@@ -35,10 +35,20 @@ def op5_byte_shards(spark, sf):
                       F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op9_token_blocks(spark, sf, tokenizer: str | None = None):
+    import public_tokenizers
+    with open(tokenizer or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        spec = f.read()
+    return token_blocks.token_file(_table(spark, sf, "documents").select("doc_id", "text"), spec)
+
+
 def op10_line_dedup(spark, sf):
     out = line_dedup.dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_url_filter, op5_byte_shards, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_url_filter, op5_byte_shards, op9_token_blocks, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

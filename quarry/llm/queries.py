@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
+from quarry.llm import jaccard_tree, licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
 
 
 def _table(spark, sf, name):
@@ -21,6 +21,10 @@ def op2_license_scan(spark, sf):
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_jaccard_tree(spark, sf):
+    return jaccard_tree.link_components(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark, sf):
     out = linkgraph.judge(_table(spark, sf, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -50,5 +54,5 @@ def op10_line_dedup(spark, sf):
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_url_filter, op5_byte_shards, op9_token_blocks, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_jaccard_tree, op4_url_filter, op5_byte_shards, op9_token_blocks, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import jaccard_tree, licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
+from quarry.llm import decontaminate, jaccard_tree, licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
 
 
 def _table(spark, sf, name):
@@ -39,6 +39,10 @@ def op5_byte_shards(spark, sf):
                       F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_decontaminate(spark, sf):
+    return decontaminate.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -54,5 +58,6 @@ def op10_line_dedup(spark, sf):
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_jaccard_tree, op4_url_filter, op5_byte_shards, op9_token_blocks, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_jaccard_tree, op4_url_filter, op5_byte_shards,
+                                     op6_decontaminate, op9_token_blocks, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -36,17 +36,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _TABLE: list = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+SPACED = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])                       # runs of non-space
+PLAIN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])                          # letters and digits only
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, fold: bool = True, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in ``data`` (UTF-8 bytes) and, for every text start (plus the end), the words before it.
 
-    A word is a run of bytes other than space, tab, LF, VT, FF, CR; it never crosses a text start.
+    A word is a run of bytes of ``kind``; it never crosses a text start.
     The hash is a polynomial in the bytes, A-Z folded if ``fold``, then mixed.
     """
     n = len(data)
     if len(_TABLE[0]) < n + 1:
         _TABLE[:] = _powers(max(n + 1, 1 << 16))
     power, inverse = _TABLE[0], _TABLE[1]
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = kind[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = starts[starts < n]
@@ -65,7 +69,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tuple
     return words, np.searchsorted(begins, starts)
 
 
-def words_of(texts: pa.Array, fold: bool = True):
+def words_of(texts: pa.Array, fold: bool = True, kind: np.ndarray = SPACED):
     """Yields ``first text, offsets, word hashes`` for runs of texts; text ``first + i`` has words ``offsets[i]:offsets[i + 1]``.
 
     A null text has no words.
@@ -84,7 +88,7 @@ def words_of(texts: pa.Array, fold: bool = True):
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
-        words, offsets = hash_words(data[at[i]:at[j]], at[i:j + 1] - at[i], fold)
+        words, offsets = hash_words(data[at[i]:at[j]], at[i:j + 1] - at[i], fold, kind)
         yield i, offsets, words
         i = j
 

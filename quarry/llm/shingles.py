@@ -40,6 +40,18 @@ SPACED = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 PLAIN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])                          # letters and digits only
 
 
+def spans(data: np.ndarray, starts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words: runs of bytes of ``kind`` that do not cross a text start."""
+    inside = kind[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cuts = starts[starts < len(data)]
+    first[cuts] = inside[cuts]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, fold: bool = True, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in ``data`` (UTF-8 bytes) and, for every text start (plus the end), the words before it.
 
@@ -50,15 +62,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, fold: bool = True, kind: np
     if len(_TABLE[0]) < n + 1:
         _TABLE[:] = _powers(max(n + 1, 1 << 16))
     power, inverse = _TABLE[0], _TABLE[1]
-    inside = kind[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cuts = starts[starts < n]
-    first[cuts] = inside[cuts]
-    begins = np.flatnonzero(first)
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | first[1:]
-    ends = np.flatnonzero(last) + 1
+    begins, ends = spans(data, starts, kind)
     low = data
     if fold:
         low = data.copy()
@@ -74,6 +78,13 @@ def words_of(texts: pa.Array, fold: bool = True, kind: np.ndarray = SPACED):
 
     A null text has no words.
     """
+    for i, data, starts in runs_of(texts):
+        words, offsets = hash_words(data, starts, fold, kind)
+        yield i, offsets, words
+
+
+def runs_of(texts: pa.Array):
+    """Yields ``first text, bytes, starts`` (with the end) for runs of texts of about ``CHUNK`` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -88,8 +99,7 @@ def words_of(texts: pa.Array, fold: bool = True, kind: np.ndarray = SPACED):
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
-        words, offsets = hash_words(data[at[i]:at[j]], at[i:j + 1] - at[i], fold, kind)
-        yield i, offsets, words
+        yield i, data[at[i]:at[j]], at[i:j + 1] - at[i]
         i = j
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, importance, jaccard_tree, licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
+from quarry.llm import bm25, decontaminate, importance, jaccard_tree, licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
 
 
 def _table(spark, sf, name):
@@ -48,6 +48,11 @@ def op7_importance_classifier(spark, sf):
     return importance.classify(docs, _table(spark, sf, "labels")).select("doc_id", "log_weight", "keep")
 
 
+def op8_bm25_topk(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -64,5 +69,5 @@ def op10_line_dedup(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_jaccard_tree, op4_url_filter, op5_byte_shards,
-                                     op6_decontaminate, op7_importance_classifier, op9_token_blocks, op10_line_dedup)}
+                                     op6_decontaminate, op7_importance_classifier, op8_bm25_topk, op9_token_blocks, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

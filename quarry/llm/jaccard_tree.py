@@ -231,7 +231,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent
 
 
 def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for all ``docs`` (``doc_id, text``).
+    """``doc_id, th, n_shingles, component_id`` for all ``docs`` (``doc_id, text``); ``th`` is the text's ``xxhash64``.
 
     Sets are the distinct ``k``-word shingles of whole texts (fewer words: the
     whole as one; none: empty, linked with nothing).  Two sets link when their
@@ -291,8 +291,17 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     named = least.join(final, "s", "left").withColumn("comp", F.coalesce("comp", "s"))
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     whose = named.join(smallest, "comp").select("s", "component_id")
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s")).alias("s")).join(whose, "s", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sig.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s")).alias("s")).join(whose, "s", "left")
+    return out.select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component: the one whose id names it; documents without words all stay once."""
+    named = link_components(docs, **options).where("doc_id <=> component_id")
+    named = named.select(F.col("doc_id").alias("_id"), "th").distinct()
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    kept = keyed.join(named, keyed.doc_id.eqNullSafe(named._id) & (keyed._th == named.th), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
 
 
 def _bounder(percent: int):

@@ -80,8 +80,9 @@ def cycle_weights(weights: tuple[int, ...] = (5, 2, 1)) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in weights]), (r % len(weights) + 1).cast("int")).cast("long")
 
 
-def mix(rows: DataFrame, weight: Column | None = None, max_repeats: int = 3, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of rows ``doc_id, source, size`` (in words).
+def mix(rows: DataFrame, weight: Column | None = None, max_repeats: int = 3, blocks: int = BLOCKS,
+        also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` (and ``also``) of rows ``doc_id, source, size`` (in words).
 
     The mix is as long as the input and made of ``blocks`` blocks of equal
     tokens.  Sources get blocks by Sainte-Lague on their targets.  A source of n
@@ -98,12 +99,12 @@ def mix(rows: DataFrame, weight: Column | None = None, max_repeats: int = 3, blo
     Other columns do not matter and are not returned.
     """
     mark = _digest(F.col("doc_id"))
-    docs = cut(rows.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    docs = cut(rows.select(*also, "doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
                .withColumn("digest", mark))
     widths = docs.groupBy(F.col("source").alias("src")).agg(
         F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("shards"))
     docs = (docs.join(widths, docs.source.eqNullSafe(widths.src))
-            .select("doc_id", "source", "size", "digest", (_number(F.col("digest"), 12) % F.col("shards")).alias("shard")))
+            .select(*also, "doc_id", "source", "size", "digest", (_number(F.col("digest"), 12) % F.col("shards")).alias("shard")))
     parts = cut(docs.groupBy("source", "shard").agg(F.sum("size").alias("votes")))
     plan = targets(parts.groupBy("source").agg(F.sum("votes").alias("source_size")),
                    cycle_weights() if weight is None else weight, max_repeats)
@@ -128,4 +129,21 @@ def mix(rows: DataFrame, weight: Column | None = None, max_repeats: int = 3, blo
     upto = lambda p, q: F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), q) - F.greatest(F.col("start"), p))
     part = upto(F.col("at"), F.col("at") + rest) + upto(F.lit(0), F.col("at") + rest - F.col("ring"))
     taken = F.when(F.col("ring") > 0, F.floor(F.col("length") / F.col("ring")) * F.col("size") + part).otherwise(0)
-    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return both.select(*also, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weight: Column | None = None, **options) -> DataFrame:
+    """``docs`` (``doc_id, text, source`` and more) as the mix takes them: each row as often as its words are taken.
+
+    A row that is taken in part, a fraction of a pass, stays or goes by its seeded digest with that
+    chance, so sources keep their targets.  Rows that repeat wholly (id and text) share what they are taken.
+    """
+    th = F.xxhash64("text")
+    sized = docs.select("doc_id", "source", th.alias("th"), word_count(F.col("text")).alias("size"))
+    taken = mix(sized, weight, also=("th",), **options).groupBy(F.col("doc_id").alias("id"), "th").agg(
+        (F.sum("taken") / F.sum("size")).alias("passes"))
+    chance = _number(_digest(F.col("id"), F.col("th")), 12) / float(1 << 48)
+    copies = taken.select("id", "th", F.floor(F.col("passes") + chance).cast("int").alias("copies")).where("copies > 0")
+    keyed = docs.withColumn("_th", th)
+    both = keyed.join(copies, keyed.doc_id.eqNullSafe(copies.id) & (keyed._th == copies.th))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")

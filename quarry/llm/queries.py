@@ -22,7 +22,7 @@ def op2_license_scan(spark, sf):
 
 
 def op3_jaccard_tree(spark, sf):
-    return jaccard_tree.link_components(_table(spark, sf, "documents").select("doc_id", "text"))
+    return jaccard_tree.link_components(_table(spark, sf, "documents")).drop("th")
 
 
 def op4_url_filter(spark, sf):

@@ -49,7 +49,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         F.crc32(F.encode(text, "UTF-8")).alias("crc"))
     placed = sharding.shard_by_bytes(slim, N_SHARDS, order=("id", "th"), group="crc")
     places = placed.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("size", "shard", "slot"))).alias("_at"))
-    one = keyed.join(places, keyed.doc_id.eqNullSafe(places.id) & (keyed._th == places.th)).dropDuplicates(["doc_id", "_th"])
+    places = places.select(F.col("id").alias("_id"), F.col("th").alias("_of"), "_at")
+    one = keyed.join(places, keyed.doc_id.eqNullSafe(places._id) & (keyed._th == places._of)).dropDuplicates(["doc_id", "_th"])
     return one.select(*docs.columns, F.inline("_at"))
 
 

@@ -141,7 +141,7 @@ def resample(docs: DataFrame, ratio: np.ndarray, k: int | None = None, tolerance
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     scored = docs.mapInArrow(_scorer(ratio), f"{fields}, log_weight double")
     unit = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    exponent = power * F.least(F.lit(0.0), F.col("log_weight") + tolerance)
+    exponent = F.when(F.col("log_weight").isNotNull(), power * F.least(F.lit(0.0), F.col("log_weight") + tolerance))
     keyed = scored.withColumn("_key", exponent - F.log(-F.log(unit)))
     slim = cut(keyed.select(exponent.alias("_exponent"), "_key"))
     if k is None:

@@ -48,7 +48,7 @@ def _joined(labels: Column) -> Column:
 
 
 def _phrase_at(ws: list[str]):
-    return lambda i: reduce(Column.__and__, [F.get("_w", i + k) == w for k, w in enumerate(ws)])
+    return lambda i: reduce(Column.__and__, [F.get("_scan_w", i + k) == w for k, w in enumerate(ws)])
 
 
 def _ints(values) -> Column:
@@ -106,44 +106,44 @@ def scan(rows: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
 
     out = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
     kept = [c for c in rows.columns if c not in (*out, text)]
-    df = rows.select(*kept, words(F.col(text)).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
+    df = rows.select(*kept, words(F.col(text)).alias("_scan_w")).withColumn("n_words", F.size("_scan_w").cast("long"))
 
     places, labelled = [], []
     for phrase, label in phrases.items():
         ws = phrase.split()
         there = F.lit(True)
         for w in sorted(ws, key=len, reverse=True):
-            there = there & F.array_contains("_w", w)
-        starts = F.when(there & (F.size("_w") >= len(ws)),
-                        F.filter(F.sequence(F.lit(0), F.size("_w") - len(ws)), _phrase_at(ws))).otherwise(F.array().cast("array<int>"))
+            there = there & F.array_contains("_scan_w", w)
+        starts = F.when(there & (F.size("_scan_w") >= len(ws)),
+                        F.filter(F.sequence(F.lit(0), F.size("_scan_w") - len(ws)), _phrase_at(ws))).otherwise(F.array().cast("array<int>"))
         places.append(starts)
         labelled.append(label)
-    df = df.withColumn("_places", F.array(*places) if places else F.array().cast("array<array<int>>"))
+    df = df.withColumn("_scan_places", F.array(*places) if places else F.array().cast("array<array<int>>"))
 
     # blocks that hold a prefix token of some template
     need = {t: math.ceil(containment * len(ws) - 1e-9) for t, ws in token_lists.items()}
     in_order = {t: sorted(order[w] for w in ws) for t, ws in token_lists.items()}
     firsts = sorted({w for t, ws in token_lists.items() for w in ws if order[w] in in_order[t][:len(ws) - need[t] + 1]})
-    hits = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull())
+    hits = F.filter(F.transform("_scan_w", lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull())
     step = longest
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(
         hits, lambda i: F.array(F.floor(i / step).cast("int"), F.greatest(F.lit(0), F.floor(i / step).cast("int") - 1))))))
-    df = df.withColumn("_b", numbers if firsts else F.array().cast("array<int>"))
+    df = df.withColumn("_scan_b", numbers if firsts else F.array().cast("array<int>"))
     tokens = lambda b: F.array_sort(F.array_distinct(F.transform(
-        F.filter(F.slice("_w", b * step + 1, 2 * step), lambda w: w.isin(vocabulary)), lambda w: F.element_at(ranked, w))))
-    df = df.withColumn("_blocks", F.transform("_b", lambda b: F.struct((b * step).alias("first_word"), tokens(b).alias("tokens")))
+        F.filter(F.slice("_scan_w", b * step + 1, 2 * step), lambda w: w.isin(vocabulary)), lambda w: F.element_at(ranked, w))))
+    df = df.withColumn("_scan_blocks", F.transform("_scan_b", lambda b: F.struct((b * step).alias("first_word"), tokens(b).alias("tokens")))
                        if firsts else F.array().cast("array<struct<first_word:int,tokens:array<int>>>"))
-    matches = [F.transform(F.filter("_blocks", _meets(in_order[t], need[t])), _match(in_order[t], label))
+    matches = [F.transform(F.filter("_scan_blocks", _meets(in_order[t], need[t])), _match(in_order[t], label))
                for t, label in templates.items()]
     empty = F.array().cast("array<struct<first_word:bigint,label:string,share:double>>")
     df = df.withColumn("blocks", F.array_sort(F.flatten(F.array(*matches))) if matches else empty)
 
-    flat = F.flatten("_places")
-    base = F.filter(F.array(*[F.when(F.size(F.col("_places")[i]) > 0, F.lit(v)) for i, v in enumerate(labelled)]),
+    flat = F.flatten("_scan_places")
+    base = F.filter(F.array(*[F.when(F.size(F.col("_scan_places")[i]) > 0, F.lit(v)) for i, v in enumerate(labelled)]),
                     lambda v: v.isNotNull()) if labelled else _strings([])
-    return df.withColumn("_base", base).select(
+    return df.withColumn("_scan_base", base).select(
         *kept, "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"),
-        F.array_max(flat).cast("long").alias("last_word"), _joined(F.col("_base")).alias("base_labels"),
-        _joined(F.concat("_base", F.transform("blocks", lambda b: b.label))).alias("labels"),
+        F.array_max(flat).cast("long").alias("last_word"), _joined(F.col("_scan_base")).alias("base_labels"),
+        _joined(F.concat("_scan_base", F.transform("blocks", lambda b: b.label))).alias("labels"),
         F.when(F.size(flat) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b.share)), F.lit(0.0))).alias("score"),
         "blocks")

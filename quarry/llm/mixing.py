@@ -141,9 +141,10 @@ def apply_mix(docs: DataFrame, weight: Column | None = None, **options) -> DataF
     th = F.xxhash64("text")
     sized = docs.select("doc_id", "source", th.alias("th"), word_count(F.col("text")).alias("size"))
     taken = mix(sized, weight, also=("th",), **options).groupBy(F.col("doc_id").alias("id"), "th").agg(
-        (F.sum("taken") / F.sum("size")).alias("passes"))
+        F.try_divide(F.sum("taken"), F.sum("size")).alias("passes"))
     chance = _number(_digest(F.col("id"), F.col("th")), 12) / float(1 << 48)
     copies = taken.select("id", "th", F.floor(F.col("passes") + chance).cast("int").alias("copies")).where("copies > 0")
+    copies = copies.select(F.col("id").alias("_id"), F.col("th").alias("_of"), F.col("copies").alias("_copies"))
     keyed = docs.withColumn("_th", th)
-    both = keyed.join(copies, keyed.doc_id.eqNullSafe(copies.id) & (keyed._th == copies.th))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    both = keyed.join(copies, keyed.doc_id.eqNullSafe(copies._id) & (keyed._th == copies._of))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -366,7 +366,7 @@ def q_next_scan_state(spark, sf):
     fp = DICT.fingerprint()
     state = I.state_from_listing(old, fp)
     ch = I.changed_files(new, state, fp)
-    nxt = I.next_state(state, ch, fp)
+    nxt = I.next_state(state, ch, fp, new)
     return nxt.select("path", corpus.ntz_micros(F.col("mtime")).alias("mtime_us"), "size")
 
 
@@ -396,7 +396,7 @@ def q_stream_scan(spark, sf):
 def q_stream_group_totals(spark, sf):
     base = _scratch(spark, "stream-totals")
     facts = match_dictionary(_docs_from_stream(I.table_stream(spark, sf, "documents")), DICT,
-                             keys=["display_path"], spread=False, split_chars=None)
+                             keys=["display_path"], spread=False)
     name = "quarry_group_totals_" + base.rsplit("-", 1)[-1]
     q = (I.stream_group_totals(facts).writeStream.outputMode("complete").format("memory")
          .queryName(name).option("checkpointLocation", f"{base}/checkpoint")

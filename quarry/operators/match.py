@@ -18,12 +18,10 @@ Two physical forms, same results:
   borders, exploded into facts.  Stays in whole-stage codegen; its cost
   grows with the dictionary, so it is meant for small ones.
 
-Scale: a text longer than ``split_chars`` is cut into windows that overlap
-by the longest keyword; a hit is counted only in the window where it
-starts, so the split is exact.  Texts are read once: windows are cut in
-place and summed inside the map job (memory per task is bounded by the
-window); only a coarse input (fewer files than cores) is redistributed,
-by row key, which keeps a row's windows together.
+Scale: a text is normalised whole and walked once, in time linear in its
+length, inside the map job; a task holds one text and its normal form beside the
+Arrow batch.  Only a coarse input (fewer files than cores) is redistributed,
+by row key.
 """
 
 from __future__ import annotations
@@ -34,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quarry.functions.text import (boundary_regex, casefold_col, is_word_char,
                                    overlap_count_regex)
@@ -45,8 +44,6 @@ FACT_FIELDS = [
     T.StructField("count", T.LongType(), False),
 ]
 
-# A text longer than this is matched in overlapping windows (1 MiB of characters).
-DEFAULT_SPLIT_CHARS = 1 << 20
 # The native form builds one expression per keyword; beyond this the automaton is used.
 NATIVE_MAX_ENTRIES = 256
 
@@ -154,12 +151,10 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
                spec, newline_fix: bool, windowed: bool, within: bool = False):
     """The per-partition function of the automaton form.
 
-    Windowed rows carry ``_pre``/``_post`` context and a ``_cross`` flag: only
+    Windowed rows (unit seams) carry ``_pre``/``_post`` context and a ``_cross`` flag: only
     hits that start inside the body count, and with ``_cross`` only those
     that also reach into ``_post`` (hits spanning a unit seam).  Consecutive
-    windows of the same row (same keys) are summed before they are emitted,
-    also across Arrow batches, so a text cut in place gives one fact per
-    (row, group, keyword) without any re-aggregation.
+    rows with the same keys are summed before they are emitted, also across Arrow batches.
     """
     emit = spec[2]
     count = hit_counter(spec, mode, case_sensitive, newline_fix)
@@ -214,30 +209,6 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
     return run
 
 
-def _windows(df: DataFrame, text_col: str, keys: Sequence[str], size: int,
-             pre: int, post: int) -> DataFrame:
-    """Cut each text into ``size``-char bodies with ``pre``/``post`` context, in place.
-
-    A text of at most ``size`` characters stays one window (no copy); the
-    windows of one text are consecutive rows of the same partition.
-    """
-    n = F.length(text_col)
-    last = F.greatest(F.floor((n - 1) / size).cast("int"), F.lit(0))
-    w = df.select(*keys, text_col, F.explode(F.sequence(F.lit(0), last)).alias("_chunk"),
-                  (n > size).alias("_long"))
-    s = F.col("_chunk") * size  # 0-based body start
-    pre_start = F.greatest(s - pre, F.lit(0))
-    long = F.col("_long")
-    return w.select(
-        *keys, "_chunk",
-        F.when(long, F.substring(text_col, pre_start + 1, (s - pre_start).cast("int"))).otherwise(F.lit(""))
-        .alias("_pre"),
-        F.when(long, F.substring(text_col, s + 1, size)).otherwise(F.col(text_col)).alias(text_col),
-        F.when(long, F.substring(text_col, s + size + 1, post)).otherwise(F.lit("")).alias("_post"),
-        F.lit(False).alias("_cross"),
-    )
-
-
 SPREAD_MAX_BYTES_PER_CORE = 128 << 20
 SPREAD_MIN_BYTES = 4 << 20   # below this one task is quicker than an extra shuffle stage
 
@@ -288,22 +259,17 @@ def _reduce_facts(facts: DataFrame, keys: Sequence[str], mode: str) -> DataFrame
 
 def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequence[str],
                 text_col: str = "text", mode: str = "dictionary", case_sensitive: bool = False,
-                method: str = "automaton", split_chars: int | None = DEFAULT_SPLIT_CHARS,
-                spread: bool | int = True) -> DataFrame:
+                method: str = "automaton", spread: bool | int = True) -> DataFrame:
     """Facts ``(keys..., keyword_group, keyword, count)`` for every row of ``units``.
 
-    ``keys`` must identify a row when texts may be split (they are summed
-    back per key).  ``count`` is the overlapping hit count (dictionary mode)
-    or 1 (boundary mode); rows without hits produce no facts.  ``spread``
+    ``count`` is the overlapping hit count (dictionary mode) or 1 (boundary
+    mode); rows without hits produce no facts.  Boundary mode reads texts with
+    universal newlines, as a file opened as text is.  ``spread``
     (default: automatic, see :func:`spread_target`) hash-distributes the
     rows first when the input has fewer files than cores.
     """
     keys = list(keys)
     n_spread = spread_target(units) if spread is True else int(spread or 0)
-    newline_fix = mode == "boundary" and any(
-        ("\r" in low) for _, _, low in dictionary.boundary_entries())
-    if newline_fix:
-        units = units.withColumn(text_col, F.regexp_replace(text_col, "\r\n?", "\n"))
     if method == "native" and len(dictionary.entries) > NATIVE_MAX_ENTRIES:
         method = "automaton"   # one projection per keyword stops paying off; same results
     if method == "native":
@@ -316,24 +282,9 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
     spec = plan_spec(dictionary, mode, case_sensitive)
     schema = _fact_schema(units, keys)
     slim = units.select(*keys, text_col)
-    if not split_chars:
-        if n_spread:
-            slim = slim.repartition(n_spread, *keys)
-        return slim.mapInPandas(
-            _count_job(keys, text_col, mode, case_sensitive, spec, newline_fix, False), schema)
-    # one scan: every text flows through the same windows; only rows longer
-    # than split_chars are actually cut (exact: a hit counts in its start window)
-    longest = max(len(w) for w in spec[1])
-    win = _windows(slim, text_col, keys, split_chars,
-                   pre=1 if mode == "boundary" else 0,
-                   post=longest if mode == "boundary" else longest - 1)
     if n_spread:
-        # coarse input: spread rows by key; the windows of one text come from
-        # one map task and stay consecutive in one reducer, so they are still
-        # summed inside the map job below
-        win = win.repartition(n_spread, *keys)
-    return win.mapInPandas(
-        _count_job(keys, text_col, mode, case_sensitive, spec, newline_fix, True), schema)
+        slim = slim.repartition(n_spread, *keys)
+    return slim.mapInPandas(_count_job(keys, text_col, mode, case_sensitive, spec, mode == "boundary", False), schema)
 
 
 # ---------------------------------------------------------------- native form
@@ -354,7 +305,7 @@ def _native(units: DataFrame, dictionary: KeywordDictionary, keys: list, text_co
         return hits.select(*keys, F.explode("_m.groups").alias("keyword_group"),
                            F.col("_m.keyword").alias("keyword"), F.col("_m.count").alias("count"))
     entries = dictionary.boundary_entries()
-    staged = units.select(*keys, F.lower(text_col).alias("_t"))
+    staged = units.select(*keys, F.lower(F.regexp_replace(text_col, "\r\n?", "\n")).alias("_t"))
     cand = [F.when((F.instr("_t", low) > 0) & F.col("_t").rlike(boundary_regex(low)),
                    F.struct(F.lit(g).alias("keyword_group"), F.lit(kw).alias("keyword")))
             for g, kw, low in entries]
@@ -383,33 +334,16 @@ def roll_up(facts: DataFrame, keys: Sequence[str], mode: str = "dictionary") ->
     return _reduce_facts(facts, list(keys), mode)
 
 
-def _following(base: DataFrame, file_keys: list, need: int) -> DataFrame:
-    """Per unit i: the first ``need`` characters after it (of units i+1, i+2, ... joined).
-
-    Pointer jumping: head(k, 2m) = left(head(k, m) + head(k+m, m), need), so
-    log2(need) equi-joins on (file, idx) replace any per-file collection.
-    """
-    head = base.select(*file_keys, "_i", F.left("_t", F.lit(need)).alias("_h"))
-    m = 1
-    while m < need:
-        nxt = head.select(*file_keys, (F.col("_i") - m).alias("_i"), F.col("_h").alias("_h2"))
-        head = (head.join(nxt, file_keys + ["_i"], "left")
-                .select(*file_keys, "_i",
-                        F.left(F.concat(F.col("_h"), F.coalesce("_h2", F.lit(""))), F.lit(need)).alias("_h")))
-        m *= 2
-    return head.select(*file_keys, (F.col("_i") - 1).alias("_i"), F.col("_h").alias("_post"))
-
-
 def match_file_scope(units: DataFrame, dictionary: KeywordDictionary, *, file_keys: Sequence[str],
                      idx_col: str = "unit_idx", text_col: str = "text", mode: str = "dictionary",
                      case_sensitive: bool = False, **kw) -> DataFrame:
     """M5 file scope: units of a file matched as one text joined with ''.
 
-    ``idx_col`` numbers the non-empty units of a file 0, 1, 2, ...  Hits
+    ``idx_col`` orders the units of a file; gaps and empty units do not matter.  Hits
     inside a unit come from the unit match; hits across a seam come from one
-    seam row per unit boundary: the last L-1 characters of unit i plus the
-    characters after it, gathered by pointer jumping — log2(L) equi-joins
-    on (file, idx) — so no file's units are ever collected into one task.
+    seam row per unit: its last L-1 characters plus the characters after it.
+    Those come from one window over the units' first and last characters
+    (never their texts), whatever the longest keyword's length L.
     In boundary mode every unit also gets the neighbouring characters as
     context (a word border depends on them), and seams one more character.
     """
@@ -417,38 +351,33 @@ def match_file_scope(units: DataFrame, dictionary: KeywordDictionary, *, file_ke
     row_keys = file_keys + [idx_col]
     boundary = mode == "boundary"
     spec = plan_spec(dictionary, mode, case_sensitive)
-    longest = max(len(w) for w in spec[1])
-    base = units.select(*file_keys, F.col(idx_col).cast("long").alias("_i"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    need = max(len(w) for w in spec[1]) - 1
+    reach = need + 1 if boundary else need
+    text = F.regexp_replace(text_col, "\r\n?", "\n") if boundary else F.col(text_col)
+    base = units.select(*row_keys, text.alias(text_col)).where(F.length(text_col) > 0)
+    t = F.col(text_col)
+    ends = base.select(*row_keys, F.left(t, F.lit(reach + 1)).alias("_head"), F.right(t, F.lit(need)).alias("_tail"),
+                       F.when(F.length(t) > need, F.substring(t, F.length(t) - need, 1)).alias("_own"),
+                       F.right(t, F.lit(1)).alias("_last"))
+    w = Window.partitionBy(*file_keys).orderBy(idx_col)
+    after = F.array_join(F.collect_list("_head").over(w.rowsBetween(1, reach + 1)), "")
+    ends = ends.select(*row_keys, "_tail", "_own", F.left(after, F.lit(reach + 1)).alias("_after"),
+                       F.coalesce(F.lag("_last").over(w), F.lit("")).alias("_prev"))
     if boundary:
-        prev_last = base.select(*file_keys, (F.col("_i") + 1).alias("_i"), F.right("_t", F.lit(1)).alias("_prev"))
-        ctx = (base.join(prev_last, file_keys + ["_i"], "left")
-               .join(_following(base, file_keys, 1), file_keys + ["_i"], "left"))
-        rows = ctx.select(*file_keys, F.col("_i").alias(idx_col), F.coalesce("_prev", F.lit("")).alias("_pre"),
-                          F.col("_t").alias(text_col), F.coalesce("_post", F.lit("")).alias("_post"),
-                          F.lit(False).alias("_cross"))
+        rows = (base.join(ends.select(*row_keys, "_prev", F.left("_after", F.lit(1)).alias("_post")), row_keys)
+                .select(*row_keys, F.col("_prev").alias("_pre"), text_col, "_post", F.lit(False).alias("_cross")))
         # neighbours' characters are context only: hits that cross a seam come from the seam rows
         inside = rows.mapInPandas(_count_job(row_keys, text_col, mode, case_sensitive, spec, False, True,
                                              within=True), _fact_schema(rows, row_keys))
     else:
-        inside = match_units(units, dictionary, keys=row_keys, text_col=text_col,
+        inside = match_units(base, dictionary, keys=row_keys, text_col=text_col,
                              mode=mode, case_sensitive=case_sensitive, **kw)
-    need = longest - 1
     if need <= 0:
         return roll_up(inside, file_keys, mode)
-    follow = _following(base, file_keys, need + 1 if boundary else need)
-    tail = F.right("_t", F.lit(need))
-    if boundary:
-        # the character before the seam body: inside unit i, or the previous unit's last one
-        before = F.when(F.length("_t") > need, F.substring("_t", F.length("_t") - need, 1)) \
-            .otherwise(F.coalesce("_prev", F.lit("")))
-        prev_last = base.select(*file_keys, (F.col("_i") + 1).alias("_i"), F.right("_t", F.lit(1)).alias("_prev"))
-        seam_base = base.join(prev_last, file_keys + ["_i"], "left").select(
-            *file_keys, "_i", before.alias("_pre"), tail.alias(text_col))
-    else:
-        seam_base = base.select(*file_keys, "_i", F.lit("").alias("_pre"), tail.alias(text_col))
-    seams = (seam_base.join(follow, file_keys + ["_i"], "inner")
-             .select(*file_keys, F.col("_i").alias(idx_col), "_pre", text_col, "_post", F.lit(True).alias("_cross")))
+    before = F.coalesce("_own", "_prev") if boundary else F.lit("")
+    seams = (ends.where("_after <> ''")
+             .select(*row_keys, before.alias("_pre"), F.col("_tail").alias(text_col),
+                     F.left("_after", F.lit(reach)).alias("_post"), F.lit(True).alias("_cross")))
     seam_facts = seams.mapInPandas(
         _count_job(row_keys, text_col, mode, case_sensitive, spec, False, True), _fact_schema(seams, row_keys))
     return roll_up(inside.unionByName(seam_facts), file_keys, mode)

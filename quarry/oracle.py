@@ -161,12 +161,15 @@ BENCH_DICT = """bw AS (
 bdict AS (SELECT keyword_group, keyword, pos, norm, arg_min(keyword, pos) OVER (PARTITION BY norm) AS display FROM bw)"""
 
 SNAPS = """ev AS (SELECT user_id, ts FROM events),
-med AS (SELECT quantile_disc(epoch_us(ts), 0.5) AS m FROM ev),
+mid AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS m FROM ev),
 old AS (SELECT 'users/' || CAST(user_id AS VARCHAR) || '.log' AS path, epoch_us(max(ts)) AS mtime_us,
                CAST(count(*) AS BIGINT) AS size
-        FROM ev WHERE epoch_us(ts) < (SELECT m FROM med) GROUP BY user_id),
-new AS (SELECT 'users/' || CAST(user_id AS VARCHAR) || '.log' AS path, epoch_us(max(ts)) AS mtime_us,
-               CAST(count(*) AS BIGINT) AS size FROM ev GROUP BY user_id),
+        FROM ev WHERE epoch_us(ts) < (SELECT m FROM mid) GROUP BY user_id),
+new AS (SELECT 'users/' || CAST(user_id AS VARCHAR) || '.log' AS path,
+               CASE WHEN user_id % 7 = 0 THEN epoch_us(min(ts)) ELSE epoch_us(max(ts)) END AS mtime_us,
+               CAST(CASE WHEN user_id % 35 = 0 THEN count(*) FILTER (WHERE epoch_us(ts) < (SELECT m FROM mid))
+                         ELSE count(*) END AS BIGINT) AS size
+        FROM ev WHERE user_id % 11 <> 0 GROUP BY user_id),
 changed AS (SELECT * FROM new ANTI JOIN old USING (path, mtime_us, size))"""
 
 
@@ -445,9 +448,8 @@ k AS (SELECT rk.*, off.o + rk.rr AS k, regexp_extract(rk.name, '[^/](\\.[^./]+)$
         "SELECT keyword_group, count(DISTINCT display_path) AS files FROM f GROUP BY 1"
     # ---------------------------------------------------------- incremental
     q["changed_files"] = with_(SNAPS) + "SELECT path, mtime_us, size FROM changed"
-    q["next_scan_state"] = with_(SNAPS) + (
-        "SELECT path, max(mtime_us) AS mtime_us, arg_max(size, mtime_us) AS size FROM "
-        "(SELECT * FROM old UNION ALL SELECT * FROM changed) GROUP BY 1")
+    # all that changed was read, and nothing else is left: the state is the new listing
+    q["next_scan_state"] = with_(SNAPS) + "SELECT path, mtime_us, size FROM new"
     return q
 
 

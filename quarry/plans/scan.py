@@ -39,8 +39,7 @@ def _ensure(df: DataFrame, name: str, value) -> DataFrame:
 
 
 def scan(units: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictionary",
-         run_id: int = 1, case_sensitive: bool = False, method: str = "automaton",
-         split_chars: int | None = None) -> ScanResult:
+         run_id: int = 1, case_sensitive: bool = False, method: str = "automaton") -> ScanResult:
     """Match ``units`` and build the ``files`` and ``matches`` tables of one run.
 
     ``units`` has the evidence columns (``META`` plus ``mtime``), ``text``,
@@ -50,11 +49,10 @@ def scan(units: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictio
     units = _ensure(units, "error", F.lit(""))
     units = _ensure(units, "mtime", F.lit(None).cast("timestamp"))
     multi = "unit_idx" in units.columns
-    kw = {} if split_chars is None else {"split_chars": split_chars}
     ok = units.where(F.col("error") == "")
     if multi:
         unit_facts = match_units(ok, dictionary, keys=META + ["unit_idx"], mode=mode,
-                                 case_sensitive=case_sensitive, method=method, **kw)
+                                 case_sensitive=case_sensitive, method=method)
         facts = roll_up(unit_facts, META, mode)
         files = (units.groupBy(*META)
                  .agg(F.max("mtime").alias("mtime"),
@@ -62,7 +60,7 @@ def scan(units: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictio
                       F.max("error").alias("error")))
     else:
         facts = match_units(ok, dictionary, keys=META, mode=mode,
-                            case_sensitive=case_sensitive, method=method, **kw)
+                            case_sensitive=case_sensitive, method=method)
         files = units.select(*META, "mtime",
                              F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes_read"),
                              "error")

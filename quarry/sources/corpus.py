@@ -115,18 +115,23 @@ def props(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two listings from ``events``: path = user, mtime = last event, size = events.
 
-    ``old`` covers events before the median timestamp, ``new`` all events.
+    ``old`` covers the first half of the time span.  ``new`` covers all events;
+    there every seventh user's file was restored with its first event's time (an older mtime), every fifth of
+    these with the old size too, and every eleventh user's file is gone.
     """
     # ts is TIMESTAMP_NTZ; compared as microseconds since 1970 (no time zone involved)
     e = table(spark, sf_dir, "events").select("user_id", "ts", ntz_micros(F.col("ts")).alias("ts_us"))
     # scalar subquery: one value, no join
-    median = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ts_us)")).scalar()
+    middle = e.agg(F.expr("(min(ts_us) + max(ts_us)) div 2")).scalar()
 
-    def listing(df: DataFrame) -> DataFrame:
-        return (df.groupBy("user_id")
-                .agg(F.max("ts").alias("mtime"), F.count(F.lit(1)).alias("size"))
-                .select(F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit(".log")).alias("path"),
+    def listing(df: DataFrame, mtime, size) -> DataFrame:
+        return (df.groupBy("user_id").agg(mtime.alias("mtime"), size.alias("size"))
+                .select("user_id", F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit(".log")).alias("path"),
                         "mtime", F.col("size").cast("bigint").alias("size")))
 
-    old = e.where(F.col("ts_us") < median)
-    return listing(old), listing(e)
+    u = F.any_value("user_id")
+    old = listing(e.where(F.col("ts_us") < middle), F.max("ts"), F.count(F.lit(1)))
+    new = listing(e.withColumn("first_half", F.col("ts_us") < middle),
+                  F.when(u % 7 == 0, F.min("ts")).otherwise(F.max("ts")),
+                  F.when(u % 35 == 0, F.count_if("first_half")).otherwise(F.count(F.lit(1)))).where("user_id % 11 <> 0")
+    return old.drop("user_id"), new.drop("user_id")

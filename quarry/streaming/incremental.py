@@ -3,8 +3,8 @@
 Batch (I1): the listing is anti-joined with the scan state on
 (path, mtime, size) for the current dictionary fingerprint, so unchanged
 files are skipped before their content is read and a changed dictionary
-rescans everything.  The next state keeps, per path, the latest listing
-row of every file scanned without error.
+rescans everything.  The next state keeps, per path, what the newest scan
+read without error, and drops paths that are gone.
 
 Streaming (I2/I3): Spark's file source picks up new files; each
 micro-batch is matched in ``foreachBatch`` and appended to the fact and
@@ -33,18 +33,23 @@ def changed_files(listing: DataFrame, state: DataFrame, fingerprint: str) -> Dat
     return listing.join(current, ["path", "mtime", "size"], "left_anti")
 
 
-def next_state(state: DataFrame, scanned: DataFrame, fingerprint: str) -> DataFrame:
-    """State after a scan — per path the latest row; failed files are not marked done.
+def next_state(state: DataFrame, scanned: DataFrame, fingerprint: str, listing: DataFrame | None = None) -> DataFrame:
+    """State after a scan — per path what was scanned last, whatever its mtime.
 
+    A scanned row replaces the path's old row, so a restored older file is
+    done as well; a file that failed loses its row and is tried again.  Paths that ``listing``
+    (the current ``path`` column) no longer holds leave the state.
     An aggregate (``max_by``) per path, not a window: combined map-side.
     """
-    ok = scanned.where(F.col("error") == "") if "error" in scanned.columns else scanned
-    new = ok.select("path", "mtime", "size", F.lit(fingerprint).alias("dict_fingerprint"))
-    both = state.select(*STATE_COLUMNS).unionByName(new)
-    best = both.groupBy("path").agg(
-        F.max_by(F.struct("mtime", "size", "dict_fingerprint"),
-                 F.struct("mtime", F.col("dict_fingerprint") == fingerprint)).alias("s"))
-    return best.select("path", "s.mtime", "s.size", "s.dict_fingerprint")
+    done = F.col("error") == "" if "error" in scanned.columns else F.lit(True)
+    new = scanned.select("path", "mtime", "size", F.lit(fingerprint).alias("dict_fingerprint"),
+                         F.lit(1).alias("scan"), done.alias("done"))
+    old = state.select(*STATE_COLUMNS, F.lit(0).alias("scan"), F.lit(True).alias("done"))
+    best = old.unionByName(new).groupBy("path").agg(
+        F.max_by(F.struct("mtime", "size", "dict_fingerprint", "done"), F.struct("scan", "mtime", "size")).alias("s"))
+    if listing is not None:
+        best = best.join(listing.select("path").distinct(), "path", "left_semi")
+    return best.where("s.done").select("path", "s.mtime", "s.size", "s.dict_fingerprint")
 
 
 def stream_scan(spark: SparkSession, source_dir: str, handle_batch: Callable[[DataFrame, int], None],

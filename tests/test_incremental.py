@@ -20,7 +20,7 @@ def test_changed_plus_unchanged_is_new_listing(spark):
     changed = I.changed_files(new, state, fp)
     unchanged = new.join(changed.select("path"), "path", "left_anti")
     assert changed.count() + unchanged.count() == new.count()
-    nxt = I.next_state(state, changed, fp)
+    nxt = I.next_state(state, changed, fp, new)
     assert sorted(map(tuple, nxt.select("path", "mtime", "size").collect())) == \
         sorted(map(tuple, new.select("path", "mtime", "size").collect()))
     # second pass over the same listing: nothing changed
@@ -37,6 +37,25 @@ def test_failed_files_are_not_marked_done(spark):
     assert [r["path"] for r in nxt.collect()] == ["a"]
 
 
+def test_newest_scan_wins_whatever_the_mtime(spark):
+    rows = [("older", 50, 9), ("same", 100, 7), ("kept", 100, 1), ("gone", 100, 1)]
+    cols = "path string, mtime long, size long"
+    state = I.state_from_listing(spark.createDataFrame([(p, 100, 1) for p, *_ in rows], cols), "fp")
+    listing = spark.createDataFrame(rows[:3], cols)
+    changed = I.changed_files(listing, state, "fp")
+    assert sorted(r.path for r in changed.collect()) == ["older", "same"]
+    nxt = I.next_state(state, changed, "fp", listing)
+    assert sorted((r.path, r.mtime, r.size) for r in nxt.select("path", "mtime", "size").collect()) == sorted(rows[:3])
+    assert I.changed_files(listing, nxt, "fp").count() == 0
+
+
+def test_a_changed_file_that_fails_is_tried_again(spark):
+    cols = "path string, mtime long, size long"
+    state = I.state_from_listing(spark.createDataFrame([("a", 1, 1)], cols), "fp")
+    failed = spark.createDataFrame([("a", 2, 1)], cols).withColumn("error", F.lit("boom"))
+    assert I.next_state(state, failed, "fp").count() == 0
+
+
 def test_stream_twice_adds_nothing(spark):
     src = tempfile.mkdtemp(prefix="quarry-stream-src-")
     shutil.copy(f"{SF001}/documents.parquet", os.path.join(src, "documents.parquet"))

@@ -136,30 +136,49 @@ def _brute_count(text, kw):
     return sum(1 for i in range(len(text)) if text.startswith(kw, i))
 
 
-def test_split_windows_are_exact(spark):
-    """Long texts cut into small windows give the same facts as whole texts."""
+def test_spread_rows_give_the_same_facts(spark):
     docs = corpus.docs(spark, SF01)
     keys = ["display_path"]
     for mode in ["dictionary", "boundary"]:
-        whole = match_units(docs, DICT, keys=keys, mode=mode, split_chars=None)
-        a = sorted(tuple(r) for r in whole.collect())
-        # rows spread by key (explicitly: sf0.01 is below the automatic threshold) and left in place
-        for spread in [8, False]:
-            cut = match_units(docs, DICT, keys=keys, mode=mode, split_chars=257, spread=spread)
-            b = sorted(tuple(r) for r in cut.collect())
-            assert a == b, (mode, spread)
-
-
-def test_windows_accumulate_across_arrow_batches(spark):
-    """Windows of one text that straddle Arrow batch borders are still summed to one fact."""
+        a = sorted(tuple(r) for r in match_units(docs, DICT, keys=keys, mode=mode, spread=False).collect())
+        b = sorted(tuple(r) for r in match_units(docs, DICT, keys=keys, mode=mode, spread=8).collect())
+        assert a == b, mode
+
+
+def test_long_texts_final_sigma_and_linear_time(spark):
+    """A capital sigma keeps its neighbours; 16 Mi characters take about four times as long as 4 Mi."""
+    import time
+    d = KeywordDictionary({"G": ["ΟΣΑ", "needle"]})
+    text = "x" * (1 << 20) + " ΟΣΑ " + "y" * (1 << 20) + "ΟΣ needle"
+    got = _counts(match_dictionary(_texts(spark, [text]), d, keys=["id"], spread=False))
+    assert got == {(0, "ΟΣΑ"): 1, (0, "needle"): 1}
+    times = []
+    for n in (4 << 20, 16 << 20):
+        df = spark.range(1).selectExpr("id", f"repeat('abcd efg', {n // 8}) AS text")
+        match_dictionary(df, d, keys=["id"], spread=False).count()
+        t = time.time()
+        assert match_dictionary(df, d, keys=["id"], spread=False).count() == 0
+        times.append(time.time() - t)
+    assert times[1] < 10 * times[0] + 2
+
+
+def test_facts_accumulate_across_arrow_batches(spark):
+    """Rows of one key that straddle Arrow batch borders are summed to one fact."""
     d = KeywordDictionary({"G": ["ab"]})
-    df = _texts(spark, ["ab" * 500, "xab" * 300, ""]).coalesce(1)
+    df = spark.createDataFrame([(0, "ab" * 5)] * 100 + [(1, "xab")] * 30, "id long, text string").coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = _counts(match_dictionary(df, d, keys=["id"], split_chars=10, spread=False))
+        got = _counts(match_dictionary(df, d, keys=["id"], spread=False))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    assert got == {(0, "ab"): 500, (1, "ab"): 300}
+    assert got == {(0, "ab"): 500, (1, "ab"): 30}
+
+
+def test_boundary_mode_reads_universal_newlines(spark):
+    d = KeywordDictionary({"G": ["foo\nbar"]})
+    df = _texts(spark, ["foo\r\nbar", "foo\rbar", "foo\nbar", "foo\n\nbar"])
+    for method in ("automaton", "native"):
+        assert set(_counts(match_boundary(df, d, keys=["id"], method=method))) == {(i, "foo\nbar") for i in range(3)}, method
 
 
 def test_random_against_python(spark):
@@ -204,5 +223,22 @@ def test_file_scope_both_modes_equal_joined_text(spark):
     joined = spark.createDataFrame(list(whole.items()), "file string, text string")
     for mode in ["dictionary", "boundary"]:
         got = sorted(map(tuple, match_file_scope(units, d, file_keys=["file"], mode=mode).collect()))
-        exp = sorted(map(tuple, match_units(joined, d, keys=["file"], mode=mode, split_chars=None).collect()))
+        exp = sorted(map(tuple, match_units(joined, d, keys=["file"], mode=mode).collect()))
         assert got == exp, mode
+
+
+def test_file_scope_ignores_index_gaps_and_empty_units(spark):
+    d = KeywordDictionary({"G": ["password"]})
+    rows = [("f", 0, "xpass"), ("f", 3, ""), ("f", 7, "word"), ("g", 1, "pass"), ("h", 2, "word")]
+    units = spark.createDataFrame(rows, "file string, unit_idx int, text string")
+    got = {r["file"]: r["count"] for r in match_file_scope(units, d, file_keys=["file"]).collect()}
+    assert got == {"f": 1}
+
+
+def test_file_scope_plan_does_not_grow_with_the_keyword(spark):
+    units = spark.createDataFrame([("f", i, "ab") for i in range(9)], "file string, unit_idx int, text string")
+    sizes = []
+    for n in (3, 200):
+        df = match_file_scope(units, KeywordDictionary({"G": ["ab" * n]}), file_keys=["file"])
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+    assert sizes[0] == sizes[1] and sizes[0] <= 3

@@ -81,5 +81,5 @@ def test_file_scope_equals_joined_text(spark, files, kws):
                                    "file string, text string")
     for mode in ("dictionary", "boundary"):
         got = sorted(map(tuple, match_file_scope(units, d, file_keys=["file"], mode=mode).collect()))
-        exp = sorted(map(tuple, match_units(joined, d, keys=["file"], mode=mode, split_chars=None).collect()))
+        exp = sorted(map(tuple, match_units(joined, d, keys=["file"], mode=mode).collect()))
         assert got == exp, mode

@@ -93,9 +93,11 @@ def group_report(facts: DataFrame, path_col: str = "display_path") -> DataFrame:
     per_group = group_matched_size(facts, path_col).select(
         "keyword_group", F.col("files").alias("group_files"), F.col("size_gb").alias("group_size_gb"))
     per_kw = files_per_keyword(facts, path_col).withColumnRenamed("files", "keyword_files")
-    index = keyword_file_index(facts, path_col)
-    return (per_kw.join(per_group, "keyword_group")
-            .join(index, "keyword")
+    # a hot keyword's paths are spread over salts; the small side is repeated for each
+    salts = 32
+    index = keyword_file_index(facts, path_col).withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)))
+    small = per_kw.join(per_group, "keyword_group").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return (small.join(index, ["keyword", "_salt"])
             .select("keyword_group", "group_files", "group_size_gb", "keyword", "keyword_files", "path"))
 
 

@@ -155,10 +155,10 @@ def _sanitize_path(p: str) -> str:
 
 BENCH_DICT = """bw AS (
   SELECT 'bench' || CAST(item_id % 3 AS VARCHAR) AS keyword_group, keyword,
-         CAST(item_id * 100000 + i AS BIGINT) AS pos, replace(lower(keyword), 'ß', 'ss') AS norm
+         item_id, CAST(i AS BIGINT) AS i, item_id * CAST(1000000000 AS BIGINT) + i AS pos, replace(lower(keyword), 'ß', 'ss') AS norm
   FROM (SELECT item_id, unnest(arr) AS keyword, generate_subscripts(arr, 1) - 1 AS i
         FROM (SELECT item_id, regexp_extract_all(text, '\\p{L}{6,}') AS arr FROM benchmark))),
-bdict AS (SELECT keyword_group, keyword, pos, norm, arg_min(keyword, pos) OVER (PARTITION BY norm) AS display FROM bw)"""
+bdict AS (SELECT keyword_group, keyword, item_id, i, pos, norm, arg_min(keyword, pos) OVER (PARTITION BY norm) AS display FROM bw)"""
 
 SNAPS = """ev AS (SELECT user_id, ts FROM events),
 mid AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS m FROM ev),
@@ -202,7 +202,7 @@ def _sql() -> dict[str, str]:
         f"SELECT source_path, CAST(CASE WHEN {_format_class('file_type', 'source_path')} = 'text' THEN strlen(text) "
         f"WHEN {_format_class('file_type', 'source_path')} = 'sniff' AND {_textual('text')} THEN strlen(text) "
         "ELSE 0 END AS INTEGER) AS bytes FROM docs")
-    q["dictionary_table"] = with_(BENCH_DICT) + "SELECT keyword_group, keyword, pos, norm, display FROM bdict"
+    q["dictionary_table"] = with_(BENCH_DICT) + "SELECT keyword_group, keyword, item_id, i AS pos, norm, display FROM bdict"
     q["dictionary_norm"] = with_(BENCH_DICT) + (
         "SELECT norm, array_to_string(list_sort(list_distinct(list(keyword_group))), ';') AS groups, "
         "arg_min(keyword, pos) AS display FROM bdict GROUP BY norm")
@@ -260,11 +260,19 @@ def _sql() -> dict[str, str]:
            || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS internal_path, text
   FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS pos,
                count(*) OVER (PARTITION BY bucket) AS n
-        FROM (SELECT *, CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents))
-  WHERE NOT (bucket % 2 = 0 AND bucket % 9 = 5)),
+        FROM (SELECT *, CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents))),
 mu AS (SELECT source_path, internal_path, source_path || '::' || internal_path AS display_path, text FROM members)"""
     q["archive_facts"] = with_(arch, _norm_values(DICT), dict_facts("mu", "display_path")) + \
         "SELECT display_path, keyword_group, keyword, count FROM f"
+    q["archive_members"] = with_(arch) + (
+        "SELECT source_path, internal_path, CAST(CASE WHEN internal_path LIKE 'inner/%' THEN 2 ELSE 1 END AS INTEGER) AS depth, "
+        "CAST(strlen(text) AS BIGINT) AS size FROM members UNION ALL "
+        "SELECT DISTINCT source_path, 'inner/nested.zip', 1, NULL FROM members WHERE source_path LIKE '%.zip'")
+    q["archive_files"] = with_(arch, _norm_values(DICT), dict_facts("mu", "display_path")) + (
+        "SELECT display_path, '.txt' AS file_type, CAST(strlen(text) AS BIGINT) AS size, CAST(strlen(text) AS BIGINT) AS bytes_read, "
+        "display_path IN (SELECT display_path FROM f) AS matched, '' AS error FROM mu UNION ALL "
+        "SELECT DISTINCT 'archives/' || CAST(floor(doc_id / 8) AS BIGINT) || '.zip::../escape.txt', '.txt', NULL, 0, false, "
+        "'unsafe member path' FROM documents WHERE CAST(floor(doc_id / 8) AS BIGINT) % 4 = 0")
     bad = """grp AS (SELECT DISTINCT CAST(floor(doc_id / 8) AS BIGINT) AS bucket FROM documents),
 errs AS (
   SELECT 'archives/' || CAST(bucket AS VARCHAR) || '.zip' AS source_path, '' AS internal_path,
@@ -425,7 +433,13 @@ cu AS (
     q["file_keys"] = with_(DOCS) + \
         "SELECT display_path, sha256(concat_ws(chr(0), '1', source_path, internal_path)) AS file_key FROM docs"
     q["group_copy_plan"] = with_(CONVS, _boundary_values(DICT), boundary_facts("convs", "display_path, internal_path"),
-                                 """r AS (SELECT DISTINCT keyword_group, display_path AS path, internal_path AS name FROM f),
+                                 """h AS (SELECT *, ('0x' || substr(md5(display_path), 1, 6))::BIGINT AS h FROM f),
+r AS (SELECT DISTINCT keyword_group, display_path AS path, CASE WHEN h % 3 = 0 THEN 't.txt'
+      WHEN h % 3 = 1 THEN 't_' || (h % 5) || '.txt' ELSE internal_path END AS name FROM h),
+top AS (SELECT keyword_group, regexp_extract(name, '^(.*)_\\d{1,9}(\\.[^./]+)?$', 1) AS stem,
+               regexp_extract(name, '_\\d{1,9}(\\.[^./]+)?$', 1) AS ext,
+               max(CAST(regexp_extract(name, '_(\\d{1,9})(\\.[^./]+)?$', 1) AS BIGINT)) AS top
+        FROM r WHERE regexp_matches(name, '_\\d{1,9}(\\.[^./]+)?$') GROUP BY ALL),
 b AS (SELECT *, ('0x' || substr(md5(path), 1, 6))::BIGINT % 16 AS b FROM r),
 rk AS (SELECT *, row_number() OVER (PARTITION BY keyword_group, name, b ORDER BY path) - 1 AS rr FROM b),
 cn AS (SELECT keyword_group, name, b, count(*) AS n FROM b GROUP BY ALL),
@@ -433,8 +447,10 @@ off AS (SELECT keyword_group, name, b, coalesce(sum(n) OVER (PARTITION BY keywor
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cn),
 k AS (SELECT rk.*, off.o + rk.rr AS k, regexp_extract(rk.name, '[^/](\\.[^./]+)$', 1) AS ext
       FROM rk JOIN off USING (keyword_group, name, b))""") + (
-        "SELECT keyword_group, path, keyword_group || '/' || CASE WHEN k = 0 THEN name "
-        "ELSE left(name, length(name) - length(ext)) || '_' || CAST(k AS VARCHAR) || ext END AS dest FROM k")
+        "SELECT k.keyword_group, path, k.keyword_group || '/' || CASE WHEN k = 0 THEN name "
+        "ELSE left(name, length(name) - length(k.ext)) || '_' || CAST(k + coalesce(top.top, 0) AS VARCHAR) || k.ext END AS dest "
+        "FROM k LEFT JOIN top ON top.keyword_group = k.keyword_group AND top.ext = k.ext "
+        "AND top.stem = left(name, length(name) - length(k.ext))")
     q["evidence_plan"] = with_(DOCS, CONVS, _norm_values(DICT), dict_facts("docs", META, name="fd"),
                                dict_facts("convs", META, name="fc")) + (
         f"SELECT display_path, 'evidence/' || {_sanitize_path('source_path')} AS dest FROM docs "

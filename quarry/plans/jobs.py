@@ -6,13 +6,13 @@
                      reports, group copy plan, incremental state.
 
 Both list the folder without reading content, drop the output folder and
-(for the incremental form) unchanged files, then fetch content only for
-what is left.  Python is used only inside the map jobs (containers and
+(for the incremental form) unchanged files; the tasks that scan the rest open the files.  Python is used only inside the map jobs (containers and
 the automaton); everything else is DataFrame work.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,13 +59,14 @@ def observed(files: DataFrame, name: str = "scan"):
         F.count_if(F.col("error") == "").alias("scanned"),
         F.count_if(F.col("matched")).alias("matched"),
         F.count_if(F.col("error") != "").alias("failed"),
+        F.count_if(F.col("internal_path") != "").alias("members"),
         F.coalesce(F.sum("bytes_read"), F.lit(0)).alias("bytes_read"))
     return df, obs
 
 
-def _contents(spark: SparkSession, data_root: str, listing: DataFrame, exclude: str | None) -> DataFrame:
-    full = S.read_contents(spark, data_root, listing, exclude=exclude)
-    return full.select(F.col("rel_path").alias("source_path"), "content", "mtime")
+def _named_files(listing: DataFrame) -> DataFrame:
+    """The listed files for a scan, which opens them inside its tasks."""
+    return listing.select(F.col("rel_path").alias("source_path"), "path", "size", "mtime")
 
 
 def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictionary, output: str, *,
@@ -74,13 +75,10 @@ def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictio
     """Scan ``data_root`` (second program): dictionary mode, containers, manifests, tables, summary."""
     if run_id is None:
         run_id = next_run(spark, output, data_root, dictionary.fingerprint(case_sensitive))
-    exclude = _inside(data_root, output)
-    listing = S.list_files(spark, data_root, exclude=exclude)
-    blobs = _contents(spark, data_root, listing, exclude)
-    r = scan_tree(blobs, dictionary, mode="dictionary", run_id=run_id,
-                  case_sensitive=case_sensitive, max_depth=max_depth, reliable=True)
-    import time
     started = time.time()
+    listing = S.list_files(spark, data_root, exclude=_inside(spark, data_root, output))
+    r = scan_tree(_named_files(listing), dictionary, mode="dictionary", run_id=run_id,
+                  case_sensitive=case_sensitive, max_depth=max_depth, reliable=True)
     copies = None
     if copy_plan:
         copies = K.evidence_plan(r.files.where("matched")).withColumnRenamed("dest", "copied_to")
@@ -88,7 +86,8 @@ def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictio
     files_obs, obs = observed(r.files)
     K.write_run(files_obs, r.facts, output)
     metrics = dict(obs.get)
-    elapsed = max(time.time() - started, 1e-3)
+    elapsed = max(time.time() - started, 1e-3)             # listing, reading and matching included
+    metrics["archives"] = S.with_format_class(listing, "rel_path").where("format_class = 'archive'").count()
     metrics["read_mb"] = metrics["bytes_read"] / (1024 * 1024)
     metrics["speed_mb_s"] = metrics["read_mb"] / elapsed
     metrics["matches"] = int(r.facts.groupBy("source_path", "internal_path", "keyword")
@@ -109,8 +108,8 @@ def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDicti
     always cover every file seen so far.
     """
     fp = dictionary.fingerprint(mode="boundary")
-    exclude = _inside(data_root, output)
-    listing = S.allow_listed(S.list_files(spark, data_root, exclude=exclude), path_col="rel_path")
+    listing = S.allow_listed(S.list_files(spark, data_root, exclude=_inside(spark, data_root, output)), path_col="rel_path")
+    present = listing.select(F.col("rel_path").alias("source_path"))
     state_path, scanned_path, facts_path = f"{output}/scan_state", f"{output}/scanned", f"{output}/facts"
     have_state = incremental and _exists(spark, state_path)
     run_id = next_run(spark, output, data_root, fp)
@@ -119,14 +118,13 @@ def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDicti
         keyed = listing.withColumnRenamed("path", "abs_path").withColumnRenamed("rel_path", "path")
         listing = (I.changed_files(keyed, state, fp)
                    .withColumnRenamed("path", "rel_path").withColumnRenamed("abs_path", "path"))
-    blobs = _contents(spark, data_root, listing, exclude)
-    r = scan_tree(blobs, dictionary, mode="boundary", run_id=run_id, max_depth=0, flavor="v1", reliable=True)
+    r = scan_tree(_named_files(listing), dictionary, mode="boundary", run_id=run_id, max_depth=0, flavor="v1", reliable=True)
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     r.facts.write.mode("overwrite").partitionBy("run_id").parquet(facts_path)
     (r.files.select("run_id", "source_path", "internal_path", "display_path", "file_type", "size",
                     "mtime", "bytes_read", "error")
      .write.mode("overwrite").partitionBy("run_id").parquet(scanned_path))
-    scanned = spark.read.parquet(scanned_path)
+    scanned = spark.read.parquet(scanned_path).join(present, "source_path", "left_semi")    # deleted files leave
     latest = scanned.groupBy("source_path").agg(F.max("run_id").alias("run_id"))
     files = scanned.join(latest, ["source_path", "run_id"])
     facts = spark.read.parquet(facts_path).join(latest, ["source_path", "run_id"])
@@ -140,7 +138,7 @@ def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDicti
     if incremental:
         done = r.files.select(F.col("source_path").alias("path"), "mtime", "size", "error")
         base = state if have_state else I.state_from_listing(done.drop("error").limit(0), fp)
-        nxt = I.next_state(base, done, fp).withColumn("version", F.lit(run_id).cast("bigint"))
+        nxt = I.next_state(base, done, fp, present.withColumnRenamed("source_path", "path")).withColumn("version", F.lit(run_id).cast("bigint"))
         # a new version beside the old ones: a failed run leaves the previous state intact
         nxt.write.mode("append").partitionBy("version").parquet(state_path)
     return JobResult(run_id, ScanResult(files, facts), output)
@@ -153,10 +151,10 @@ def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
     return all_versions.where(F.col("version") == F.lit(newest)).drop("version")
 
 
-def _inside(root: str, out: str) -> str | None:
-    import os
-    r, o = os.path.abspath(root), os.path.abspath(out)
-    return os.path.relpath(o, r) if o.startswith(r + os.sep) else None
+def _inside(spark: SparkSession, root: str, out: str) -> str | None:
+    """The output folder relative to the data folder if it lies in it, however both are spelled."""
+    r, o = S.qualified(spark, root), S.qualified(spark, out)
+    return o[len(r) + 1:] if o.startswith(r + "/") else None
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -172,19 +170,25 @@ def evidence_stream(spark: SparkSession, data_root: str, dictionary: KeywordDict
 
     Each epoch's files and facts are written to ``{output}/files`` and
     ``{output}/matches`` partitioned by ``epoch`` (a retried epoch replaces
-    its own partition).  A file rewritten in place is not re-emitted by the
+    its own partition).  The checkpoint lies in the output folder unless one is named, so a
+    restart goes on with the next epoch.  Files below the output folder are not scanned.
+    A file rewritten in place is not re-emitted by the
     file source; the batch ``keyword_report`` job covers changed files.
     """
-    from quarry.session import checkpoint_dir
-    root_uri = S._root_prefix(data_root)
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/evidence-stream"
+    root = S.qualified(spark, data_root)
+    exclude = _inside(spark, data_root, output)
+    ckpt = checkpoint or f"{output.rstrip('/')}/_stream_checkpoint"
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        blobs = batch.select(F.expr(f"substring(path, {len(root_uri) + 2})").alias("source_path"),
-                             "content", F.col("modificationTime").alias("mtime"))
-        r = scan_tree(blobs, dictionary, run_id=int(epoch_id), max_depth=max_depth)
+        full = F.regexp_replace("path", "^file:/+", "file:///")
+        rel = batch.withColumn("source_path", F.substr(full, F.lit(len(root) + 2)))
+        if exclude:
+            rel = rel.where(~F.col("source_path").startswith(exclude + "/"))
+        r = scan_tree(rel.select("source_path", "content", F.col("modificationTime").alias("mtime")), dictionary,
+                      run_id=int(epoch_id), max_depth=max_depth)
         I.write_epoch(r.files, f"{output}/files", epoch_id)
         I.write_epoch(r.facts, f"{output}/matches", epoch_id)
+        r.release()
 
     return I.stream_scan(spark, data_root, handle, ckpt, available_now=available_now,
                          max_files_per_trigger=max_files_per_trigger)

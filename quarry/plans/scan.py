@@ -9,7 +9,7 @@ listing decoded by ``sources.files``, or exploded container members.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -32,6 +32,12 @@ MATCH_COLUMNS = ["run_id", "source_path", "internal_path", "display_path", "file
 class ScanResult:
     files: DataFrame
     facts: DataFrame
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Frees what the scan persisted, once its tables are written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def _ensure(df: DataFrame, name: str, value) -> DataFrame:
@@ -66,13 +72,14 @@ def scan(units: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictio
                              "error")
     # facts feed both the file flags and every report: compute the match once
     facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [facts]
     flagged = files_with_flag(files, facts, FILE_KEYS)
     files_out = flagged.select(
         F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime", "bytes_read",
         F.col("matched"), F.lit("").alias("copied_to"), "error")
     facts_out = facts.select(F.lit(run_id).cast("bigint").alias("run_id"), *META,
                              "keyword_group", "keyword", "count")
-    return ScanResult(files_out, facts_out)
+    return ScanResult(files_out, facts_out, cached)
 
 
 def dictionary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> ScanResult:
@@ -85,12 +92,11 @@ def boundary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> Scan
 
 def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictionary",
               run_id: int = 1, case_sensitive: bool = False, max_depth: int = 3,
-              max_member_bytes: int | None = None, flavor: str = "v2",
-              reliable: bool = False, split_zip_bytes: int | None = None) -> ScanResult:
+              flavor: str = "v2", reliable: bool = False, split_zip_bytes: int | None = None) -> ScanResult:
     """A scan of files that may be containers (S13/S8/S11/S12 + M1/M2 fused).
 
-    ``files`` is ``(source_path, content[, mtime])`` — contents of a listing
-    or any table of blobs.  Each round opens, decodes and matches in one
+    ``files`` is ``(source_path, content[, mtime])``, any table of blobs, or
+    ``(source_path, path, size, mtime)``, a listing whose files the tasks open.  Each round opens, decodes and matches in one
     Python pass per file, so contents are read once and text is never
     materialised; rounds follow nested members up to ``max_depth``.  Every
     file and member gets a ``files`` row (``error`` when unreadable); facts
@@ -102,11 +108,10 @@ def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "d
     """
     from quarry.functions.text import file_suffix
     from quarry.operators.match import plan_spec
-    from quarry.sources.containers import DEFAULT_MAX_MEMBER_BYTES, DEFAULT_SPLIT_ZIP_BYTES, scan_rounds
+    from quarry.sources.containers import DEFAULT_SPLIT_ZIP_BYTES, scan_rounds
     spec = plan_spec(dictionary, mode, case_sensitive)
     rows = scan_rounds(files, spec, mode=mode, case_sensitive=case_sensitive, max_depth=max_depth,
-                       max_member_bytes=max_member_bytes or DEFAULT_MAX_MEMBER_BYTES, flavor=flavor,
-                       reliable=reliable, split_zip_bytes=split_zip_bytes or DEFAULT_SPLIT_ZIP_BYTES)
+                       flavor=flavor, cached=(cached := []), reliable=reliable, split_zip_bytes=split_zip_bytes or DEFAULT_SPLIT_ZIP_BYTES)
     name = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(F.col("internal_path"))
     disp = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(
         F.concat_ws("::", "source_path", "internal_path"))
@@ -118,4 +123,4 @@ def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "d
         F.lit(run_id).cast("bigint").alias("run_id"), *META, F.timestamp_micros("mtime_us").alias("mtime"),
         F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes_read"),
         (F.coalesce("count", F.lit(0)) > 0).alias("matched"), F.lit("").alias("copied_to"), "error")
-    return ScanResult(files_out, facts)
+    return ScanResult(files_out, facts, cached)

@@ -110,9 +110,9 @@ def group_copy_plan(facts: DataFrame, path_col: str = "display_path", name_col:
     name (say a third of all files) spreads over ``buckets`` tasks; the
     bucket offsets come from a small per-bucket count table; ``buckets``
     defaults to the shuffle width.  Suffixes are
-    unique and deterministic: order is (bucket, path).  A suffixed name
-    that equals a real name in the same group gets the next free suffix
-    after the group's largest (pass two).
+    unique and deterministic: order is (bucket, path).  They start past the largest
+    number that a real name ``stem_<number>.ext`` of the group has, so no
+    copy takes a name that a file has, nor one that another copy gets.
     """
     if buckets is None:  # as wide as the shuffle: a hot name is split as finely as the data
         buckets = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -121,26 +121,21 @@ def group_copy_plan(facts: DataFrame, path_col: str = "display_path", name_col:
     rows = rows.withColumn("_b", _salt(F.col("path"), buckets))
     w = Window.partitionBy("keyword_group", "name", "_b").orderBy("path")
     ranked = rows.withColumn("_r", F.row_number().over(w) - 1)
-    counts = rows.groupBy("keyword_group", "name", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ext = F.regexp_extract("name", r"(?<=[^/])(\.[^./]+)$", 1)
+    stem = F.expr("substring(name, 1, length(name) - length(ext))")
+    counts = (rows.groupBy("keyword_group", "name", "_b").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("ext", ext).withColumn("stem", stem))
+    taken = (counts.select("keyword_group", "ext", F.regexp_extract("stem", r"(?s)^(.*)_\d{1,9}$", 1).alias("stem"),
+                           F.regexp_extract("stem", r"_(\d{1,9})$", 1).alias("number"))
+             .where("number <> ''").groupBy("keyword_group", "stem", "ext").agg(F.max(F.col("number").cast("long")).alias("_top")))
     wo = Window.partitionBy("keyword_group", "name").orderBy("_b")
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .join(taken, ["keyword_group", "stem", "ext"], "left")
+               .select("keyword_group", "name", "_b", "stem", "ext", "_off", F.coalesce("_top", F.lit(0)).alias("_top")))
     idx = ranked.join(offsets, ["keyword_group", "name", "_b"]).withColumn("k", F.col("_off") + F.col("_r"))
-    idx = idx.withColumn("ext_raw", F.regexp_extract("name", r"(?<=[^/])(\.[^./]+)$", 1))
-    idx = idx.withColumn("stem", F.expr("substring(name, 1, length(name) - length(ext_raw))"))
-    dest_name = F.when(F.col("k") == 0, F.col("name")).otherwise(
-        F.concat(F.col("stem"), F.lit("_"), F.col("k").cast("string"), F.col("ext_raw")))
-    plan = idx.withColumn("dest_name", dest_name)
-    # pass two: a suffixed name that is also some file's real name
-    real = plan.where(F.col("k") == 0).select("keyword_group", F.col("name").alias("dest_name"),
-                                             F.lit(True).alias("_clash"))
-    plan = plan.join(real, ["keyword_group", "dest_name"], "left")
-    top = plan.groupBy("keyword_group", "name").agg(F.max("k").alias("_top"))
-    plan = plan.join(top, ["keyword_group", "name"])
-    fixed = F.when(F.col("_clash") & (F.col("k") > 0),
-                   F.concat(F.col("stem"), F.lit("_"), (F.col("_top") + F.col("k")).cast("string"), F.col("ext_raw"))
-                   ).otherwise(F.col("dest_name"))
-    return plan.select("keyword_group", "path", F.concat_ws("/", "keyword_group", fixed).alias("dest"))
+    dest = F.when(F.col("k") == 0, F.col("name")).otherwise(
+        F.concat("stem", F.lit("_"), (F.col("_top") + F.col("k")).cast("string"), "ext"))
+    return idx.select("keyword_group", "path", F.concat_ws("/", "keyword_group", dest).alias("dest"))
 
 
 def evidence_plan(files: DataFrame, root: str = "evidence") -> DataFrame:

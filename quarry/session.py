@@ -45,15 +45,15 @@ def build_session(master: str | None = None, app: str = "quarry",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is only filled in (with a
-    fresh scratch folder) when unset, as in local tests.
+    A cluster names a shared folder there.  Only a purely local session
+    (one machine, as in tests) gets a fresh scratch folder when it is unset;
+    anywhere else a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,7 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # Unset: local runs and tests only.
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -1,18 +1,22 @@
 """File sources: listing, exclusion, type routing, sniffing, decoding.
 
-Listing uses Spark's ``binaryFile`` source.  Only ``path``, ``length`` and
-``modificationTime`` are selected for decisions, so ``content`` is pruned
-from the scan until a later, filtered read needs it; path and length
-filters are pushed into the scan.
+A folder is listed level by level: every round lists the directories that the
+round before found, spread over the tasks.  All names count, also those with a leading
+dot or underscore.  Contents are read later, inside the tasks that scan
+them, by the path listed here; no job joins contents to a listing.
 """
 
 from __future__ import annotations
 
+import fnmatch
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import (casefold_col, file_suffix, looks_textual,
                                    utf8_text)
+from quarry.session import cut_lineage
 
 # Extensions the first program reads (no extension is accepted too).
 V1_EXTENSIONS = [
@@ -38,70 +42,96 @@ ARCHIVE_EXTENSIONS = [".zip", ".7z", ".tar", ".tgz", ".tbz", ".tbz2", ".txz", ".
 ARCHIVE_NAME_ENDINGS = [".tar.gz", ".tar.bz2", ".tar.xz"]
 ODF_EXTENSIONS = [".odt", ".ods", ".odp"]
 
-# Largest file read whole into one row (binaryFile holds a file in one value).
-MAX_FILE_BYTES = 1 << 30
+LISTING = ("path string, rel_path string, is_dir boolean, size long, mtime_us long, error string")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a full URI without a trailing slash, whatever way it was spelled."""
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    full = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hp).toString().rstrip("/")
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def file_system(uri: str):
+    """The file system of a full (unescaped) URI and the path in it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
+def _list_job(root: str, exclude: str | None):
+    """Lists the directories of a partition, one level; a directory that can't be listed is an error row."""
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+        names = [c.split(" ")[0] for c in LISTING.split(", ")]
+        system, base = file_system(root)
+        base = base.rstrip("/")
+        for pdf in batches:
+            rows = []
+            for rel in pdf["rel_path"]:
+                at = f"{base}/{rel}".rstrip("/") or "/"
+                try:
+                    found = system.get_file_info(fs.FileSelector(at))
+                except Exception as e:
+                    rows.append((f"{root}/{rel}", rel, False, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                for info in found:
+                    own = f"{rel}/{info.base_name}" if rel else info.base_name
+                    if own != exclude:
+                        folder = info.type == fs.FileType.Directory
+                        rows.append((f"{root}/{own}", own, folder, None if folder else info.size,
+                                     None if info.mtime_ns is None else info.mtime_ns // 1000, ""))
+            yield pd.DataFrame(rows, columns=names)
+    return run
 
 
-def _binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    r = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-         .option("ignoreMissingFiles", "true"))   # a file removed after listing is skipped
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(root)
+def list_files(spark: SparkSession, root: str, *, exclude: str | None = None,
+               glob: str | None = None) -> DataFrame:
+    """Recursive listing ``(path, rel_path, file_type, size, mtime, error)`` — no content read.
 
+    ``exclude`` is a sub-folder (the output folder) that is not entered.
+    ``rel_path`` is relative to ``root``, whichever way that is spelled.
+    """
+    root = qualified(spark, root)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    job = _list_job(root, exclude.strip("/") if exclude else None)
+    folders, found = spark.createDataFrame([("",)], "rel_path string"), []
+    while True:
+        level = cut_lineage(folders.repartition(parts, "rel_path").mapInPandas(job, LISTING))
+        found.append(level.where(~F.col("is_dir")))
+        folders = level.where("is_dir").select("rel_path")
+        if not folders.limit(1).count():
+            break
+    files = reduce(DataFrame.unionByName, found)
+    if glob:
+        files = files.where(F.element_at(F.split("rel_path", "/"), -1).rlike(fnmatch.translate(glob).replace("\\Z", "$").replace("\\z", "$")))
+    return files.select("path", "rel_path", file_suffix(F.col("rel_path")).alias("file_type"), "size",
+                        F.timestamp_micros("mtime_us").alias("mtime"), "error")
 
-def _scan_filter(root: str, exclude: str | None):
-    """Predicate on the ``binaryFile`` columns; pushed into the scan, so failing files are never opened."""
-    cond = F.lit(True)
-    if exclude:
-        cond = cond & ~F.col("path").startswith(_root_prefix(root) + "/" + exclude.strip("/") + "/")
-    return cond
 
+def read_contents(listing: DataFrame) -> DataFrame:
+    """``listing`` plus ``content`` and ``error``: each file read whole inside its task; one that is gone keeps its error."""
+    columns = [c for c in listing.columns if c not in ("content", "error")]
+    fields = ", ".join(f"{c} {listing.schema[c].dataType.simpleString()}" for c in columns)
 
-def list_files(spark: SparkSession, root: str, *, exclude: str | None = None,
-               glob: str | None = None) -> DataFrame:
-    """Recursive listing ``(path, rel_path, file_type, size, mtime)`` — no content read.
+    def run(batches):
+        from quarry.sources.containers import _open_path
+        for pdf in batches:
+            content, error = [], []
+            for path in pdf["path"]:
+                try:
+                    with _open_path(path) as stream:
+                        content.append(stream.read())
+                    error.append("")
+                except Exception as e:
+                    content.append(None)
+                    error.append(f"{type(e).__name__}: {e}")
+            yield pdf[columns].assign(content=content, error=error)
 
-    ``exclude`` is a sub-folder (the output folder) left out of the scan.
-    Spark skips names starting with '_' or '.', unlike a plain directory
-    walk; pass such files explicitly if they matter.
-    """
-    df = (_binary(spark, root, glob).where(_scan_filter(root, exclude))
-          .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
-    root_uri = _root_prefix(root)
-    df = df.withColumn("rel_path", F.expr(f"substring(path, {len(root_uri) + 2})"))
-    return df.withColumn("file_type", file_suffix(F.col("rel_path")))
-
-
-def _root_prefix(root: str) -> str:
-    import os
-    if "://" in root or root.startswith("file:"):
-        return root.rstrip("/")
-    return "file:" + os.path.abspath(root).rstrip("/")
-
-
-def read_contents(spark: SparkSession, root: str, listing: DataFrame, *, exclude: str | None = None,
-                  max_bytes: int = MAX_FILE_BYTES, glob: str | None = None) -> DataFrame:
-    """Content of the listed files only.
-
-    The content scan carries pushed predicates — size cap, output folder,
-    and ``modificationTime >=`` the oldest listed file (one scalar) — so
-    files that cannot be in ``listing`` (e.g. unchanged ones in an
-    incremental run) are not opened; a semi join on ``path`` keeps exactly
-    the listed ones.  Files over ``max_bytes`` keep an ``error`` instead of
-    content (one row must fit in a task's memory).
-    """
-    oldest = listing.agg(F.min("mtime")).first()[0]
-    cond = _scan_filter(root, exclude) & (F.col("length") <= max_bytes)
-    if oldest is not None:
-        cond = cond & (F.col("modificationTime") >= F.lit(oldest))
-    full = _binary(spark, root, glob).where(cond).select("path", "content")
-    wanted = listing.select("path", "rel_path", "file_type", "size", "mtime")
-    ok = wanted.join(full, "path", "inner").withColumn("error", F.lit(""))
-    big = (wanted.where(F.col("size") > max_bytes)
-           .withColumn("content", F.lit(None).cast("binary"))
-           .withColumn("error", F.lit("file too large")))
-    return ok.unionByName(big)
+    return listing.select(*columns).mapInPandas(run, f"{fields}, content binary, error string")
 
 
 def exclude_subtree(df: DataFrame, subtree: str, path_col: str = "path") -> DataFrame:
@@ -158,7 +188,7 @@ def decode_units(df: DataFrame, path_col: str = "path", content_col: str = "cont
 def dictionary_table_from_text(bench: DataFrame, min_len: int = 6) -> DataFrame:
     """S7 from a table: every word of ``min_len``+ letters of ``benchmark`` as a keyword.
 
-    group = ``bench<item_id mod 3>``; ``pos`` keeps the text order.  The
+    group = ``bench<item_id mod 3>``; ``pos`` (item and place) keeps the text order.  The
     normal form is the exact casefold (native expressions); ``display`` is
     the first spelling of each normal form.
     """
@@ -166,8 +196,7 @@ def dictionary_table_from_text(bench: DataFrame, min_len: int = 6) -> DataFrame:
         F.concat(F.lit("bench"), F.pmod("item_id", F.lit(3)).cast("string")).alias("keyword_group"),
         "item_id",
         F.posexplode(F.regexp_extract_all("text", F.lit("\\p{L}{%d,}" % min_len), 0)).alias("i", "keyword"))
-    d = words.select("keyword_group", "keyword",
-                     (F.col("item_id") * 100000 + F.col("i")).cast("bigint").alias("pos"),
+    d = words.select("keyword_group", "keyword", F.struct("item_id", "i").alias("pos"),
                      casefold_col(F.col("keyword")).alias("norm"))
     disp = d.groupBy("norm").agg(F.min_by("keyword", "pos").alias("display"))
     return d.join(disp, "norm").select("keyword_group", "keyword", "pos", "norm", "display")

@@ -16,11 +16,10 @@ def con():
 
 
 def test_every_query_registered_with_oracle_or_marked():
-    rows_only = set(QUERIES) - set(ORACLE)
-    assert not (set(ORACLE) - set(QUERIES))
-    assert rows_only <= {
-                         "eml_units", "archive_members", "scan_errors", "stream_scan", "stream_group_totals",
-                         "container_units", "archive_members", "archive_files"}
+    # iterative or hashed operators of the training-data part have brute-force tests of their own
+    own = {"pipeline"} | {k for k in QUERIES if k.startswith("op")}
+    assert set(QUERIES) - set(ORACLE) <= own
+    assert not set(ORACLE) - set(QUERIES)
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))

@@ -66,6 +66,14 @@ def test_copy_plan_collisions(spark):
     assert "G/a.txt" in g and "G/a_1.txt" in g and "H/a.txt" in dests
 
 
+def test_copy_plan_never_takes_a_real_name(spark):
+    rows = [("G", f"{d}/a.txt") for d in "xyz"] + [("G", "p/a_1.txt"), ("G", "p/a_3.txt"), ("G", "q/a_3.txt"), ("G", "r/a_3_1.txt"), ("G", "r/a"), ("G", "s/a")]
+    plan = K.group_copy_plan(spark.createDataFrame(rows, "keyword_group string, display_path string"))
+    dests = {r["path"]: r["dest"] for r in plan.collect()}
+    assert len(set(dests.values())) == len(rows)
+    assert dests["p/a_1.txt"] == "G/a_1.txt" and dests["r/a_3_1.txt"] == "G/a_3_1.txt"
+
+
 def test_evidence_plan(spark):
     files = spark.createDataFrame(
         [("a b/c?.txt", "", "a b/c?.txt"), ("arc.zip", "in/x.docx", "arc.zip::in/x.docx")],

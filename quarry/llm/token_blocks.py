@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import partitions, shared_folder
 
 BLOCK = 128           # ids in a block
-PERCENTILE = 0.9      # the width that so many of a block's ids fit in
+PERCENTILES = (0.75, 0.9, 0.97, 1.0)    # a block's width fits so many of its ids, whichever makes it smallest
 SEGMENT = 1 << 18     # ids after which a segment is closed (at a document's end)
-MAGIC = b"PFR1"
+MAGIC = b"PFR2"
 
 SEGMENTS = "part int, seq int, first_start long, n_ids long, n_docs int, payload binary, docs binary"
 
@@ -24,11 +24,11 @@ SEGMENTS = "part int, seq int, first_start long, n_ids long, n_docs int, payload
 def encode(ids: np.ndarray) -> bytes:
     """A segment of ids as bytes.
 
-    Header: magic, number of ids, number of exceptions (u32).  Then per block its
+    Header: magic, number of ids, number of exceptions (u32), bytes of an exception's value (u8).  Then per block its
     minimum (u32), bit width (u8), bits' start (u32, bytes) and first exception (u32); then
-    the packed bits; then the exceptions' places (u32, in the segment) and values (u32).
-    A block keeps ``id - minimum`` in the width that fits the percentile of its ids;
-    what does not fit is an exception, its low bits stay 0.  All little-endian.
+    the packed bits; then the exceptions' places in their blocks (u8) and values.  A block keeps ``id - minimum`` in
+    a width chosen by percentile; where more bits are needed the place and the bits beyond the width are an exception.
+    All little-endian.
     """
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     n = len(ids)
@@ -40,15 +40,24 @@ def encode(ids: np.ndarray) -> bytes:
     rows = full.reshape(blocks, BLOCK)
     low = rows.min(1) if blocks else np.zeros(0, np.uint32)
     rest = rows - low[:, None]
-    rank = min(BLOCK - 1, int(np.ceil(PERCENTILE * BLOCK)) - 1)
-    at = np.partition(rest, rank, axis=1)[:, rank] if blocks else np.zeros(0, np.uint32)
-    width = np.ceil(np.log2(at.astype(np.float64) + 1)).astype(np.uint8)
-    over = rest >= (np.uint64(1) << width.astype(np.uint64))[:, None]
-    places = np.flatnonzero(over.reshape(-1)[:n]).astype(np.uint32)
-    values = ids[places]
-    rest = np.where(over, 0, rest).astype(np.uint32)
-    sizes = (BLOCK // 8) * width.astype(np.uint32)
-    bit_at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
+    width, least = np.zeros(blocks, np.int64), np.full(blocks, np.iinfo(np.int64).max)
+    if n:
+        ranks = [min(BLOCK - 1, int(np.ceil(p * BLOCK)) - 1) for p in PERCENTILES]
+        at = np.partition(rest, ranks, axis=1)[:, ranks]
+        value_bytes = 2 if int(rest.max()) < 1 << 16 else 4
+        for c in range(len(ranks)):
+            w = np.ceil(np.log2(at[:, c].astype(np.float64) + 1)).astype(np.int64)
+            over = (rest.astype(np.int64) >= (1 << w)[:, None]).sum(1) if PERCENTILES[c] < 1 else 0
+            cost = BLOCK // 8 * w + (1 + value_bytes) * over
+            width, least = np.where(cost < least, w, width), np.minimum(cost, least)
+    else:
+        value_bytes = 2
+    high = rest.astype(np.int64) >> width[:, None]
+    over = (high > 0).reshape(-1)
+    over[n:] = False
+    places = np.flatnonzero(over)
+    values = high.reshape(-1)[places].astype(f"<u{value_bytes}")
+    bit_at = np.concatenate([[0], np.cumsum(BLOCK // 8 * width)]).astype(np.uint32)
     bits = np.zeros(int(bit_at[-1]), np.uint8)
     for w in np.unique(width[width > 0]):
         which = np.flatnonzero(width == w)
@@ -56,9 +65,9 @@ def encode(ids: np.ndarray) -> bytes:
         packed = np.packbits(raw[:, :, :w].reshape(len(which), -1), axis=1, bitorder="little")
         bits[(bit_at[which][:, None] + np.arange(packed.shape[1])).astype(np.int64)] = packed
     first = np.searchsorted(places, np.arange(blocks) * BLOCK).astype("<u4")
-    head = MAGIC + np.array([n, len(places)], "<u4").tobytes()
-    return b"".join([head, low.astype("<u4").tobytes(), width.tobytes(), bit_at[:-1].astype("<u4").tobytes(), first.tobytes(),
-                     bits.tobytes(), places.astype("<u4").tobytes(), values.astype("<u4").tobytes()])
+    head = MAGIC + np.array([n, len(places)], "<u4").tobytes() + bytes([value_bytes])
+    return b"".join([head, low.astype("<u4").tobytes(), width.astype(np.uint8).tobytes(), bit_at[:-1].astype("<u4").tobytes(),
+                     first.tobytes(), bits.tobytes(), (places % BLOCK).astype(np.uint8).tobytes(), values.tobytes()])
 
 
 def decode(data: bytes, first_block: int = 0, last_block: int | None = None) -> np.ndarray:
@@ -66,17 +75,19 @@ def decode(data: bytes, first_block: int = 0, last_block: int | None = None) ->
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
     n, patched = (int(x) for x in np.frombuffer(data, "<u4", 2, 4))
+    value_bytes = data[12]
     blocks = -(-n // BLOCK)
-    low = np.frombuffer(data, "<u4", blocks, 12)
-    width = np.frombuffer(data, np.uint8, blocks, 12 + 4 * blocks)
-    bit_at = np.frombuffer(data, "<u4", blocks, 12 + 5 * blocks)
-    first = np.frombuffer(data, "<u4", blocks, 12 + 9 * blocks)
-    body = 12 + 13 * blocks
-    bits = np.frombuffer(data, np.uint8, len(data) - body - 8 * patched, body)
-    places = np.frombuffer(data, "<u4", patched, len(data) - 8 * patched)
-    values = np.frombuffer(data, "<u4", patched, len(data) - 4 * patched)
+    low = np.frombuffer(data, "<u4", blocks, 13)
+    width = np.frombuffer(data, np.uint8, blocks, 13 + 4 * blocks)
+    bit_at = np.frombuffer(data, "<u4", blocks, 13 + 5 * blocks)
+    first = np.append(np.frombuffer(data, "<u4", blocks, 13 + 9 * blocks), patched)
+    body = 13 + 13 * blocks
+    tail = len(data) - (1 + value_bytes) * patched
+    bits = np.frombuffer(data, np.uint8, tail - body, body)
+    places = np.frombuffer(data, np.uint8, patched, tail)
+    values = np.frombuffer(data, f"<u{value_bytes}", patched, tail + patched)
     last_block = blocks if last_block is None else min(last_block, blocks)
-    some = np.arange(first_block, last_block)
+    some = np.arange(min(first_block, last_block), last_block)
     out = np.zeros((len(some), BLOCK), np.uint32)
     for w in np.unique(width[some]):
         which = np.flatnonzero(width[some] == w)
@@ -85,18 +96,19 @@ def decode(data: bytes, first_block: int = 0, last_block: int | None = None) ->
             full = np.zeros((len(which), BLOCK, 32), np.uint8)
             full[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(which), BLOCK, int(w))
             out[which] = np.packbits(full, axis=2, bitorder="little").reshape(len(which), -1).view("<u4")
-    out += low[some][:, None]
-    flat = out.reshape(-1)[: max(0, min(n, last_block * BLOCK) - first_block * BLOCK)].copy()
-    a = int(first[first_block]) if first_block < blocks else patched
-    b = int(first[last_block]) if last_block < blocks else patched
-    flat[places[a:b].astype(np.int64) - first_block * BLOCK] = values[a:b]
-    return flat
+    if len(some):
+        a, b = int(first[some[0]]), int(first[last_block])
+        row = np.repeat(np.arange(len(some)), np.diff(first[some[0]:last_block + 1].astype(np.int64)))
+        out[row, places[a:b]] |= values[a:b].astype(np.uint32) << width[some][row].astype(np.uint32)
+        out += low[some][:, None]
+    return out.reshape(-1)[: max(0, min(n, last_block * BLOCK) - first_block * BLOCK)].copy()
 
 
 # Letters that the fine cut knows; a text with other characters beyond ASCII is cut at spaces only.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _FINE = re.compile(rf" ?[{_L}]+(?:'[{_L}]+)*| ?[^{_L} ]*'[{_L}]+(?:'[{_L}]+)*| ?[^{_L} ]+| ")
-_OTHER = re.compile(rf"[^{_L}\x00-\x7F]|\s\s")
+_OTHER = re.compile(rf"[^{_L}\x00-\x7F]")
+_TWO = re.compile(r"\s\s")
 _COARSE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -106,11 +118,21 @@ def pieces(text: str) -> list[str]:
     That rule ends a token after a run of letters, and before the single space
     that leads a word; runs of white space and contractions stay whole.
     """
-    if not _OTHER.search(text):
+    if (text.isascii() or not _OTHER.search(text)) and not _TWO.search(text):
         return _FINE.findall(text)
     return _COARSE.split(text) if text else []
 
 
+_WORD = re.compile(rf" ?[{_L}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: visible bytes for themselves, the others from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in seen]
+    return {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(other)}}
+
+
 class Encoder:
     """A tokenizer of the library behind a memory of pieces: each distinct one goes to the library once while remembered."""
 
@@ -119,16 +141,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True       # their strings in a text are ordinary text
         self.most = most
+        spec = json.loads(spec)
+        # plain byte-level split: a run of letters is one word of the model, which can then be asked directly
+        self.direct = spec.get("normalizer") is None and spec["pre_tokenizer"].get("type") == "ByteLevel" and (
+            not spec["pre_tokenizer"]["add_prefix_space"] and spec["pre_tokenizer"].get("use_regex", True))
+        self.letters = _byte_letters()
         self.forget()
 
     def forget(self):
         self.place: dict[str, int] = {}
         self.ends = np.zeros(1, np.int64)                 # piece i has the ids ends[i]:ends[i + 1]
-        self.ids = np.zeros(0, np.uint32)
+        self.ids = np.zeros(1, np.uint32)
 
     def learn(self, new: list[str]) -> None:
         known, n = len(self.place), len(self.place) + len(new)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        words = [bool(self.direct and _WORD.fullmatch(p)) for p in new]
+        others = iter(self.tokenizer.encode_batch_fast([p for p, w in zip(new, words) if not w], add_special_tokens=False))
+        ask, letters = self.tokenizer.model.tokenize, self.letters
+        got = [[t.id for t in ask(p.encode().decode("latin-1").translate(letters))] if w else next(others).ids
+               for p, w in zip(new, words)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
         used = int(self.ends[known])
@@ -146,17 +177,22 @@ class Encoder:
             self.forget()
         if not self.place:
             self.learn([""])
-        cut = [pieces(t) for t in texts]
-        new = set().union(*cut).difference(self.place)
-        if new:
-            self.learn(sorted(new))
-        get = self.place.__getitem__
-        at = np.fromiter((i for own in cut for i in (*map(get, own), -1)), np.int64, sum(map(len, cut)) + len(cut))
-        end = at < 0
-        start = np.where(end, 0, self.ends[at])
-        size = np.where(end, 1, self.ends[at + 1] - start)
+        flat: list[str] = []
+        ends_at = []
+        for t in texts:
+            flat += pieces(t)
+            ends_at.append(len(flat))
+        at = list(map(self.place.get, flat))
+        if None in at:
+            self.learn(list({p for p, i in zip(flat, at) if i is None}))
+            at = list(map(self.place.__getitem__, flat))
+        place = np.insert(np.array(at, np.int64), ends_at, -1)        # -1: the end of a text
+        end = place < 0
+        start = np.where(end, 0, self.ends[place])
+        size = np.where(end, 1, self.ends[place + 1] - start)
         ends = np.cumsum(size)
-        ids = self.ids[np.minimum(np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0), len(self.ids) - 1)]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(start - (ends - size), size) + np.arange(total)]
         ids[ends[end] - 1] = 0
         return ids, np.diff(ends[end], prepend=0)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 from quarry.llm import bm25, decontaminate, importance, jaccard_tree, licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
 
 
@@ -70,4 +71,3 @@ def op10_line_dedup(spark, sf):
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_jaccard_tree, op4_url_filter, op5_byte_shards,
                                      op6_decontaminate, op7_importance_classifier, op8_bm25_topk, op9_token_blocks, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}

@@ -16,7 +16,7 @@ from quarry.llm.shingles import PLAIN, words_of
 K1, B, K3 = 1.2, 0.75, 1.0
 QUERY_TERMS = 32          # a query is the terms of its whole text with the highest weight, so many
 BLOCK_QUERIES = 8192      # queries that one pass over the documents answers
-SHARD = 32768             # documents of a shard
+SHARD = 20480             # documents of a shard
 RANGE = 128               # documents of a block of the index
 CHUNK = 1 << 16           # terms whose document counts travel in one row
 

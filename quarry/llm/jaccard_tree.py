@@ -13,11 +13,53 @@ from quarry.llm.shingles import mixed, shingles, words_of
 K = 5                  # words in a shingle
 PERCENT = 80           # two sets link at this intersection to union, or above
 BLOCK = 256            # documents of a bucket that meet in one task, on each side
+FAMILY = 2048          # documents of a family that meet in one task, on each side
 FANOUT = 8             # children of a tree node
+CELLS = 1 << 20        # counters of the sketch that orders shingles by how common they are
+CHUNK = 1 << 16        # counters that travel in one row
 SMALL = 2_000_000      # texts named by numbers up to so many (16 MB) are picked by a broadcast list, beyond by a join
 
 
-def _signer(k: int, percent: int):
+def _cell(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+
+
+def _sketcher(k: int):
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, offsets, words in words_of(batch.column(0)):
+                own = [_cell(np.unique(shingles(words[a:b], k))) for a, b in zip(offsets[:-1], offsets[1:])]
+                total += np.bincount(np.concatenate(own), minlength=CELLS)
+        some = [c for c in range(CELLS // CHUNK) if total[c * CHUNK:(c + 1) * CHUNK].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([total[c * CHUNK:(c + 1) * CHUNK].astype(np.int32).tobytes() for c in some], pa.binary())],
+            ["chunk", "counts"])
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+
+def commonness(docs: DataFrame, k: int) -> np.ndarray:
+    """For each counter, how far its count of documents stands out: 0 within chance, then the excess in powers of two.
+
+    A sketch of fixed size, counted over all shingles of all documents.  It only orders the shingles, rare ones
+    first; any order that is the same for all documents gives the same links.
+    """
+    got = (docs.select("text").mapInArrow(_sketcher(k), "chunk int, counts binary").groupBy("chunk")
+           .applyInArrow(_added, "chunk int, counts binary").collect())              # CELLS counters in all
+    total = np.zeros(CELLS)
+    for r in got:
+        total[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int32)
+    middle = float(np.median(total))
+    excess = total - middle - 6 * np.sqrt(middle + 1)
+    return np.where(excess > 0, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.int8)
+
+
+def _signer(k: int, percent: int, common: np.ndarray):
     def run(batches):
         for batch in batches:
             n, s, keys, bits = [], [], [], []
@@ -28,7 +70,8 @@ def _signer(k: int, percent: int):
                     n.append(size)
                     s.append(int(mixed(own + np.uint64(7)).sum().view(np.int64)) if size else 0)
                     need = -(-percent * size // 100)
-                    keys.append(own[: size - need + 1].view(np.int64) if size else own.view(np.int64))
+                    rare = own[np.argsort(common[_cell(own)], kind="stable")[: size - need + 1]] if size else own
+                    keys.append(rare.view(np.int64))
                     bits.append(bitmap(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()),
@@ -135,53 +178,135 @@ def may_link(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, b
     return i, j
 
 
-def _pairer(percent: int):
+class Union:
+    """Disjoint sets over 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.top = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.top[x] != x:
+            self.top[x] = self.top[self.top[x]]
+            x = self.top[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.top[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _labelled(comp: np.ndarray) -> Union:
+    union = Union(len(comp))
+    first: dict = {}
+    for i, c in enumerate(comp.tolist()):
+        union.join(i, first.setdefault(c, i))
+    return union
+
+
+def _by_task(handle, columns: list[str]):
+    """Runs ``handle(table)`` on each task's rows (equal ``key, i, j``) of a partition sorted by task; yields its pairs ``a, b``."""
     def run(batches):
         held: list[pa.RecordBatch] = []
 
+        def task_of(table):
+            return np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+
         def flush(table: pa.Table):
-            s, n, comp, side = (table.column(c).to_numpy() for c in ("s", "n", "comp", "side"))
-            task = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            task = task_of(table)
             edge = np.flatnonzero(np.concatenate([[True], (task[:, 1:] != task[:, :-1]).any(0)]))
-            bits = table.column("bits").to_pylist()
-            out = []
-            for a, b in zip(edge, [*edge[1:], len(s)]):
-                i, j = may_link(s[a:b], n[a:b], comp[a:b], side[a:b], bits[a:b], percent)
-                x, y = s[a:b][i], s[a:b][j]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-            pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-        for batch in batches:                              # sorted by task; the last one may go on in the next batch
+            pairs = [handle(table.slice(a, b - a)) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), table.num_rows])]
+            x, y = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+        for batch in batches:                              # the last task may go on in the next batch
             if not batch.num_rows:
                 continue
             held.append(batch)
-            table = pa.Table.from_batches(held)
-            task = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            table = pa.Table.from_batches(held).select(columns)
+            task = task_of(table)
             last = np.flatnonzero((task != task[:, -1:]).any(0))
             if len(last):
                 upto = int(last[-1]) + 1
                 yield flush(table.slice(0, upto))
                 held = table.slice(upto).combine_chunks().to_batches()
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield flush(pa.Table.from_batches(held).select(columns))
     return run
 
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of sets in different components that share a bucket and that signature trees can't rule out.
+def _spanning(percent: int):
+    """Of a task's pairs that may link, those that join something: fewer than its documents."""
+    def handle(table: pa.Table) -> np.ndarray:
+        s, n, comp, side = (table.column(c).to_numpy() for c in ("s", "n", "comp", "side"))
+        i, j = may_link(s, n, comp, side, table.column("bits").to_pylist(), percent)
+        union = _labelled(comp)
+        keep = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if union.join(x, y)]
+        return np.stack([s[i[keep]], s[j[keep]]])
+    return handle
+
+
+def _linking(k: int, percent: int):
+    """The links of a task's documents, counted out on their texts, that join something: fewer than its documents.
+
+    Signature trees leave the pairs that may link; the document with the most of them goes first and is counted against all
+    its partners that it is not yet joined with.
+    """
+    def handle(table: pa.Table) -> np.ndarray:
+        s, comp, side = (table.column(c).to_numpy() for c in ("s", "comp", "side"))
+        own = [np.unique(shingles(w[a:b], k)) for _, off, w in words_of(table.column("text")) for a, b in zip(off[:-1], off[1:])]
+        n = np.array([len(x) for x in own])
+        i, j = may_link(s, n, comp, side, [bitmap(x) for x in own], percent)
+        ends = np.cumsum(n)
+        _, flat = np.unique(np.concatenate(own), return_inverse=True)
+        mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+        union = _labelled(comp)
+        x, y = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        first = np.searchsorted(x, np.arange(len(s) + 1))
+        found = []
+        for v in np.argsort(-np.diff(first), kind="stable").tolist():
+            partners = y[first[v]:first[v + 1]]
+            partners = partners[[union.find(p) != union.find(v) for p in partners.tolist()]] if len(partners) else partners
+            if not len(partners):
+                continue
+            mark[flat[ends[v] - n[v]:ends[v]]] = True
+            size = n[partners]
+            stop = np.cumsum(size)
+            at = np.repeat(ends[partners] - size - (stop - size), size) + np.arange(int(stop[-1]))
+            both = np.add.reduceat(mark[flat[at]].astype(np.int64), stop - size)
+            mark[flat[ends[v] - n[v]:ends[v]]] = False
+            for p in partners[100 * both >= percent * (n[v] + size - both)].tolist():
+                if union.join(v, p):
+                    found.append((s[v], s[p]))
+        return np.array(found, np.int64).reshape(-1, 2).T
+    return handle
+
+
+def _banded(members: DataFrame, percent: int) -> DataFrame:
+    """``members(key, s, comp, n)`` with their keys split by set size: sets that may link by size still share one.
+
+    Bands are a little wider than the largest ratio of linked sets, so those are in one band or in
+    adjacent ones; each set goes to its own band's key and the next one's.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.8 / percent)))
+    return members.select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"), "s", "comp")
+
+
+def _cross_tasks(members: DataFrame, block_size: int) -> DataFrame:
+    """``key, i, j, side, s, comp`` of ``members(key, s, comp)``: every two documents of a key in different components meet in a task.
 
-    A bucket within one component is done.  In the others the documents of the
+    A key within one component is done.  In the others the documents of the
     largest component need not meet each other, only the rest; both are dealt into
-    blocks of about ``BLOCK``, and every task gets two blocks.
+    blocks of about ``block_size``, and every task gets two blocks.
     """
-    at = members.join(labels, "s").select("key", "s", "comp")
-    sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     open_ = (sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.min("comp").alias("x"),
                                       F.max("comp").alias("y")).where("x <> y")
-             .select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("many"),
-                     F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("few")))
-    dealt = at.join(open_, "key").withColumn("big", F.col("comp") == F.col("top"))
+             .select("key", F.col("top.comp").alias("top"), F.ceil(F.col("top.c") / block_size).cast("int").alias("many"),
+                     F.ceil((F.col("all") - F.col("top.c")) / block_size).cast("int").alias("few")))
+    dealt = members.join(open_, "key").withColumn("big", F.col("comp") == F.col("top"))
     block = F.when(F.col("big"), F.pmod(F.xxhash64("s"), F.col("many"))).otherwise(F.pmod(F.xxhash64("s"), F.col("few"))).cast("int")
     dealt = dealt.withColumn("block", block)
     task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
@@ -192,42 +317,25 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percen
         F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda j: F.when(j == own, task(own, own, 2)).when(
             j > own, task(own, j, 0)).otherwise(task(j, own, 1))))
     tasks = dealt.select("key", "s", "comp", F.explode(F.when(F.col("big"), big).otherwise(small)).alias("t"))
-    rows = tasks.join(nodes, "s").select("key", "t.i", "t.j", "t.side", "s", "n", "comp", "bits")
-    n = partitions(members.sparkSession)
-    dealt_out = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt_out.mapInArrow(_pairer(percent), "a long, b long").distinct()
+    return tasks.select("key", "t.i", "t.j", "t.side", "s", "comp")
 
 
-def _verifier(k: int, percent: int):
-    def run(batches):
-        for batch in batches:
-            texts = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())])
-            sets = []
-            for _, offsets, words in words_of(texts):
-                sets += [np.unique(shingles(words[a:b], k)) for a, b in zip(offsets[:-1], offsets[1:])]
-            n = batch.num_rows
-            keep = []
-            for i in range(n):
-                x, y = sets[i], sets[n + i]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+def _met(rows: DataFrame, handle, columns: list[str]) -> DataFrame:
+    n = partitions(rows.sparkSession)
+    dealt = rows.select(*columns).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_by_task(handle, columns), "a long, b long")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, counted out on the whole texts."""
-    at = nodes.select("s", "th")
-    named = (pairs.join(at.select(F.col("s").alias("a"), F.col("th").alias("ta")), "a")
-             .join(at.select(F.col("s").alias("b"), F.col("th").alias("tb")), "b"))
-    named = cut(named)
-    wanted = cut(named.select(F.col("ta").alias("th")).unionByName(named.select(F.col("tb").alias("th"))).distinct())
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``th, text`` of the texts named in ``wanted(th)``, each once."""
+    wanted = cut(wanted.select("th").distinct())
     if wanted.count() <= SMALL:                            # 8 bytes each
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th", "left_semi").dropDuplicates(["th"])
-    both = (named.join(texts.select(F.col("th").alias("ta"), F.col("text").alias("xa")), "ta")
-            .join(texts.select(F.col("th").alias("tb"), F.col("text").alias("xb")), "tb"))
-    return cut(both.select("a", "b", "xa", "xb").mapInArrow(_verifier(k, percent), "a long, b long"))
+    return docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th", "left_semi").dropDuplicates(["th"])
+
+
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    return components(nodes.select(F.col("s").alias("node")), links).select(F.col("node").alias("s"), F.col("component").alias("comp"))
 
 
 def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -239,21 +347,21 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     is named by the smallest ``doc_id`` reachable over links.
 
     1. One Arrow pass gives each document its set's size, a 64-bit name of the set
-       (equal sets are one from here on), its ``n - need + 1`` smallest shingle hashes
-       and a signature of four to eight bits a shingle.  Linked sets share one of
-       those hashes at least, so its bucket holds both.  Hashes that
+       (equal sets are one from here on), its ``n - need + 1`` rarest shingles (by a sketch
+       of all documents' shingles, then by hash) and a signature of four to eight bits a shingle.  Linked sets share one of
+       those shingles at least, so its bucket holds both.  Hashes that
        one set alone has drop out in a pre-aggregated count; of buckets with the
        same members one stays.
-    2. Each set is held against the first of the bucket it has most often; these
-       pairs are counted out, and linked ones form first components.
-    3. Buckets that still hold several components are joined by signature trees: nodes
+    2. Each set is held against the first of the bucket it has most often, and
+       buckets, split by set size, whose sets are not yet in one family are joined by signature trees: nodes
        hold the OR of the signatures below and the range of their sizes, and a dual
-       traversal drops node pairs by their largest possible overlap.  What is left
-       is counted out on the texts, and the components follow.
+       traversal drops node pairs by their largest possible overlap.  A pair that
+       is left joins two families.  Sets in different families can't link.
+    3. The texts of each family of two or more meet once, and signature trees again leave the pairs to be counted out.
 
-    Any two linked sets are in one component after step 2 or are compared in
-    step 3, so no link is lost, while copies are never expanded into all pairs.  A large
-    bucket is dealt to many tasks of two blocks each.
+    No link is lost, while copies are never expanded into all pairs: a task returns fewer pairs than it has documents.
+    Large buckets and families are dealt to many tasks of two blocks each; of a large family the
+    blocks are joined alone first, and then only documents outside its largest component meet the other blocks.
 
     A null or empty text has an empty set.  Null ids stay rows of their own
     (``component_id`` is the smallest id that is not null, null if there is none, or if it stands alone).
@@ -261,7 +369,7 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     """
     docs = docs.select("doc_id", "text")
     sig = cut(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
-        _signer(k, percent), "doc_id long, th long, n long, s long, keys array<long>, bits binary"))
+        _signer(k, percent, commonness(docs, k)), "doc_id long, th long, n long, s long, keys array<long>, bits binary"))
     each = sig.select("s", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("key")
     held = cut(each.join(shared, "key").distinct())
@@ -277,15 +385,26 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
              .groupBy("s").agg(F.max_by("lead", F.struct("w", "lead")).alias("lead")))
     sides = (first.join(nodes.select("s", "n", F.col("bits").alias("bs")), "s")
              .join(nodes.select(F.col("s").alias("lead"), F.col("n").alias("m"), F.col("bits").alias("bl")), "lead"))
-    near = sides.mapInArrow(_bounder(percent), "a long, b long")
-    links = _linked(docs, nodes, near, k, percent)
-    ids = nodes.select(F.col("s").alias("node"))
-    labels = cut(components(ids, links).select(F.col("node").alias("s"), F.col("component").alias("comp")))
-    more = _linked(docs, nodes, _cross_pairs(members.select("key", "s"), nodes.select("s", "n", "bits"), labels, percent), k, percent)
-    joined = more.join(labels.select(F.col("s").alias("a"), F.col("comp").alias("ca")), "a").join(
-        labels.select(F.col("s").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    tops = components(labels.select(F.col("comp").alias("node")).distinct(), joined)
-    final = labels.join(tops, labels.comp == tops.node).select("s", F.col("component").alias("comp"))
+    near = cut(sides.mapInArrow(_bounder(percent), "a long, b long"))
+    labels = cut(_named(nodes, near))
+    sized = members.select("key", "s").join(labels.join(nodes.select("s", "n"), "s"), "s")
+    tasks = _cross_tasks(_banded(sized, percent), BLOCK).join(nodes.select("s", "n", "bits"), "s")
+    more = cut(_met(tasks, _spanning(percent), ["key", "i", "j", "side", "s", "n", "comp", "bits"]))
+    families = _named(nodes, near.unionByName(more)).withColumnRenamed("comp", "key")
+    sizes = families.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    families = cut(families.join(sizes, "key").join(nodes.select("s", "th"), "s").select("key", "s", "th", "size"))
+
+    columns = ["key", "i", "j", "side", "s", "comp", "text"]
+    block = F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / FAMILY)).cast("int")
+    alone = families.join(_texts(docs, families), "th").select(
+        "key", block.alias("i"), block.alias("j"), F.lit(2).alias("side"), "s", F.col("s").alias("comp"), "text")
+    links = cut(_met(alone, _linking(k, percent), columns))
+    large = families.where(F.col("size") > FAMILY)
+    if large.limit(1).count():
+        tasks = _cross_tasks(large.select("key", "s").join(_named(nodes, links), "s"), FAMILY)
+        across = tasks.join(large.select("s", "th"), "s").join(_texts(docs, large), "th")
+        links = links.unionByName(cut(_met(across, _linking(k, percent), columns)))
+    final = _named(nodes, links)
 
     least = sig.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
     named = least.join(final, "s", "left").withColumn("comp", F.coalesce("comp", "s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import licenses, mixing
+from quarry.llm import licenses, linkgraph, mixing
 from quarry.llm.common import LOWER, UPPER
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -77,4 +77,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, fi
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)"""
 
 
-ORACLE_SQL = {"op1_mix_sources": MIX, "op2_license_scan": _license_sql()}
+def _url_sql() -> str:
+    rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    rules = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in linkgraph.RULES.items())
+    quoted = linkgraph.LINK.replace("'", "''")
+    stays, moves = repr(1 - linkgraph.DAMPING), repr(linkgraph.DAMPING)
+
+    def rounds(name: str, source: str, target: str, seed: str) -> str:
+        out = [f"{name}0 AS (SELECT host, {seed} * {stays}::DOUBLE AS mass FROM hosts WHERE {seed} > 0)"]
+        for i in range(linkgraph.ROUNDS):
+            out.append(f"{name}{i + 1} AS (SELECT host, sum(mass) AS mass FROM (SELECT {target} AS host, {moves}::DOUBLE * w * mass AS mass "
+                       f"FROM edges JOIN {name}{i} ON {source} = host UNION ALL SELECT host, mass FROM {name}0) GROUP BY host)")
+        return ",\n".join(out)
+
+    return f"""WITH rest AS (SELECT page_id, html, {rest} AS rest FROM pages),
+split AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(name, start, rule, verdict) AS (VALUES {rules}),
+ruled AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS said
+          FROM split LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY ALL),
+hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (WHERE said = 'allow') AS good, count(*) FILTER (WHERE said = 'block') AS bad
+          FROM ruled GROUP BY host),
+up AS (SELECT a.host AS src, b.host AS dst FROM hosts a JOIN hosts b ON b.host = substr(a.host, instr(a.host, '.') + 1) AND instr(b.host, '.') > 0),
+raw AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{quoted}', 1)), '{UPPER}', '{LOWER}') AS dst FROM split
+        UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up),
+counted AS (SELECT src, dst, count(*) AS n FROM raw WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+edges AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM counted),
+{rounds('trust', 'src', 'dst', 'good')},
+{rounds('distrust', 'dst', 'src', 'bad')},
+low AS (SELECT host FROM hosts LEFT JOIN trust{linkgraph.ROUNDS} t USING (host) LEFT JOIN distrust{linkgraph.ROUNDS} d USING (host)
+        WHERE host <> '' AND coalesce(d.mass, 0) - coalesce(t.mass, 0) >= {linkgraph.THRESHOLD} * {stays}::DOUBLE * pages)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM low) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled"""
+
+
+ORACLE_SQL = {"op1_mix_sources": MIX, "op2_license_scan": _license_sql(), "op4_url_filter": _url_sql()}

@@ -58,19 +58,23 @@ def hash_words(data: np.ndarray, starts: np.ndarray, fold: bool = True, kind: np
     A word is a run of bytes of ``kind``; it never crosses a text start.
     The hash is a polynomial in the bytes, A-Z folded if ``fold``, then mixed.
     """
-    n = len(data)
-    if len(_TABLE[0]) < n + 1:
-        _TABLE[:] = _powers(max(n + 1, 1 << 16))
-    power, inverse = _TABLE[0], _TABLE[1]
     begins, ends = spans(data, starts, kind)
     low = data
     if fold:
         low = data.copy()
         low[(data >= 65) & (data <= 90)] += 32
+    return hash_spans(low, begins, ends), np.searchsorted(begins, starts)
+
+
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans: a polynomial in the bytes, by prefix sums, mixed with the length."""
+    n = len(data)
+    if len(_TABLE[0]) < n + 1:
+        _TABLE[:] = _powers(max(n + 1, 1 << 16))
+    power, inverse = _TABLE[0], _TABLE[1]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    words = mixed((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
-    return words, np.searchsorted(begins, starts)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
 
 
 def words_of(texts: pa.Array, fold: bool = True, kind: np.ndarray = SPACED):

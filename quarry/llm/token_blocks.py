@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import partitions, shared_folder
+from quarry.llm.shingles import hash_spans
 
 BLOCK = 128           # ids in a block
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)    # a block's width fits so many of its ids, whichever makes it smallest
@@ -106,21 +107,33 @@ def decode(data: bytes, first_block: int = 0, last_block: int | None = None) ->
 
 # Letters that the fine cut knows; a text with other characters beyond ASCII is cut at spaces only.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
-_FINE = re.compile(rf" ?[{_L}]+(?:'[{_L}]+)*| ?[^{_L} ]*'[{_L}]+(?:'[{_L}]+)*| ?[^{_L} ]+| ")
 _OTHER = re.compile(rf"[^{_L}\x00-\x7F]")
 _TWO = re.compile(r"\s\s")
 _COARSE = re.compile(r"(?<=\S)(?= \S)")
+_LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at places where the vocabulary's split rule always cuts.
+def is_plain(text: str) -> bool:
+    """Whether the fine cut holds: known letters only, and no two white-space characters in a row."""
+    return (text.isascii() or not _OTHER.search(text)) and not _TWO.search(text)
 
-    That rule ends a token after a run of letters, and before the single space
-    that leads a word; runs of white space and contractions stay whole.
+
+def fine_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Begins of the pieces of plain texts, laid one after the other in ``data`` (UTF-8) from ``starts`` on.
+
+    The vocabulary's split rule always cuts before a single space, after a run of letters, and
+    before one that no space leads; contractions (letters, apostrophe, letters) stay whole here.
     """
-    if (text.isascii() or not _OTHER.search(text)) and not _TWO.search(text):
-        return _FINE.findall(text)
-    return _COARSE.split(text) if text else []
+    if not len(data):
+        return np.zeros(0, np.int64)
+    letter, space, mark = _LETTER[data], data == 32, data == 39
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts[starts < len(data)]] = True                # a text's first byte
+    led = np.append(letter[1:], False) & ~edge[1:]         # a letter of the same text follows
+    cut = edge[:-1].copy()
+    cut[1:] |= space[1:] | (letter[:-1] & ~letter[1:] & ~(mark & led)[1:])
+    cut[1:] |= ~letter[:-1] & ~space[:-1] & ~mark[:-1] & letter[1:]
+    return np.flatnonzero(cut)
 
 
 _WORD = re.compile(rf" ?[{_L}]+")
@@ -149,17 +162,20 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.place: dict[str, int] = {}
+        self.by_hash: dict[int, int] = {}                 # of pieces of plain texts
+        self.by_text: dict[str, int] = {}                 # of pieces of other texts
+        self.count = 0
         self.ends = np.zeros(1, np.int64)                 # piece i has the ids ends[i]:ends[i + 1]
         self.ids = np.zeros(1, np.uint32)
 
-    def learn(self, new: list[str]) -> None:
-        known, n = len(self.place), len(self.place) + len(new)
+    def learn(self, new: list[str]) -> range:
+        """The places of new pieces, whose ids are then known."""
         words = [bool(self.direct and _WORD.fullmatch(p)) for p in new]
         others = iter(self.tokenizer.encode_batch_fast([p for p, w in zip(new, words) if not w], add_special_tokens=False))
         ask, letters = self.tokenizer.model.tokenize, self.letters
         got = [[t.id for t in ask(p.encode().decode("latin-1").translate(letters))] if w else next(others).ids
                for p, w in zip(new, words)]
+        known, n = self.count, self.count + len(new)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
         used = int(self.ends[known])
@@ -169,32 +185,51 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros(used + len(flat), np.uint32)])
         self.ends[known + 1:n + 1] = used + np.cumsum(sizes)
         self.ids[used:used + len(flat)] = flat
-        self.place.update(zip(new, range(known, n)))
+        self.count = n
+        return range(known, n)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The places of each plain text's pieces; pieces are told apart by a 64-bit hash of their bytes."""
+        raw = [t.encode() for t in texts]
+        starts = np.cumsum([0, *map(len, raw)])
+        whole = b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        begins = fine_cuts(data, starts)
+        ends = np.append(begins[1:], len(data))
+        own, first, back = np.unique(hash_spans(data, begins, ends), return_index=True, return_inverse=True)
+        keys = own.tolist()
+        at = list(map(self.by_hash.get, keys))
+        if None in at:
+            new = [i for i, p in enumerate(at) if p is None]
+            which = first[new]
+            places = self.learn([whole[b:e].decode() for b, e in zip(begins[which].tolist(), ends[which].tolist())])
+            for i, p in zip(new, places):
+                at[i] = self.by_hash[keys[i]] = p
+        return np.split(np.array(at, np.int64)[back], np.searchsorted(begins, starts[1:-1])) if texts else []
+
+    def _other(self, text: str) -> np.ndarray:
+        own = _COARSE.split(text) if text else []
+        new = [p for p in dict.fromkeys(own) if p not in self.by_text]
+        if new:
+            self.by_text.update(zip(new, self.learn(new)))
+        return np.array([self.by_text[p] for p in own], np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, id 0 after each text, and the number of each text's ids (with the 0)."""
-        if len(self.place) > self.most:
+        if self.count > self.most:
             self.forget()
-        if not self.place:
-            self.learn([""])
-        flat: list[str] = []
-        ends_at = []
-        for t in texts:
-            flat += pieces(t)
-            ends_at.append(len(flat))
-        at = list(map(self.place.get, flat))
-        if None in at:
-            self.learn(list({p for p, i in zip(flat, at) if i is None}))
-            at = list(map(self.place.__getitem__, flat))
-        place = np.insert(np.array(at, np.int64), ends_at, -1)        # -1: the end of a text
-        end = place < 0
-        start = np.where(end, 0, self.ends[place])
-        size = np.where(end, 1, self.ends[place + 1] - start)
+        plain = [is_plain(t) for t in texts]
+        easy = iter(self._plain([t for t, p in zip(texts, plain) if p]))
+        end = np.array([-1])                              # stands for id 0
+        place = np.concatenate([np.zeros(0, np.int64)] + [x for t, p in zip(texts, plain) for x in (next(easy) if p else self._other(t), end)])
+        last = place < 0
+        start = np.where(last, 0, self.ends[place])
+        size = np.where(last, 1, self.ends[place + 1] - start)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(start - (ends - size), size) + np.arange(total)]
-        ids[ends[end] - 1] = 0
-        return ids, np.diff(ends[end], prepend=0)
+        ids[ends[last] - 1] = 0
+        return ids, np.diff(ends[last], prepend=0)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -228,11 +263,11 @@ def _writer(spec: str):
         for batch in batches:
             own = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                got, n = encoder([t or "" for t in texts[i:i + 64]])
+            for i in range(0, len(texts), 128):
+                got, n = encoder([t or "" for t in texts[i:i + 128]])
                 ids.append(got)
                 sizes.append(n)
-                names += own[i:i + 64]
+                names += own[i:i + 128]
                 held += len(got)
                 if held >= SEGMENT:
                     yield segment()

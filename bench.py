@@ -24,6 +24,7 @@ from quarry.operators.match import match_boundary, match_dictionary  # noqa: E40
 from quarry.plans.scan import META  # noqa: E402
 from quarry.session import build_session  # noqa: E402
 from quarry.sources import corpus  # noqa: E402
+from quarry.sources import packing as P  # noqa: E402
 from quarry.sources.dictionary import KeywordDictionary  # noqa: E402
 
 
@@ -72,7 +73,7 @@ def main() -> None:
         "match_file_scope": lambda: C.q_match_file_scope(spark, sf),
         "container_rollup": lambda: C.q_container_rollup(spark, sf),
         "changed_files": lambda: C.q_changed_files(spark, sf),
-        "packing_fixture": lambda: P.pack_zips(docs) if hasattr(P, "pack_zips") else docs,
+        "packing_fixture": lambda: P.pack_archives(corpus.table(spark, sf, "documents")),     # part of the next one
         "archive_facts": lambda: C.q_archive_facts(spark, sf),
         "container_facts": lambda: C.q_container_facts(spark, sf),
         "long_text": lambda: match_dictionary(spark.range(1).selectExpr("'x' AS display_path", "repeat('some words ', 3000000) AS text"),

@@ -284,16 +284,6 @@ def _linking(k: int, percent: int):
     return handle
 
 
-def _banded(members: DataFrame, percent: int) -> DataFrame:
-    """``members(key, s, comp, n)`` with their keys split by set size: sets that may link by size still share one.
-
-    Bands are a little wider than the largest ratio of linked sets, so those are in one band or in
-    adjacent ones; each set goes to its own band's key and the next one's.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.8 / percent)))
-    return members.select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"), "s", "comp")
-
-
 def _cross_tasks(members: DataFrame, block_size: int) -> DataFrame:
     """``key, i, j, side, s, comp`` of ``members(key, s, comp)``: every two documents of a key in different components meet in a task.
 
@@ -353,7 +343,7 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
        one set alone has drop out in a pre-aggregated count; of buckets with the
        same members one stays.
     2. Each set is held against the first of the bucket it has most often, and
-       buckets, split by set size, whose sets are not yet in one family are joined by signature trees: nodes
+       buckets whose sets are not yet in one family are joined by signature trees: nodes
        hold the OR of the signatures below and the range of their sizes, and a dual
        traversal drops node pairs by their largest possible overlap.  A pair that
        is left joins two families.  Sets in different families can't link.
@@ -387,8 +377,7 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
              .join(nodes.select(F.col("s").alias("lead"), F.col("n").alias("m"), F.col("bits").alias("bl")), "lead"))
     near = cut(sides.mapInArrow(_bounder(percent), "a long, b long"))
     labels = cut(_named(nodes, near))
-    sized = members.select("key", "s").join(labels.join(nodes.select("s", "n"), "s"), "s")
-    tasks = _cross_tasks(_banded(sized, percent), BLOCK).join(nodes.select("s", "n", "bits"), "s")
+    tasks = _cross_tasks(members.select("key", "s").join(labels, "s"), BLOCK).join(nodes.select("s", "n", "bits"), "s")
     more = cut(_met(tasks, _spanning(percent), ["key", "i", "j", "side", "s", "n", "comp", "bits"]))
     families = _named(nodes, near.unionByName(more)).withColumnRenamed("comp", "key")
     sizes = families.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

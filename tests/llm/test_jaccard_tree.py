@@ -57,6 +57,7 @@ def corpus(seed=5):
 @pytest.mark.parametrize("block", [256, 3])
 def test_components_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "FAMILY", block)
     rows = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)

@@ -49,8 +49,10 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         F.crc32(F.encode(text, "UTF-8")).alias("crc"))
     placed = sharding.shard_by_bytes(slim, N_SHARDS, order=("id", "th"), group="crc")
     places = placed.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("size", "shard", "slot"))).alias("_at"))
-    places = places.select(F.col("id").alias("_id"), F.col("th").alias("_of"), "_at")
-    one = keyed.join(places, keyed.doc_id.eqNullSafe(places._id) & (keyed._th == places._of)).dropDuplicates(["doc_id", "_th"])
+    # without nulls in the keys the join's partitioning also serves the last step: texts are shuffled once
+    own = lambda name: F.coalesce(name, F.lit(-2**63))
+    places = places.select(own("id").alias("_id"), F.col("th").alias("_th"), "_at")
+    one = keyed.withColumn("_id", own("doc_id")).join(places, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
     return one.select(*docs.columns, F.inline("_at"))
 
 

@@ -82,8 +82,8 @@ def _signer(k: int, percent: int, common: np.ndarray):
 
 
 def width(n: int) -> int:
-    """Bits of a set's signature: four to eight for each member, a power of two."""
-    return max(64, 1 << int(4 * n - 1).bit_length()) if n else 64
+    """Bits of a set's signature: two to four for each member, a power of two."""
+    return max(64, 1 << int(2 * n - 1).bit_length()) if n else 64
 
 
 def bitmap(own: np.ndarray) -> bytes:
@@ -338,7 +338,7 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
     1. One Arrow pass gives each document its set's size, a 64-bit name of the set
        (equal sets are one from here on), its ``n - need + 1`` rarest shingles (by a sketch
-       of all documents' shingles, then by hash) and a signature of four to eight bits a shingle.  Linked sets share one of
+       of all documents' shingles, then by hash) and a signature of two to four bits a shingle.  Linked sets share one of
        those shingles at least, so its bucket holds both.  Hashes that
        one set alone has drop out in a pre-aggregated count; of buckets with the
        same members one stays.
@@ -406,10 +406,11 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the one whose id names it; documents without words all stay once."""
     named = link_components(docs, **options).where("doc_id <=> component_id")
-    named = named.select(F.col("doc_id").alias("_id"), "th").distinct()
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    kept = keyed.join(named, keyed.doc_id.eqNullSafe(named._id) & (keyed._th == named.th), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    # without nulls in the keys the join's partitioning also serves the last step: texts are shuffled once
+    own = F.coalesce("doc_id", F.lit(-2**63))
+    named = named.select(own.alias("_id"), F.col("th").alias("_th")).distinct()
+    keyed = docs.withColumns({"_id": own, "_th": F.xxhash64("text")})
+    return keyed.join(named, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
 
 
 def _bounder(percent: int):

@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: an inverted index with block maxima per shard, merged with global statistics."""
+"""Exact BM25 top-k: whole texts as queries, scored per shard with global statistics, the shards' best merged."""
 
 from __future__ import annotations
 
@@ -14,10 +14,13 @@ from quarry.llm.common import cut
 from quarry.llm.shingles import PLAIN, words_of
 
 K1, B, K3 = 1.2, 0.75, 1.0
-QUERY_TERMS = 32          # a query is the terms of its whole text with the highest weight, so many
 BLOCK_QUERIES = 8192      # queries that one pass over the documents answers
+QUERY_BYTES = 64 << 20    # and their text at most
 SHARD = 20480             # documents of a shard
-RANGE = 128               # documents of a block of the index
+RANGE = 512               # documents scored at once
+DENSE = 2048              # terms at most that are multiplied as a dense matrix
+COMMON = 0.003            # product of a term's shares of documents and queries from which that is cheaper than a posting at a time
+HELD = 1 << 21            # candidates held before they are scored exactly
 CHUNK = 1 << 16           # terms whose document counts travel in one row
 
 
@@ -65,62 +68,136 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places ``first[i] .. first[i] + count[i] - 1`` of all ``i``, one run after the other."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+class Queries:
+    """Queries by term: the common terms as a dense matrix, the others as postings; all weights also by query."""
+
+    def __init__(self, own: list, share: np.ndarray):
+        self.names = [name for name, _, _ in own]
+        self.first = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in own])])
+        self.terms = np.concatenate([t for _, t, _ in own])
+        self.weights = np.concatenate([w for _, _, w in own])
+        who = np.repeat(np.arange(len(own)), np.diff(self.first))
+        asked = np.bincount(self.terms, minlength=len(share))
+        both = share * asked / len(own)
+        common = np.argsort(-both, kind="stable")[:DENSE]
+        common = np.sort(common[both[common] >= COMMON])
+        self.column = np.full(len(share), -1, np.int32)             # of the dense matrix; -1: a term with postings
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.terms]
+        self.dense = np.zeros((len(own), len(common)), np.float32)
+        self.dense[who[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.who, self.weight = who[rare], self.weights[rare].astype(np.float32)
+        self.starts = np.searchsorted(self.terms[rare], np.arange(len(share) + 1))
+        # single precision: a sum of n positive products is off by (n + 3) roundings of 2^-24 at most, both ways for two scores
+        self.slack = np.minimum(1, 2.1 * (np.diff(self.first) + 8) * 2.0 ** -24)
+
+
 class Index:
-    """Postings of one shard by term, with the largest impact of each term in each block of ``RANGE`` documents."""
-
-    def __init__(self, terms: np.ndarray, docs: np.ndarray, counts: np.ndarray, length: np.ndarray, average: float, n_terms: int):
-        order = np.lexsort((docs, terms))
-        self.terms, self.docs = terms[order], docs[order]
-        tf = counts[order].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / average))
-        key = self.terms.astype(np.int64) * (len(length) // RANGE + 1) + self.docs // RANGE
-        self.starts = np.flatnonzero(np.diff(key, prepend=-1))
-        self.stops = np.append(self.starts[1:], len(key))
-        self.top = np.maximum.reduceat(self.impact, self.starts) if len(key) else self.impact
-        self.block = self.docs[self.starts] // RANGE
-        self.first = np.searchsorted(self.terms[self.starts], np.arange(n_terms + 1))     # a term's blocks
-        self.ranges, self.size = len(length) // RANGE + 1, len(length)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best documents (smaller id first among equals) and their scores; documents without a term don't count.
-
-        A block's bound is the sum of its terms' weighted maxima.  The most
-        promising blocks are scored first; the k-th score so far is the threshold
-        that a block's bound must reach to be scored at all.
+    """The documents of one shard with the impacts of the queries' terms."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, size: np.ndarray, length: np.ndarray, average: float):
+        self.terms, self.size, self.first = terms, size, np.concatenate([[0], np.cumsum(size)])
+        self.norm = K1 * (1 - B + B * length / average)
+        self.counts = counts
+
+    def impacts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the documents' postings, and their impacts."""
+        post = _runs(self.first[docs], self.size[docs])
+        tf = self.counts[post].astype(np.float64)
+        return post, tf * (K1 + 1) / (tf + np.repeat(self.norm[docs], self.size[docs]))
+
+    def near(self, queries: Queries, a: int, b: int) -> np.ndarray:
+        """Scores of the documents ``a`` to ``b`` for every query in single precision, within the queries' slack."""
+        docs = np.arange(a, b)
+        post, impact = self.impacts(docs)
+        term, impact, who = self.terms[post], impact.astype(np.float32), np.repeat(docs - a, self.size[docs])
+        column = queries.column[term]
+        common, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        matrix = np.zeros((queries.dense.shape[1], b - a), np.float32)
+        matrix[column[common], who[common]] = impact[common]
+        out = queries.dense @ matrix
+        first = queries.starts[term[rare]]
+        count = queries.starts[term[rare] + 1] - first
+        for part in np.split(np.arange(len(rare)), np.searchsorted(np.cumsum(count), np.arange(1 << 22, int(count.sum()), 1 << 22))):
+            n = count[part]
+            at = _runs(first[part], n)
+            np.add.at(out.reshape(-1), queries.who[at] * (b - a) + np.repeat(who[rare[part]], n),
+                      queries.weight[at] * np.repeat(impact[rare[part]], n))
+        return out
+
+    def exact(self, queries: Queries, who: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of pairs, ordered by query, in double precision and in the order of the terms."""
+        weight, out = np.zeros(len(queries.column)), np.zeros(len(who))
+        edges = np.flatnonzero(np.diff(who, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            own = slice(queries.first[who[a]], queries.first[who[a] + 1])
+            weight[queries.terms[own]] = queries.weights[own]
+            for c in range(a, b, RANGE):
+                some = docs[c:min(b, c + RANGE)]
+                post, impact = self.impacts(some)
+                out[c:c + len(some)] = np.bincount(np.repeat(np.arange(len(some)), self.size[some]), impact * weight[self.terms[post]], len(some))
+            weight[queries.terms[own]] = 0
+        return np.round(out, 9)
+
+    def search(self, queries: Queries, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``query, document, score`` of each query's ``k`` best (smaller id first among equals); documents without a term don't count.
+
+        Every document is scored for every query in single precision.  What may be among the ``k`` best, given the
+        bound of that rounding, is scored again exactly; nothing else can be.
         """
-        count = self.first[terms + 1] - self.first[terms]
-        weight = np.repeat(weights, count)
-        at = np.repeat(self.first[terms] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        block = self.block[at]
-        bound = np.bincount(block, weights=weight * self.top[at], minlength=self.ranges)
-        order = np.argsort(-bound, kind="stable")
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        least, done, step = 0.0, 0, 4
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= least - 1e-9:
-            take = order[done:done + step]
-            take = take[(bound[take] > 0) & (bound[take] >= least - 1e-9)]
-            chosen = np.zeros(self.ranges, bool)
-            chosen[take] = True
-            mine = at[chosen[block]]
-            own = weight[chosen[block]]
-            size = self.stops[mine] - self.starts[mine]
-            post = np.repeat(self.starts[mine] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            place, back = np.unique(self.docs[post], return_inverse=True)
-            got = np.round(np.bincount(back, weights=np.repeat(own, size) * self.impact[post]), 9)
-            found, scores = np.append(found, place), np.append(scores, got)
-            best = np.lexsort((ids[found], -scores))[:k]
-            found, scores = found[best], scores[best]
-            least = scores[-1] if len(scores) == k else 0.0
-            done, step = done + step, step * 4
-        return found, scores
+        least = np.zeros(len(queries.names))
+        who, docs, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        last = 0
+        for a in range(0, len(ids), RANGE):
+            b = min(len(ids), a + RANGE)
+            near = self.near(queries, a, b)
+            floor = least.astype(np.float32)
+            if not a and b > k:
+                floor = (np.partition(near, b - k, axis=1)[:, b - k] * (1 - queries.slack) - 1e-8).astype(np.float32)
+            # one more rounding step down, as the floor is itself rounded
+            q, d = np.nonzero((near >= np.nextafter(floor, np.float32(-1))[:, None]) & (near > 0))
+            who, docs, score = np.append(who, q), np.append(docs, a + d), np.append(score, near[q, d])
+            if not a or b == len(ids) or len(who) - last > len(least):
+                who, docs, score = self._kept(queries, k, who, docs, score, least)
+                if len(who) > HELD:
+                    who, docs, score = self._best(queries, k, ids, who, docs, score)[:3]
+                last = len(who)
+        who, docs, _, exact = self._best(queries, k, ids, who, docs, score)
+        return who, docs, exact
+
+    @staticmethod
+    def _kept(queries, k, who, docs, score, least):
+        """The candidates that may still be among the ``k`` best; raises ``least``."""
+        order = np.lexsort((-score, who))
+        who, docs, score = who[order], docs[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        kth = rank == k - 1
+        own = who[kth]
+        least[own] = np.maximum(least[own], score[kth].astype(np.float64) * (1 - queries.slack[own]) - 1e-8)
+        ok = score >= least[who]
+        return who[ok], docs[ok], score[ok]
+
+    def _best(self, queries, k, ids, who, docs, score):
+        order = np.argsort(who, kind="stable")
+        who, docs, score = who[order], docs[order], score[order]
+        exact = self.exact(queries, who, docs)
+        order = np.lexsort((ids[docs], -exact, who))
+        order = order[np.arange(len(who)) - np.searchsorted(who, who) < k]
+        return who[order], docs[order], score[order], exact[order]
 
 
 def _searcher(plan, k: int):
-    """A task is one shard: it indexes its rows' postings of the queries' terms, then answers every query."""
+    """A task is one shard: it holds its rows' postings of the queries' terms, then answers every query."""
     def run(batches):
-        known, idf_average, queries = plan.value
-        lengths, names, terms, docs, counts = [], [], [], [], []
-        n = 0
+        known, share, average, own = plan.value
+        lengths, names, terms, counts, sizes = [], [], [], [], []
         for batch in batches:
             names.append(batch.column(0))
             for size, term, count in _terms(batch.column(1)):
@@ -129,28 +206,22 @@ def _searcher(plan, k: int):
                 ok[ok] = known[at[ok]] == term[ok]
                 terms.append(at[ok].astype(np.int32))
                 counts.append(count[ok].astype(np.int32))
-                docs.append(np.full(int(ok.sum()), n, np.int32))
+                sizes.append(int(ok.sum()))
                 lengths.append(size)
-                n += 1
-        if not n:
+        if not lengths:
             return
         names = pa.chunked_array(names).combine_chunks()
         order = np.array([-2**63 if i is None else i for i in names.to_pylist()], np.int64)
-        index = Index(np.concatenate(terms), np.concatenate(docs), np.concatenate(counts), np.array(lengths, np.float64), idf_average, len(known))
-        del terms, docs, counts
-        who, place, score = [], [], []
-        for name, own, weights in queries:
-            found, scores = index.search(own, weights, k, order)
-            who += [name] * len(found)
-            place.append(found)
-            score.append(scores)
-        at = pa.array(np.concatenate([np.zeros(0, np.int64), *place]))
-        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), names.take(at), pa.array(np.concatenate([np.zeros(0), *score]))],
+        index = Index(np.concatenate(terms), np.concatenate(counts), np.array(sizes, np.int64), np.array(lengths, np.float64), average)
+        del terms, counts
+        queries = Queries(own, share)
+        who, place, score = index.search(queries, k, order)
+        yield pa.RecordBatch.from_arrays([pa.array(queries.names, pa.int64()).take(pa.array(who)), names.take(pa.array(place)), pa.array(score)],
                                          ["query_id", "doc_id", "score"])
     return run
 
 
-def _answer(docs: DataFrame, asked: DataFrame, k: int, query_terms: int, shards: int) -> DataFrame | None:
+def _answer(docs: DataFrame, asked: DataFrame, k: int, query_terms: int | None, shards: int) -> DataFrame | None:
     sc = docs.sparkSession.sparkContext
     rows = asked.mapInArrow(_describe, "query_id long, terms binary, counts binary").collect()      # BLOCK_QUERIES rows at most
     own = [(r.query_id, np.frombuffer(r.terms, np.int64), np.frombuffer(r.counts, np.int32)) for r in rows]
@@ -170,21 +241,23 @@ def _answer(docs: DataFrame, asked: DataFrame, k: int, query_terms: int, shards:
         best = np.sort(np.lexsort((term, -weight))[:query_terms])
         chosen.append((name, at[best], weight[best]))
     used = np.unique(np.concatenate([a for _, a, _ in chosen]))
-    queries = [(name, np.searchsorted(used, a), w) for name, a, w in chosen]
-    plan = sc.broadcast((vocabulary[used], max(1.0, words / max(1, n)), queries))
+    queries = [(name, np.searchsorted(used, a).astype(np.int32), w) for name, a, w in chosen if len(a)]
+    plan = sc.broadcast((vocabulary[used], df[used] / max(1, n), max(1.0, words / max(1, n)), queries))
     return docs.select("doc_id", "text").coalesce(shards).mapInArrow(_searcher(plan, k), "query_id long, doc_id long, score double")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = QUERY_TERMS, block: int = BLOCK_QUERIES,
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = None, block: int = BLOCK_QUERIES,
            shard: int = SHARD) -> DataFrame:
     """``query_id, rank, doc_id, score``: the ``k`` best of all ``docs`` (``doc_id, text``) for each query (``query_id, text``).
 
-    A query is the ``query_terms`` terms of its whole text with the highest weight (idf times a saturated count);
-    BM25 over them is exact: document counts, the number of documents and their mean length are counted over all
-    rows first, so scores of different shards agree and the best of the shards' best are the best of all.  A shard is about
-    ``shard`` documents, indexed whole by one task (input partitions are joined, never shuffled), with postings
-    of the terms that the queries ask for; its dynamic pruning skips every block whose bound is below the k-th score so far.
-    Queries are answered in blocks of ``block``, one pass each, so what travels with the tasks is bounded.
+    A query is every distinct term of its whole text, its weight idf times a saturated count (``query_terms``: only so many,
+    those with the highest weight).  BM25 is exact: document counts, the number of documents and their mean length are
+    counted over all rows first, so scores of different shards agree and the best of the shards' best are the best of all.
+    A shard is about ``shard`` documents, held whole by one task (input partitions are joined, never shuffled), with postings
+    of the terms that the queries ask for.  It scores every document for every query in single precision (common terms as a
+    matrix product, the others by postings) and again in double precision those that its rounding leaves among the best.
+    Queries are answered in blocks of about ``block`` and ``QUERY_BYTES``, one pass each, so what travels with the tasks is
+    bounded; time grows with queries times documents.
 
     Equal scores rank the smaller id first, null ids first.  A null or empty text is found by nothing and asks for
     nothing; a query that repeats wholly is answered once; equal documents are each found.  Empty tables give no rows.
@@ -192,8 +265,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
     """
     docs = docs.select("doc_id", "text")
     asked = queries.select("query_id", "text").where("text IS NOT NULL").distinct()
-    n, q = docs.count(), asked.count()
-    passes, shards = -(-q // block), max(1, -(-n // shard))
+    n, (q, size) = docs.count(), asked.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    passes, shards = max(-(-q // block), -(-(size or 0) // QUERY_BYTES)), max(1, -(-n // shard))
     found = [_answer(docs, asked.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(passes)) == p), k, query_terms, shards) for p in range(passes)]
     found = [f for f in found if f is not None]
     schema = "query_id long, rank int, doc_id long, score double"

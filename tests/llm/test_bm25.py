@@ -48,6 +48,32 @@ def test_exact_top_k_against_brute_force(spark, monkeypatch, block, shard, range
     assert dict(got) == brute(rows, queries, 10, 100)
 
 
+def test_registered_defaults_use_the_whole_text_of_long_queries(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(3000)], k=rng.choice([5, 80, 400, 3000])))) for i in range(700)]
+    rows += [(1000 + i, rows[50][1]) for i in range(12)]
+    queries = [(i, t) for i, t in rows if i % 50 == 0]
+    assert max(len(set(words(t))) for _, t in queries) > 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = collections.defaultdict(list)
+    for r in bm25.search(df, df.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.doc_id))
+    want = brute(rows, queries, 10, 3000)
+    assert set(got) == set(want)
+    for q in want:
+        assert [i for _, i in got[q]] == [i for _, i in want[q]] and [s for s, _ in got[q]] == pytest.approx([s for s, _ in want[q]], abs=1e-6)
+
+
+def test_many_equal_documents_are_settled_exactly(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "HELD", 50)
+    monkeypatch.setattr(bm25, "RANGE", 16)
+    rows = [(i, "the same few words in each") for i in range(199, -1, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = bm25.search(df, df.where("doc_id = 150").withColumnRenamed("doc_id", "query_id")).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == list(range(10))
+
+
 def test_a_query_is_its_weightiest_terms(spark):
     rows = [(i, "common words") for i in range(20)] + [(50, "common words rare"), (51, "rare rare"), (52, "common words")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

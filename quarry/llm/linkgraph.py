@@ -14,7 +14,9 @@ RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "al
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>:]+)"""
 MOST_RULES = 2_000        # rules travel in the plan
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 12               # of spread() without another number
+EPSILON = 1e-6            # mass that settled() leaves under way, over all hosts; a page of a seed has 1 - DAMPING
+STEP = 6                  # rounds between two looks at it
 THRESHOLD = 0.5           # of a host's pages, in blocked pages net of trusted ones
 
 
@@ -64,8 +66,32 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     Every round is one join and one pre-aggregated sum; lineage is cut after
     each third.  Mass on a host without outgoing edges stays out of the next round.
     """
-    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("mass"))
-    mass = cut(start)
+    start = _start(seeds, damping)
+    return _rounds(edges, start, cut(start), rounds, damping)
+
+
+def settled(edges: DataFrame, seeds: DataFrame, epsilon: float = EPSILON, damping: float = DAMPING) -> DataFrame:
+    """As ``spread``, with as many rounds as leave at most ``epsilon`` of mass to come, summed over all hosts.
+
+    So no host's mass is off by more.  Mass only grows, and a round adds at most ``damping`` times what the
+    round before added; that bounds the rest from what the last rounds added.
+    """
+    start = cut(_start(seeds, damping))
+    mass, total = start, start.agg(F.sum("mass")).first()[0] or 0.0
+    left = total * damping / (1 - damping)
+    while left > epsilon:
+        mass = _rounds(edges, start, mass, STEP, damping)
+        now = mass.agg(F.sum("mass")).first()[0]
+        left = min(left * damping ** STEP, max(0.0, now - total) / STEP * damping / (1 - damping))
+        total = now
+    return mass
+
+
+def _start(seeds: DataFrame, damping: float) -> DataFrame:
+    return seeds.select("host", (F.col("seed") * (1 - damping)).alias("mass"))
+
+
+def _rounds(edges: DataFrame, start: DataFrame, mass: DataFrame, rounds: int, damping: float) -> DataFrame:
     for i in range(rounds):
         moved = (edges.join(mass, edges.src == mass.host)
                  .select(F.col("dst").alias("host"), (damping * F.col("w") * F.col("mass")).alias("mass")))
@@ -84,6 +110,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = TH
     against them, to hosts that link to distrusted ones.  A page without a rule
     is blocked if its host's distrust, net of its trust, is at least
     ``threshold`` of what the host would have if all its pages were blocked.
+    Both are spread until at most ``EPSILON`` of mass over all hosts is still to come.
 
     A null url, or one without ``://``, has an empty host and path, no rule and is
     allowed (nothing is known against it); a null html has no links.  Repeated
@@ -103,8 +130,8 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = TH
         F.count_if(F.col("said") == "block").alias("bad")))
     edges = cut(host_edges(pages.select(host_of(url).alias("host"), "html"), hosts.select("host")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    trust = spread(edges, hosts.where("good > 0").select("host", F.col("good").cast("double").alias("seed")))
-    distrust = spread(back, hosts.where("bad > 0").select("host", F.col("bad").cast("double").alias("seed")))
+    trust = settled(edges, hosts.where("good > 0").select("host", F.col("good").cast("double").alias("seed")))
+    distrust = settled(back, hosts.where("bad > 0").select("host", F.col("bad").cast("double").alias("seed")))
     scores = (hosts.join(trust.withColumnRenamed("mass", "trust"), "host", "left")
               .join(distrust.withColumnRenamed("mass", "distrust"), "host", "left")
               .select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))

@@ -63,6 +63,23 @@ def test_spread_is_personalised_pagerank(spark):
     assert got == pytest.approx(brute_mass(edges, seeds, G.ROUNDS))
 
 
+def test_settled_is_the_limit(spark):
+    edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)] + [("h30", "h29", 0.5), ("h30", "x", 0.5), ("u", "v", 1.0), ("v", "u", 1.0)]
+    seeds = {"h0": 50.0, "u": 7.0, "alone": 1.0}
+    df = spark.createDataFrame(edges, "src string, dst string, w double")
+    got = {r.host: r.mass for r in G.settled(df, spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
+    want = brute_mass(edges, seeds, 400)
+    assert set(got) == set(want) and sum(abs(got[h] - want[h]) for h in want) <= G.EPSILON
+    assert G.settled(df, spark.createDataFrame([], "host string, seed double")).count() == 0
+
+
+def test_distrust_reaches_the_far_end_of_a_chain(spark):
+    rows = [(i, f"http://bad.net/es/{i}", "") for i in range(40)]
+    rows += [(100 + i, f"http://c{i}.org/", f"<a href='http://{f'c{i + 1}.org' if i < 13 else 'bad.net'}/x'>") for i in range(14)]
+    got = {r.page_id: r.verdict for r in G.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[100 + i] for i in range(14)} == {"block"}
+
+
 def test_distrust_goes_against_links(spark):
     rows = [(i, f"http://bad.net/es/{i}", "") for i in range(20)] + [(100, "http://farm.org/x", "<a href='http://bad.net/es/1'>"),
                                                                     (101, "http://clean.org/x", ""), (102, "http://cited.org/", "")]

@@ -101,6 +101,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Runs of ``min_words`` words or more that occur before, in the same or another document (in order of
     ``doc_id``, null first, then text hash), are deleted whole with the blank lines inside.
+    Runs are of whole lines: the parts of a repeated passage that begin or end inside a line stay, and so does one
+    that lies within a line.
     A null text stays null with no lines; an empty text is one blank line.  Rows that repeat wholly (id and
     text) are one document, so each gets the same result; an empty table gives
     no rows.  Other columns pass through; clashing ones are replaced.

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
-from quarry.llm import bm25, decontaminate, importance, jaccard_tree, licenses, line_dedup, linkgraph, mixing, sharding, token_blocks
+from quarry.llm import (bm25, cross_parse, decontaminate, importance, jaccard_tree, licenses, line_dedup, linkgraph, mixing, prefix_trie, runs,
+                        sharding, token_blocks)
+from quarry.llm.common import WORD
 
 
 def _table(spark, sf, name):
@@ -69,5 +71,31 @@ def op10_line_dedup(spark, sf):
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_periodic_runs(spark, sf):
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    text = F.when(h % 10 == 0, F.when(F.size(words) > 0, F.concat_ws(" ", runs.repeated_in_place(words, h))).otherwise(F.col("text"))).otherwise(F.col("text"))
+    found = runs.find_runs(_table(spark, sf, "documents").select("doc_id", text.alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return (found.withColumn("longest", longest)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"),
+                    (-F.col("longest.period")).alias("period"), F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+def op12_prefix_trie(spark, sf):
+    paths = prefix_trie.turn_paths(_table(spark, sf, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_heads(paths))
+
+
+def op13_language_id(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    out = cross_parse.predict_language(docs, docs.where(fold != 1).select("text", "lang"))
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_jaccard_tree, op4_url_filter, op5_byte_shards,
-                                     op6_decontaminate, op7_importance_classifier, op8_bm25_topk, op9_token_blocks, op10_line_dedup)}
+                                     op6_decontaminate, op7_importance_classifier, op8_bm25_topk, op9_token_blocks, op10_line_dedup,
+                                   op11_periodic_runs, op12_prefix_trie, op13_language_id)}

@@ -119,10 +119,10 @@ def hit_counter(spec, mode: str, case_sensitive: bool, newline_fix: bool = False
         if auto is None:
             auto = state["a"] = _automaton(key, words)
         if pre or post:
-            p = norm(pre)
-            nb = norm(body)
-            t = p + nb + norm(post)
-            lo, hi = len(p), len(p) + len(nb)
+            # normalised in one piece (a letter's lower case may depend on its neighbours); lengths do not depend on them
+            t = norm(pre + body + post)
+            lo = len(norm(pre))
+            hi = lo + len(norm(body))
         else:
             t = norm(body)
             lo, hi = 0, len(t)

@@ -66,7 +66,8 @@ def observed(files: DataFrame, name: str = "scan"):
 
 def _named_files(listing: DataFrame) -> DataFrame:
     """The listed files for a scan, which opens them inside its tasks."""
-    return listing.select(F.col("rel_path").alias("source_path"), "path", "size", "mtime")
+    # what is no regular file is never opened (reading a pipe would wait for ever); its row says that it has no content
+    return listing.select(F.col("rel_path").alias("source_path"), F.when(F.col("error") != "not a regular file", F.col("path")).alias("path"), "size", "mtime")
 
 
 def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictionary, output: str, *,

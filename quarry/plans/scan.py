@@ -90,9 +90,82 @@ def boundary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> Scan
     return scan(units, dictionary, mode="boundary", **kw)
 
 
+def _is_text(flavor: str):
+    """Whether a listed file is read as plain text: by its extension, or unknown and to be sniffed (second program)."""
+    from quarry.functions.text import file_suffix
+    from quarry.sources.containers import V1_TEXT_EXTENSIONS
+    from quarry.sources.files import format_class
+    kind = file_suffix(F.col("source_path"))
+    return kind.isin(list(V1_TEXT_EXTENSIONS)) if flavor == "v1" else format_class(kind, F.col("source_path")).isin("text", "sniff")
+
+
+def _range_job(spec, mode: str, case_sensitive: bool, context: int):
+    """Hits of every piece of a range, counted where they start; one ``file`` row a range with what it read."""
+    from quarry.operators.match import hit_counter
+    from quarry.sources.containers import _textual_head
+    from quarry.sources.ranges import file_head, pieces
+    boundary = mode == "boundary"
+    count = hit_counter(spec, mode, case_sensitive, newline_fix=boundary)
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                read, error, totals = 0, "", {}
+                try:
+                    textual = not row.sniffed or _textual_head(file_head(row.path))
+                except Exception as e:
+                    textual, error = False, f"{type(e).__name__}: {e}"
+                for _, _, _, pre, text, post, bad in pieces(row.path, row.size, row.offset, row.length, context) if textual else ():
+                    if bad:
+                        error = bad
+                        continue
+                    read += len(text.encode("utf-8", "ignore"))
+                    for w, c in count(text, pre, post).items():
+                        totals[w] = max(totals.get(w, 0), c) if boundary else totals.get(w, 0) + c
+                own = (row.source_path, row.mtime_us, row.size)
+                found = [(*own, "fact", None, None, g, kw, c) for w, c in totals.items() for g, kw in spec[2][w]]
+                yield pd.DataFrame([(*own, "file", read, error, None, None, None), *found], columns=[c.split(" ")[0] for c in _RANGE_ROWS.split(", ")])
+    return run
+
+
+_RANGE_ROWS = ("source_path string, mtime_us long, size long, row_kind string, bytes_read long, error string, "
+               "keyword_group string, keyword string, count long")
+
+
+def scan_ranges(files: DataFrame, spec, mode: str, case_sensitive: bool, range_bytes: int, reliable: bool, cached: list) -> DataFrame:
+    """``file`` and ``fact`` rows, as of a scan round, of large text files: their byte ranges are matched by many tasks, then added up."""
+    from quarry.functions.text import file_suffix
+    from quarry.session import cut_lineage
+    from quarry.sources.files import format_class
+    from quarry.sources.ranges import text_ranges
+    kind = format_class(file_suffix(F.col("source_path")), F.col("source_path"))
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mt = F.unix_micros("mtime") if "mtime" in files.columns else F.lit(None).cast("long")
+    ranges = text_ranges(files.select("source_path", "path", "size", mt.alias("mtime_us"), (kind == "sniff").alias("sniffed")), range_bytes)
+    context = max(len(w) for w in spec[1]) + 1
+    found = ranges.repartition(n, "path", "offset").mapInPandas(_range_job(spec, mode, case_sensitive, context), _RANGE_ROWS)
+    found = cut_lineage(found) if reliable else found.persist(StorageLevel.MEMORY_AND_DISK)
+    if not reliable:
+        cached.append(found)
+    own = ["source_path", "mtime_us", "size"]
+    facts = (found.where("row_kind = 'fact'").groupBy(*own, "row_kind", "keyword_group", "keyword")
+             .agg((F.max("count") if mode == "boundary" else F.sum("count")).alias("count")))
+    facts = facts.select(*own, "row_kind", F.lit(None).cast("long").alias("bytes_read"), F.lit(None).cast("string").alias("error"),
+                         "keyword_group", "keyword", "count")
+    # of a file row only whether there are hits is used
+    hits = facts.groupBy("source_path").agg(F.sum("count").alias("count"))
+    ends = (found.where("row_kind = 'file'").groupBy(*own, "row_kind")
+            .agg(F.sum("bytes_read").alias("bytes_read"), F.max("error").alias("error")).join(hits, "source_path", "left")
+            .select(*own, "row_kind", "bytes_read", "error", F.lit(None).cast("string").alias("keyword_group"),
+                    F.lit(None).cast("string").alias("keyword"), F.coalesce("count", F.lit(0)).alias("count")))
+    return ends.unionByName(facts).withColumns({"internal_path": F.lit(""), "depth": F.lit(0)})
+
+
 def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictionary",
               run_id: int = 1, case_sensitive: bool = False, max_depth: int = 3,
-              flavor: str = "v2", reliable: bool = False, split_zip_bytes: int | None = None) -> ScanResult:
+              flavor: str = "v2", reliable: bool = False, split_zip_bytes: int | None = None,
+              split_text_bytes: int | None = None) -> ScanResult:
     """A scan of files that may be containers (S13/S8/S11/S12 + M1/M2 fused).
 
     ``files`` is ``(source_path, content[, mtime])``, any table of blobs, or
@@ -105,13 +178,24 @@ def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "d
     ``flavor='v1'`` extracts like the first program instead: one whole text
     per file (XML nested walk, e-mail bodies, Word/ODF paragraphs, text
     with universal newlines) and no containers.
+
+    Listed text files larger than ``split_text_bytes`` are scanned as byte ranges of that size, many tasks a file.
     """
     from quarry.functions.text import file_suffix
     from quarry.operators.match import plan_spec
     from quarry.sources.containers import DEFAULT_SPLIT_ZIP_BYTES, scan_rounds
+    from quarry.sources.ranges import RANGE_BYTES
     spec = plan_spec(dictionary, mode, case_sensitive)
+    large = None
+    if "path" in files.columns and "content" not in files.columns:
+        by_range = _is_text(flavor) & (F.col("size") > (split_text_bytes or RANGE_BYTES))
+        large = files.where(by_range)
+        files = files.where(~F.coalesce(by_range, F.lit(False)))
     rows = scan_rounds(files, spec, mode=mode, case_sensitive=case_sensitive, max_depth=max_depth,
                        flavor=flavor, cached=(cached := []), reliable=reliable, split_zip_bytes=split_zip_bytes or DEFAULT_SPLIT_ZIP_BYTES)
+    if large is not None:
+        in_ranges = scan_ranges(large, spec, mode, case_sensitive, split_text_bytes or RANGE_BYTES, reliable, cached)
+        rows = rows.select(*in_ranges.columns).unionByName(in_ranges)
     name = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(F.col("internal_path"))
     disp = F.when(F.col("internal_path") == "", F.col("source_path")).otherwise(
         F.concat_ws("::", "source_path", "internal_path"))

@@ -61,29 +61,52 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
 
 
+def children(system, at: str):
+    """``name, is folder, size, mtime in us, error`` of what a folder holds.
+
+    Links to folders are left out and so never entered, as a walk that does not follow links would do; a link to nothing, or what is
+    no regular file, has an error.
+    """
+    from pyarrow import fs
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(at)):
+            folder = info.type == fs.FileType.Directory
+            yield info.base_name, folder, None if folder else info.size, None if info.mtime_ns is None else info.mtime_ns // 1000, ""
+        return
+    import os
+    import stat
+    with os.scandir(at) as entries:
+        for e in entries:
+            if e.is_dir():
+                if not e.is_symlink():
+                    yield e.name, True, None, None, ""
+                continue
+            try:
+                s = e.stat()
+            except OSError as x:
+                yield e.name, False, None, None, f"{type(x).__name__}: {x.strerror}"
+                continue
+            regular = stat.S_ISREG(s.st_mode)
+            yield e.name, False, s.st_size if regular else None, s.st_mtime_ns // 1000, "" if regular else "not a regular file"
+
+
 def _list_job(root: str, exclude: str | None):
     """Lists the directories of a partition, one level; a directory that can't be listed is an error row."""
     def run(batches):
         import pandas as pd
-        from pyarrow import fs
         names = [c.split(" ")[0] for c in LISTING.split(", ")]
         system, base = file_system(root)
         base = base.rstrip("/")
         for pdf in batches:
             rows = []
             for rel in pdf["rel_path"]:
-                at = f"{base}/{rel}".rstrip("/") or "/"
                 try:
-                    found = system.get_file_info(fs.FileSelector(at))
+                    for name, folder, size, mtime, error in children(system, f"{base}/{rel}".rstrip("/") or "/"):
+                        own = f"{rel}/{name}" if rel else name
+                        if own != exclude:
+                            rows.append((f"{root}/{own}", own, folder, size, mtime, error))
                 except Exception as e:
                     rows.append((f"{root}/{rel}", rel, False, None, None, f"{type(e).__name__}: {e}"))
-                    continue
-                for info in found:
-                    own = f"{rel}/{info.base_name}" if rel else info.base_name
-                    if own != exclude:
-                        folder = info.type == fs.FileType.Directory
-                        rows.append((f"{root}/{own}", own, folder, None if folder else info.size,
-                                     None if info.mtime_ns is None else info.mtime_ns // 1000, ""))
             yield pd.DataFrame(rows, columns=names)
     return run
 

@@ -59,11 +59,16 @@ def observed(files: DataFrame, name: str = "scan"):
         F.count_if(F.col("error") == "").alias("scanned"),
         F.count_if(F.col("matched")).alias("matched"),
         F.count_if(F.col("error") != "").alias("failed"),
-        F.count_if(F.col("internal_path") != "").alias("members"),
         F.coalesce(F.sum("bytes_read"), F.lit(0)).alias("bytes_read"))
     return df, obs
 
 
+def _archive_counters(r: ScanResult) -> dict:
+    """Archives opened, at any depth, and the members found in them."""
+    row = r.archives.agg(F.count(F.lit(1)).alias("archives"), F.coalesce(F.sum("count"), F.lit(0)).alias("members")).first()
+    return row.asDict()
+
+
 def _named_files(listing: DataFrame) -> DataFrame:
     """The listed files for a scan, which opens them inside its tasks."""
     # what is no regular file is never opened (reading a pipe would wait for ever); its row says that it has no content
@@ -88,7 +93,7 @@ def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictio
     K.write_run(files_obs, r.facts, output)
     metrics = dict(obs.get)
     elapsed = max(time.time() - started, 1e-3)             # listing, reading and matching included
-    metrics["archives"] = S.with_format_class(listing, "rel_path").where("format_class = 'archive'").count()
+    metrics |= _archive_counters(r)
     metrics["read_mb"] = metrics["bytes_read"] / (1024 * 1024)
     metrics["speed_mb_s"] = metrics["read_mb"] / elapsed
     metrics["matches"] = int(r.facts.groupBy("source_path", "internal_path", "keyword")

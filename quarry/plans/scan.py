@@ -33,6 +33,7 @@ class ScanResult:
     files: DataFrame
     facts: DataFrame
     cached: list = field(default_factory=list)
+    archives: DataFrame | None = None      # archives opened, ``count`` the members found in each
 
     def release(self) -> None:
         """Frees what the scan persisted, once its tables are written."""
@@ -207,4 +208,6 @@ def scan_tree(files: DataFrame, dictionary: KeywordDictionary, *, mode: str = "d
         F.lit(run_id).cast("bigint").alias("run_id"), *META, F.timestamp_micros("mtime_us").alias("mtime"),
         F.coalesce("bytes_read", F.lit(0)).cast("bigint").alias("bytes_read"),
         (F.coalesce("count", F.lit(0)) > 0).alias("matched"), F.lit("").alias("copied_to"), "error")
-    return ScanResult(files_out, facts, cached)
+    # an archive that several tasks opened by ranges is one archive
+    archives = (rows.where(F.col("row_kind") == "archive").groupBy("source_path", "internal_path").agg(F.sum("count").alias("count")))
+    return ScanResult(files_out, facts, cached, archives)

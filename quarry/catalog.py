@@ -377,6 +377,35 @@ def q_next_scan_state(spark, sf):
     return nxt.select("path", corpus.ntz_micros(F.col("mtime")).alias("mtime_us"), "size")
 
 
+def _listings(spark, sf):
+    """Four listings of one folder, from ``events``: both snapshots, the second with changes and losses, and that once more."""
+    old, new = corpus.snapshots(spark, sf)
+    user = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    third = (new.unionByName(old.join(new, "path", "left_anti").where(user % 2 == 0)).where(user % 13 != 0)
+             .withColumn("size", F.col("size") + F.when(user % 9 == 0, 1).otherwise(0)))
+    return [old, new, third, third]
+
+
+def q_listing_changes(spark, sf):
+    """I1 as keyed state: the stream sees one listing after the other, over restarts."""
+    from quarry.streaming import listing as L
+    base = _scratch(spark, "listings")
+    schema = None
+    for i, listing in enumerate(_listings(spark, sf), 1):
+        at = F.timestamp_micros(F.lit(i * 1_000_000).cast("long"))
+        rows = listing.select("path", F.col("path").alias("rel_path"), "size", F.timestamp_micros(corpus.ntz_micros(F.col("mtime"))).alias("mtime"),
+                              F.lit("").alias("error"), at.alias("listed_at"))
+        rows.write.parquet(f"{base}/in/listing={i}")
+        schema = rows.schema
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in/listing=*")
+        q = (L.listing_changes(stream, DICT.fingerprint()).writeStream.outputMode("update")
+             .foreachBatch(lambda df, epoch: I.write_epoch(df, f"{base}/out", epoch))
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        (F.unix_micros("listed_at") / 1_000_000).cast("long").alias("listing"), "rel_path", "change", "size", F.unix_micros("mtime").alias("mtime_us"))
+
+
 # ---------------------------------------------------------------- streaming
 def _scratch(spark, name):
     import uuid
@@ -481,4 +510,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_group_totals": q_stream_group_totals,
     "changed_files": q_changed_files,
     "next_scan_state": q_next_scan_state,
+    "listing_changes": q_listing_changes,
 }

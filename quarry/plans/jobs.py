@@ -170,34 +170,56 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def evidence_stream(spark: SparkSession, data_root: str, dictionary: KeywordDictionary, output: str, *,
-                    checkpoint: str | None = None, available_now: bool = True, max_depth: int = 3,
-                    max_files_per_trigger: int = 1000):
-    """Scan files as they arrive (``binaryFile`` stream), one fused scan per micro-batch.
-
-    Each epoch's files and facts are written to ``{output}/files`` and
-    ``{output}/matches`` partitioned by ``epoch`` (a retried epoch replaces
-    its own partition).  The checkpoint lies in the output folder unless one is named, so a
-    restart goes on with the next epoch.  Files below the output folder are not scanned.
-    A file rewritten in place is not re-emitted by the
-    file source; the batch ``keyword_report`` job covers changed files.
+                    checkpoint: str | None = None, available_now: bool = True, max_depth: int = 3, case_sensitive: bool = False):
+    """Scan files as they arrive, change or go: a listing stream, each path's state, one scan per micro-batch.
+
+    Every trigger lists the folder (hidden names too); keyed state lets new and changed paths through (by mtime, size and
+    dictionary), which the scan opens by path, large text files by ranges.  A path that is gone is told with the listing after.
+    Each epoch's files, facts, counters and gone paths are written to ``{output}/files``, ``matches``, ``metrics`` and
+    ``gone`` partitioned by ``epoch`` (a retried epoch replaces its own partition).  A path that changed has rows in several
+    epochs: see ``stream_tables``.  The checkpoint lies in the output folder unless one is named, so a restart
+    goes on with the next epoch and scans nothing twice.  Files below the output folder are not scanned.
     """
-    root = S.qualified(spark, data_root)
-    exclude = _inside(spark, data_root, output)
+    from quarry.session import cut_lineage
+    from quarry.streaming import listing as L
+    listings = L.listing_stream(spark, data_root, _inside(spark, data_root, output))
+    changes = L.listing_changes(listings, dictionary.fingerprint(case_sensitive))
     ckpt = checkpoint or f"{output.rstrip('/')}/_stream_checkpoint"
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        full = F.regexp_replace("path", "^file:/+", "file:///")
-        rel = batch.withColumn("source_path", F.substr(full, F.lit(len(root) + 2)))
-        if exclude:
-            rel = rel.where(~F.col("source_path").startswith(exclude + "/"))
-        r = scan_tree(rel.select("source_path", "content", F.col("modificationTime").alias("mtime")), dictionary,
-                      run_id=int(epoch_id), max_depth=max_depth)
-        I.write_epoch(r.files, f"{output}/files", epoch_id)
+        started = time.time()
+        found = cut_lineage(batch)                         # used several times; the state is asked once
+        if not found.limit(1).count():
+            return
+        now = found.where("change <> 'gone'")
+        r = scan_tree(_named_files(now), dictionary, run_id=int(epoch_id), max_depth=max_depth, case_sensitive=case_sensitive, reliable=True)
+        files, obs = observed(r.files)
+        I.write_epoch(files, f"{output}/files", epoch_id)
         I.write_epoch(r.facts, f"{output}/matches", epoch_id)
-        r.release()
-
-    return I.stream_scan(spark, data_root, handle, ckpt, available_now=available_now,
-                         max_files_per_trigger=max_files_per_trigger)
+        I.write_epoch(found.where("change = 'gone'").select(F.col("rel_path").alias("source_path")), f"{output}/gone", epoch_id)
+        counters = {**obs.get, **_archive_counters(r), "seconds": time.time() - started}
+        row = spark.createDataFrame([tuple(counters[c] for c in COUNTERS) + (counters["seconds"],)],
+                                    ", ".join(f"{c} long" for c in COUNTERS) + ", seconds double")
+        I.write_epoch(row, f"{output}/metrics", epoch_id)
+
+    w = changes.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+COUNTERS = ["seen", "scanned", "matched", "failed", "bytes_read", "archives", "members"]
+
+
+def stream_tables(spark: SparkSession, output: str) -> ScanResult:
+    """The files and facts of what is there now: each path's last epoch, without paths that have gone since."""
+    files, facts = (spark.read.parquet(f"{output}/{t}") for t in ("files", "matches"))
+    gone = spark.read.parquet(f"{output}/gone")
+    last = (files.select("source_path", "epoch", F.lit(True).alias("there"))
+            .unionByName(gone.select("source_path", "epoch", F.lit(False).alias("there")))
+            .groupBy("source_path").agg(F.max(F.struct("epoch", "there")).alias("last"))
+            .where("last.there").select("source_path", F.col("last.epoch").alias("epoch")))
+    keep = lambda t: t.join(last, ["source_path", "epoch"], "left_semi")
+    return ScanResult(keep(files), keep(facts))
 
 
 def register_views(spark: SparkSession, output: str, prefix: str = "") -> list[str]:

@@ -162,7 +162,9 @@ def samples_of(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_
     At most ``docs`` texts a language reach the driver, one at a time.
     """
     slim = labelled.where("lang is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("text").alias("h")).distinct()
-    ranked = slim.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs).drop("r")
+    # the smallest of each sixteenth of a language first, so no task gets a whole language's hashes
+    least = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= docs).drop("r")
+    ranked = least(least(slim, "lang", F.pmod("h", F.lit(16))), "lang")
     chosen = (labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(ranked), ["lang", "h"])
               .groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h"))
     texts: dict[str, list[bytes]] = {}

@@ -148,37 +148,46 @@ def hit_counter(spec, mode: str, case_sensitive: bool, newline_fix: bool = False
 
 
 def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bool,
-               spec, newline_fix: bool, windowed: bool, within: bool = False):
+               spec, newline_fix: bool, windowed: bool, within: bool = False, totals: bool = False):
     """The per-partition function of the automaton form.
 
     Windowed rows (unit seams) carry ``_pre``/``_post`` context and a ``_cross`` flag: only
     hits that start inside the body count, and with ``_cross`` only those
     that also reach into ``_post`` (hits spanning a unit seam).  Consecutive
-    rows with the same keys are summed before they are emitted, also across Arrow batches.
+    rows with the same keys are summed before they are emitted, also across Arrow batches.  With ``totals`` every stretch of
+    rows with the same keys, hits or not, has a row without a keyword as well: its UTF-8 bytes and number of hits.
     """
     emit = spec[2]
     count = hit_counter(spec, mode, case_sensitive, newline_fix)
     keys = list(keys)
     boundary = mode == "boundary"
 
-    def frame(key_rows, groups, kws, counts):
+    def frame(key_rows, groups, kws, counts, sizes):
         out = pd.DataFrame(key_rows, columns=keys) if keys else pd.DataFrame(index=range(len(groups)))
         out["keyword_group"] = pd.Series(groups, dtype=object)
         out["keyword"] = pd.Series(kws, dtype=object)
         out["count"] = pd.Series(counts, dtype="int64")
+        if totals:
+            out["bytes_read"] = pd.Series(sizes, dtype="int64")
         return out
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        cur_key, cur = None, {}
-        key_rows, groups, kws, counts = [], [], [], []
+        cur_key, cur, cur_bytes = None, {}, 0
+        key_rows, groups, kws, counts, sizes = [], [], [], [], []
+
+        def row(g, kw, c, size=0):
+            key_rows.append(cur_key)
+            groups.append(g)
+            kws.append(kw)
+            counts.append(c)
+            sizes.append(size)
 
         def flush():
             for w, c in cur.items():
                 for g, kw in emit[w]:
-                    key_rows.append(cur_key)
-                    groups.append(g)
-                    kws.append(kw)
-                    counts.append(c)
+                    row(g, kw, c)
+            if totals and cur_key is not None:
+                row(None, None, sum(cur.values()), cur_bytes)
 
         for pdf in batches:
             texts = pdf[text_col].tolist()
@@ -191,20 +200,21 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
                 k = key_vals[i]
                 if k != cur_key:
                     flush()
-                    cur_key, cur = k, {}
+                    cur_key, cur, cur_bytes = k, {}, 0
                 if not body:
                     continue
+                cur_bytes += len(body.encode("utf-8", "surrogatepass")) if totals else 0
                 found = (count(body, pres[i] or "", posts[i] or "", bool(crosses[i]), within) if windowed
                          else count(body))
                 for w, c in found.items():
                     cur[w] = max(cur.get(w, 0), c) if boundary else cur.get(w, 0) + c
             # emit what is complete; the current row may continue in the next batch
             if groups:
-                yield frame(key_rows, groups, kws, counts)
-                key_rows, groups, kws, counts = [], [], [], []
+                yield frame(key_rows, groups, kws, counts, sizes)
+                key_rows, groups, kws, counts, sizes = [], [], [], [], []
         flush()
         if groups:
-            yield frame(key_rows, groups, kws, counts)
+            yield frame(key_rows, groups, kws, counts, sizes)
 
     return run
 
@@ -259,14 +269,15 @@ def _reduce_facts(facts: DataFrame, keys: Sequence[str], mode: str) -> DataFrame
 
 def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequence[str],
                 text_col: str = "text", mode: str = "dictionary", case_sensitive: bool = False,
-                method: str = "automaton", spread: bool | int = True) -> DataFrame:
+                method: str = "automaton", spread: bool | int = True, totals: bool = False) -> DataFrame:
     """Facts ``(keys..., keyword_group, keyword, count)`` for every row of ``units``.
 
     ``count`` is the overlapping hit count (dictionary mode) or 1 (boundary
     mode); rows without hits produce no facts.  Boundary mode reads texts with
     universal newlines, as a file opened as text is.  ``spread``
     (default: automatic, see :func:`spread_target`) hash-distributes the
-    rows first when the input has fewer files than cores.
+    rows first when the input has fewer files than cores.  ``totals`` (automaton only) adds ``bytes_read`` and, for every
+    row, one without a keyword: the text's bytes and number of hits, so that facts and files come from one read.
     """
     keys = list(keys)
     n_spread = spread_target(units) if spread is True else int(spread or 0)
@@ -281,10 +292,12 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
 
     spec = plan_spec(dictionary, mode, case_sensitive)
     schema = _fact_schema(units, keys)
+    if totals:
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema] + [T.StructField("bytes_read", T.LongType())])
     slim = units.select(*keys, text_col)
     if n_spread:
         slim = slim.repartition(n_spread, *keys)
-    return slim.mapInPandas(_count_job(keys, text_col, mode, case_sensitive, spec, mode == "boundary", False), schema)
+    return slim.mapInPandas(_count_job(keys, text_col, mode, case_sensitive, spec, mode == "boundary", False, totals=totals), schema)
 
 
 # ---------------------------------------------------------------- native form

@@ -101,26 +101,57 @@ def group_report(facts: DataFrame, path_col: str = "display_path") -> DataFrame:
             .select("keyword_group", "group_files", "group_size_gb", "keyword", "keyword_files", "path"))
 
 
+#: Rows of ``statistics_rows``: what a row counts.
+PER_GROUP, PER_GROUP_KEYWORD, PER_KEYWORD, PER_RUN, PER_TYPE = "group", "group_keyword", "keyword", "run", "file_type"
+
+
+def statistics_rows(facts: DataFrame, files: DataFrame | None = None, path_col: str = "display_path", text_col: str = "text") -> DataFrame:
+    """A1–A5, A7 and A8 (with ``files`` also A4) in one pass over the facts: one row per figure's key.
+
+    ``GROUPING SETS`` over (path, group, keyword), each with its path, make every distinct pair once (one Expand, one shuffle);
+    the counts over paths are then bounded by the dictionary and merge map-side.  Columns: ``what``
+    (see the constants), ``keyword_group``, ``keyword``, ``file_type``, ``files``, ``hits`` (of a keyword: each file once; of a group's
+    keyword: as stored), ``bytes`` (each file once), ``multi`` (files with more than one group, in the run's row).
+    """
+    path = F.col(path_col)
+    once = (facts.select(path.alias("_path"), "keyword_group", "keyword", "count", "size", F.col("keyword_group").alias("_g"))
+            .groupingSets([["_path", "keyword_group"], ["_path", "keyword_group", "keyword"], ["_path", "keyword"], ["_path"]],
+                          "_path", "keyword_group", "keyword")
+            .agg(F.grouping_id("_path", "keyword_group", "keyword").alias("_set"), F.max("count").alias("hits"), F.max("size").alias("bytes"),
+                 (F.min("_g") != F.max("_g")).cast("long").alias("multi")))
+    # grouping_id has a bit for each column that is left out
+    what = F.element_at(F.create_map(*[F.lit(x) for p in ((1, PER_GROUP), (0, PER_GROUP_KEYWORD), (2, PER_KEYWORD), (3, PER_RUN)) for x in p]),
+                        F.col("_set").cast("int"))
+    one = F.lit(1).cast("long")
+    rows = once.select(what.alias("what"), "keyword_group", "keyword", F.lit(None).cast("string").alias("file_type"), one.alias("files"),
+                       F.when(F.col("_set").isin(0, 2), F.col("hits")).alias("hits"), F.col("bytes").cast("long").alias("bytes"), "multi")
+    if files is not None:
+        none = F.lit(None)
+        rows = rows.unionByName(files.where(F.length(text_col) > 0).select(
+            F.lit(PER_TYPE).alias("what"), none.cast("string").alias("keyword_group"), none.cast("string").alias("keyword"), "file_type",
+            one.alias("files"), none.cast("long").alias("hits"), none.cast("long").alias("bytes"), none.cast("long").alias("multi")))
+    return rows.groupBy("what", "keyword_group", "keyword", "file_type").agg(
+        *[F.sum(c).cast("long").alias(c) for c in ("files", "hits", "bytes", "multi")])
+
+
 def global_statistics(files: DataFrame, facts: DataFrame, path_col: str = "display_path") -> DataFrame:
-    """A10: the statistics document as one row of bounded maps and scalars.
+    """A10: the statistics document as one row of bounded maps and scalars, from one pass over the facts.
 
     ``FilesContainingKeyword`` is the flat index of :func:`keyword_file_index`
     and is written beside it, not inside it.
     """
-    groups = files_per_group(facts, path_col).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword_group", "files")))).alias("Keyword_Groups"))
-    kw = (files_per_keyword(facts, path_col)
-          .groupBy("keyword_group")
-          .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "files")))).alias("m"))
-          .agg(F.map_from_entries(F.array_sort(
-              F.collect_list(F.struct("keyword_group", "m")),
-              lambda a, b: F.when(a["keyword_group"] < b["keyword_group"], -1)
-              .when(a["keyword_group"] > b["keyword_group"], 1).otherwise(0))).alias("Keywords")))
-    ftypes = filetype_counts(files).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_type", "files")))).alias("FileTypes"))
-    return _one_row(groups, Keywords=kw, FileTypes=ftypes,
-                    Files_With_Multiple_Keywords=files_multi_group(facts, path_col),
-                    Global_Matched_Files_Size_GB=matched_size_gb(facts, path_col))
+    rows = statistics_rows(facts, files, path_col)
+    of = lambda what, *cols: F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct(*cols))))
+    total = lambda c: F.coalesce(F.max(F.when(F.col("what") == PER_RUN, F.col(c))), F.lit(0)).cast("long")
+    one = rows.agg(of(PER_GROUP, "keyword_group", "files").alias("g"), of(PER_GROUP_KEYWORD, "keyword_group", "keyword", "files").alias("k"),
+                   of(PER_TYPE, "file_type", "files").alias("t"), total("multi").alias("multi"), total("bytes").alias("bytes"))
+    within = lambda g: F.map_from_entries(F.transform(
+        F.filter("k", lambda x: x["keyword_group"] == g), lambda x: F.struct(x["keyword"], x["files"])))
+    groups = F.transform("g", lambda x: x["keyword_group"])
+    return one.select(
+        F.map_from_entries("g").alias("Keyword_Groups"), F.map_from_arrays(groups, F.transform(groups, within)).alias("Keywords"),
+        F.map_from_entries("t").alias("FileTypes"), F.col("multi").alias("Files_With_Multiple_Keywords"),
+        F.round(F.col("bytes") / F.lit(GIB), 4).alias("Global_Matched_Files_Size_GB"))
 
 
 def run_totals(files: DataFrame) -> DataFrame:
@@ -156,16 +187,23 @@ def run_summary(run_id: int, files: DataFrame, facts: DataFrame) -> DataFrame:
     written next to it as its own table.
     """
     totals = run_totals(files).select(F.struct("scanned", "matched", "failed", "bytes_read", "read_gb").alias("files"))
-    groups = files_per_group(facts, "display_path").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword_group", "files")))).alias("groups"))
-    kws = keyword_totals_by_group_row(facts).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "hits")))).alias("keywords"))
-    return (_one_row(totals, groups=groups, keywords=kws)
-            .select(F.lit(run_id).cast("bigint").alias("run_id"), "files", "groups", "keywords"))
+    rows = statistics_rows(facts)
+    # the reference sums over all rows of a keyword, so one in several groups counts as often
+    kws = (rows.where(F.col("what").isin(PER_GROUP, PER_GROUP_KEYWORD))
+           .groupBy("what", F.when(F.col("what") == PER_GROUP, F.col("keyword_group")).otherwise(F.col("keyword")).alias("name"))
+           .agg(F.sum("files").alias("files"), F.sum("hits").alias("hits")))
+    parts = kws.agg(F.array_sort(F.collect_list(F.when(F.col("what") == PER_GROUP, F.struct("name", "files")))).alias("g"),
+                     F.array_sort(F.collect_list(F.when(F.col("what") == PER_GROUP_KEYWORD, F.struct("name", "hits")))).alias("k"))
+    both = parts.select(F.struct(F.map_from_entries("g").alias("groups"), F.map_from_entries("k").alias("keywords")).alias("s"))
+    return (_one_row(totals, s=both)
+            .select(F.lit(run_id).cast("bigint").alias("run_id"), "files", "s.groups", "s.keywords"))
 
 
 def scan_metrics(files: DataFrame, facts: DataFrame, archives: DataFrame | None = None) -> DataFrame:
-    """The progress counters as a result table (speed is left to the caller)."""
+    """The progress counters as a result table (speed is left to the caller).
+
+    ``archives`` are a scan's (``ScanResult.archives``): one row per archive opened, ``count`` the members found in it.
+    """
     per_file = files.agg(
         F.count(F.lit(1)).alias("seen"),
         F.count_if(F.col("error") == "").alias("scanned"),
@@ -176,8 +214,8 @@ def scan_metrics(files: DataFrame, facts: DataFrame, archives: DataFrame | None
         .agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("matches"))
     extra = {"matches": hits}
     if archives is not None:
-        extra["archives"] = archives.agg(F.count_distinct("source_path"))
-        extra["archive_members"] = archives.agg(F.count(F.lit(1)))
+        extra["archives"] = archives.agg(F.count(F.lit(1)))
+        extra["archive_members"] = archives.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint"))
     return _one_row(per_file, **extra)
 
 

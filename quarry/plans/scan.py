@@ -55,32 +55,48 @@ def scan(units: DataFrame, dictionary: KeywordDictionary, *, mode: str = "dictio
     """
     units = _ensure(units, "error", F.lit(""))
     units = _ensure(units, "mtime", F.lit(None).cast("timestamp"))
-    multi = "unit_idx" in units.columns
+    multi = ["unit_idx"] if "unit_idx" in units.columns else []
+    if method != "automaton":
+        return _scan_native(units, dictionary, mode, run_id, case_sensitive, method, multi)
+    # facts and files come out of one read of the texts; times travel as strings, which Python keeps as they are
+    kind = units.schema["mtime"].dataType
+    slim = units.select(*META, F.col("mtime").cast("string").alias("mtime"), "error", *multi, F.when(F.col("error") == "", F.col("text")).alias("text"))
+    rows = match_units(slim, dictionary, keys=[*META, "mtime", "error", *multi], mode=mode, case_sensitive=case_sensitive, totals=True)
+    # facts feed both the file flags and every report: compute the match once
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    facts, ends = rows.where("keyword is not null"), rows.where("keyword is null")
+    facts = roll_up(facts, META, mode) if multi else facts
+    mtime = F.col("mtime").cast(kind)
+    ends = ends.groupBy(*META).agg(F.max(mtime).alias("mtime"), F.sum("bytes_read").alias("bytes_read"), F.sum("count").alias("count"),
+                                   F.max("error").alias("error"))
+    files = ends.select(F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime", F.col("bytes_read").cast("bigint").alias("bytes_read"),
+                        (F.col("count") > 0).alias("matched"), F.lit("").alias("copied_to"), "error")
+    facts = facts.select(F.lit(run_id).cast("bigint").alias("run_id"), *META, "keyword_group", "keyword", "count")
+    return ScanResult(files, facts, [rows])
+
+
+def _scan_native(units: DataFrame, dictionary: KeywordDictionary, mode: str, run_id: int, case_sensitive: bool, method: str, multi: list) -> ScanResult:
+    """The scan by the native match, which has facts only: files are met with them afterwards."""
     ok = units.where(F.col("error") == "")
+    facts = match_units(ok, dictionary, keys=META + multi, mode=mode, case_sensitive=case_sensitive, method=method)
     if multi:
-        unit_facts = match_units(ok, dictionary, keys=META + ["unit_idx"], mode=mode,
-                                 case_sensitive=case_sensitive, method=method)
-        facts = roll_up(unit_facts, META, mode)
+        facts = roll_up(facts, META, mode)
         files = (units.groupBy(*META)
                  .agg(F.max("mtime").alias("mtime"),
                       F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("bytes_read"),
                       F.max("error").alias("error")))
     else:
-        facts = match_units(ok, dictionary, keys=META, mode=mode,
-                            case_sensitive=case_sensitive, method=method)
         files = units.select(*META, "mtime",
                              F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes_read"),
                              "error")
-    # facts feed both the file flags and every report: compute the match once
     facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
-    cached = [facts]
     flagged = files_with_flag(files, facts, FILE_KEYS)
     files_out = flagged.select(
         F.lit(run_id).cast("bigint").alias("run_id"), *META, "mtime", "bytes_read",
         F.col("matched"), F.lit("").alias("copied_to"), "error")
     facts_out = facts.select(F.lit(run_id).cast("bigint").alias("run_id"), *META,
                              "keyword_group", "keyword", "count")
-    return ScanResult(files_out, facts_out, cached)
+    return ScanResult(files_out, facts_out, [facts])
 
 
 def dictionary_scan(units: DataFrame, dictionary: KeywordDictionary, **kw) -> ScanResult:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ BLOCK = 128           # ids in a block
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)    # a block's width fits so many of its ids, whichever makes it smallest
 SEGMENT = 1 << 18     # ids after which a segment is closed (at a document's end)
 MAGIC = b"PFR2"
+TEXTS = 256           # texts that are encoded together
 
 SEGMENTS = "part int, seq int, first_start long, n_ids long, n_docs int, payload binary, docs binary"
 
@@ -136,9 +138,6 @@ def fine_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-_WORD = re.compile(rf" ?[{_L}]+")
-
-
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in a byte-level vocabulary: visible bytes for themselves, the others from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -146,15 +145,56 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(other)}}
 
 
+class HashTable:
+    """Places of 64-bit hashes, looked up and added many at a time (open addressing in numpy arrays)."""
+
+    def __init__(self):
+        self.n = 0
+        self.keys, self.places = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where there is none."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(hashes), -1, np.int64)
+        todo, at = np.arange(len(hashes)), hashes & mask
+        while len(todo):
+            key = self.keys[at]
+            hit = key == hashes[todo]
+            out[todo[hit]] = self.places[at[hit]]
+            on = ~hit & (key != 0)
+            todo, at = todo[on], (at[on] + np.uint64(1)) & mask
+        return out
+
+    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Hashes that are not there yet, each once and none of them 0."""
+        self.n += len(hashes)
+        if 2 * self.n > len(self.keys):
+            there = self.keys != 0
+            hashes, places = np.concatenate([self.keys[there], hashes]), np.concatenate([self.places[there], places])
+            size = 1 << int(4 * self.n - 1).bit_length()
+            self.keys, self.places = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        mask = np.uint64(len(self.keys) - 1)
+        at = hashes & mask
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]             # of several for one slot the last stays
+            mine = self.keys[at] == hashes
+            self.places[at[mine]] = places[mine]
+            hashes, places, at = hashes[~mine], places[~mine], (at[~mine] + np.uint64(1)) & mask
+
+
 class Encoder:
-    """A tokenizer of the library behind a memory of pieces: each distinct one goes to the library once while remembered."""
+    """A tokenizer of the library behind a memory of pieces: each distinct one goes to the library once while remembered.
 
-    def __init__(self, spec: str, most: int = 1_000_000):
+    Texts that hold the string of an added (special) token go to the library whole, which finds that token first.
+    """
+
+    def __init__(self, spec: str, most: int = 3_000_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True       # their strings in a text are ordinary text
         self.most = most
         spec = json.loads(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         # plain byte-level split: a run of letters is one word of the model, which can then be asked directly
         self.direct = spec.get("normalizer") is None and spec["pre_tokenizer"].get("type") == "ByteLevel" and (
             not spec["pre_tokenizer"]["add_prefix_space"] and spec["pre_tokenizer"].get("use_regex", True))
@@ -162,63 +202,94 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.by_hash: dict[int, int] = {}                 # of pieces of plain texts
+        self.by_hash = HashTable()                        # of pieces of plain texts
         self.by_text: dict[str, int] = {}                 # of pieces of other texts
         self.count = 0
         self.ends = np.zeros(1, np.int64)                 # piece i has the ids ends[i]:ends[i + 1]
         self.ids = np.zeros(1, np.uint32)
+        self.byte_ends = np.zeros(1, np.int64)            # and, of a plain text, the bytes byte_ends[i]:byte_ends[i + 1]
+        self.bytes = np.zeros(1, np.uint8)
+
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate([array, np.zeros(size, array.dtype)])
 
-    def learn(self, new: list[str]) -> range:
-        """The places of new pieces, whose ids are then known."""
-        words = [bool(self.direct and _WORD.fullmatch(p)) for p in new]
-        others = iter(self.tokenizer.encode_batch_fast([p for p, w in zip(new, words) if not w], add_special_tokens=False))
-        ask, letters = self.tokenizer.model.tokenize, self.letters
-        got = [[t.id for t in ask(p.encode().decode("latin-1").translate(letters))] if w else next(others).ids
-               for p, w in zip(new, words)]
-        known, n = self.count, self.count + len(new)
+    def _store(self, got: list[list[int]], raw: np.ndarray, raw_sizes: np.ndarray) -> np.ndarray:
+        """The places of new pieces with these ids and bytes (no bytes for pieces kept by text)."""
+        known, n = self.count, self.count + len(got)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-        used = int(self.ends[known])
-        if n + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(n + 1, np.int64)])
-        if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(used + len(flat), np.uint32)])
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        used, held = int(self.ends[known]), int(self.byte_ends[known])
+        self.ends, self.byte_ends = self._grown(self.ends, n + 1), self._grown(self.byte_ends, n + 1)
+        self.ids, self.bytes = self._grown(self.ids, used + len(flat)), self._grown(self.bytes, held + len(raw))
         self.ends[known + 1:n + 1] = used + np.cumsum(sizes)
         self.ids[used:used + len(flat)] = flat
+        self.byte_ends[known + 1:n + 1] = held + np.cumsum(raw_sizes)
+        self.bytes[held:held + len(raw)] = raw
         self.count = n
-        return range(known, n)
+        return np.arange(known, n)
+
+    def _ask(self, flat: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """The ids of pieces that lie one after the other in ``flat`` (UTF-8): words from the model, others from the library."""
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        letters = np.add.reduceat(_LETTER[flat], begins, dtype=np.int64)
+        word = (letters + (flat[begins] == 32) == sizes) & (letters > 0) & self.direct
+        whole = flat.tobytes()
+        others = [whole[b:e].decode() for b, e in zip(begins[~word].tolist(), ends[~word].tolist())]
+        slow = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        spelled, ask = whole.decode("latin-1").translate(self.letters), self.tokenizer.model.tokenize
+        return [[t.id for t in ask(spelled[b:e])] if w else next(slow).ids for b, e, w in zip(begins.tolist(), ends.tolist(), word.tolist())]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        """The places of each plain text's pieces; pieces are told apart by a 64-bit hash of their bytes."""
+        """The places of each plain text's pieces: found by a 64-bit hash, then held against their bytes."""
+        if not texts:
+            return []
         raw = [t.encode() for t in texts]
         starts = np.cumsum([0, *map(len, raw)])
         whole = b"".join(raw)
         data = np.frombuffer(whole, np.uint8)
         begins = fine_cuts(data, starts)
         ends = np.append(begins[1:], len(data))
-        own, first, back = np.unique(hash_spans(data, begins, ends), return_index=True, return_inverse=True)
-        keys = own.tolist()
-        at = list(map(self.by_hash.get, keys))
-        if None in at:
-            new = [i for i, p in enumerate(at) if p is None]
-            which = first[new]
-            places = self.learn([whole[b:e].decode() for b, e in zip(begins[which].tolist(), ends[which].tolist())])
-            for i, p in zip(new, places):
-                at[i] = self.by_hash[keys[i]] = p
-        return np.split(np.array(at, np.int64)[back], np.searchsorted(begins, starts[1:-1])) if texts else []
+        hashes = hash_spans(data, begins, ends) | np.uint64(1)          # never 0
+        at = self.by_hash.find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            own, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at[new] = self._remember(data, begins[new[first]], ends[new[first]], own)[back]
+        # pieces lie one after the other, so what is remembered of them must be the texts' bytes
+        sizes = ends - begins
+        there = self.byte_ends[at + 1] - self.byte_ends[at] == sizes
+        shift = np.repeat(np.where(there, self.byte_ends[at] - begins, -begins), sizes)
+        wrong = self.bytes[np.minimum(shift + np.arange(len(data)), len(self.bytes) - 1)] != data
+        if wrong.any() or not there.all():                # another piece of the same hash: these are asked about each time
+            bad = np.flatnonzero(~there | (np.add.reduceat(wrong, begins) > 0))
+            at[bad] = [self._by_text([whole[b:e].decode()])[0] for b, e in zip(begins[bad].tolist(), ends[bad].tolist())]
+        return np.split(at, np.searchsorted(begins, starts[1:-1]))
+
+    def _remember(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        sizes = ends - begins
+        flat = data[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        places = self._store(self._ask(flat, sizes), flat, sizes)
+        self.by_hash.add(hashes, places.astype(np.int32))
+        return places
+
+    def _by_text(self, pieces: list[str]) -> list[int]:
+        new = [p for p in dict.fromkeys(pieces) if p not in self.by_text]
+        if new:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.by_text.update(zip(new, self._store(got, np.zeros(0, np.uint8), np.zeros(len(new), np.int64)).tolist()))
+        return [self.by_text[p] for p in pieces]
 
     def _other(self, text: str) -> np.ndarray:
-        own = _COARSE.split(text) if text else []
-        new = [p for p in dict.fromkeys(own) if p not in self.by_text]
-        if new:
-            self.by_text.update(zip(new, self.learn(new)))
-        return np.array([self.by_text[p] for p in own], np.int64)
+        own = [text] if any(a in text for a in self.added) else _COARSE.split(text) if text else []
+        return np.array(self._by_text(own), np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, id 0 after each text, and the number of each text's ids (with the 0)."""
         if self.count > self.most:
             self.forget()
-        plain = [is_plain(t) for t in texts]
+        plain = [is_plain(t) and not any(a in t for a in self.added) for t in texts]
         easy = iter(self._plain([t for t, p in zip(texts, plain) if p]))
         end = np.array([-1])                              # stands for id 0
         place = np.concatenate([np.zeros(0, np.int64)] + [x for t, p in zip(texts, plain) for x in (next(easy) if p else self._other(t), end)])
@@ -263,11 +334,11 @@ def _writer(spec: str):
         for batch in batches:
             own = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 128):
-                got, n = encoder([t or "" for t in texts[i:i + 128]])
+            for i in range(0, len(texts), TEXTS):
+                got, n = encoder([t or "" for t in texts[i:i + TEXTS]])
                 ids.append(got)
                 sizes.append(n)
-                names += own[i:i + 128]
+                names += own[i:i + TEXTS]
                 held += len(got)
                 if held >= SEGMENT:
                     yield segment()

@@ -14,9 +14,7 @@ SPEC = open(PATH, encoding="utf-8").read()
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("ids", [[], [0], [50256] * 300, list(range(1000)), [2**32 - 1, 0, 5], list(np.random.default_rng(1).zipf(1.3, 5000) % 50257)])
@@ -49,6 +47,38 @@ def test_pieces_give_the_librarys_ids():
         assert e.ids + [0] == ids[a:b].tolist(), t
 
 
+def test_special_tokens_are_found_as_by_the_library():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", "<|endoftext", "中文 <|endoftext|> ÿ", "a  b <|endoftext|>  c"]
+    ids, sizes = T.Encoder(SPEC)(texts)
+    ends = np.cumsum(sizes)
+    for t, a, b in zip(texts, ends - sizes, ends):
+        assert library().encode(t, add_special_tokens=False).ids + [0] == ids[a:b].tolist(), t
+    assert ids[:5].tolist() == [64, 220, 50256, 275, 0]
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    encoder = T.Encoder(SPEC)
+    texts = ["the cat sat", "the dog ran", "not his own", "the cat", "a b c d", "ein Haus", "ÿéß"]
+    for hashes in (lambda d, b, e: b.astype(np.uint64), lambda d, b, e: np.zeros(len(b), np.uint64), lambda d, b, e: (e - b).astype(np.uint64)):
+        monkeypatch.setattr(T, "hash_spans", hashes)
+        for batch in (texts[:1], texts, texts[::-1]):
+            ids, _ = encoder(batch)
+            assert ids.tolist() == [i for t in batch for i in library().encode(t, add_special_tokens=False).ids + [0]]
+
+
+def test_hash_table():
+    rng = np.random.default_rng(3)
+    table, known = T.HashTable(), {}
+    for n in (1, 5, 1000, 50_000, 200_000):
+        keys = rng.integers(1, 1 << 40, n, dtype=np.uint64) << np.uint64(20)        # all in one slot at first
+        keys = np.array([k for k in dict.fromkeys(keys.tolist()) if k not in known][:2000 if n > 1000 else n], np.uint64)
+        places = np.arange(len(known), len(known) + len(keys), dtype=np.int32)
+        table.add(keys, places)
+        known.update(zip(keys.tolist(), places.tolist()))
+    ask = np.array([*known, 7, 9], np.uint64)
+    assert table.find(ask).tolist() == [*known.values(), -1, -1]
+
+
 def test_file_holds_all_rows_in_order(spark, monkeypatch):
     monkeypatch.setattr(T, "SEGMENT", 50)
     rows = ROWS + [(100 + i, f"text number {i}", "en", "a", 1) for i in range(200)]

@@ -406,6 +406,54 @@ def q_listing_changes(spark, sf):
         (F.unix_micros("listed_at") / 1_000_000).cast("long").alias("listing"), "rel_path", "change", "size", F.unix_micros("mtime").alias("mtime_us"))
 
 
+def q_range_scan(spark, sf):
+    """S6 by byte ranges: the texts written as a few text files, hits counted by ranges that no line or character respects."""
+    from quarry.operators.match import plan_spec
+    from quarry.plans.scan import scan_ranges
+    from quarry.sources import files as S
+    base = _scratch(spark, "ranges")
+    corpus.table(spark, sf, "documents").select("text").where("text is not null").write.text(f"{base}/texts")
+    listing = S.list_files(spark, f"{base}/texts", glob="part-*").select(F.col("rel_path").alias("source_path"), "path", "size", "mtime")
+    rows = scan_ranges(listing, plan_spec(DICT, "dictionary", False), "dictionary", False, 99_991, True, [])
+    return (rows.where("row_kind = 'fact'").groupBy("keyword_group", "keyword").agg(F.sum("count").cast("bigint").alias("hits")))
+
+
+def q_nested_rollup(spark, sf):
+    """M9 to every ancestor: documents as members of containers in containers, hits rolled up to each of them."""
+    d = corpus.table(spark, sf, "documents")
+    outer = F.concat(F.coalesce("source", F.lit("none")), F.lit(".zip"))
+    inner = F.concat(F.coalesce("lang", F.lit("none")), F.lit(".zip"))
+    deep = F.concat(inner, F.lit("/box/"), F.pmod("doc_id", F.lit(10)).cast("string"), F.lit(".zip"))
+    units = d.select(outer.alias("source_path"), F.concat(deep, F.lit("/"), F.col("doc_id").cast("string")).alias("internal_path"), "text")
+    containers = d.select(outer.alias("source_path"), F.explode(F.array(F.lit(""), inner, deep)).alias("internal_path"))
+    facts = match_dictionary(units, DICT, keys=["source_path", "internal_path"])
+    return M.ancestor_rollup(facts, containers)
+
+
+def _versions(spark, sf):
+    """Four runs over ``documents``: all; every third with half its text; every fifth whole again; every seventh halved.  Every eleventh is gone."""
+    docs = corpus.docs(spark, sf)
+    half = docs.withColumn("text", F.expr("left(text, length(text) div 2)"))
+    for run, (version, every) in enumerate([(docs, 1), (half, 3), (docs, 5), (half, 7)], 1):
+        yield run, version.where(F.col("doc_id") % every == 0).withColumn("size", F.octet_length("text").cast("bigint"))
+
+
+def q_merged_statistics(spark, sf):
+    """A1, A2, A4, A5, A7 and A8 over four runs, from the bitmaps that each run left."""
+    from quarry.operators import merged as B
+    base = _scratch(spark, "merged")
+    latest = None
+    for run, units in _versions(spark, sf):
+        r = boundary_scan(units, DICT, run_id=run)
+        files = r.files.withColumn("text", F.when(F.col("bytes_read") > 0, F.lit("x")).otherwise(F.lit("")))
+        B.write_run(files, r.facts, base, run)
+        r.release()
+        own = units.where("doc_id % 11 <> 0").select("source_path", F.lit(run).cast("bigint").alias("run_id"))
+        latest = own if latest is None else latest.unionByName(own)
+    latest = latest.groupBy("source_path").agg(F.max("run_id").alias("run_id"))
+    return B.merged_rows(spark, base, latest).drop("hits")
+
+
 # ---------------------------------------------------------------- streaming
 def _scratch(spark, name):
     import uuid
@@ -511,4 +559,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "changed_files": q_changed_files,
     "next_scan_state": q_next_scan_state,
     "listing_changes": q_listing_changes,
+    "merged_statistics": q_merged_statistics,
+    "range_scan": q_range_scan,
+    "nested_rollup": q_nested_rollup,
 }

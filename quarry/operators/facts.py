@@ -103,6 +103,24 @@ def container_rollup(facts: DataFrame, container: str = "source_path",
     return members.unionByName(rolled)
 
 
+def ancestor_rollup(facts: DataFrame, containers: DataFrame, container: str = "source_path", member: str = "internal_path") -> DataFrame:
+    """M9 for nested containers: one row per (container at any depth, group, keyword) of what lies below it.
+
+    ``containers`` names the containers as facts name files: the outermost by (``container``, ''), one inside it by its own path
+    ``b.zip/c.zip``.  A hit of ``a.zip::b.zip/c`` counts for ``a.zip`` and for ``a.zip::b.zip``.  Every fact is summed under all
+    its path prefixes first (map-side); only then the prefixes that are containers are kept, so a hot container is no hot task.
+    ``count`` sums the hits, ``members_hit`` counts the files with one.
+    """
+    parts = F.split(member, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    per = (facts.where(F.col(member) != "").select(container, F.explode(above).alias("_above"), "keyword_group", "keyword", "count")
+           .groupBy(container, "_above", "keyword_group", "keyword")
+           .agg(F.sum("count").cast("bigint").alias("count"), F.count(F.lit(1)).alias("members_hit")))
+    known = containers.select(container, F.col(member).alias("_above")).distinct()
+    return (per.join(known, [container, "_above"], "left_semi")
+            .select(container, F.col("_above").alias(member), "keyword_group", "keyword", "count", "members_hit"))
+
+
 def scan_errors(files: DataFrame) -> DataFrame:
     """Rows whose extraction failed (the job itself went on)."""
     return files.where(F.col("error") != "")

@@ -26,6 +26,7 @@ by row key.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from typing import Iterable, Sequence
 
 import pandas as pd
@@ -347,50 +348,121 @@ def roll_up(facts: DataFrame, keys: Sequence[str], mode: str = "dictionary") ->
     return _reduce_facts(facts, list(keys), mode)
 
 
+CHUNK = 1 << 16           # characters of unit ends that are matched at once
+
+
+def _seam_job(file_keys: list, mode: str, case_sensitive: bool, spec, size: int):
+    """Hits at unit borders from a file's unit ends, which arrive chunk by chunk, each in order.
+
+    A chunk counts the hits that start in it: in dictionary mode those that reach over a border, in boundary mode also those
+    that touch one (their neighbours are here), but none beside a cut, where the middle of a long unit is left out.
+    """
+    key, words, emit = spec
+    norm = _normalise_text(mode, case_sensitive, False)
+    boundary = mode == "boundary"
+    first_word, last_word = [is_word_char(w[0]) for w in words], [is_word_char(w[-1]) for w in words]
+
+    def hits(chunk: int, pieces: list) -> dict:
+        begin = pieces[0][0]
+        s = "".join(p[1] for p in pieces)
+        at, marks, cuts = 0, [], []               # borders and cuts as places in the normalised text
+        for _, text, border, cut in pieces:
+            if border:
+                marks.append(at)
+            if cut:
+                cuts.append(at)
+            at += len(norm(text))
+        lo = len(norm(s[:max(0, chunk * size - begin)]))
+        hi = len(norm(s[:max(0, (chunk + 1) * size - begin)]))
+        t, n = norm(s), at
+        found: dict = {}
+        for end, (w, ln) in _automaton(key, words).iter(t):
+            start, end = end - ln + 1, end + 1
+            if not lo <= start < hi:
+                continue
+            i = bisect_left(marks, start) if boundary else bisect_right(marks, start)
+            if i == len(marks) or (marks[i] > end if boundary else marks[i] >= end):
+                if not (boundary and end == n):   # the file's end is a border as well
+                    continue
+            j = bisect_left(cuts, start - 1)
+            if j < len(cuts) and cuts[j] <= end:
+                continue
+            if boundary:
+                before, after = t[start - 1] if start else " ", t[end] if end < n else " "
+                if is_word_char(before) == first_word[w] or is_word_char(after) == last_word[w]:
+                    continue
+                found[w] = 1
+            else:
+                found[w] = found.get(w, 0) + 1
+        return found
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        current, pieces = None, []
+
+        def facts():
+            return [(*current[:-1], g, kw, c) for w, c in hits(current[-1], pieces).items() for g, kw in emit[w]] if pieces else []
+
+        for pdf in batches:
+            out = []
+            for row in zip(*[pdf[c] for c in [*file_keys, "_chunk", "_at", "_text", "_border", "_cut"]]):
+                own = row[:len(file_keys) + 1]
+                if own != current:
+                    out += facts()
+                    current, pieces = own, []
+                pieces.append(row[len(file_keys) + 1:])
+            if out:
+                yield pd.DataFrame(out, columns=[*file_keys, "keyword_group", "keyword", "count"])
+        if out := facts():
+            yield pd.DataFrame(out, columns=[*file_keys, "keyword_group", "keyword", "count"])
+
+    return run
+
+
 def match_file_scope(units: DataFrame, dictionary: KeywordDictionary, *, file_keys: Sequence[str],
                      idx_col: str = "unit_idx", text_col: str = "text", mode: str = "dictionary",
                      case_sensitive: bool = False, **kw) -> DataFrame:
     """M5 file scope: units of a file matched as one text joined with ''.
 
     ``idx_col`` orders the units of a file; gaps and empty units do not matter.  Hits
-    inside a unit come from the unit match; hits across a seam come from one
-    seam row per unit: its last L-1 characters plus the characters after it.
-    Those come from one window over the units' first and last characters
-    (never their texts), whatever the longest keyword's length L.
-    In boundary mode every unit also gets the neighbouring characters as
-    context (a word border depends on them), and seams one more character.
+    inside a unit come from a map over the units; hits at a border between units come from the units' ends: a short unit
+    whole, of a long one as many characters as the longest keyword has, first and last.  The ends lie one after the other by
+    a running sum of their lengths; one exchange deals them into overlapping chunks keyed (file, chunk), so the
+    work is linear in the ends, whatever the longest keyword, and a file with many units is many tasks.
+    Texts are read by the map only and never joined.  In boundary mode the map counts what
+    touches no end of its unit, since a word border there depends on the next unit.
     """
     file_keys = list(file_keys)
-    row_keys = file_keys + [idx_col]
     boundary = mode == "boundary"
     spec = plan_spec(dictionary, mode, case_sensitive)
-    need = max(len(w) for w in spec[1]) - 1
-    reach = need + 1 if boundary else need
+    reach = max(len(w) for w in spec[1]) + 2
+    size = max(CHUNK, 4 * reach)
     text = F.regexp_replace(text_col, "\r\n?", "\n") if boundary else F.col(text_col)
-    base = units.select(*row_keys, text.alias(text_col)).where(F.length(text_col) > 0)
+    base = units.select(*file_keys, idx_col, text.alias(text_col)).where(F.length(text_col) > 0)
     t = F.col(text_col)
-    ends = base.select(*row_keys, F.left(t, F.lit(reach + 1)).alias("_head"), F.right(t, F.lit(need)).alias("_tail"),
-                       F.when(F.length(t) > need, F.substring(t, F.length(t) - need, 1)).alias("_own"),
-                       F.right(t, F.lit(1)).alias("_last"))
-    w = Window.partitionBy(*file_keys).orderBy(idx_col)
-    after = F.array_join(F.collect_list("_head").over(w.rowsBetween(1, reach + 1)), "")
-    ends = ends.select(*row_keys, "_tail", "_own", F.left(after, F.lit(reach + 1)).alias("_after"),
-                       F.coalesce(F.lag("_last").over(w), F.lit("")).alias("_prev"))
     if boundary:
-        rows = (base.join(ends.select(*row_keys, "_prev", F.left("_after", F.lit(1)).alias("_post")), row_keys)
-                .select(*row_keys, F.col("_prev").alias("_pre"), text_col, "_post", F.lit(False).alias("_cross")))
-        # neighbours' characters are context only: hits that cross a seam come from the seam rows
-        inside = rows.mapInPandas(_count_job(row_keys, text_col, mode, case_sensitive, spec, False, True,
-                                             within=True), _fact_schema(rows, row_keys))
+        rows = base.select(*file_keys, idx_col, F.left(t, F.lit(1)).alias("_pre"), F.expr(f"substring({text_col}, 2, length({text_col}) - 2)").alias(text_col),
+                           F.right(t, F.lit(1)).alias("_post"), F.lit(False).alias("_cross")).where(F.length(text_col) > 0)
+        inside = rows.mapInPandas(_count_job([*file_keys, idx_col], text_col, mode, case_sensitive, spec, False, True, within=True),
+                                  _fact_schema(rows, [*file_keys, idx_col]))
     else:
-        inside = match_units(base, dictionary, keys=row_keys, text_col=text_col,
+        inside = match_units(base, dictionary, keys=[*file_keys, idx_col], text_col=text_col,
                              mode=mode, case_sensitive=case_sensitive, **kw)
-    if need <= 0:
-        return roll_up(inside, file_keys, mode)
-    before = F.coalesce("_own", "_prev") if boundary else F.lit("")
-    seams = (ends.where("_after <> ''")
-             .select(*row_keys, before.alias("_pre"), F.col("_tail").alias(text_col),
-                     F.left("_after", F.lit(reach)).alias("_post"), F.lit(True).alias("_cross")))
-    seam_facts = seams.mapInPandas(
-        _count_job(row_keys, text_col, mode, case_sensitive, spec, False, True), _fact_schema(seams, row_keys))
-    return roll_up(inside.unionByName(seam_facts), file_keys, mode)
+    long = F.length(t) > 2 * reach
+    ends = base.select(*file_keys, idx_col, F.when(long, F.left(t, F.lit(reach))).otherwise(t).alias("_head"),
+                       F.when(long, F.right(t, F.lit(reach))).alias("_tail"))
+    length = F.length("_head") + F.when(F.col("_tail").isNull(), 0).otherwise(F.length("_tail") + 1)
+    w = Window.partitionBy(*file_keys).orderBy(idx_col).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*file_keys, "_head", "_tail", F.coalesce(F.sum(length.cast("long")).over(w), F.lit(0)).alias("_off"))
+    piece = lambda at, text, border, cut: F.struct(at.alias("_at"), text.alias("_text"), F.lit(border).alias("_border"), F.lit(cut).alias("_cut"))
+    after = F.col("_off") + F.length("_head")
+    pieces = ends.select(*file_keys, F.explode(F.filter(F.array(
+        piece(F.col("_off"), F.col("_head"), True, False),
+        F.when(F.col("_tail").isNotNull(), piece(after, F.lit("\uffff"), False, True)),
+        F.when(F.col("_tail").isNotNull(), piece(after + 1, F.col("_tail"), False, False))), lambda x: x.isNotNull())).alias("_p")).select(*file_keys, "_p.*")
+    # a chunk needs the character before it and a keyword's length after it
+    chunks = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - reach) / size)), F.floor((F.col("_at") + F.length("_text")) / size))
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (pieces.select(*file_keys, F.explode(chunks).alias("_chunk"), "_at", "_text", "_border", "_cut")
+             .repartition(n, *file_keys, "_chunk").sortWithinPartitions(*file_keys, "_chunk", "_at"))
+    seams = dealt.mapInPandas(_seam_job(file_keys, mode, case_sensitive, spec, size), _fact_schema(dealt, file_keys))
+    return roll_up(inside.select(*file_keys, "keyword_group", "keyword", "count").unionByName(seams), file_keys, mode)

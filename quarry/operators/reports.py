@@ -140,7 +140,11 @@ def global_statistics(files: DataFrame, facts: DataFrame, path_col: str = "displ
     ``FilesContainingKeyword`` is the flat index of :func:`keyword_file_index`
     and is written beside it, not inside it.
     """
-    rows = statistics_rows(facts, files, path_col)
+    return statistics_document(statistics_rows(facts, files, path_col))
+
+
+def statistics_document(rows: DataFrame) -> DataFrame:
+    """A10 from the rows of ``statistics_rows``, or of ``merged.merged_rows``."""
     of = lambda what, *cols: F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct(*cols))))
     total = lambda c: F.coalesce(F.max(F.when(F.col("what") == PER_RUN, F.col(c))), F.lit(0)).cast("long")
     one = rows.agg(of(PER_GROUP, "keyword_group", "files").alias("g"), of(PER_GROUP_KEYWORD, "keyword_group", "keyword", "files").alias("k"),

@@ -474,6 +474,27 @@ k AS (SELECT rk.*, off.o + rk.rr AS k, regexp_extract(rk.name, '[^/](\\.[^./]+)$
     q["listing_changes"] = with_(SNAPS, f"""none AS (SELECT * FROM old LIMIT 0),
 third AS (SELECT path, mtime_us, size + CASE WHEN {user} % 9 = 0 THEN 1 ELSE 0 END AS size
           FROM (SELECT * FROM new UNION ALL SELECT * FROM old ANTI JOIN new USING (path) WHERE {user} % 2 = 0) WHERE {user} % 13 <> 0)""") + " UNION ALL ".join(steps)
+    q["range_scan"] = DOCS_DICT + "SELECT keyword_group, keyword, CAST(sum(count) AS BIGINT) AS hits FROM f GROUP BY 1, 2"
+    nested = """nest AS (SELECT coalesce(source, 'none') || '.zip' AS source_path, coalesce(lang, 'none') || '.zip' AS inside,
+       coalesce(lang, 'none') || '.zip/box/' || CAST(doc_id % 10 AS VARCHAR) || '.zip' AS deep, doc_id, text FROM documents)"""
+    q["nested_rollup"] = with_(nested, _norm_values(DICT), dict_facts("nest", "source_path, inside, deep, doc_id")) + " UNION ALL ".join(
+        f"SELECT source_path, {path} AS internal_path, keyword_group, keyword, CAST(sum(count) AS BIGINT) AS count, "
+        "count(DISTINCT doc_id) AS members_hit FROM f GROUP BY 1, 2, 3, 4" for path in ("''", "inside", "deep"))
+    # the text that a document's last run saw
+    seen = """seen AS (SELECT * REPLACE (CAST(strlen(text) AS BIGINT) AS size) FROM (SELECT * REPLACE (
+  CASE WHEN doc_id % 7 = 0 THEN left(text, length(text) // 2) WHEN doc_id % 5 = 0 THEN text
+       WHEN doc_id % 3 = 0 THEN left(text, length(text) // 2) ELSE text END AS text) FROM docs WHERE doc_id % 11 <> 0))"""
+    each = "(SELECT DISTINCT {keys}, display_path, size FROM f)"
+    figure = ("SELECT '{what}' AS what, {g} AS keyword_group, {k} AS keyword, {t} AS file_type, count(*) AS files, {bytes} AS bytes, "
+              "{multi} AS multi FROM {rows} GROUP BY ALL")
+    null, none = "CAST(NULL AS VARCHAR)", "CAST(NULL AS BIGINT)"
+    q["merged_statistics"] = with_(DOCS, seen, _boundary_values(DICT), boundary_facts("seen", META)) + " UNION ALL ".join([
+        figure.format(what="group", g="keyword_group", k=null, t=null, bytes="CAST(sum(size) AS BIGINT)", multi=none, rows=each.format(keys="keyword_group")),
+        figure.format(what="group_keyword", g="keyword_group", k="keyword", t=null, bytes=none, multi=none, rows=each.format(keys="keyword_group, keyword")),
+        figure.format(what="keyword", g=null, k="keyword", t=null, bytes=none, multi=none, rows=each.format(keys="keyword")),
+        figure.format(what="run", g=null, k=null, t=null, bytes="CAST(sum(size) AS BIGINT)", multi="CAST(sum(m) AS BIGINT)",
+                      rows="(SELECT display_path, any_value(size) AS size, CASE WHEN count(DISTINCT keyword_group) > 1 THEN 1 ELSE 0 END AS m FROM f GROUP BY 1)"),
+        figure.format(what="file_type", g=null, k=null, t="file_type", bytes=none, multi=none, rows="(SELECT * FROM seen WHERE strlen(text) > 0)")])
     return q
 
 

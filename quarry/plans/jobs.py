@@ -18,7 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import merged as B
 from quarry.operators import reports as A
+from quarry.operators.facts import ancestor_rollup
 from quarry.plans import sinks as K
 from quarry.plans.scan import ScanResult, scan_tree
 from quarry.sources import files as S
@@ -99,6 +101,10 @@ def evidence_scan(spark: SparkSession, data_root: str, dictionary: KeywordDictio
     metrics["matches"] = int(r.facts.groupBy("source_path", "internal_path", "keyword")
                              .agg(F.max("count").alias("c")).agg(F.sum("c")).first()[0] or 0)
     K.write_manifests(r.facts, output, copies)
+    # whatever has something inside it is a container: archives that were opened, documents with embedded files
+    containers = r.archives.select("source_path", "internal_path").unionByName(r.files.select("source_path", "internal_path"))
+    (ancestor_rollup(r.facts, containers).withColumn("run_id", F.lit(run_id).cast("bigint"))
+     .write.mode("overwrite").partitionBy("run_id").parquet(f"{output}/rollups"))
     K.write_summary(run_id, r.files, r.facts, output)
     return JobResult(run_id, r, output, metrics)
 
@@ -134,8 +140,10 @@ def keyword_report(spark: SparkSession, data_root: str, dictionary: KeywordDicti
     latest = scanned.groupBy("source_path").agg(F.max("run_id").alias("run_id"))
     files = scanned.join(latest, ["source_path", "run_id"])
     facts = spark.read.parquet(facts_path).join(latest, ["source_path", "run_id"])
-    with_text = files.withColumn("text", F.when(F.col("bytes_read") > 0, F.lit("x")).otherwise(F.lit("")))
-    A.global_statistics(with_text, facts).coalesce(1).write.mode("overwrite").json(f"{output}/statistics.json")
+    # the statistics merge each run's bitmaps; no earlier run's facts are read for them
+    own = r.files.withColumn("text", F.when(F.col("bytes_read") > 0, F.lit("x")).otherwise(F.lit("")))
+    B.write_run(own, r.facts, output, run_id)
+    A.statistics_document(B.merged_rows(spark, output, latest)).coalesce(1).write.mode("overwrite").json(f"{output}/statistics.json")
     A.keyword_file_index(facts).orderBy("keyword", "path").write.mode("overwrite").json(
         f"{output}/files_containing_keyword")
     A.group_report(facts).write.mode("overwrite").partitionBy("keyword_group").json(f"{output}/statistics_by_group")

@@ -418,6 +418,13 @@ def q_range_scan(spark, sf):
     return (rows.where("row_kind = 'fact'").groupBy("keyword_group", "keyword").agg(F.sum("count").cast("bigint").alias("hits")))
 
 
+def q_match_keyword_table(spark, sf):
+    """M2 for a keyword table: every word of ``benchmark`` (six letters or more) against ``documents``, inside the JVM."""
+    from quarry.operators.qgram import match_table
+    words = S.dictionary_table_from_text(corpus.table(spark, sf, "benchmark"))
+    return match_table(corpus.docs(spark, sf), words.select("keyword_group", F.col("display").alias("keyword"), "norm"), keys=["display_path"])
+
+
 def q_nested_rollup(spark, sf):
     """M9 to every ancestor: documents as members of containers in containers, hits rolled up to each of them."""
     d = corpus.table(spark, sf, "documents")
@@ -560,6 +567,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "next_scan_state": q_next_scan_state,
     "listing_changes": q_listing_changes,
     "merged_statistics": q_merged_statistics,
+    "match_keyword_table": q_match_keyword_table,
     "range_scan": q_range_scan,
     "nested_rollup": q_nested_rollup,
 }

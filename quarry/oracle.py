@@ -480,6 +480,14 @@ third AS (SELECT path, mtime_us, size + CASE WHEN {user} % 9 = 0 THEN 1 ELSE 0 E
     q["nested_rollup"] = with_(nested, _norm_values(DICT), dict_facts("nest", "source_path, inside, deep, doc_id")) + " UNION ALL ".join(
         f"SELECT source_path, {path} AS internal_path, keyword_group, keyword, CAST(sum(count) AS BIGINT) AS count, "
         "count(DISTINCT doc_id) AS members_hit FROM f GROUP BY 1, 2, 3, 4" for path in ("''", "inside", "deep"))
+    # a form that begins as it ends may overlap itself: its places are looked at one by one, in the texts that hold it
+    q["match_keyword_table"] = with_(DOCS, BENCH_DICT, f"""kw AS (SELECT DISTINCT norm, keyword_group, display AS keyword FROM bdict),
+forms AS (SELECT *, len(list_filter(range(1, length(norm)), lambda k: left(norm, k) = right(norm, k))) > 0 AS bordered
+          FROM (SELECT DISTINCT norm FROM kw)),
+hits AS (SELECT display_path, norm, CASE WHEN bordered THEN len(list_filter(range(1, length(ft) + 1), lambda i: substr(ft, i, length(norm)) = norm))
+                                        ELSE (length(ft) - length(replace(ft, norm, ''))) // length(norm) END AS n
+         FROM (SELECT display_path, {FOLD.format(x="text")} AS ft FROM docs) JOIN forms ON contains(ft, norm))""") + (
+        "SELECT display_path, keyword_group, keyword, CAST(n AS BIGINT) AS count FROM hits JOIN kw USING (norm)")
     # the text that a document's last run saw
     seen = """seen AS (SELECT * REPLACE (CAST(strlen(text) AS BIGINT) AS size) FROM (SELECT * REPLACE (
   CASE WHEN doc_id % 7 = 0 THEN left(text, length(text) // 2) WHEN doc_id % 5 = 0 THEN text

@@ -1,7 +1,8 @@
 """Corpus pipeline over ``documents``: classify, remove near duplicates, decontaminate, mix sources, shard.
 
 Every stage takes all rows its predecessor kept and returns the columns of
-``documents``; the last adds ``size``, ``shard`` and ``slot``.  Stages are written as Parquet and
+``documents``; the last adds ``size``, ``shard`` and ``slot`` (in place of columns of these names).  Other columns pass
+through every stage untouched, whatever they are called.  Stages are written as Parquet and
 read again, so a lost executor costs at most the stage at hand.
 """
 
@@ -11,32 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, importance, jaccard_tree, mixing, sharding
-from quarry.llm.common import shared_folder
+from quarry.llm.common import own_names, shared_folder
 
 N_SHARDS = 8
 
 
+@own_names("doc_id", "text", position=1)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the importance weights against the labelled target text reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return importance.classify(docs, labels).where("keep").select(*docs.columns)
 
 
+@own_names("doc_id", "text", position=1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by n-gram Jaccard similarity stays: the one with the smallest id."""
     return jaccard_tree.one_of_each(docs)
 
 
+@own_names("doc_id", "text", position=1)
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@own_names("doc_id", "text", "source", position=1)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources come to their target shares."""
     return mixing.apply_mix(docs)
 
 
+@own_names("doc_id", "text", position=1)
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard of near equal bytes and their slot in it; copies of a text lie together.
 

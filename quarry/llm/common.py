@@ -5,6 +5,7 @@ All of them are DataFrame plans; none collects rows that grow with the input.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_names(*needed: str, position: int = 0):
+    """Decorator of an operator on rows: its working columns never meet the caller's, whatever these are called.
+
+    All columns of the operator's frame (its argument number ``position``) but the ``needed`` ones get reserved names while it runs
+    and have their own again in the result, untouched.  Where the operator adds a column of a name that the caller has too,
+    the result has the operator's in its place.
+    """
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(*args, **options):
+            df = args[position]
+            hidden = {c: f"_kept_{i}_" for i, c in enumerate(df.columns) if c not in needed}
+            plain = df.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in df.columns])
+            out = operator(*args[:position], plain, *args[position + 1:], **options)
+            back = {h: c for c, h in hidden.items()}
+            new = {c.lower() for c in out.columns if c not in back}
+            return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in new])
+        return run
+    return wrap
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in ``spark.checkpoint.dir`` (survives lost executors).
 

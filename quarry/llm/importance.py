@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, own_names
 from quarry.llm.shingles import PLAIN, SPACED, hash_words, mixed, runs_of, spans
 
 BUCKETS = 1 << 18          # of the hashed n-grams; both models are arrays of this length
@@ -124,6 +124,7 @@ def top_k_from(rows: DataFrame, key: str, k: int, few: int = 4096) -> float | No
     return sorted((r[0] for r in inside.collect()), reverse=True)[left - 1] if n <= few else lo
 
 
+@own_names("doc_id", "text")
 def resample(docs: DataFrame, ratio: np.ndarray, k: int | None = None, tolerance: float = TOLERANCE, power: float = POWER,
              seed: int = SEED) -> DataFrame:
     """``docs`` plus ``log_weight`` (target against raw) and ``keep``.

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, cut, partitions
+from quarry.llm.common import components, cut, own_names, partitions
 from quarry.llm.shingles import mixed, shingles, words_of
 
 K = 5                  # words in a shingle
@@ -403,6 +403,7 @@ def link_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     return out.select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+@own_names("doc_id", "text")
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the one whose id names it; documents without words all stay once."""
     named = link_components(docs, **options).where("doc_id <=> component_id")

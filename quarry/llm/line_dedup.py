@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, cut, ranged, running
+from quarry.llm.common import WORD, cut, own_names, ranged, running
 
 MIN_WORDS = 50       # a repeated run counts from so many words on
 
@@ -96,6 +96,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .where("lo <= hi").distinct())
 
 
+@own_names("doc_id", "text")
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` less the later copies of repeated runs, and ``n_lines, n_removed`` (lines) and ``removed`` (ranges).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, fold
+from quarry.llm.common import cut, fold, own_names
 
 # Rules as host and path, longest wins.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -101,6 +101,7 @@ def _rounds(edges: DataFrame, start: DataFrame, mass: DataFrame, rounds: int, da
     return mass
 
 
+@own_names("url", "html")
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` (``url, html`` and more) plus ``host, path, rule, verdict, trust, distrust``, without ``html``.
 

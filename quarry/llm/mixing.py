@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, cut
+from quarry.llm.common import WORD, cut, own_names
 
 SEED = "mix-1"
 BLOCKS = 1 << 20      # equal-token blocks that the whole mix is made of
@@ -132,6 +132,7 @@ def mix(rows: DataFrame, weight: Column | None = None, max_repeats: int = 3, blo
     return both.select(*also, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+@own_names("doc_id", "text", "source")
 def apply_mix(docs: DataFrame, weight: Column | None = None, **options) -> DataFrame:
     """``docs`` (``doc_id, text, source`` and more) as the mix takes them: each row as often as its words are taken.
 

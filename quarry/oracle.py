@@ -480,6 +480,8 @@ third AS (SELECT path, mtime_us, size + CASE WHEN {user} % 9 = 0 THEN 1 ELSE 0 E
     q["nested_rollup"] = with_(nested, _norm_values(DICT), dict_facts("nest", "source_path, inside, deep, doc_id")) + " UNION ALL ".join(
         f"SELECT source_path, {path} AS internal_path, keyword_group, keyword, CAST(sum(count) AS BIGINT) AS count, "
         "count(DISTINCT doc_id) AS members_hit FROM f GROUP BY 1, 2, 3, 4" for path in ("''", "inside", "deep"))
+    asked = ", ".join(lit(kw) for g, kw in DICT.entries if g == DICT.entries[0][0])
+    q["index_lookup"] = DOCS_BND + f"SELECT DISTINCT keyword, display_path AS path FROM f WHERE keyword IN ({asked})"
     # a form that begins as it ends may overlap itself: its places are looked at one by one, in the texts that hold it
     q["match_keyword_table"] = with_(DOCS, BENCH_DICT, f"""kw AS (SELECT DISTINCT norm, keyword_group, display AS keyword FROM bdict),
 forms AS (SELECT *, len(list_filter(range(1, length(norm)), lambda k: left(norm, k) = right(norm, k))) > 0 AS bordered

@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: whole texts as queries, scored per shard with global statistics, the shards' best merged."""
+"""Exact BM25 top-k: whole texts as queries, block-max pruning per shard, global statistics, the shards' best merged."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ K1, B, K3 = 1.2, 0.75, 1.0
 BLOCK_QUERIES = 8192      # queries that one pass over the documents answers
 QUERY_BYTES = 64 << 20    # and their text at most
 SHARD = 20480             # documents of a shard
-RANGE = 512               # documents scored at once
+RANGE = 512               # documents of a block
 DENSE = 2048              # terms at most that are multiplied as a dense matrix
 COMMON = 0.003            # product of a term's shares of documents and queries from which that is cheaper than a posting at a time
 HELD = 1 << 21            # candidates held before they are scored exactly
@@ -77,7 +77,7 @@ class Queries:
     """Queries by term: the common terms as a dense matrix, the others as postings; all weights also by query."""
 
     def __init__(self, own: list, share: np.ndarray):
-        self.names = [name for name, _, _ in own]
+        self.names, self.share = [name for name, _, _ in own], share
         self.first = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in own])])
         self.terms = np.concatenate([t for _, t, _ in own])
         self.weights = np.concatenate([w for _, _, w in own])
@@ -113,23 +113,64 @@ class Index:
         tf = self.counts[post].astype(np.float64)
         return post, tf * (K1 + 1) / (tf + np.repeat(self.norm[docs], self.size[docs]))
 
-    def near(self, queries: Queries, a: int, b: int) -> np.ndarray:
-        """Scores of the documents ``a`` to ``b`` for every query in single precision, within the queries' slack."""
-        docs = np.arange(a, b)
+    def order(self, share: np.ndarray) -> np.ndarray:
+        """The documents in the order of their blocks: a block from all over the shard, then like beside like.
+
+        Documents are sorted by their weightiest common term (count times share of documents), so that a block's maxima
+        belong to documents of one kind; the first block gives every query a first bar.
+        """
+        key = self.counts * share[self.terms].astype(np.float64)
+        best = np.full(len(self.size), -1, np.int64)
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        rank = np.lexsort((key, owner))
+        best[owner[rank]] = self.terms[rank]               # the last of each document is its greatest
+        like = np.argsort(best, kind="stable")
+        first = np.zeros(len(like), bool)
+        first[np.unique(np.linspace(0, len(like) - 1, min(RANGE, len(like))).astype(np.int64))] = True
+        return np.concatenate([like[first], like[~first]])
+
+    def bounds(self, queries: Queries, docs: np.ndarray) -> np.ndarray:
+        """For every query what no document of the block can exceed: its weights times the block's greatest impact of each term."""
+        post, impact = self.impacts(docs)
+        by = np.argsort(self.terms[post], kind="stable")
+        term, impact = self.terms[post][by], impact[by].astype(np.float32)
+        if not len(term):
+            return np.zeros(len(queries.names), np.float32)
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        term, most = term[starts], np.maximum.reduceat(impact, starts)
+        column = queries.column[term]
+        common, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        row = np.zeros(queries.dense.shape[1], np.float32)
+        row[column[common]] = most[common]
+        first = queries.starts[term[rare]]
+        n = queries.starts[term[rare] + 1] - first
+        at = _runs(first, n)
+        out = queries.dense @ row + np.bincount(queries.who[at], queries.weight[at] * np.repeat(most[rare], n), len(queries.names))
+        return out * (1 + queries.slack) + 1e-8
+
+    def near(self, queries: Queries, docs: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Scores of the documents for the queries ``alive`` in single precision, within the queries' slack."""
+        width = len(docs)
         post, impact = self.impacts(docs)
-        term, impact, who = self.terms[post], impact.astype(np.float32), np.repeat(docs - a, self.size[docs])
+        term, impact, who = self.terms[post], impact.astype(np.float32), np.repeat(np.arange(width), self.size[docs])
         column = queries.column[term]
         common, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
-        matrix = np.zeros((queries.dense.shape[1], b - a), np.float32)
+        matrix = np.zeros((queries.dense.shape[1], width), np.float32)
         matrix[column[common], who[common]] = impact[common]
-        out = queries.dense @ matrix
+        every = len(alive) == len(queries.names)
+        out = (queries.dense if every else queries.dense[alive]) @ matrix
+        place = np.full(len(queries.names), -1, np.int64)
+        place[alive] = np.arange(len(alive))
         first = queries.starts[term[rare]]
         count = queries.starts[term[rare] + 1] - first
         for part in np.split(np.arange(len(rare)), np.searchsorted(np.cumsum(count), np.arange(1 << 22, int(count.sum()), 1 << 22))):
             n = count[part]
-            at = _runs(first[part], n)
-            np.add.at(out.reshape(-1), queries.who[at] * (b - a) + np.repeat(who[rare[part]], n),
-                      queries.weight[at] * np.repeat(impact[rare[part]], n))
+            at, of, value = _runs(first[part], n), np.repeat(who[rare[part]], n), np.repeat(impact[rare[part]], n)
+            row = place[queries.who[at]]
+            if not every:
+                on = row >= 0
+                at, of, value, row = at[on], of[on], value[on], row[on]
+            np.add.at(out.reshape(-1), row * width + of, queries.weight[at] * value)
         return out
 
     def exact(self, queries: Queries, who: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -149,21 +190,27 @@ class Index:
     def search(self, queries: Queries, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``query, document, score`` of each query's ``k`` best (smaller id first among equals); documents without a term don't count.
 
-        Every document is scored for every query in single precision.  What may be among the ``k`` best, given the
-        bound of that rounding, is scored again exactly; nothing else can be.
+        Block-max pruning: documents lie in blocks of ``RANGE``; a block is scored only for the queries whose bound there, by
+        the block's greatest impact of each term, reaches their running ``k``-th best.  Scores are taken in single precision;
+        what may be among the ``k`` best, given the bound of that rounding, is scored again exactly; nothing else can be.
         """
         least = np.zeros(len(queries.names))
         who, docs, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        last = 0
+        order, last = self.order(queries.share), 0
+        self.pairs, self.scored = 0, 0
         for a in range(0, len(ids), RANGE):
-            b = min(len(ids), a + RANGE)
-            near = self.near(queries, a, b)
-            floor = least.astype(np.float32)
+            own = order[a:a + RANGE]
+            b = a + len(own)
+            bound = self.bounds(queries, own)
+            alive = np.flatnonzero((bound > 1e-8) & (bound >= least))
+            self.pairs, self.scored = self.pairs + len(least), self.scored + len(alive)
+            near = self.near(queries, own, alive)
+            floor = least[alive].astype(np.float32)
             if not a and b > k:
-                floor = (np.partition(near, b - k, axis=1)[:, b - k] * (1 - queries.slack) - 1e-8).astype(np.float32)
+                floor = (np.partition(near, b - k, axis=1)[:, b - k] * (1 - queries.slack[alive]) - 1e-8).astype(np.float32)
             # one more rounding step down, as the floor is itself rounded
             q, d = np.nonzero((near >= np.nextafter(floor, np.float32(-1))[:, None]) & (near > 0))
-            who, docs, score = np.append(who, q), np.append(docs, a + d), np.append(score, near[q, d])
+            who, docs, score = np.append(who, alive[q]), np.append(docs, own[d]), np.append(score, near[q, d])
             if not a or b == len(ids) or len(who) - last > len(least):
                 who, docs, score = self._kept(queries, k, who, docs, score, least)
                 if len(who) > HELD:
@@ -254,8 +301,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     those with the highest weight).  BM25 is exact: document counts, the number of documents and their mean length are
     counted over all rows first, so scores of different shards agree and the best of the shards' best are the best of all.
     A shard is about ``shard`` documents, held whole by one task (input partitions are joined, never shuffled), with postings
-    of the terms that the queries ask for.  It scores every document for every query in single precision (common terms as a
-    matrix product, the others by postings) and again in double precision those that its rounding leaves among the best.
+    of the terms that the queries ask for.  Its documents lie in blocks with the greatest impact of each term; a block is scored only
+    for the queries that it may still give one of their ``k`` best, in single precision (common terms as a
+    matrix product, the others by postings), and again in double precision those that its rounding leaves among the best.
     Queries are answered in blocks of about ``block`` and ``QUERY_BYTES``, one pass each, so what travels with the tasks is
     bounded; time grows with queries times documents.
 

@@ -65,6 +65,30 @@ def test_registered_defaults_use_the_whole_text_of_long_queries(spark):
         assert [i for _, i in got[q]] == [i for _, i in want[q]] and [s for s, _ in got[q]] == pytest.approx([s for s, _ in want[q]], abs=1e-6)
 
 
+def test_blocks_are_skipped_and_results_stay_exact(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(bm25, "RANGE", 32)
+    rng = np.random.default_rng(5)
+    # three kinds of documents with words of their own and a few in common
+    bags = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, 20, 60), 20 + 400 * (i % 3) + rng.zipf(1.4, 60) % 400), return_counts=True) for i in range(1500)]
+    df = np.bincount(np.concatenate([t for t, _ in bags]), minlength=1220)
+    share, idf = df / len(bags), np.log(1 + (len(bags) - df + 0.5) / (df + 0.5))
+    size = np.array([len(t) for t, _ in bags])
+    index = bm25.Index(np.concatenate([t for t, _ in bags]).astype(np.int32), np.concatenate([c for _, c in bags]).astype(np.int32), size,
+                       np.full(len(bags), 60.0), 60.0)
+    own = [(i, t.astype(np.int32), idf[t] * (bm25.K3 + 1) * c / (bm25.K3 + c)) for i, (t, c) in enumerate(bags) if i % 50 == 0]
+    queries, ids = bm25.Queries(own, share), np.arange(len(bags))
+    who, docs_, score = index.search(queries, 10, ids)
+    assert index.scored < 0.6 * index.pairs
+    every = index.exact(queries, np.repeat(np.arange(len(own)), len(bags)), np.tile(ids, len(own))).reshape(len(own), -1)
+    for q in range(len(own)):
+        best = np.lexsort((ids, -every[q]))[:10]
+        assert docs_[who == q].tolist() == best.tolist() and score[who == q].tolist() == every[q][best].tolist()
+    # a block's bound is never below a score in it
+    block = index.order(share)[64:96]
+    assert (index.bounds(queries, block)[:, None] >= every[:, block]).all()
+
+
 def test_many_equal_documents_are_settled_exactly(spark, monkeypatch):
     monkeypatch.setattr(bm25, "HELD", 50)
     monkeypatch.setattr(bm25, "RANGE", 16)

@@ -431,9 +431,9 @@ def q_index_lookup(spark, sf):
 
 
 def q_match_keyword_table(spark, sf):
-    """M2 for a keyword table: every word of ``benchmark`` (six letters or more) against ``documents``, inside the JVM."""
+    """M2 for a keyword table: every word of ``benchmark`` (eight letters or more) against ``documents``, inside the JVM."""
     from quarry.operators.qgram import match_table
-    words = S.dictionary_table_from_text(corpus.table(spark, sf, "benchmark"))
+    words = S.dictionary_table_from_text(corpus.table(spark, sf, "benchmark")).where(F.length("keyword") >= 8)
     return match_table(corpus.docs(spark, sf), words.select("keyword_group", F.col("display").alias("keyword"), "norm"), keys=["display_path"])
 
 

@@ -483,7 +483,7 @@ third AS (SELECT path, mtime_us, size + CASE WHEN {user} % 9 = 0 THEN 1 ELSE 0 E
     asked = ", ".join(lit(kw) for g, kw in DICT.entries if g == DICT.entries[0][0])
     q["index_lookup"] = DOCS_BND + f"SELECT DISTINCT keyword, display_path AS path FROM f WHERE keyword IN ({asked})"
     # a form that begins as it ends may overlap itself: its places are looked at one by one, in the texts that hold it
-    q["match_keyword_table"] = with_(DOCS, BENCH_DICT, f"""kw AS (SELECT DISTINCT norm, keyword_group, display AS keyword FROM bdict),
+    q["match_keyword_table"] = with_(DOCS, BENCH_DICT, f"""kw AS (SELECT DISTINCT norm, keyword_group, display AS keyword FROM bdict WHERE length(keyword) >= 8),
 forms AS (SELECT *, len(list_filter(range(1, length(norm)), lambda k: left(norm, k) = right(norm, k))) > 0 AS bordered
           FROM (SELECT DISTINCT norm FROM kw)),
 hits AS (SELECT display_path, norm, CASE WHEN bordered THEN len(list_filter(range(1, length(ft) + 1), lambda i: substr(ft, i, length(norm)) = norm))

@@ -125,9 +125,9 @@ def group_copy_plan(facts: DataFrame, path_col: str = "display_path", name_col:
     stem = F.expr("substring(name, 1, length(name) - length(ext))")
     counts = (rows.groupBy("keyword_group", "name", "_b").agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("ext", ext).withColumn("stem", stem))
-    taken = (counts.select("keyword_group", "ext", F.regexp_extract("stem", r"(?s)^(.*)_\d{1,9}$", 1).alias("stem"),
-                           F.regexp_extract("stem", r"_(\d{1,9})$", 1).alias("number"))
-             .where("number <> ''").groupBy("keyword_group", "stem", "ext").agg(F.max(F.col("number").cast("long")).alias("_top")))
+    taken = (counts.select("keyword_group", "ext", F.regexp_extract("stem", r"(?s)^(.*)_\d{1,37}$", 1).alias("stem"),
+                           F.regexp_extract("stem", r"_(\d{1,37})$", 1).alias("number"))
+             .where("number <> ''").groupBy("keyword_group", "stem", "ext").agg(F.max(F.col("number").cast("decimal(38,0)")).alias("_top")))
     wo = Window.partitionBy("keyword_group", "name").orderBy("_b")
     offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .join(taken, ["keyword_group", "stem", "ext"], "left")

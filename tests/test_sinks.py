@@ -74,6 +74,12 @@ def test_copy_plan_never_takes_a_real_name(spark):
     assert dests["p/a_1.txt"] == "G/a_1.txt" and dests["r/a_3_1.txt"] == "G/a_3_1.txt"
 
 
+def test_copy_plan_reads_long_numbers(spark):
+    rows = [("G", f"{d}/a.txt") for d in "xy"] + [("G", "p/a_999999999.txt"), ("G", "p/a_1000000000.txt"), ("G", f"p/a_{10 ** 20}.txt")]
+    dests = sorted(r["dest"] for r in K.group_copy_plan(spark.createDataFrame(rows, "keyword_group string, display_path string")).collect())
+    assert dests == sorted(["G/a.txt", "G/a_999999999.txt", "G/a_1000000000.txt", f"G/a_{10 ** 20}.txt", f"G/a_{10 ** 20 + 1}.txt"])
+
+
 def test_evidence_plan(spark):
     files = spark.createDataFrame(
         [("a b/c?.txt", "", "a b/c?.txt"), ("arc.zip", "in/x.docx", "arc.zip::in/x.docx")],

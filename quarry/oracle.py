@@ -467,9 +467,9 @@ k AS (SELECT rk.*, off.o + rk.rr AS k, regexp_extract(rk.name, '[^/](\\.[^./]+)$
     # all that changed was read, and nothing else is left: the state is the new listing
     q["next_scan_state"] = with_(SNAPS) + "SELECT path, mtime_us, size FROM new"
     user = "CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT)"
-    steps = [f"""SELECT {i} AS listing, path AS rel_path, CASE WHEN path IN (SELECT path FROM {a}) THEN 'changed' ELSE 'new' END AS change, size, mtime_us
+    steps = [f"""SELECT CAST({i} AS BIGINT) AS listing, path AS rel_path, CASE WHEN path IN (SELECT path FROM {a}) THEN 'changed' ELSE 'new' END AS change, size, mtime_us
                  FROM (SELECT * FROM {b} ANTI JOIN {a} USING (path, mtime_us, size))
-                 UNION ALL SELECT {i}, path, 'gone', size, mtime_us FROM {a} ANTI JOIN {b} USING (path)"""
+                 UNION ALL SELECT CAST({i} AS BIGINT), path, 'gone', size, mtime_us FROM {a} ANTI JOIN {b} USING (path)"""
              for i, (a, b) in enumerate([("none", "old"), ("old", "new"), ("new", "third")], 1)]
     q["listing_changes"] = with_(SNAPS, f"""none AS (SELECT * FROM old LIMIT 0),
 third AS (SELECT path, mtime_us, size + CASE WHEN {user} % 9 = 0 THEN 1 ELSE 0 END AS size

@@ -269,14 +269,17 @@ def _searcher(plan, k: int):
 
 
 def _answer(docs: DataFrame, asked: DataFrame, k: int, query_terms: int | None, shards: int) -> DataFrame | None:
+    """One pass, done and written when it returns: only its own vocabulary and queries are broadcast meanwhile."""
     sc = docs.sparkSession.sparkContext
     rows = asked.mapInArrow(_describe, "query_id long, terms binary, counts binary").collect()      # BLOCK_QUERIES rows at most
     own = [(r.query_id, np.frombuffer(r.terms, np.int64), np.frombuffer(r.counts, np.int32)) for r in rows]
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *[t for _, t, _ in own]]))
     if not len(vocabulary):
         return None
-    counted = (docs.select("text").mapInArrow(_counter(sc.broadcast(vocabulary)), "chunk int, counts binary")
+    held = sc.broadcast(vocabulary)
+    counted = (docs.select("text").mapInArrow(_counter(held), "chunk int, counts binary")
                .groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect())
+    held.destroy()
     total = {r.chunk: np.frombuffer(r.counts, np.int64) for r in counted}
     n, words = (int(x) for x in total.pop(-1))
     df = np.concatenate([total[c] for c in sorted(total)])
@@ -290,7 +293,9 @@ def _answer(docs: DataFrame, asked: DataFrame, k: int, query_terms: int | None,
     used = np.unique(np.concatenate([a for _, a, _ in chosen]))
     queries = [(name, np.searchsorted(used, a).astype(np.int32), w) for name, a, w in chosen if len(a)]
     plan = sc.broadcast((vocabulary[used], df[used] / max(1, n), max(1.0, words / max(1, n)), queries))
-    return docs.select("doc_id", "text").coalesce(shards).mapInArrow(_searcher(plan, k), "query_id long, doc_id long, score double")
+    found = cut(docs.select("doc_id", "text").coalesce(shards).mapInArrow(_searcher(plan, k), "query_id long, doc_id long, score double"))
+    plan.destroy()
+    return found
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = None, block: int = BLOCK_QUERIES,
@@ -320,6 +325,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     schema = "query_id long, rank int, doc_id long, score double"
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
-    best = cut(reduce(DataFrame.unionByName, found))
+    best = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.select("query_id", rank.alias("rank"), "doc_id", "score").where(F.col("rank") <= k)

@@ -8,8 +8,8 @@ read without error, and drops paths that are gone.
 
 Streaming (I2/I3): Spark's file source picks up new files; each
 micro-batch is matched in ``foreachBatch`` and appended to the fact and
-file tables.  The file source does not re-emit a modified file, so change
-detection for rewritten files stays with the batch form.
+file tables.  The file source does not re-emit a modified file; the folder job
+(``plans.jobs.evidence_stream``) uses ``streaming.listing`` instead, which sees rewritten, hidden and lost files.
 """
 
 from __future__ import annotations

@@ -134,10 +134,13 @@ def stream_facts(stream: DataFrame, match: Callable[[DataFrame], DataFrame], out
     return w.start()
 
 
-def table_stream(spark: SparkSession, folder: str, table: str, max_files_per_trigger: int = 1):
-    """A file stream over ``{folder}/{table}.parquet`` (schema taken from the table)."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).format("parquet")
-            .option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .load(folder))
+def table_stream(spark: SparkSession, folder: str, table: str, max_files_per_trigger: int | None = None):
+    """A file stream over ``{folder}/{table}.parquet``, one file or a folder of part files (schema taken from the table).
+
+    ``max_files_per_trigger`` defaults to the session's cores, so that a micro-batch of a table of many files keeps them busy.
+    """
+    where = f"{folder.rstrip('/')}/{table}.parquet"
+    # as a pattern: a stream's plain path must be a folder, what a pattern names may be a file as well
+    return (spark.readStream.schema(spark.read.parquet(where).schema).format("parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger or spark.sparkContext.defaultParallelism)
+            .load(where[:-1] + "[t]"))

@@ -96,3 +96,22 @@ def test_binary_file_stream_scans_only_new_files(spark):
                                                  "source_path string, text string"), DICT, keys=["source_path"])
     assert sorted(map(tuple, facts.select("source_path", "keyword_group", "keyword", "count").collect())) == \
         sorted(map(tuple, exp.collect()))
+
+
+def test_table_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    rows.repartition(4).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    (tmp_path / "in" / "other.parquet").mkdir()
+    for per_trigger in (None, 1):
+        out = tmp_path / f"out{per_trigger}"
+        stream = I.table_stream(spark, str(tmp_path / "in"), "documents", per_trigger)
+        I.stream_facts(stream, lambda b: b, f"{out}/facts", f"{out}/checkpoint").awaitTermination()
+        assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/facts").collect()) == list(range(20))
+
+
+def test_stream_queries_read_tables_of_part_files(spark, tmp_path):
+    from quarry.catalog import QUERIES
+    spark.read.parquet(f"{SF001}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("stream_scan", "stream_group_totals"):
+        got, want = (sorted(map(tuple, QUERIES[name](spark, d).collect())) for d in (str(tmp_path), SF001))
+        assert got == want and got

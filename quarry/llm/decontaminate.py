@@ -14,7 +14,9 @@ from quarry.llm.shingles import PLAIN, shingles, words_of
 
 K = 5                         # words in a shingle
 SIMILARITY = 0.8              # of an item's shingle weight found in the text
-RADIUS = 0                    # bits that two fingerprints may differ in: a probe is one shingle long, and a kept shingle's has none
+RADIUS = 3                    # bits that two fingerprints may differ in
+SIZES = (8, 11, 16, 22, 32, 44, 64, 90, 127, 180, 255)       # sizes of an item's own windows: each about 1.4 times the one before
+PLACES = 8                    # steps at most between an item's own windows
 ITEM_BYTES = 16 << 20         # benchmark text that travels with one pass over the documents
 SUMMED = 255                  # words of a window at most
 SLAB = 1 << 15                # windows handled at once
@@ -85,11 +87,12 @@ class Index:
 
 
 class Benchmark:
-    """Items with their weighted shingles, and an index of windows of one shingle's words that no match can lack.
+    """Items with their weighted shingles, and for each window size an index of the items' fingerprints.
 
-    A text that holds ``similarity`` of an item's weight lacks at most the rest of it.  So it has one at least of any
-    shingles that weigh more than this rest, whatever was trimmed, changed or inserted.  The item's rarest are such
-    probes: a fingerprint each.
+    An item has two kinds of probes.  Its own windows are nearly as long as itself, from its first word to its last: a copy with a few
+    words changed differs there in a few bits.  A text that holds ``similarity`` of an item's weight lacks at most the rest of it; so it has
+    one at least of any shingles that weigh more than this rest, whatever was trimmed, changed or inserted.  The item's
+    rarest are such probes too, windows of one shingle's words.
     """
 
     def __init__(self, ids: list, texts: list[str], k: int, radius: int, similarity: float):
@@ -102,7 +105,7 @@ class Benchmark:
         self.own = np.searchsorted(self.every, np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in sets]]))
         self.place = np.concatenate([np.zeros(0, np.int64), *[at for _, at in sets]])
         self.weight = 1.0 / counts[self.own]                     # a shingle that many items share tells less
-        probes, self.item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        probes: dict[int, list] = {}                             # of each window size: fingerprint, item
         for i, w in enumerate(words):
             if len(w) >= k:
                 own = slice(self.first[i], self.first[i] + self.many[i])
@@ -110,23 +113,29 @@ class Benchmark:
                 sums = np.cumsum(self.weight[own][rare])
                 rest = (1 - similarity + 1e-9) * sums[-1]
                 rare = rare[:np.searchsorted(sums, rest, "right") + 1]
-                probes.append(np.unique(fingerprints(w, [self.size])[self.size][self.place[own][rare]]))
-                self.item.append(np.full(len(probes[-1]), i))
-        self.item = np.concatenate(self.item)
-        self.index = Index(np.concatenate(probes), radius)
+                at = {self.size: self.place[own][rare]}
+                if len(w) >= SIZES[0]:
+                    size = max(z for z in SIZES if z <= len(w))
+                    at[size] = np.concatenate([at.get(size, np.zeros(0, np.int64)), np.linspace(0, len(w) - size, PLACES + 1).astype(np.int64)])
+                for size, prints in fingerprints(w, sorted(at)).items():
+                    probes.setdefault(size, []).extend((x, i) for x in np.unique(prints[at[size]]))
+        self.index = {size: (Index(np.array([x for x, _ in own], np.uint64), radius), np.array([i for _, i in own], np.int64))
+                      for size, own in sorted(probes.items())}
 
     def matches(self, words: np.ndarray, offsets: np.ndarray, similarity: float):
         """``(text, item, similarity, first word)``: the items that reach ``similarity`` in each text, and the best place of each."""
-        if not len(self.item):
+        if not self.index:
             return []
         text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         found = [np.zeros(0, np.int64)]
         for a in range(0, len(words), SLAB):
-            prints = fingerprints(words[a:a + SLAB + self.size - 1], [self.size]).get(self.size, np.zeros(0, np.uint64))
-            own = text_of[a:a + len(prints)] == text_of[a + self.size - 1:a + self.size - 1 + len(prints)]     # no window over two texts
-            at = np.flatnonzero(own)
-            i, j = self.index.near(prints[at])
-            found.append(np.unique(text_of[a + at[i]] * len(self.ids) + self.item[j]))
+            for size, prints in fingerprints(words[a:a + SLAB + max(self.index) - 1], list(self.index)).items():
+                prints = prints[:SLAB]
+                own = text_of[a:a + len(prints)] == text_of[a + size - 1:a + size - 1 + len(prints)]     # no window over two texts
+                at = np.flatnonzero(own)
+                index, items = self.index[size]
+                i, j = index.near(prints[at])
+                found.append(np.unique(text_of[a + at[i]] * len(self.ids) + items[j]))
         text, item = np.divmod(np.unique(np.concatenate(found)), len(self.ids))
         if not len(text):
             return []
@@ -205,10 +214,10 @@ def _arrow_type(kind: str) -> pa.DataType:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, k: int = K) -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_words``: the benchmark items that documents hold, and where.
 
-    Every document (``doc_id, text``) is read whole, at every word a window of ``k`` words.  Those whose SimHash is within
-    ``radius`` bits of a probe of an item (``item_id, text``) are all found by block lookups; then the share of the item's
+    Every document (``doc_id, text``) is read whole, at every word a window of ``k`` words and one of each size of the items' own
+    windows.  Those whose SimHash is within ``radius`` bits of a probe of an item (``item_id, text``) are all found by block lookups; then the share of the item's
     ``k``-word shingles, weighted by how few items have them, that the document holds decides: ``similarity`` or more.  An
-    item's probes are its rarest shingles, as many as no document with that share can lack, so at every radius all such
+    item's probes are windows nearly as long as itself and its rarest shingles, as many as no document with that share can lack, so at every radius all such
     documents are found, also trimmed and edited copies and those with other words inserted, however many.
     ``start_word`` is where the item would begin in its best place: in the window of ``n_words`` that holds most of it.
     Words are runs of letters, digits and anything beyond ASCII, in lower case.

@@ -126,3 +126,31 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert D.find_leaks(empty(spark), items).count() == 0 and D.find_leaks(docs(spark), items.limit(0)).count() == 0
     kept = D.decontaminate(clashing(docs(spark)), items)
     assert kept.columns == clashing(docs(spark)).columns and kept.count() == 8
+
+
+def test_an_items_own_windows_are_looked_up_within_the_radius():
+    assert D.RADIUS > 0
+    rng = random.Random(21)
+    far = 0
+    for n in (12, 40, 60, 130, 300):
+        item = [word(rng) for _ in range(n)]
+        bench = D.Benchmark([7], [" ".join(item)], D.K, D.RADIUS, D.SIMILARITY)
+        size = max(z for z in D.SIZES if z <= n)
+        assert set(bench.index) == {D.K, size}
+        index, items = bench.index[size]
+        own = D.fingerprints(word_hashes(item), [size])[size]
+        assert {int(own[0]), int(own[-1])} <= set(map(int, index.prints)) and set(items) == {0}
+        for at in range(size):
+            changed = list(item)
+            changed[at] = word(rng) + "z"
+            x = D.fingerprints(word_hashes(changed), [size])[size]
+            near = set(index.near(x)[0].tolist())
+            assert near == {i for i in range(len(x)) if min((int(x[i]) ^ int(p)).bit_count() for p in index.prints) <= D.RADIUS}
+            far += any(min((int(x[i]) ^ int(p)).bit_count() for p in index.prints) > 0 for i in near)
+    assert far > 50                                          # edited copies that only a radius finds
+
+
+def word_hashes(words):
+    import pyarrow as pa
+    ((_, _, hashes),) = list(D.words_of(D._lower(pa.array([" ".join(words)])), kind=D.PLAIN))
+    return hashes

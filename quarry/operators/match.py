@@ -10,7 +10,7 @@ Two semantics:
 
 Two physical forms, same results:
 
-* ``automaton`` (default): ``mapInPandas`` holding an Aho-Corasick automaton
+* ``automaton`` (default): ``mapInArrow`` holding an Aho-Corasick automaton
   built once per Python worker from the dictionary shipped in the closure.
   One pass over each text whatever the dictionary size; no join at all.
 * ``native``: one projection of ``contains`` prefilters with ``regexp_count``
@@ -30,11 +30,13 @@ from bisect import bisect_left, bisect_right
 from typing import Iterable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarry.functions.batches import pieces
 from quarry.functions.text import (boundary_regex, casefold_col, is_word_char,
                                    overlap_count_regex)
 from quarry.sources.dictionary import KeywordDictionary
@@ -157,22 +159,27 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
     that also reach into ``_post`` (hits spanning a unit seam).  Consecutive
     rows with the same keys are summed before they are emitted, also across Arrow batches.  With ``totals`` every stretch of
     rows with the same keys, hits or not, has a row without a keyword as well: its UTF-8 bytes and number of hits.
+    Arrow batches are taken and given in bounded pieces, so a task's memory does not grow with them.
     """
     emit = spec[2]
     count = hit_counter(spec, mode, case_sensitive, newline_fix)
     keys = list(keys)
     boundary = mode == "boundary"
 
-    def frame(key_rows, groups, kws, counts, sizes):
-        out = pd.DataFrame(key_rows, columns=keys) if keys else pd.DataFrame(index=range(len(groups)))
-        out["keyword_group"] = pd.Series(groups, dtype=object)
-        out["keyword"] = pd.Series(kws, dtype=object)
-        out["count"] = pd.Series(counts, dtype="int64")
-        if totals:
-            out["bytes_read"] = pd.Series(sizes, dtype="int64")
+    def values(column: pa.Array) -> list:
+        out = column.to_pylist()
+        if column.null_count and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+            return [float("nan") if x is None else x for x in out]      # rows without a number are never the same row
         return out
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def frame(types, text_type, key_rows, groups, kws, counts, sizes):
+        own = [pa.array([r[i] for r in key_rows], t, from_pandas=True) for i, t in enumerate(types)]
+        own += [pa.array(groups, text_type), pa.array(kws, text_type), pa.array(counts, pa.int64())]
+        own += [pa.array(sizes, pa.int64())] if totals else []
+        return pa.RecordBatch.from_arrays(own, [*keys, "keyword_group", "keyword", "count", *(["bytes_read"] if totals else [])])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        types, text_type = [], pa.string()
         cur_key, cur, cur_bytes = None, {}, 0
         key_rows, groups, kws, counts, sizes = [], [], [], [], []
 
@@ -190,13 +197,14 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
             if totals and cur_key is not None:
                 row(None, None, sum(cur.values()), cur_bytes)
 
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            key_vals = list(zip(*[pdf[k].tolist() for k in keys])) if keys else [()] * len(texts)
+        for batch in pieces(batches):
+            types, text_type = [batch.column(k).type for k in keys], batch.column(text_col).type
+            texts = batch.column(text_col).to_pylist()
+            key_vals = list(zip(*[values(batch.column(k)) for k in keys])) if keys else [()] * len(texts)
             if windowed:
-                pres = pdf["_pre"].tolist()
-                posts = pdf["_post"].tolist()
-                crosses = pdf["_cross"].tolist()
+                pres = batch.column("_pre").to_pylist()
+                posts = batch.column("_post").to_pylist()
+                crosses = batch.column("_cross").to_pylist()
             for i, body in enumerate(texts):
                 k = key_vals[i]
                 if k != cur_key:
@@ -211,11 +219,11 @@ def _count_job(keys: Sequence[str], text_col: str, mode: str, case_sensitive: bo
                     cur[w] = max(cur.get(w, 0), c) if boundary else cur.get(w, 0) + c
             # emit what is complete; the current row may continue in the next batch
             if groups:
-                yield frame(key_rows, groups, kws, counts, sizes)
+                yield frame(types, text_type, key_rows, groups, kws, counts, sizes)
                 key_rows, groups, kws, counts, sizes = [], [], [], [], []
         flush()
         if groups:
-            yield frame(key_rows, groups, kws, counts, sizes)
+            yield frame(types, text_type, key_rows, groups, kws, counts, sizes)
 
     return run
 
@@ -298,7 +306,7 @@ def match_units(units: DataFrame, dictionary: KeywordDictionary, *, keys: Sequen
     slim = units.select(*keys, text_col)
     if n_spread:
         slim = slim.repartition(n_spread, *keys)
-    return slim.mapInPandas(_count_job(keys, text_col, mode, case_sensitive, spec, mode == "boundary", False, totals=totals), schema)
+    return slim.mapInArrow(_count_job(keys, text_col, mode, case_sensitive, spec, mode == "boundary", False, totals=totals), schema)
 
 
 # ---------------------------------------------------------------- native form
@@ -442,7 +450,7 @@ def match_file_scope(units: DataFrame, dictionary: KeywordDictionary, *, file_ke
     if boundary:
         rows = base.select(*file_keys, idx_col, F.left(t, F.lit(1)).alias("_pre"), F.expr(f"substring({text_col}, 2, length({text_col}) - 2)").alias(text_col),
                            F.right(t, F.lit(1)).alias("_post"), F.lit(False).alias("_cross")).where(F.length(text_col) > 0)
-        inside = rows.mapInPandas(_count_job([*file_keys, idx_col], text_col, mode, case_sensitive, spec, False, True, within=True),
+        inside = rows.mapInArrow(_count_job([*file_keys, idx_col], text_col, mode, case_sensitive, spec, False, True, within=True),
                                   _fact_schema(rows, [*file_keys, idx_col]))
     else:
         inside = match_units(base, dictionary, keys=[*file_keys, idx_col], text_col=text_col,

@@ -9,18 +9,24 @@ truncated on purpose, to exercise error rows.
 
 from __future__ import annotations
 
+import email.policy
 import gzip
 import io
 import tarfile
 import zipfile
+from binascii import b2a_base64, crc32
+from collections import namedtuple
 from typing import Iterable
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.batches import pieces
+
 PACKED = T.StructType([
     T.StructField("source_path", T.StringType()),
     T.StructField("content", T.BinaryType()),
@@ -93,18 +99,33 @@ def pack_archives(documents: DataFrame, per_archive: int = 8, damage: bool = Fal
     return d.groupBy("bucket").applyInPandas(_pack_group(damage), PACKED)
 
 
-def _map_rows(fn):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            paths, blobs = [], []
-            for row in pdf.itertuples(index=False):
-                p, b = fn(row)
-                paths.append(p)
-                blobs.append(b)
-            yield pd.DataFrame({"source_path": paths, "content": blobs})
+PACK_BYTES = 8 << 20      # of files after which a task hands out what it has
+
+
+def _map_rows(*makers):
+    """Every row (``doc_id, source, text``) as the file of each maker, in bounded batches."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        paths, blobs, held = [], [], 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(blobs, pa.binary())], PACKED.fieldNames())
+        for batch in pieces(batches):
+            for values in zip(*[c.to_pylist() for c in batch.columns]):
+                row = _Row(*values)
+                for make in makers:
+                    p, b = make(row)
+                    paths.append(p)
+                    blobs.append(b)
+                    held += len(b) + 100
+                if held >= PACK_BYTES:
+                    yield done()
+                    paths, blobs, held = [], [], 0
+        if paths:
+            yield done()
     return run
 
 
+_Row = namedtuple("_Row", "doc_id source text")
+
+
 def _docx(row):
     paras = "".join(f"<w:p><w:r><w:t xml:space=\"preserve\">{escape(line)}</w:t></w:r></w:p>"
                     for line in row.text.split("\n"))
@@ -136,28 +157,35 @@ def _odt(row):
     return f"office/{row.source}/{row.doc_id}.odt", bio.getvalue()
 
 
+def _base64(data: bytes) -> bytes:
+    """Lines of 76 characters, the last without an end."""
+    b = b2a_base64(data, newline=False)
+    return b"\n".join([b[i:i + 76] for i in range(0, len(b), 76)])
+
+
 def _eml(row):
-    from email.mime.application import MIMEApplication
-    from email.mime.multipart import MIMEMultipart
-    from email.mime.text import MIMEText
-    m = MIMEMultipart("mixed")
-    m["From"] = f"{row.source}@example.org"
-    m["To"] = "archive@example.org"
-    m["Subject"] = row.text.split("\n", 1)[0][:60].replace("\r", " ")
-    alt = MIMEMultipart("alternative")
-    alt.attach(MIMEText(row.text, "plain", "utf-8"))
-    alt.attach(MIMEText(f"<html><body><p>{escape(row.text)}</p></body></html>", "html", "utf-8"))
-    m.attach(alt)
-    att = MIMEApplication(row.text.encode("utf-8"), "octet-stream")
-    att.add_header("Content-Disposition", "attachment", filename=f"{row.doc_id}.txt")
-    m.attach(att)
-    return f"mail/{row.source}/{row.doc_id}.eml", m.as_bytes()
+    """Bytes as the ``email`` package writes them (mixed: alternative of plain and HTML text, attachment), but for its random boundaries."""
+    fold = email.policy.compat32.fold_binary
+    subject = row.text.split("\n", 1)[0][:60].replace("\r", " ")
+    text, html = row.text.encode("utf-8"), f"<html><body><p>{escape(row.text)}</p></body></html>".encode("utf-8")
+    outer, inner = (b"=" * 15 + b"%019d==" % (2 * crc32(text) + i) for i in (0, 1))
+    body = lambda kind: (b'Content-Type: text/%s; charset="utf-8"\nMIME-Version: 1.0\nContent-Transfer-Encoding: base64\n\n' % kind)
+    end = lambda data: b"\n" if data else b""  # noqa: E731  - a text body ends its last line itself
+    plain = _base64(text)
+    return f"mail/{row.source}/{row.doc_id}.eml", b"".join([
+        b'Content-Type: multipart/mixed; boundary="', outer, b'"\nMIME-Version: 1.0\n', fold("From", f"{row.source}@example.org"),
+        b"To: archive@example.org\n", fold("Subject", subject), b"\n--", outer,
+        b'\nContent-Type: multipart/alternative;\n boundary="', inner, b'"\nMIME-Version: 1.0\n\n--', inner, b"\n",
+        body(b"plain"), plain, end(text), b"\n--", inner, b"\n", body(b"html"), _base64(html), b"\n\n--", inner, b"--\n\n--", outer,
+        b"\nContent-Type: application/octet-stream\nMIME-Version: 1.0\nContent-Transfer-Encoding: base64\n"
+        b'Content-Disposition: attachment; filename="%s.txt"\n\n' % str(row.doc_id).encode(),
+        plain, end(text), b"\n--", outer, b"--\n"])
 
 
 def pack_office(documents: DataFrame, kind: str) -> DataFrame:
     """One container per document row: ``docx``, ``odt`` or ``eml``."""
     fn = {"docx": _docx, "odt": _odt, "eml": _eml}[kind]
-    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(fn), PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInArrow(_map_rows(fn), PACKED)
 
 
 def _gz(row):
@@ -166,24 +194,12 @@ def _gz(row):
 
 def pack_mixed(documents: DataFrame) -> DataFrame:
     """Each document as a .docx, an .odt, an .eml and a .txt.gz — one pass over the table."""
-    makers = (_docx, _odt, _eml, _gz)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            paths, blobs = [], []
-            for row in pdf.itertuples(index=False):
-                for make in makers:
-                    p, b = make(row)
-                    paths.append(p)
-                    blobs.append(b)
-            yield pd.DataFrame({"source_path": paths, "content": blobs})
-
-    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(run, PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInArrow(_map_rows(_docx, _odt, _eml, _gz), PACKED)
 
 
 def pack_gz(documents: DataFrame) -> DataFrame:
     """One gzip file per document row."""
-    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(_gz), PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInArrow(_map_rows(_gz), PACKED)
 
 
 def pack_xml(documents: DataFrame) -> DataFrame:
@@ -192,4 +208,4 @@ def pack_xml(documents: DataFrame) -> DataFrame:
         body = "".join(f"<p>{escape(line)}</p>" for line in row.text.split("\n"))
         xml = f"<?xml version=\"1.0\" encoding=\"UTF-8\"?><doc title=\"{row.source}\">{body}</doc>"
         return f"xml/{row.source}/{row.doc_id}.xml", xml.encode("utf-8")
-    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(_map_rows(one), PACKED)
+    return _spread(documents.select("doc_id", "source", "text"), "doc_id").mapInArrow(_map_rows(one), PACKED)

@@ -91,7 +91,7 @@ def match_table(units: DataFrame, keywords: DataFrame, *, keys: Sequence[str], t
         same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
         found = (texts.alias("a").join(pairs.dropDuplicates([*keys, "norm"]).alias("b"), reduce(lambda x, y: x & y, same))
                  .select("a.*", "b.norm", "b.pattern", "b.labels"))
-    found = found.where(F.instr(F.col("_t"), F.col("norm")) > 0)
+    found = found.where(F.contains(F.col("_t"), F.col("norm")))
     count = F.regexp_count("_t", F.col("pattern")).cast("bigint") if mode == "dictionary" else F.rlike("_t", F.col("pattern")).cast("bigint")
     return (found.select(*keys, "labels", count.alias("count")).where("count > 0")
             .select(*keys, F.inline("labels"), "count"))

@@ -66,3 +66,13 @@ def test_no_keywords(spark):
     assert got.columns == ["id", "keyword_group", "keyword", "count"] and got.count() == 0
     with pytest.raises(ValueError):
         match_table(units, none, keys=["id"], mode="other")
+
+
+def test_fold_of_plain_and_other_texts(spark):
+    """Texts of ASCII only skip the table of folds; its expression stands in the other branch alone."""
+    from quarry.functions.text import casefold_col
+    texts = ["ABC xyz 0~", "Straße ŉ İ ẞ ﬀ", "ΟΣΟΣ ſK", "", None, "a" * 5000 + "ẞ", "\x7f\x00[]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    column = casefold_col(F.col("text"))
+    assert [r[0] for r in rows.select(column).collect()] == [t and t.casefold() for t in texts]
+    assert "octet_length" in str(column)

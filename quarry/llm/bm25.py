@@ -10,16 +10,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, shared_folder
 from quarry.llm.shingles import PLAIN, words_of
 
 K1, B, K3 = 1.2, 0.75, 1.0
-BLOCK_QUERIES = 8192      # queries that one pass over the documents answers
-QUERY_BYTES = 64 << 20    # and their text at most
+BLOCK_QUERIES = 12288     # queries that one pass over the postings answers
+QUERY_BYTES = 96 << 20    # and their text at most
+ROUND = 6                 # passes that share one reading of the texts
 SHARD = 20480             # documents of a shard
+TASK_SHARDS = 8           # shards that a task goes through, if there are tasks enough
 RANGE = 512               # documents of a block
-DENSE = 2048              # terms at most that are multiplied as a dense matrix
-COMMON = 0.003            # product of a term's shares of documents and queries from which that is cheaper than a posting at a time
+DENSE = 1024              # terms at most that are multiplied as a dense matrix
+COMMON = 0.002            # product of a term's shares of documents and queries from which that is cheaper than a posting at a time
+KINDS = 12                # kinds of documents that a shard is sorted by
+KIND_TERMS = 256          # commonest terms that tell them
+PIECE = 1 << 13          # postings added at once
 HELD = 1 << 21            # candidates held before they are scored exactly
 CHUNK = 1 << 16           # terms whose document counts travel in one row
 
@@ -36,28 +41,79 @@ def _terms(texts: pa.Array):
 
 def _describe(batches):
     for batch in batches:
-        ids, terms, counts = [], [], []
-        for i, (_, term, count) in zip(batch.column(0).to_pylist(), _terms(batch.column(1))):
-            ids.append(i)
+        terms, counts = [], []
+        for _, term, count in _terms(batch.column(1)):
             terms.append(term.tobytes())
             counts.append(count.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
-                                         ["query_id", "terms", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pc.binary_length(batch.column(1)).cast(pa.int64()),
+                                          pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["query_id", "deal", "size", "terms", "counts"])
 
 
-def _counter(vocabulary):
-    """Document counts of the vocabulary's terms in a task's rows, in rows of ``CHUNK`` terms; row -1 has rows and words."""
+def _distinct(batches):
+    """The distinct terms of a task's queries, by their upper bits."""
+    held = [np.frombuffer(x, np.int64) for batch in batches for x in batch.column(0).to_pylist()]
+    terms = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+    part = terms >> 58
+    edges = np.flatnonzero(np.diff(part, prepend=-64, append=64))
+    if len(terms):
+        yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)),
+                                          pa.array([terms[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["part", "terms"])
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    terms = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("terms").to_pylist()]))
+    return pa.table({"part": table.column("part")[:1], "terms": pa.array([terms.tobytes()], pa.binary())})
+
+
+def _poster(vocabulary, shard: int):
+    """The documents' postings: numbers and counts of the vocabulary's terms, a shard after the other in the order of its kinds."""
     def run(batches):
         known = vocabulary.value
-        df, rows, words = np.zeros(len(known), np.int64), 0, 0
+        ids, lengths, terms, counts = [], [], [], []
+
+        def sorted_shard():
+            size = np.array([len(t) for t in terms], np.int64)
+            index = Index(np.concatenate(terms), np.concatenate(counts), size, np.array(lengths, np.float64), max(1.0, float(np.mean(lengths))))
+            order = index.kinds(np.bincount(index.terms, minlength=len(known)) / len(ids))
+            for a in range(0, len(order), 1024):
+                some = order[a:a + 1024].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array([lengths[i] for i in some], pa.int64()),
+                                                  pa.array([terms[i].tobytes() for i in some], pa.binary()), pa.array([counts[i].tobytes() for i in some], pa.binary())],
+                                                 ["doc_id", "words", "terms", "counts"])
+
         for batch in batches:
-            for n, term, _ in _terms(batch.column(0)):
-                rows, words = rows + 1, words + int(n)
+            for i, (n, term, count) in zip(batch.column(0).to_pylist(), _terms(batch.column(1))):
                 at = np.searchsorted(known, term)
                 ok = at < len(known)
                 ok[ok] = known[at[ok]] == term[ok]
-                df[at[ok]] += 1
-        chunks = [(c, df[c * CHUNK:(c + 1) * CHUNK].tobytes()) for c in range(-(-len(known) // CHUNK))]
+                ids.append(i)
+                lengths.append(int(n))
+                terms.append(at[ok].astype(np.int32))
+                counts.append(count[ok].astype(np.int32))
+                if len(ids) == shard:
+                    yield from sorted_shard()
+                    ids, lengths, terms, counts = [], [], [], []
+        if ids:
+            yield from sorted_shard()
+    return run
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column's rows one after the other, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8)[at[0]:at[-1]] if raw is not None else np.zeros(0, np.uint8)).view(np.int32), np.diff(at) // 4
+
+
+def _counter(terms: int):
+    """Document counts of the ``terms`` numbered terms in a task's postings, in rows of ``CHUNK`` terms; row -1 has rows and words."""
+    def run(batches):
+        df, rows, words = np.zeros(terms, np.int64), 0, 0
+        for batch in batches:
+            rows, words = rows + batch.num_rows, words + (pc.sum(batch.column(0)).as_py() or 0)
+            df += np.bincount(_numbers(batch.column(1))[0], minlength=terms)
+        chunks = [(c, df[c * CHUNK:(c + 1) * CHUNK].tobytes()) for c in range(-(-terms // CHUNK))]
         chunks.append((-1, np.array([rows, words], np.int64).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), pa.array([x for _, x in chunks], pa.binary())], ["chunk", "counts"])
     return run
@@ -74,30 +130,30 @@ def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Queries:
-    """Queries by term: the common terms as a dense matrix, the others as postings; all weights also by query."""
+    """Queries by term, as postings with weights in single precision, and by query."""
 
     def __init__(self, own: list, share: np.ndarray):
         self.names, self.share = [name for name, _, _ in own], share
         self.first = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in own])])
-        self.terms = np.concatenate([t for _, t, _ in own])
+        self.terms = np.concatenate([t for _, t, _ in own]).astype(np.int64)
         self.weights = np.concatenate([w for _, _, w in own])
-        who = np.repeat(np.arange(len(own)), np.diff(self.first))
-        asked = np.bincount(self.terms, minlength=len(share))
-        both = share * asked / len(own)
-        common = np.argsort(-both, kind="stable")[:DENSE]
-        common = np.sort(common[both[common] >= COMMON])
-        self.column = np.full(len(share), -1, np.int32)             # of the dense matrix; -1: a term with postings
-        self.column[common] = np.arange(len(common))
-        at = self.column[self.terms]
-        self.dense = np.zeros((len(own), len(common)), np.float32)
-        self.dense[who[at >= 0], at[at >= 0]] = self.weights[at >= 0]
-        rare = np.flatnonzero(at < 0)
-        rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.who, self.weight = who[rare], self.weights[rare].astype(np.float32)
-        self.starts = np.searchsorted(self.terms[rare], np.arange(len(share) + 1))
+        self.light = self.weights.astype(np.float32)
+        by = np.argsort(self.terms, kind="stable")
+        # a posting is a weight and a query beside each other, moved as one 64-bit number
+        self.posts = np.empty((len(by), 2), np.int32)
+        self.posts[:, 0] = self.light[by].view(np.int32)
+        self.posts[:, 1] = np.repeat(np.arange(len(own)), np.diff(self.first))[by]
+        self.posts = self.posts.view(np.int64).reshape(-1)
+        self.starts = np.searchsorted(self.terms[by], np.arange(len(share) + 1))
+        self.asked = np.diff(self.starts)
         # single precision: a sum of n positive products is off by (n + 3) roundings of 2^-24 at most, both ways for two scores
         self.slack = np.minimum(1, 2.1 * (np.diff(self.first) + 8) * 2.0 ** -24)
 
+    def postings(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and weights of the postings at ``places``."""
+        both = self.posts.take(places)
+        return both.view(np.int32)[1::2].astype(np.int64), both.view(np.float32)[::2]
+
 
 class Index:
     """The documents of one shard with the impacts of the queries' terms."""
@@ -106,6 +162,7 @@ class Index:
         self.terms, self.size, self.first = terms, size, np.concatenate([[0], np.cumsum(size)])
         self.norm = K1 * (1 - B + B * length / average)
         self.counts = counts
+        self.block: tuple = None, None, None
 
     def impacts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the documents' postings, and their impacts."""
@@ -113,90 +170,140 @@ class Index:
         tf = self.counts[post].astype(np.float64)
         return post, tf * (K1 + 1) / (tf + np.repeat(self.norm[docs], self.size[docs]))
 
-    def order(self, share: np.ndarray) -> np.ndarray:
-        """The documents in the order of their blocks: a block from all over the shard, then like beside like.
+    def postings(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and impacts (single precision) of a block's postings; those of the last block are kept."""
+        if self.block[0] is not docs:
+            post, impact = self.impacts(docs)
+            self.block = docs, self.terms[post].astype(np.int64), impact.astype(np.float32)
+        return self.block[1:]
+
+    def kinds(self, share: np.ndarray) -> np.ndarray:
+        """The documents like beside like, so that a block's maxima belong to documents of one kind and about one length.
 
-        Documents are sorted by their weightiest common term (count times share of documents), so that a block's maxima
-        belong to documents of one kind; the first block gives every query a first bar.
+        Kinds are clusters of the documents' common terms (spherical k-means over a sample, the same at every call); within a
+        kind documents are sorted by length.
         """
-        key = self.counts * share[self.terms].astype(np.float64)
-        best = np.full(len(self.size), -1, np.int64)
-        owner = np.repeat(np.arange(len(self.size)), self.size)
-        rank = np.lexsort((key, owner))
-        best[owner[rank]] = self.terms[rank]               # the last of each document is its greatest
-        like = np.argsort(best, kind="stable")
-        first = np.zeros(len(like), bool)
-        first[np.unique(np.linspace(0, len(like) - 1, min(RANGE, len(like))).astype(np.int64))] = True
-        return np.concatenate([like[first], like[~first]])
+        common = np.argpartition(-share, min(KIND_TERMS, len(share)) - 1)[:KIND_TERMS] if len(share) else np.zeros(0, np.int64)
+        column = np.full(len(share), -1, np.int64)
+        column[common] = np.arange(len(common))
+        rarity = np.log1p(1 / np.maximum(share[common], 1e-9))
+
+        def vectors(docs):
+            post = _runs(self.first[docs], self.size[docs])
+            at, of = column[self.terms[post]], np.repeat(np.arange(len(docs)), self.size[docs])
+            on = at >= 0
+            out = np.zeros((len(docs), len(common)), np.float32)
+            out[of[on], at[on]] = np.sqrt(self.counts[post[on]]) * rarity[at[on]]
+            return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+        n = len(self.size)
+        sample = vectors(np.unique(np.linspace(0, n - 1, min(2048, n)).astype(np.int64)))
+        centres = sample[np.unique(np.linspace(0, len(sample) - 1, min(KINDS, len(sample))).astype(np.int64))]
+        for _ in range(4):
+            nearest = (sample @ centres.T).argmax(axis=1)
+            sums = np.stack([sample[nearest == j].sum(axis=0) for j in range(len(centres))])
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        # each kind beside the one most like it: most blocks across two kinds are then of one language
+        chain, alike = [0], centres @ centres.T
+        while len(chain) < len(centres):
+            alike[:, chain[-1]] = -1
+            chain.append(int(alike[chain[-1]].argmax()))
+        centres = centres[chain]
+        kind = np.concatenate([(vectors(np.arange(a, min(n, a + 2048))) @ centres.T).argmax(axis=1) for a in range(0, n, 2048)])
+        return np.lexsort((self.norm, kind))
+
+    def order(self, share: np.ndarray) -> np.ndarray:
+        """The documents in the order of their blocks: a block from all over the shard, which gives every query a first bar, then by kind."""
+        return _spread(self.kinds(share))
 
     def bounds(self, queries: Queries, docs: np.ndarray) -> np.ndarray:
         """For every query what no document of the block can exceed: its weights times the block's greatest impact of each term."""
-        post, impact = self.impacts(docs)
-        by = np.argsort(self.terms[post], kind="stable")
-        term, impact = self.terms[post][by], impact[by].astype(np.float32)
-        if not len(term):
-            return np.zeros(len(queries.names), np.float32)
-        starts = np.flatnonzero(np.diff(term, prepend=-1))
-        term, most = term[starts], np.maximum.reduceat(impact, starts)
-        column = queries.column[term]
-        common, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
-        row = np.zeros(queries.dense.shape[1], np.float32)
-        row[column[common]] = most[common]
-        first = queries.starts[term[rare]]
-        n = queries.starts[term[rare] + 1] - first
-        at = _runs(first, n)
-        out = queries.dense @ row + np.bincount(queries.who[at], queries.weight[at] * np.repeat(most[rare], n), len(queries.names))
-        return out * (1 + queries.slack) + 1e-8
+        most = np.zeros(len(queries.share), np.float32)
+        np.maximum.at(most, *self.postings(docs))
+        out = np.add.reduceat(most.take(queries.terms) * queries.light, queries.first[:-1])
+        return out.astype(np.float64) * (1 + queries.slack) + 1e-8
 
     def near(self, queries: Queries, docs: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        """Scores of the documents for the queries ``alive`` in single precision, within the queries' slack."""
-        width = len(docs)
-        post, impact = self.impacts(docs)
-        term, impact, who = self.terms[post], impact.astype(np.float32), np.repeat(np.arange(width), self.size[docs])
-        column = queries.column[term]
-        common, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
-        matrix = np.zeros((queries.dense.shape[1], width), np.float32)
-        matrix[column[common], who[common]] = impact[common]
-        every = len(alive) == len(queries.names)
-        out = (queries.dense if every else queries.dense[alive]) @ matrix
-        place = np.full(len(queries.names), -1, np.int64)
+        """Scores of the documents (rows) for the queries ``alive`` (columns) in single precision, within the queries' slack.
+
+        Terms common in the block and among the queries are multiplied as dense matrices, the others go a document at a time
+        through the queries' postings.
+        """
+        width, size = len(docs), self.size[docs]
+        term, impact = self.postings(docs)
+        both = np.bincount(term, minlength=len(queries.share)) * queries.asked
+        common = np.flatnonzero(both >= COMMON * width * len(alive))
+        if len(common) > DENSE:
+            common = np.sort(common[np.argsort(-both[common], kind="stable")[:DENSE]])
+        column = np.full(len(queries.share), -1, np.int64)
+        column[common] = np.arange(len(common))
+        place = np.full(len(queries.names), len(alive))
         place[alive] = np.arange(len(alive))
-        first = queries.starts[term[rare]]
-        count = queries.starts[term[rare] + 1] - first
-        for part in np.split(np.arange(len(rare)), np.searchsorted(np.cumsum(count), np.arange(1 << 22, int(count.sum()), 1 << 22))):
-            n = count[part]
-            at, of, value = _runs(first[part], n), np.repeat(who[rare[part]], n), np.repeat(impact[rare[part]], n)
-            row = place[queries.who[at]]
-            if not every:
-                on = row >= 0
-                at, of, value, row = at[on], of[on], value[on], row[on]
-            np.add.at(out.reshape(-1), row * width + of, queries.weight[at] * value)
+        # a column more than there are queries alive takes what belongs to the others
+        weights = np.zeros((len(common), len(alive) + 1), np.float32)
+        who, weight = queries.postings(_runs(queries.starts[common], queries.asked[common]))
+        weights[np.repeat(np.arange(len(common)), queries.asked[common]), place.take(who)] = weight
+        at = column.take(term)
+        dense = at >= 0
+        matrix = np.zeros((width, len(common)), np.float32)
+        matrix[np.repeat(np.arange(width), size)[dense], at[dense]] = impact[dense]
+        out = matrix @ weights[:, :-1]
+        rare = np.flatnonzero(~dense)
+        edges = np.searchsorted(rare, np.concatenate([[0], np.cumsum(size)]))
+        term, impact = term[rare], impact[rare]
+        count = queries.asked[term]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        first, ends = queries.starts[term] - ends[:-1], ends[edges]
+        # as many documents at once as have about PIECE postings to add
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(ends[1:] // PIECE)) + 1, [width]])
+        step = np.arange(np.diff(ends[cuts]).max(initial=0))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if ends[x] == ends[y]:
+                continue
+            own = slice(edges[x], edges[y])
+            places = np.repeat(first[own] + ends[x], count[own])
+            places += step[:len(places)]
+            who, weight = queries.postings(places)
+            value = np.repeat(impact[own], count[own])
+            value *= weight
+            if y - x > 1:
+                who += np.repeat(np.arange(0, (y - x) * len(queries.names), len(queries.names)), np.diff(ends[x:y + 1]))
+            more = np.zeros((y - x, len(queries.names)), np.float32)
+            np.add.at(more.reshape(-1), who, value)
+            out[x:y] += more.take(alive, axis=1)
         return out
 
     def exact(self, queries: Queries, who: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Scores of pairs, ordered by query, in double precision and in the order of the terms."""
-        weight, out = np.zeros(len(queries.column)), np.zeros(len(who))
+        slot, out = np.full(len(queries.share), -1, np.int32), np.zeros(len(who))
         edges = np.flatnonzero(np.diff(who, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:]):
             own = slice(queries.first[who[a]], queries.first[who[a] + 1])
-            weight[queries.terms[own]] = queries.weights[own]
+            term, weight = queries.terms[own], queries.weights[own]
+            slot[term] = np.arange(len(term))
             for c in range(a, b, RANGE):
                 some = docs[c:min(b, c + RANGE)]
-                post, impact = self.impacts(some)
-                out[c:c + len(some)] = np.bincount(np.repeat(np.arange(len(some)), self.size[some]), impact * weight[self.terms[post]], len(some))
-            weight[queries.terms[own]] = 0
+                post = _runs(self.first[some], self.size[some])
+                at = slot.take(self.terms.take(post))
+                on = np.flatnonzero(at >= 0)
+                of = np.searchsorted(np.cumsum(self.size[some]), on, "right")
+                tf = self.counts[post[on]].astype(np.float64)
+                out[c:c + len(some)] = np.bincount(of, tf * (K1 + 1) / (tf + self.norm[some][of]) * weight[at[on]], len(some))
+            slot[term] = -1
         return np.round(out, 9)
 
-    def search(self, queries: Queries, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: Queries, k: int, ids: np.ndarray, least: np.ndarray | None = None,
+               order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``query, document, score`` of each query's ``k`` best (smaller id first among equals); documents without a term don't count.
 
         Block-max pruning: documents lie in blocks of ``RANGE``; a block is scored only for the queries whose bound there, by
         the block's greatest impact of each term, reaches their running ``k``-th best.  Scores are taken in single precision;
         what may be among the ``k`` best, given the bound of that rounding, is scored again exactly; nothing else can be.
+        Documents that score below ``least`` (single precision) are left out; it is raised to what the ``k`` best found here reach.
         """
-        least = np.zeros(len(queries.names))
+        least = np.zeros(len(queries.names)) if least is None else least
         who, docs, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        order, last = self.order(queries.share), 0
+        order, last = self.order(queries.share) if order is None else order, 0
         self.pairs, self.scored = 0, 0
         for a in range(0, len(ids), RANGE):
             own = order[a:a + RANGE]
@@ -204,13 +311,16 @@ class Index:
             bound = self.bounds(queries, own)
             alive = np.flatnonzero((bound > 1e-8) & (bound >= least))
             self.pairs, self.scored = self.pairs + len(least), self.scored + len(alive)
-            near = self.near(queries, own, alive)
-            floor = least[alive].astype(np.float32)
-            if not a and b > k:
-                floor = (np.partition(near, b - k, axis=1)[:, b - k] * (1 - queries.slack[alive]) - 1e-8).astype(np.float32)
-            # one more rounding step down, as the floor is itself rounded
-            q, d = np.nonzero((near >= np.nextafter(floor, np.float32(-1))[:, None]) & (near > 0))
-            who, docs, score = np.append(who, alive[q]), np.append(docs, own[d]), np.append(score, near[q, d])
+            if len(alive):
+                near = self.near(queries, own, alive)
+                floor = least[alive].astype(np.float32)
+                if not a and b > k:
+                    first = (np.partition(near, b - k, axis=0)[b - k] * (1 - queries.slack[alive]) - 1e-8).astype(np.float32)
+                    floor = np.maximum(floor, first)
+                # one more rounding step down, as the floor is itself rounded; scores of nothing are 0
+                hit = np.flatnonzero(near >= np.maximum(np.nextafter(floor, np.float32(-1)), np.float32(1e-30)))
+                d, q = np.divmod(hit, len(alive))
+                who, docs, score = np.append(who, alive[q]), np.append(docs, own[d]), np.append(score, near.reshape(-1)[hit])
             if not a or b == len(ids) or len(who) - last > len(least):
                 who, docs, score = self._kept(queries, k, who, docs, score, least)
                 if len(who) > HELD:
@@ -240,61 +350,108 @@ class Index:
         return who[order], docs[order], score[order], exact[order]
 
 
-def _searcher(plan, k: int):
-    """A task is one shard: it holds its rows' postings of the queries' terms, then answers every query."""
+def _spread(like: np.ndarray) -> np.ndarray:
+    """A block from all over ``like`` first, then the rest as it is."""
+    first = np.zeros(len(like), bool)
+    first[np.unique(np.linspace(0, len(like) - 1, min(RANGE, len(like))).astype(np.int64))] = True
+    return np.concatenate([like[first], like[~first]])
+
+
+def _searcher(plan, k: int, shard: int):
+    """A task goes through its postings a shard after the other; each answers every query, above what those before it have given."""
     def run(batches):
-        known, share, average, own = plan.value
-        lengths, names, terms, counts, sizes = [], [], [], [], []
+        number, average, queries = plan.value
+        least = np.zeros(len(queries.names))
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
+        names, lengths, terms, counts, sizes, rows = [], [], [], [], [], 0
+
+        def with_shard():
+            ids = pa.chunked_array(names).combine_chunks()
+            none, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(-2**63).to_numpy()
+            index = Index(np.concatenate(terms), np.concatenate(counts), np.concatenate(sizes), np.concatenate(lengths).astype(np.float64), average)
+            who, docs, score = index.search(queries, k, ids, least, _spread(np.arange(len(ids))))
+            who, found, none, score = (np.concatenate(x) for x in zip(best, (who, ids[docs], none[docs], score)))
+            order = np.lexsort((found, -score, who))
+            rank = np.arange(len(who)) - np.searchsorted(who[order], who[order])
+            kth = order[rank == k - 1]
+            least[who[kth]] = np.maximum(least[who[kth]], score[kth] * (1 - queries.slack[who[kth]]) - 1e-8)
+            order = order[rank < k]
+            return who[order], found[order], none[order], score[order]
+
         for batch in batches:
+            term, size = _numbers(batch.column(2))
+            at = number.take(term)
+            ok = at >= 0
+            held = np.concatenate([[0], np.cumsum(ok)])
+            ends = np.cumsum(size)
             names.append(batch.column(0))
-            for size, term, count in _terms(batch.column(1)):
-                at = np.searchsorted(known, term)
-                ok = at < len(known)
-                ok[ok] = known[at[ok]] == term[ok]
-                terms.append(at[ok].astype(np.int32))
-                counts.append(count[ok].astype(np.int32))
-                sizes.append(int(ok.sum()))
-                lengths.append(size)
-        if not lengths:
-            return
-        names = pa.chunked_array(names).combine_chunks()
-        order = np.array([-2**63 if i is None else i for i in names.to_pylist()], np.int64)
-        index = Index(np.concatenate(terms), np.concatenate(counts), np.array(sizes, np.int64), np.array(lengths, np.float64), average)
-        del terms, counts
-        queries = Queries(own, share)
-        who, place, score = index.search(queries, k, order)
-        yield pa.RecordBatch.from_arrays([pa.array(queries.names, pa.int64()).take(pa.array(who)), names.take(pa.array(place)), pa.array(score)],
-                                         ["query_id", "doc_id", "score"])
+            lengths.append(batch.column(1).to_numpy())
+            terms.append(at[ok])
+            counts.append(_numbers(batch.column(3))[0][ok])
+            sizes.append(held[ends] - held[ends - size])
+            rows += batch.num_rows
+            if rows >= shard:
+                best = with_shard()
+                names, lengths, terms, counts, sizes, rows = [], [], [], [], [], 0
+        if rows:
+            best = with_shard()
+        who, found, none, score = best
+        for a in range(0, len(who), 1 << 16):
+            some = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(queries.names, pa.int64()).take(pa.array(who[some])), pa.array(found[some], mask=none[some]), pa.array(score[some])],
+                                             ["query_id", "doc_id", "score"])
     return run
 
 
-def _answer(docs: DataFrame, asked: DataFrame, k: int, query_terms: int | None, shards: int) -> DataFrame | None:
-    """One pass, done and written when it returns: only its own vocabulary and queries are broadcast meanwhile."""
-    sc = docs.sparkSession.sparkContext
-    rows = asked.mapInArrow(_describe, "query_id long, terms binary, counts binary").collect()      # BLOCK_QUERIES rows at most
-    own = [(r.query_id, np.frombuffer(r.terms, np.int64), np.frombuffer(r.counts, np.int32)) for r in rows]
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *[t for _, t, _ in own]]))
-    if not len(vocabulary):
+def _answer(posted: DataFrame, rows: list, vocabulary: np.ndarray, df: np.ndarray, n: int, words: int, k: int, query_terms: int | None,
+            shard: int) -> DataFrame | None:
+    """One pass, done and written when it returns: only its own queries are broadcast meanwhile."""
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    chosen = []
+    for r in rows:
+        at = np.searchsorted(vocabulary, np.frombuffer(r.terms, np.int64))
+        count = np.frombuffer(r.counts, np.int32)
+        weight = idf[at] * (K3 + 1) * count / (K3 + count)
+        best = np.sort(np.lexsort((at, -weight))[:query_terms])
+        if len(best):
+            chosen.append((r.query_id, at[best], weight[best]))
+    if not chosen:
         return None
+    used = np.unique(np.concatenate([a for _, a, _ in chosen]))
+    number = np.full(len(vocabulary), -1, np.int32)
+    number[used] = np.arange(len(used))
+    queries = Queries([(name, number[a], w) for name, a, w in chosen], df[used] / max(1, n))
+    plan = posted.sparkSession.sparkContext.broadcast((number, max(1.0, words / max(1, n)), queries))
+    found = cut(posted.mapInArrow(_searcher(plan, k, shard), "query_id long, doc_id long, score double"))
+    plan.destroy()
+    return found
+
+
+def _round(docs: DataFrame, asked: DataFrame, passes: range, k: int, query_terms: int | None, shards: int, shard: int) -> list:
+    """Some passes: the texts are read once, as postings of these passes' terms, which all of them search."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    asked = asked.where(F.col("pass").between(passes[0], passes[-1]))
+    parts = asked.select("terms").mapInArrow(_distinct, "part int, terms binary").groupBy("part").applyInArrow(_joined, "part int, terms binary").collect()
+    vocabulary = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.terms, np.int64) for r in sorted(parts, key=lambda r: r.part)]])
+    if not len(vocabulary):
+        return []
     held = sc.broadcast(vocabulary)
-    counted = (docs.select("text").mapInArrow(_counter(held), "chunk int, counts binary")
-               .groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect())
+    path = shared_folder(spark, "postings")
+    (docs.coalesce(shards).mapInArrow(_poster(held, shard), "doc_id long, words long, terms binary, counts binary")
+     .write.option("parquet.block.size", 8 << 20).parquet(path))
     held.destroy()
+    tasks = max(2 * sc.defaultParallelism, shards // TASK_SHARDS)
+    posted = spark.read.parquet(path).coalesce(tasks)
+    counted = (posted.select("words", "terms").mapInArrow(_counter(len(vocabulary)), "chunk int, counts binary")
+               .groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect())
     total = {r.chunk: np.frombuffer(r.counts, np.int64) for r in counted}
     n, words = (int(x) for x in total.pop(-1))
     df = np.concatenate([total[c] for c in sorted(total)])
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    chosen = []
-    for name, term, count in own:
-        at = np.searchsorted(vocabulary, term)
-        weight = idf[at] * (K3 + 1) * count / (K3 + count)
-        best = np.sort(np.lexsort((term, -weight))[:query_terms])
-        chosen.append((name, at[best], weight[best]))
-    used = np.unique(np.concatenate([a for _, a, _ in chosen]))
-    queries = [(name, np.searchsorted(used, a).astype(np.int32), w) for name, a, w in chosen if len(a)]
-    plan = sc.broadcast((vocabulary[used], df[used] / max(1, n), max(1.0, words / max(1, n)), queries))
-    found = cut(docs.select("doc_id", "text").coalesce(shards).mapInArrow(_searcher(plan, k), "query_id long, doc_id long, score double"))
-    plan.destroy()
+    found = [_answer(posted, asked.where(F.col("pass") == p).select("query_id", "terms", "counts").collect(),       # BLOCK_QUERIES rows or so
+                     vocabulary, df, n, words, k, query_terms, shard) for p in passes]
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
     return found
 
 
@@ -305,12 +462,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     A query is every distinct term of its whole text, its weight idf times a saturated count (``query_terms``: only so many,
     those with the highest weight).  BM25 is exact: document counts, the number of documents and their mean length are
     counted over all rows first, so scores of different shards agree and the best of the shards' best are the best of all.
-    A shard is about ``shard`` documents, held whole by one task (input partitions are joined, never shuffled), with postings
-    of the terms that the queries ask for.  Its documents lie in blocks with the greatest impact of each term; a block is scored only
+    The texts are read once for ``ROUND`` passes and written as postings of the terms that these passes' queries ask for, in
+    shards of about ``shard`` documents (input partitions are joined, never shuffled) sorted by kind.  A task holds one shard
+    at a time.  Its documents lie in blocks with the greatest impact of each term; a block is scored only
     for the queries that it may still give one of their ``k`` best, in single precision (common terms as a
     matrix product, the others by postings), and again in double precision those that its rounding leaves among the best.
-    Queries are answered in blocks of about ``block`` and ``QUERY_BYTES``, one pass each, so what travels with the tasks is
-    bounded; time grows with queries times documents.
+    Queries are answered in blocks of about ``block`` and ``QUERY_BYTES``, one pass over the postings each, so what travels
+    with the tasks is bounded; time grows with queries times documents.
 
     Equal scores rank the smaller id first, null ids first.  A null or empty text is found by nothing and asks for
     nothing; a query that repeats wholly is answered once; equal documents are each found.  Empty tables give no rows.
@@ -318,9 +476,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     """
     docs = docs.select("doc_id", "text")
     asked = queries.select("query_id", "text").where("text IS NOT NULL").distinct()
-    n, (q, size) = docs.count(), asked.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    asked = cut(asked.select("query_id", "text", F.xxhash64("query_id", "text").alias("deal"))
+                .mapInArrow(_describe, "query_id long, deal long, size long, terms binary, counts binary"))
+    n, (q, size) = docs.count(), asked.agg(F.count("*"), F.sum("size")).first()
     passes, shards = max(-(-q // block), -(-(size or 0) // QUERY_BYTES)), max(1, -(-n // shard))
-    found = [_answer(docs, asked.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(passes)) == p), k, query_terms, shards) for p in range(passes)]
+    asked = asked.withColumn("pass", F.pmod("deal", F.lit(max(1, passes))))
+    found = []
+    for p in range(0, passes, ROUND):
+        found += _round(docs, asked, range(p, min(passes, p + ROUND)), k, query_terms, shards, shard)
     found = [f for f in found if f is not None]
     schema = "query_id long, rank int, doc_id long, score double"
     if not found:

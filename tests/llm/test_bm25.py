@@ -115,3 +115,56 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert bm25.search(empty(spark), empty(spark).withColumnRenamed("doc_id", "query_id")).count() == 0
     assert bm25.search(docs(spark), empty(spark).withColumnRenamed("doc_id", "query_id")).count() == 0
     assert bm25.search(empty(spark), docs(spark).withColumnRenamed("doc_id", "query_id")).count() == 0
+
+
+def test_texts_are_read_as_often_for_many_passes_as_for_one(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"some words of number{i % 7} and word{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(counted, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in rows if i % 6 == 0], "query_id long, text string")
+    seen, found = [], []
+    for block in (100, 2):
+        before = read.value
+        found.append(sorted(map(tuple, bm25.search(df, asked, k=4, block=block).collect())))
+        seen.append(read.value - before)
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert seen[0] == seen[1]
+
+
+def test_kinds_far_apart_by_common_terms_share_no_block(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(bm25, "RANGE", 32)
+    rng = np.random.default_rng(6)
+    # two kinds of documents: even and odd term numbers, the common ones of both beside each other
+    bags = [np.unique(2 * (rng.zipf(1.3, 80) % 300) + i % 2, return_counts=True) for i in range(1200)]
+    df = np.bincount(np.concatenate([t for t, _ in bags]), minlength=600)
+    share, idf = df / len(bags), np.log(1 + (len(bags) - df + 0.5) / (df + 0.5))
+    size = np.array([len(t) for t, _ in bags])
+    index = bm25.Index(np.concatenate([t for t, _ in bags]).astype(np.int32), np.concatenate([c for _, c in bags]).astype(np.int32), size,
+                       np.full(len(bags), 80.0), 80.0)
+    queries = bm25.Queries([(i, t.astype(np.int32), idf[t] * (bm25.K3 + 1) * c / (bm25.K3 + c)) for i, (t, c) in enumerate(bags) if i % 40 < 2], share)
+    order = index.order(share)[32:] % 2
+    assert np.mean([len(set(order[a:a + 32])) == 1 for a in range(0, len(order), 32)]) > 0.9
+    index.search(queries, 10, np.arange(len(bags)))
+    assert index.scored < 0.56 * index.pairs
+
+
+def test_a_bar_from_earlier_shards_leaves_only_what_can_be_better():
+    import numpy as np
+    rng = np.random.default_rng(7)
+    bags = [np.unique(rng.zipf(1.3, 50) % 400, return_counts=True) for _ in range(300)]
+    share = np.bincount(np.concatenate([t for t, _ in bags]), minlength=400) / len(bags)
+    index = bm25.Index(np.concatenate([t for t, _ in bags]).astype(np.int32), np.concatenate([c for _, c in bags]).astype(np.int32),
+                       np.array([len(t) for t, _ in bags]), np.full(len(bags), 50.0), 50.0)
+    queries, ids = bm25.Queries([(i, t.astype(np.int32), 1.0 + t % 7) for i, (t, _) in enumerate(bags[:20])], share), np.arange(len(bags))
+    who, docs_, score = index.search(queries, 10, ids)
+    bar = np.array([score[who == q][4] for q in range(20)])
+    who2, docs2, score2 = index.search(queries, 10, ids, bar * (1 - 1e-4))
+    left = score >= bar[who]
+    assert set(zip(who[left], docs_[left])) <= set(zip(who2, docs2)) and score2.min() > 0 and (score2 >= 0.999 * bar[who2]).all()

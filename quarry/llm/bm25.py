@@ -14,12 +14,12 @@ from quarry.llm.common import cut, shared_folder
 from quarry.llm.shingles import PLAIN, words_of
 
 K1, B, K3 = 1.2, 0.75, 1.0
-BLOCK_QUERIES = 12288     # queries that one pass over the postings answers
-QUERY_BYTES = 96 << 20    # and their text at most
-ROUND = 6                 # passes that share one reading of the texts
-SHARD = 20480             # documents of a shard
+BLOCK_QUERIES = 8192      # queries that one pass over the postings answers
+QUERY_BYTES = 64 << 20    # and their text at most
+ROUND = 8                 # passes that share one reading of the texts
+SHARD = 16384             # documents of a shard
 TASK_SHARDS = 8           # shards that a task goes through, if there are tasks enough
-RANGE = 512               # documents of a block
+RANGE = 256               # documents of a block
 DENSE = 1024              # terms at most that are multiplied as a dense matrix
 COMMON = 0.002            # product of a term's shares of documents and queries from which that is cheaper than a posting at a time
 KINDS = 12                # kinds of documents that a shard is sorted by
@@ -31,12 +31,14 @@ CHUNK = 1 << 16           # terms whose document counts travel in one row
 
 def _terms(texts: pa.Array):
     """Yields, for each text, its number of words, its distinct term hashes and their counts."""
-    low = pc.utf8_lower(texts.cast(pa.large_string()))
-    for _, offsets, words in words_of(low, kind=PLAIN):
-        words = words.view(np.int64)
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            term, count = np.unique(words[a:b], return_counts=True)
-            yield b - a, term, count
+    # some texts at a time: hashing takes tens of bytes for each of theirs
+    for start in range(0, len(texts), 64):
+        low = pc.utf8_lower(texts.slice(start, 64).cast(pa.large_string()))
+        for _, offsets, words in words_of(low, kind=PLAIN):
+            words = words.view(np.int64)
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                term, count = np.unique(words[a:b], return_counts=True)
+                yield b - a, term, count
 
 
 def _describe(batches):
@@ -241,8 +243,10 @@ class Index:
         place[alive] = np.arange(len(alive))
         # a column more than there are queries alive takes what belongs to the others
         weights = np.zeros((len(common), len(alive) + 1), np.float32)
-        who, weight = queries.postings(_runs(queries.starts[common], queries.asked[common]))
-        weights[np.repeat(np.arange(len(common)), queries.asked[common]), place.take(who)] = weight
+        for a in range(0, len(common), 64):
+            some = common[a:a + 64]
+            who, weight = queries.postings(_runs(queries.starts[some], queries.asked[some]))
+            weights[np.repeat(np.arange(a, a + len(some)), queries.asked[some]), place.take(who)] = weight
         at = column.take(term)
         dense = at >= 0
         matrix = np.zeros((width, len(common)), np.float32)
@@ -350,6 +354,13 @@ class Index:
         return who[order], docs[order], score[order], exact[order]
 
 
+def _whole(parts: list) -> np.ndarray:
+    """The parts as one array; the list is empty then."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _spread(like: np.ndarray) -> np.ndarray:
     """A block from all over ``like`` first, then the rest as it is."""
     first = np.zeros(len(like), bool)
@@ -368,7 +379,7 @@ def _searcher(plan, k: int, shard: int):
         def with_shard():
             ids = pa.chunked_array(names).combine_chunks()
             none, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(-2**63).to_numpy()
-            index = Index(np.concatenate(terms), np.concatenate(counts), np.concatenate(sizes), np.concatenate(lengths).astype(np.float64), average)
+            index = Index(_whole(terms), _whole(counts), _whole(sizes), _whole(lengths).astype(np.float64), average)
             who, docs, score = index.search(queries, k, ids, least, _spread(np.arange(len(ids))))
             who, found, none, score = (np.concatenate(x) for x in zip(best, (who, ids[docs], none[docs], score)))
             order = np.lexsort((found, -score, who))
@@ -392,7 +403,7 @@ def _searcher(plan, k: int, shard: int):
             rows += batch.num_rows
             if rows >= shard:
                 best = with_shard()
-                names, lengths, terms, counts, sizes, rows = [], [], [], [], [], 0
+                names, rows = [], 0
         if rows:
             best = with_shard()
         who, found, none, score = best
